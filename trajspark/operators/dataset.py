@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -123,20 +123,27 @@ def _literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _per_channel(df: DataFrame, name: str, vector) -> Column:
-    depth = df.schema[name].dataType.simpleString().count("array<")
-    return F.transform(name, vector) if depth == 2 else vector(F.col(name))
+def _per_channel(df: DataFrame, name: str, vector: Callable[[Column], Column]) -> Column:
+    """Applies ``vector`` to the array itself, or to each row of a nested array."""
+    nested = df.schema[name].dataType.simpleString().count("array<") == 2
+    return F.transform(name, vector) if nested else vector(F.col(name))
+
+
+def _scale(mean: Sequence[float], std: Sequence[float]) -> Callable[[Column], Column]:
+    return lambda v: F.zip_with(
+        F.zip_with(v, _literal(mean), lambda a, b: a - b), _literal(std), lambda a, b: a / b
+    )
+
+
+def _unscale(mean: Sequence[float], std: Sequence[float]) -> Callable[[Column], Column]:
+    return lambda v: F.zip_with(
+        F.zip_with(v, _literal(std), lambda a, b: a * b), _literal(mean), lambda a, b: a + b
+    )
 
 
 def normalise(df: DataFrame, stats: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """(x - mean) / std per channel for every array that has statistics."""
-    out = {}
-    for name, (mean, std) in stats.items():
-        scaled = lambda v, m=mean, s=std: F.zip_with(
-            F.zip_with(v, _literal(m), lambda a, b: a - b), _literal(s), lambda a, b: a / b
-        )
-        out[name] = _per_channel(df, name, scaled)
-    return df.withColumns(out)
+    return df.withColumns({k: _per_channel(df, k, _scale(*ms)) for k, ms in stats.items()})
 
 
 def denormalise(
@@ -145,13 +152,7 @@ def denormalise(
     """Inverse of ``normalise``; identity for a dataset that was stored unnormalised."""
     if not normalised:
         return df
-    out = {}
-    for name, (mean, std) in stats.items():
-        restored = lambda v, m=mean, s=std: F.zip_with(
-            F.zip_with(v, _literal(s), lambda a, b: a * b), _literal(m), lambda a, b: a + b
-        )
-        out[name] = _per_channel(df, name, restored)
-    return df.withColumns(out)
+    return df.withColumns({k: _per_channel(df, k, _unscale(*ms)) for k, ms in stats.items()})
 
 
 def trajectory_audit(

@@ -187,7 +187,8 @@ def collapse_alarm(spark, sf):
     """Alarm on the features as they are and on copies squeezed towards a point."""
     base, out = latents(spark, sf), None
     for name, scale in (("as_is", 1.0), ("squeezed", 1e-4), ("collapsed", 0.0)):
-        x = F.transform("x", lambda v, s=scale: v * s)
+        factor = F.lit(scale)
+        x = F.transform("x", lambda v: v * factor)  # noqa: B023 - built at once
         d = diagnostics.latent_diagnostics(base.select("window_id", x.alias("x")), key=F.col("window_id"))
         row = diagnostics.collapse_alarm(d, min_rank_fraction=0.1).select(
             F.lit(name).alias("case"), "triggered", F.array_join("reasons", ",").alias("reasons")
