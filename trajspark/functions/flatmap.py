@@ -8,20 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.vectors import all_finite, blank, cross, dot, norm, parts
+from trajspark.functions.vectors import norm
 from trajspark.schema import Guards, SystemParams
 
-_AX = "xyz"
-
-
-def _cols(prefix: str) -> list[Column]:
-    return [F.col(f"_{prefix}{c}") for c in _AX]
-
-
-def _named(prefix: str, values: list[Column]) -> dict[str, Column]:
-    return {f"_{prefix}{c}": v for c, v in zip(_AX, values)}
-
-
 def tension_margin(a: list[Column], gravity: float = SystemParams.gravity) -> Column:
     return norm([a[0], a[1], a[2] + gravity]) / gravity
 
@@ -48,129 +37,160 @@ def acceleration_quad_position(
     ]
 
 
+def _stages(df: DataFrame, stages: list[dict[str, str]]) -> DataFrame:
+    """One projection per stage, so every intermediate is evaluated once."""
+    for stage in stages:
+        df = df.selectExpr("*", *[f"{e} AS {name}" for name, e in stage.items()])
+    return df
+
+
+def _axes(name: str, pattern: str) -> dict[str, str]:
+    """One expression per axis; ``#`` stands for the axis letter."""
+    return {f"_{name}{c}": pattern.replace("#", c) for c in "xyz"}
+
+
+def _norm(name: str) -> str:
+    return f"sqrt(_{name}x * _{name}x + _{name}y * _{name}y + _{name}z * _{name}z)"
+
+
+def _cross(name: str, a: str, b: str) -> dict[str, str]:
+    return {
+        f"_{name}{i}": f"_{a}{j} * _{b}{k} - _{a}{k} * _{b}{j}"
+        for i, j, k in ("xyz", "yzx", "zxy")
+    }
+
+
+def _blank(exprs: list[str]) -> str:
+    nans = ", ".join(["double('NaN')"] * len(exprs))
+    return f"IF(valid, array({', '.join(exprs)}), array({nans}))"
+
+
+def _over(top: str, flag: str, bottom: str) -> str:
+    """top / bottom with bottom replaced by one where ``flag`` says it is too small; never NULL."""
+    return f"coalesce({top} / IF({flag}, 1D, {bottom}), 0D)"
+
+
+def _vec(pattern: str) -> str:
+    return _blank([pattern.replace("#", c) for c in "xyz"])
+
+
+OUTPUTS = [
+    "z_flat", "p_quad", "v_quad", "a_quad", "R_quad", "cable_dir", "payload_rpy_flat", "p_hat",
+    "p_hat_dot", "p_hat_ddot", "tension", "tension_margin", "valid", "guard_free_fall",
+    "guard_force", "guard_degenerate_cross", "guard_nonfinite_input",
+]
+
+
 def flat_map(
     df: DataFrame,
     params: SystemParams = SystemParams(),
     guards: Guards = Guards(),
-    yaw: Column | float = 0.0,
+    yaw: str | float = 0.0,
     names: dict[str, str] | None = None,
 ) -> DataFrame:
     """Adds vehicle state, attitude, cable, tension and guard columns to rows with p, v, a, j arrays.
 
-    The attitude quaternion's sign is per row; ``operators.kinematics.continuous_quaternion`` fixes it.
+    ``yaw`` is a number or a column name. Rows with a tripped guard get NaN in every derived array but
+    keep their tension. ``operators.kinematics.continuous_quaternion`` adds the attitude quaternion.
     """
     src = {"p": "p", "v": "v", "a": "a", "j": "j"} | (names or {})
-    keep = df.columns
     g, length = params.gravity, params.cable_length
-    raw = {}
-    for k in "pvaj":
-        raw |= _named(f"r{k}", parts(src[k]))
-    df = df.withColumns(raw).withColumn("_yaw", F.lit(yaw) if isinstance(yaw, float) else yaw)
-    rp, rv, ra, rj = (_cols(f"r{k}") for k in "pvaj")
-    df = df.withColumn("guard_nonfinite_input", ~all_finite(rp + rv + ra + rj))
-    bad = F.col("guard_nonfinite_input")
-    df = df.withColumns(
-        _named(
-            "c",
-            [
-                F.when(bad, 0.0).otherwise(ra[0]),
-                F.when(bad, 0.0).otherwise(ra[1]),
-                F.when(bad, F.lit(g)).otherwise(ra[2] + g),
-            ],
-        )
-        | _named("k", [F.when(bad, 0.0).otherwise(x) for x in rj])
-    )
-    c, k = _cols("c"), _cols("k")
-    df = df.withColumns({"_n": norm(c), "_s": dot(c, k), "_q": dot(k, k)})
-    df = df.withColumn("_ff", F.col("_n") < guards.acceleration)
-    df = df.withColumn("_i", 1.0 / F.when(F.col("_ff"), 1.0).otherwise(F.col("_n")))
-    i, s, q = F.col("_i"), F.col("_s"), F.col("_q")
-    df = df.withColumns({"_nd": s * i, "_ndd": q * i - s * s * (i * i * i)})
-    nd, ndd = F.col("_nd"), F.col("_ndd")
-    df = df.withColumns({"_w1": nd * i * i, "_w2": ndd * i * i, "_w3": nd * nd * i * i * i})
-    w1, w2, w3 = F.col("_w1"), F.col("_w2"), F.col("_w3")
-    df = df.withColumns(
-        _named("h", [-x * i for x in c])
-        | _named("hd", [w1 * x - y * i for x, y in zip(c, k)])
-        | _named("hdd", [2.0 * w1 * y + w2 * x - 2.0 * w3 * x for x, y in zip(c, k)])
-    )
-    mass = params.mass_quad + params.mass_load
-    lever = params.mass_quad * length
-    df = df.withColumns(
-        _named("f", [mass * x - lever * y for x, y in zip(c, _cols("hdd"))])
-    ).withColumn("_fn", norm(_cols("f")))
-    df = df.withColumn("_fbad", F.col("_fn") < guards.force)
-    df = df.withColumns(
-        _named("b3", [x / F.when(F.col("_fbad"), 1.0).otherwise(F.col("_fn")) for x in _cols("f")])
-        | {"_ux": -F.sin("_yaw"), "_uy": F.cos("_yaw"), "_uz": F.lit(0.0)}
-    )
-    df = df.withColumns(_named("x", cross(_cols("u"), _cols("b3"))))
-    df = df.withColumn("_xn", norm(_cols("x")))
-    df = df.withColumn("_xbad", F.col("_xn") < guards.cross)
-    df = df.withColumns(
-        _named("b1", [x / F.when(F.col("_xbad"), 1.0).otherwise(F.col("_xn")) for x in _cols("x")])
-    )
-    df = df.withColumns(_named("b2", cross(_cols("b3"), _cols("b1"))))
-    ff, fbad, xbad = F.col("_ff"), F.col("_fbad"), F.col("_xbad")
-    df = df.withColumns(
-        {
-            # Always true, but not foldable: a later filter on the outputs stays above this stage
-            # instead of being substituted through every intermediate.
-            "valid": ~(bad | ff | fbad | xbad) & (F.monotonically_increasing_id() >= 0),
-            "guard_free_fall": ff & ~bad,
-            "guard_force": fbad & ~bad & ~ff,
-            "guard_degenerate_cross": xbad & ~bad & ~ff & ~fbad,
-        }
-    )
-    ok = F.col("valid")
-    b1, b2, b3 = _cols("b1"), _cols("b2"), _cols("b3")
-    rows = [v for r in range(3) for v in (b1[r], b2[r], b3[r])]
-    df = df.withColumns(
-        {
-            "p_quad": blank([x + length * y for x, y in zip(rp, b3)], ok),
-            "v_quad": blank([x - length * y for x, y in zip(rv, _cols("hd"))], ok),
-            "a_quad": blank([x - length * y for x, y in zip(ra, _cols("hdd"))], ok),
-            "R_quad": blank(rows, ok),
-            "cable_dir": blank(b3, ok),
-            "payload_rpy_flat": blank([F.lit(0.0)] * 3, ok),
-            "p_hat": blank(_cols("h"), ok),
-            "p_hat_dot": blank(_cols("hd"), ok),
-            "p_hat_ddot": blank(_cols("hdd"), ok),
-            "z_flat": F.concat(src["p"], src["v"], src["a"], src["j"]),
-            "tension": cable_tension(ra, params.mass_load, g),
-            "tension_margin": tension_margin(ra, g),
-        }
-    )
-    return df.select(
-        *keep,
-        *[
-            "z_flat", "p_quad", "v_quad", "a_quad", "R_quad", "cable_dir", "payload_rpy_flat",
-            "p_hat", "p_hat_dot", "p_hat_ddot", "tension", "tension_margin", "valid",
-            "guard_free_fall", "guard_force", "guard_degenerate_cross", "guard_nonfinite_input",
+    mass, lever = params.mass_quad + params.mass_load, params.mass_quad * length
+    num = lambda x: f"{float(x)!r}D"
+    # Columns that cannot be NULL keep the generated code free of null checks, and small enough to compile.
+    raw = {
+        f"_{k}{c}": f"coalesce({src[k]}[{i}], double('NaN'))"
+        for k in "pvaj"
+        for i, c in enumerate("xyz")
+    }
+    finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in raw)  # NaN sorts above infinity
+    angle = num(yaw) if isinstance(yaw, float) else yaw
+    rotation = [f"_b{k}{c}" for c in "xyz" for k in (1, 2, 3)]
+    staged = _stages(
+        df,
+        [
+            raw | {"_yaws": f"-sin({angle})", "_yawc": f"cos({angle})"},
+            {"_bad": f"NOT ({finite})"},
+            {"_cx": "IF(_bad, 0D, _ax)", "_cy": "IF(_bad, 0D, _ay)"}
+            | {"_cz": f"IF(_bad, {num(g)}, _az + {num(g)})"}
+            | _axes("k", "IF(_bad, 0D, _j#)"),
+            {
+                "_n": _norm("c"),
+                "_s": "_cx * _kx + _cy * _ky + _cz * _kz",
+                "_q": "_kx * _kx + _ky * _ky + _kz * _kz",
+            },
+            {"_ff": f"_n < {num(guards.acceleration)}"},
+            {"_i": _over("1D", "_ff", "_n")},
+            {"_nd": "_s * _i", "_ndd": "_q * _i - _s * _s * (_i * _i * _i)"},
+            {"_w1": "_nd * _i * _i", "_w2": "_ndd * _i * _i", "_w3": "_nd * _nd * _i * _i * _i"},
+            _axes("h", "-_c# * _i")
+            | _axes("hd", "_w1 * _c# - _k# * _i")
+            | _axes("hdd", "2D * _w1 * _k# + _w2 * _c# - 2D * _w3 * _c#"),
+            _axes("f", f"{num(mass)} * _c# - {num(lever)} * _hdd#"),
+            {"_fn": _norm("f")},
+            {"_fbad": f"_fn < {num(guards.force)}"},
+            _axes("b3", _over("_f#", "_fbad", "_fn")) | {"_ux": "_yaws", "_uy": "_yawc", "_uz": "0D"},
+            _cross("x", "u", "b3"),
+            {"_xn": _norm("x")},
+            {"_xbad": f"_xn < {num(guards.cross)}"},
+            _axes("b1", _over("_x#", "_xbad", "_xn")),
+            _cross("b2", "b3", "b1")
+            | {
+                # The last term always holds but cannot be folded: a later filter on the outputs stays
+                # above this stage instead of being substituted through every intermediate.
+                "valid": "NOT (_bad OR _ff OR _fbad OR _xbad) AND monotonically_increasing_id() >= 0",
+                "guard_nonfinite_input": "_bad",
+                "guard_free_fall": "_ff AND NOT _bad",
+                "guard_force": "_fbad AND NOT _bad AND NOT _ff",
+                "guard_degenerate_cross": "_xbad AND NOT _bad AND NOT _ff AND NOT _fbad",
+                "tension": f"{num(params.mass_load)} * sqrt(_ax * _ax + _ay * _ay + (_az + {num(g)}) * (_az + {num(g)}))",
+            },
+            {
+                "p_quad": _vec(f"_p# + {num(length)} * _b3#"),
+                "v_quad": _vec(f"_v# - {num(length)} * _hd#"),
+                "a_quad": _vec(f"_a# - {num(length)} * _hdd#"),
+                "R_quad": _blank(rotation),
+                "cable_dir": _vec("_b3#"),
+                "payload_rpy_flat": _blank(["0D"] * 3),
+                "p_hat": _vec("_h#"),
+                "p_hat_dot": _vec("_hd#"),
+                "p_hat_ddot": _vec("_hdd#"),
+                "z_flat": "concat({p}, {v}, {a}, {j})".format(**src),
+                "tension_margin": f"tension / {num(params.mass_load * g)}",
+            },
         ],
     )
+    return staged.select(*df.columns, *OUTPUTS)
 
 
-def quaternion_of(r: Column) -> Column:
-    """(x, y, z, w) of a row-major rotation, from its largest component; all NaN if ``r`` is not finite."""
-    m = [r[i] for i in range(9)]
-    trace = m[0] + m[4] + m[8]
-    cases = {
-        "x": [1 - trace + 2 * m[0], m[3] + m[1], m[6] + m[2], m[7] - m[5]],
-        "y": [m[3] + m[1], 1 - trace + 2 * m[4], m[7] + m[5], m[2] - m[6]],
-        "z": [m[6] + m[2], m[7] + m[5], 1 - trace + 2 * m[8], m[3] - m[1]],
-        "w": [m[7] - m[5], m[2] - m[6], m[3] - m[1], 1 + trace],
-    }
-    top = F.greatest(m[0], m[4], m[8], trace)
-    raw = (
-        F.when(m[0] == top, F.array(*cases["x"]))
-        .when(m[4] == top, F.array(*cases["y"]))
-        .when(m[8] == top, F.array(*cases["z"]))
-        .otherwise(F.array(*cases["w"]))
+def with_quaternion(df: DataFrame, rotation: str, out: str) -> DataFrame:
+    """(x, y, z, w) of a row-major rotation from its largest component; NaN where it is not finite.
+
+    The sign is per row.
+    """
+    m = [f"{rotation}[{i}]" for i in range(9)]
+    cells = {f"_m{i}": e for i, e in enumerate(m)}
+    finite = " AND ".join(f"abs(_m{i}) < double('Infinity')" for i in range(9))
+    staged = _stages(
+        df,
+        [
+            cells,
+            {"_tr": "_m0 + _m4 + _m8"},
+            {"_top": "greatest(_m0, _m4, _m8, _tr)"},
+            {
+                "_raw": """CASE WHEN _m0 = _top THEN array(1D - _tr + 2D * _m0, _m3 + _m1, _m6 + _m2, _m7 - _m5)
+                    WHEN _m4 = _top THEN array(_m3 + _m1, 1D - _tr + 2D * _m4, _m7 + _m5, _m2 - _m6)
+                    WHEN _m8 = _top THEN array(_m6 + _m2, _m7 + _m5, 1D - _tr + 2D * _m8, _m3 - _m1)
+                    ELSE array(_m7 - _m5, _m2 - _m6, _m3 - _m1, 1D + _tr) END"""
+            },
+            {"_rl": "sqrt(_raw[0] * _raw[0] + _raw[1] * _raw[1] + _raw[2] * _raw[2] + _raw[3] * _raw[3])"},
+            {
+                out: f"IF({finite}, array(_raw[0] / _rl, _raw[1] / _rl, _raw[2] / _rl, _raw[3] / _rl), "
+                "array_repeat(double('NaN'), 4))"
+            },
+        ],
     )
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, v: acc + v * v))
-    nans = F.array(*[F.lit(float("nan"))] * 4)
-    return F.when(all_finite(m), F.transform(raw, lambda v: v / size)).otherwise(nans)
+    return staged.select(*df.columns, out)
 
 
 def rotation_of(q: Column) -> Column:

@@ -27,14 +27,6 @@ def norm(x: Sequence[Column]) -> Column:
     return F.sqrt(dot(x, x))
 
 
-def cross(x: Sequence[Column], y: Sequence[Column]) -> list[Column]:
-    return [
-        x[1] * y[2] - x[2] * y[1],
-        x[2] * y[0] - x[0] * y[2],
-        x[0] * y[1] - x[1] * y[0],
-    ]
-
-
 def is_finite(x: Column) -> Column:
     """False for NaN, both infinities and NULL (NaN compares above infinity in Spark)."""
     return F.coalesce((x < F.lit(INF)) & (x > F.lit(-INF)), F.lit(False))
@@ -47,11 +39,6 @@ def all_finite(xs: Sequence[Column]) -> Column:
     return ok
 
 
-def blank(xs: Sequence[Column], keep: Column) -> Column:
-    """Array of ``xs`` where ``keep`` holds, NaN entries elsewhere."""
-    return F.array(*[F.when(keep, x).otherwise(F.lit(NAN)) for x in xs])
-
-
 def array_sub(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a - b)
 

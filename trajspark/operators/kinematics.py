@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.flatmap import flat_map, quaternion_of
+from trajspark.functions.flatmap import flat_map, with_quaternion
 from trajspark.functions.vectors import all_finite, array_norm, array_sub, is_finite, parts
 from trajspark.plans.ordering import earlier_segments, segment_window, with_halo
 from trajspark.schema import SystemParams
@@ -75,7 +75,7 @@ def flat_outputs(
     **kwargs,
 ) -> DataFrame:
     """``flat_map`` plus a sign-continuous attitude quaternion ``quat_quad``."""
-    mapped = flat_map(df, params, **kwargs).withColumn("_raw_quat", quaternion_of(F.col("R_quad")))
+    mapped = with_quaternion(flat_map(df, params, **kwargs), "R_quad", "_raw_quat")
     return continuous_quaternion(mapped, "_raw_quat", key, step, "quat_quad").drop("_raw_quat")
 
 

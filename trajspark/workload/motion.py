@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from trajspark.functions.flatmap import (
     acceleration_quad_position,
     flat_map,
-    quaternion_of,
     rotation_of,
+    with_quaternion,
 )
 from trajspark.functions.vectors import array_sub, parts
 from trajspark.operators import dataset, forecast, kinematics, windows
@@ -103,8 +103,8 @@ GROUP BY stem HAVING count(*) FILTER (valid) > 0""",
 def quaternion_roundtrip(spark, sf):
     """Rotation -> quaternion -> rotation must be the identity up to rounding."""
     f = flat_map(phys_steps(spark, sf)).where("valid").select("stem", "R_quad")
-    back = rotation_of(quaternion_of(F.col("R_quad")))
-    gap = F.array_max(F.transform(array_sub(F.col("R_quad"), back), F.abs))
+    f = with_quaternion(f, "R_quad", "q").withColumn("back", rotation_of(F.col("q")))
+    gap = F.array_max(F.transform(array_sub(F.col("R_quad"), F.col("back")), F.abs))
     return f.groupBy("stem").agg(F.count("*").alias("n"), r6(F.max(gap)).alias("max_gap"))
 
 

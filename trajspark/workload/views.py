@@ -88,6 +88,14 @@ def phys_steps(spark: SparkSession, sf: str) -> DataFrame:
             "cross": (value > 260) & (value <= 280),
         }
     )
+    t7, wt = 0.7 * t, w * t
+    ev = ev.withColumns(
+        {
+            "s0": F.sin(t + f), "c0": F.cos(t + f), "s1": F.sin(t7), "c1": F.cos(t7),
+            "s2": amp * F.sin(wt), "c2": amp * F.cos(wt),
+        }
+    )
+    s0, c0, s1, c1, s2, c2 = (F.col(k) for k in ("s0", "c0", "s1", "c1", "s2", "c2"))
     either = F.col("fall") | F.col("cross")
     still = lambda x: F.when(F.col("cross"), 0.0).otherwise(x)
     return ev.select(
@@ -96,17 +104,17 @@ def phys_steps(spark: SparkSession, sf: str) -> DataFrame:
         t.alias("time"),
         F.concat(F.lit("g"), (stem % 7).cast("string")).alias("grp"),
         split_of(unit_md5(stem, 0)).alias("split"),
-        F.array(F.sin(t + f), F.cos(0.7 * t), 2 + amp * F.sin(w * t)).alias("p"),
-        F.array(F.cos(t + f), -0.7 * F.sin(0.7 * t), amp * w * F.cos(w * t)).alias("v"),
+        F.array(s0, c1, 2 + s2).alias("p"),
+        F.array(c0, -0.7 * s1, w * c2).alias("v"),
         F.array(
-            F.when(either, 0.0).otherwise(-F.sin(t + f)),
-            F.when(F.col("fall"), 0.0).when(F.col("cross"), 5.0).otherwise(-0.49 * F.cos(0.7 * t)),
-            F.when(either, -9.81).otherwise(-amp * w * w * F.sin(w * t)),
+            F.when(either, 0.0).otherwise(-s0),
+            F.when(F.col("fall"), 0.0).when(F.col("cross"), 5.0).otherwise(-0.49 * c1),
+            F.when(either, -9.81).otherwise(-w * w * s2),
         ).alias("a"),
         F.array(
-            F.when(F.col("nonfinite"), NAN).otherwise(still(-F.cos(t + f))),
-            still(0.343 * F.sin(0.7 * t)),
-            still(-amp * w * w * w * F.cos(w * t)),
+            F.when(F.col("nonfinite"), NAN).otherwise(still(-c0)),
+            still(0.343 * s1),
+            still(-w * w * w * c2),
         ).alias("j"),
     )
 
