@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.arrow import matrix
+from trajspark.functions.arrow import matrix, strings
 from trajspark.functions.flatmap import flat_map
 from trajspark.operators.windows import (
     WindowConfig,
@@ -22,53 +22,40 @@ from trajspark.operators.windows import (
     window_count,
 )
 from trajspark.plans.quantiles import quantiles
+from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import SPLIT_NAMES, TARGETS, SystemParams
 
 ARRAYS = ["state_hist", "action_hist", "action_future", "state_future", "targets"]
 
 
-def channel_moments(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
+def channel_moments(df: DataFrame, arrays: Sequence[str], by: str | None = None) -> DataFrame:
     """count, mean and summed squared deviation of every channel (last axis) of every array.
 
-    Each task keeps one small accumulator per channel; the partials merge pairwise in the JVM.
+    Each task keeps one small accumulator per channel (and value of ``by``, a column with few values);
+    the partials merge pairwise in the JVM.
     """
+    group = by or "_group"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[str, tuple[float, np.ndarray, np.ndarray]] = {}
+        acc: dict[tuple, tuple[float, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            labels = strings(batch, by) if by else np.full(batch.num_rows, "all", dtype=object)
             for name in arrays:
-                x = matrix(batch, name)
-                x = x.reshape(-1, x.shape[-1])
-                n, mean = len(x), x.mean(axis=0)
-                m2 = ((x - mean) ** 2).sum(axis=0)
-                if name in acc:
-                    n0, mean0, m20 = acc[name]
-                    gap, total = mean - mean0, n0 + n
-                    m2 = m20 + m2 + gap**2 * (n0 * n / total)
-                    mean, n = mean0 + gap * (n / total), total
-                acc[name] = (n, mean, m2)
+                data = matrix(batch, name)
+                for label in set(labels):
+                    x = data if by is None else data[labels == label]
+                    acc[label, name] = _merge_moments(acc.get((label, name)), x.reshape(-1, x.shape[-1]))
         rows = [
-            (name, c, float(n), float(m), float(s))
-            for name, (n, mean, m2) in acc.items()
-            for c, (m, s) in enumerate(zip(mean, m2))
+            {"g": label, "array_name": name, "channel": c, "n": float(n), "mean": m, "m2": s}
+            for (label, name), (n, mean, m2) in acc.items()
+            for c, (m, s) in enumerate(zip(mean.tolist(), m2.tolist()))
         ]
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(("array_name", "channel", "n", "mean", "m2"), r)) for r in rows],
-            schema=pa.schema(
-                [
-                    ("array_name", pa.string()),
-                    ("channel", pa.int32()),
-                    ("n", pa.float64()),
-                    ("mean", pa.float64()),
-                    ("m2", pa.float64()),
-                ]
-            ),
-        )
+        yield pa.RecordBatch.from_pylist(rows, schema=_MOMENTS)
 
-    partials = df.select(*arrays).mapInArrow(
-        partial, "array_name string, channel int, n double, mean double, m2 double"
+    partials = df.select(*arrays, *([by] if by else [])).mapInArrow(
+        partial, "g string, array_name string, channel int, n double, mean double, m2 double"
     )
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
@@ -82,10 +69,28 @@ def channel_moments(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
         )
 
     # One list entry per input task and channel.
-    folded = partials.groupBy("array_name", "channel").agg(
+    folded = partials.groupBy(F.col("g").alias(group), "array_name", "channel").agg(
         F.aggregate(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))), zero, merge).alias("s")
     )
-    return folded.select("array_name", "channel", "s.n", "s.mean", "s.m2")
+    return folded.select(*([by] if by else []), "array_name", "channel", "s.n", "s.mean", "s.m2")
+
+
+_MOMENTS = pa.schema(
+    [("g", pa.string()), ("array_name", pa.string()), ("channel", pa.int32())]
+    + [(c, pa.float64()) for c in ("n", "mean", "m2")]
+)
+
+
+def _merge_moments(
+    old: tuple[float, np.ndarray, np.ndarray] | None, x: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    n, mean = len(x), x.mean(axis=0)
+    m2 = ((x - mean) ** 2).sum(axis=0)
+    if old is None:
+        return n, mean, m2
+    n0, mean0, m20 = old
+    gap, total = mean - mean0, n0 + n
+    return total, mean0 + gap * (n / total), m20 + m2 + gap**2 * (n0 * n / total)
 
 
 def norm_stats(
@@ -226,34 +231,23 @@ def surviving_windows(
 def build_report(audit: DataFrame, load_errors: DataFrame | None = None) -> DataFrame:
     """(section, name, n) rows: windows and trajectories per split, skips, drops and sample rates."""
     used = F.col("outcome") == "used"
-    per_split = audit.groupBy("split").agg(
-        F.sum("n_windows").alias("w"), F.count_if(used).alias("t")
+    entry = lambda section, name, n: F.struct(
+        F.lit(section).alias("section"), name.cast("string").alias("name"), n.cast("bigint").alias("n")
     )
-    pieces = [
-        per_split.select(F.lit("windows").alias("section"), F.col("split").alias("name"), F.col("w").alias("n")),
-        per_split.select(F.lit("trajectories").alias("section"), F.col("split").alias("name"), F.col("t").alias("n")),
-        audit.where(~used)
-        .groupBy("outcome")
-        .agg(F.count("*").alias("n"))
-        .select(F.lit("skipped").alias("section"), F.col("outcome").alias("name"), "n"),
-        audit.agg(F.sum(F.col("n_candidate") - F.col("n_windows")).alias("n")).select(
-            F.lit("dropped").alias("section"), F.lit("invalid_windows").alias("name"), "n"
-        ),
-        audit.where(F.col("hz").isNotNull())
-        .groupBy("hz")
-        .agg(F.count("*").alias("n"))
-        .select(F.lit("sample_rate_hz").alias("section"), F.col("hz").cast("string").alias("name"), "n"),
-    ]
+    one = F.lit(1)
+    entries = F.array(
+        entry("windows", F.col("split"), F.col("n_windows")),
+        entry("trajectories", F.col("split"), F.when(used, 1).otherwise(0)),
+        F.when(~used, entry("skipped", F.col("outcome"), one)),
+        entry("dropped", F.lit("invalid_windows"), F.col("n_candidate") - F.col("n_windows")),
+        F.when(F.col("hz").isNotNull(), entry("sample_rate_hz", F.col("hz"), one)),
+    )
+    rows = audit.select(F.inline(F.array_compact(entries)))
     if load_errors is not None:
-        pieces.append(
-            load_errors.agg(F.count("*").alias("n")).select(
-                F.lit("skipped").alias("section"), F.lit("load_error").alias("name"), "n"
-            )
+        rows = rows.unionByName(
+            load_errors.select(F.inline(F.array(entry("skipped", F.lit("load_error"), one))))
         )
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    return out
+    return rows.groupBy("section", "name").agg(F.sum("n").alias("n"))
 
 
 def rate_mode(audit: DataFrame, default: int = 10) -> DataFrame:
@@ -292,13 +286,10 @@ def write_dataset(
     Refuses when the training split is empty: there would be nothing to normalise by.
     """
     spark = windows.sparkSession
-    if windows.where(F.col("split") == "train").isEmpty():
+    stats = cut_lineage(norm_stats(windows))
+    if stats.isEmpty():
         raise ValueError("training split has no windows; check splits and trajectory lengths")
-    stats = norm_stats(windows)
     stats.write.mode("overwrite").json(f"{path}/normalization")
-    stats = spark.read.schema(
-        "array_name string, channel int, mean double, std double, source_split string, n_samples bigint"
-    ).json(f"{path}/normalization")
     scaled = normalise(windows, stats_row(stats)) if normalize else windows
     stored = scaled.withColumns(
         {

@@ -28,9 +28,9 @@ def constant_jerk_rollout(
         return F.array(*p1, *v1, *a1)
 
     start = F.array(state)
-    path = F.aggregate(
-        jerk, start, lambda acc, u: F.array_append(acc, advance(F.element_at(acc, -1), u))
-    )
+    # The one-element transform binds the last state once instead of repeating its lookup per entry.
+    step = lambda acc, u: F.transform(F.slice(acc, -1, 1), lambda s: advance(s, u))
+    path = F.aggregate(jerk, start, lambda acc, u: F.concat(acc, step(acc, u)))
     return F.slice(path, F.lit(2), F.size(jerk))
 
 

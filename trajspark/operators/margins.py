@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.vectors import is_finite, norm, parts
 from trajspark.plans.quantiles import quantiles
+from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import MARGIN_PERCENTILES, SLACK_THRESHOLDS, SystemParams
 
 
@@ -188,8 +189,8 @@ def low_tail_histogram(df: DataFrame, margin: str, bins: int) -> DataFrame:
 
 
 def minima_histogram(per_traj: DataFrame) -> DataFrame:
-    n = per_traj.count()
-    return histogram(per_traj, "min", min(40, max(5, n // 2)))
+    rows = cut_lineage(per_traj.select("min"))  # one number per trajectory, read three times
+    return histogram(rows, "min", min(40, max(5, rows.count() // 2)))
 
 
 def viability(

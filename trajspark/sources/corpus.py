@@ -15,6 +15,9 @@ from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import BLOCKS, TRAJECTORY_COLUMNS
 
 
+LISTED_FILES = 10_000
+
+
 @dataclass
 class Scan:
     """``rows`` holds the wanted columns as doubles plus file identity; ``bad_files`` the reasons."""
@@ -91,9 +94,15 @@ def scan_csv(
         raise ValueError(f"more than {max_layouts} different headers")
     scans = []
     for layout in layouts:
+        if len(layouts) == 1 and missing.isEmpty():
+            scans.append(_scan_layout(spark, roots, pattern, layout, columns, None))
+            continue
         paths = good.where(F.col("_names") == F.array(*map(F.lit, layout))).select("csv_path")
-        only = None if len(layouts) == 1 and missing.isEmpty() else broadcast_checked(paths)
-        scans.append(_scan_layout(spark, roots, pattern, layout, columns, only))
+        few = [r["csv_path"] for r in paths.limit(LISTED_FILES + 1).collect()]
+        if len(few) <= LISTED_FILES and not any("%" in p for p in few):
+            scans.append(_scan_layout(spark, few, pattern, layout, columns, None))
+        else:  # too many to list: read the roots and keep this layout's files
+            scans.append(_scan_layout(spark, roots, pattern, layout, columns, broadcast_checked(paths)))
     if not scans:
         shape = T.StructType(
             [T.StructField(c, T.StringType()) for c in ("csv_path", "stem", "subdir")]

@@ -426,11 +426,7 @@ FROM z GROUP BY ALL""",
 def normalised_windows(spark, sf):
     w = _windows(spark, sf, targets=True)
     scaled = dataset.normalise(w, dataset.stats_row(dataset.norm_stats(w)))
-    rows = None
-    for split in ("train", "val", "test"):
-        m = dataset.channel_moments(scaled.where(F.col("split") == split), dataset.ARRAYS)
-        m = m.withColumn("split", F.lit(split))
-        rows = m if rows is None else rows.unionByName(m)
+    rows = dataset.channel_moments(scaled, dataset.ARRAYS, by="split")
     return rows.select(
         "split", "array_name", "channel", r6("mean", 5).alias("mean"),
         r6(F.sqrt(F.col("m2") / F.col("n")), 5).alias("std"), F.col("n").cast("bigint").alias("n"),
