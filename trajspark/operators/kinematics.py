@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.flatmap import flat_map, with_quaternion
-from trajspark.functions.vectors import all_finite, array_norm, array_sub, is_finite, parts
+from trajspark.functions.vectors import array_norm, array_sub, is_finite, parts
 from trajspark.plans.ordering import earlier_segments, segment_window, with_halo
 from trajspark.schema import SystemParams
 
@@ -23,47 +23,33 @@ def continuous_quaternion(
     """
     seg = with_halo(df, key, before=1, after=0, step=step)
     w = segment_window(key, step)
-    prev = F.lag(quat).over(w)
-    product = F.zip_with(F.col(quat), prev, lambda a, b: a * b)
-    turn = F.aggregate(product, F.lit(0.0), lambda acc, v: acc + v)
-    flipped = seg.withColumn(
-        "_flip", F.when((turn < 0) & ~F.isnan(turn) & F.col("own"), 1).otherwise(0)
+    turn = " + ".join(f"{quat}[{i}] * _prev[{i}]" for i in range(4))
+    flipped = (
+        seg.withColumn("_prev", F.lag(quat).over(w))
+        .selectExpr("*", f"{turn} AS _turn")
+        .selectExpr("*", "IF(own AND _turn < 0 AND NOT isnan(_turn), 1, 0) AS _flip")
+        .drop("_prev", "_turn")
     )
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     signed = flipped.withColumn("_odd", F.sum("_flip").over(frame) % 2).where("own")
-    finite = all_finite(parts(quat, 4))
+    finite = " AND ".join(f"abs({quat}[{i}]) < double('Infinity')" for i in range(4))
     segments = signed.groupBy(key, "seg").agg(
         F.sum("_flip").alias("_n"),
-        F.min_by(
-            F.when(finite, F.struct(F.col(quat)[3].alias("w"), F.col("_odd").alias("odd"))),
-            F.when(finite, F.col(step)),
-        ).alias("_first"),
+        F.expr(f"min_by(IF(_odd = 1, -{quat}[3], {quat}[3]), IF({finite}, {step}, NULL)) AS _w"),
     )
     earlier = earlier_segments(key)
-    segments = segments.withColumn(
-        "_carry", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) % 2
-    ).withColumn(
-        "_head",
-        F.when(
-            F.col("_first").isNotNull(),
-            F.when((F.col("_first.odd") + F.col("_carry")) % 2 == 1, -F.col("_first.w")).otherwise(
-                F.col("_first.w")
-            ),
-        ),
+    segments = segments.withColumn("_carry", F.sum("_n").over(earlier)).selectExpr(
+        key, "seg", "coalesce(_carry, 0) % 2 AS _carry", "IF(coalesce(_carry, 0) % 2 = 1, -_w, _w) AS _head"
     )
     whole = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    segments = segments.select(
-        key,
-        "seg",
-        "_carry",
-        F.when(F.first("_head", ignorenulls=True).over(whole) < 0, 1).otherwise(0).alias("_neg"),
-    )
-    sign = F.when((F.col("_odd") + F.col("_carry") + F.col("_neg")) % 2 == 1, -1.0).otherwise(1.0)
+    segments = segments.withColumn(
+        "_start", F.first("_head", ignorenulls=True).over(whole)
+    ).selectExpr(key, "seg", "IF(_start < 0, 1, 0) + _carry AS _turns")
     return (
         signed.join(segments, [key, "seg"])
-        .withColumn("_sign", sign)
-        .withColumn(out, F.transform(F.col(quat), lambda v: v * F.col("_sign")))
-        .drop("_flip", "_odd", "_carry", "_neg", "_sign", "seg", "own")
+        .selectExpr("*", "IF((_odd + _turns) % 2 = 1, -1D, 1D) AS _sign")
+        .withColumn(out, F.expr(f"transform({quat}, q -> q * _sign)"))
+        .drop("_flip", "_odd", "_turns", "_sign", "seg", "own")
     )
 
 

@@ -84,23 +84,18 @@ def raw_windows(
     slim = df.select(key, step, *carry, *[c for c in read if c not in (key, step)])
     seg = with_halo(slim, key, before=0, after=config.reach, step=step)
     frame = segment_window(key, step).rowsBetween(0, config.reach)
-    rows = seg.withColumn(
-        "_w", F.collect_list(F.struct(F.col(step).alias("step"), *[c for c in read if c != step])).over(frame)
-    ).where(F.col("own") & (F.size("_w") == config.reach + 1))
-    reads = (
-        F.col("_w")
-        if config.stride == 1
-        else F.transform(
-            F.sequence(F.lit(0), F.lit(config.span - 1)), lambda i: F.col("_w")[i * config.stride]
-        )
+    entry = F.struct(F.col(step).alias("step"), *[c for c in read if c != step])
+    rows = seg.withColumn("_w", F.collect_list(entry).over(frame)).where(
+        f"own AND size(_w) = {config.reach + 1}"
     )
-    return rows.select(
-        key, *carry, F.col(step).alias("start"), reads.alias("reads")
-    ).withColumns(
-        {
-            "anchor": F.col("reads")[config.history - 1],
-            "anchor_index": F.col("reads")[config.history - 1]["step"],
-        }
+    strided_reads = f"transform(sequence(0, {config.span - 1}), i -> _w[i * {config.stride}])"
+    return rows.selectExpr(
+        key,
+        *carry,
+        f"{step} AS start",
+        f"{'_w' if config.stride == 1 else strided_reads} AS reads",
+        f"_w[{(config.history - 1) * config.stride}] AS anchor",
+        f"{step} + {(config.history - 1) * config.stride} AS anchor_index",
     )
 
 
@@ -126,32 +121,33 @@ def extract_windows(
         read.append("_target")
     rows = raw_windows(df, read, config, key, step, carry)
     if gate:
-        rows = rows.where(F.forall("reads", lambda r: r[gate]))
-    origin = F.col("anchor")["p"]
-    observe = lambda r: F.concat(
-        *[
-            array_sub(r[FIELDS[f][0]], origin) if f in POSITION_FIELDS else r[FIELDS[f][0]]
-            for f in config.observed
-        ]
-    )
-    h, t = config.history, config.horizon
-    past, future = F.slice("reads", 1, h), F.slice("reads", h + 1, t)
-    out = rows.withColumns(
-        {
-            "anchor_origin": origin,
-            "state_hist": F.transform(past, observe),
-            "action_hist": F.transform(past, lambda r: r[action]),
-            "action_future": F.transform(future, lambda r: r[action]),
-            "state_future": F.transform(future, observe),
-        }
+        rows = rows.where(f"forall(reads, r -> r.{gate})")
+    relative = "zip_with(r.{}, anchor.p, (x, o) -> x - o)"
+    observed = ", ".join(
+        relative.format(FIELDS[f][0]) if f in POSITION_FIELDS else f"r.{FIELDS[f][0]}"
+        for f in config.observed
     )
+    past = f"slice(reads, 1, {config.history})"
+    future = f"slice(reads, {config.history + 1}, {config.horizon})"
+    columns = [
+        key,
+        *(carry or []),
+        "anchor_index",
+        "anchor.p AS anchor_origin",
+        f"transform({past}, r -> concat({observed})) AS state_hist",
+        f"transform({past}, r -> r.{action}) AS action_hist",
+        f"transform({future}, r -> r.{action}) AS action_future",
+        f"transform({future}, r -> concat({observed})) AS state_future",
+    ]
     if targets:
-        off = target_slices()["p_quad"][0]
-        shift = F.array(
-            *[F.lit(0.0)] * off, *[origin[i] for i in range(3)], *[F.lit(0.0)] * (total_width() - off - 3)
+        at, width = target_slices()["p_quad"]
+        rest = total_width() - at - width
+        columns.append(
+            f"concat(slice(anchor._target, 1, {at}), "
+            f"zip_with(slice(anchor._target, {at + 1}, {width}), anchor.p, (x, o) -> x - o), "
+            f"slice(anchor._target, {at + width + 1}, {rest})) AS targets"
         )
-        out = out.withColumn("targets", array_sub(F.col("anchor")["_target"], shift))
-    return out.drop("start", "reads", "anchor")
+    return rows.selectExpr(*columns)
 
 
 def total_width() -> int:

@@ -94,12 +94,10 @@ def with_halo(
 ) -> DataFrame:
     """Adds ``seg`` and ``own``: each row appears in its own segment and in those whose frame needs it."""
     size = max(size or segment_rows(df.sparkSession), before + after + 1)
-    at = F.col(step)
-    lo = F.greatest(F.floor((at - after) / size), F.lit(0))
-    hi = F.floor((at + before) / size)
-    return df.withColumn("seg", F.explode(F.sequence(lo, hi))).withColumn(
-        "own", F.col("seg") == F.floor(at / size)
-    )
+    return df.selectExpr(
+        "*",
+        f"explode(sequence(greatest(floor(({step} - {after}) / {size}), 0L), floor(({step} + {before}) / {size}))) AS seg",
+    ).selectExpr("*", f"seg = floor({step} / {size}) AS own")
 
 
 def segment_window(key: str, step: str = "step") -> Window:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from trajspark.functions.hashing import split_of, unit_md5
 from trajspark.plans.ordering import dense_step
 
-NAN = float("nan")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -74,48 +71,38 @@ ph AS (
 
 
 def phys_steps(spark: SparkSession, sf: str) -> DataFrame:
-    ev = ev_steps(spark, sf)
-    t, stem, value = F.col("t"), F.col("stem"), F.col("value")
-    f, amp, w = F.col("f"), F.col("amp"), F.col("w")
-    ev = ev.withColumns(
-        {
-            "t": F.col("step") * 0.1,
-            "f": (stem % 100).cast("double"),
-            "amp": (1 + stem % 5).cast("double"),
-            "w": 1.0 + 0.25 * (stem % 4),
-            "nonfinite": value > 300,
-            "fall": (value > 280) & (value <= 300),
-            "cross": (value > 260) & (value <= 280),
-        }
+    ev = ev_steps(spark, sf).selectExpr(
+        "stem",
+        "step",
+        "step * 0.1D AS t",
+        "CAST(stem % 100 AS double) AS f",
+        "CAST(1 + stem % 5 AS double) AS amp",
+        "1D + 0.25D * (stem % 4) AS w",
+        "value > 300 AS nonfinite",
+        "value > 280 AND value <= 300 AS fall",
+        "value > 260 AND value <= 280 AS cross_",
     )
-    t7, wt = 0.7 * t, w * t
-    ev = ev.withColumns(
-        {
-            "s0": F.sin(t + f), "c0": F.cos(t + f), "s1": F.sin(t7), "c1": F.cos(t7),
-            "s2": amp * F.sin(wt), "c2": amp * F.cos(wt),
-        }
+    waves = ev.selectExpr(
+        "*",
+        "sin(t + f) AS s0", "cos(t + f) AS c0", "sin(0.7D * t) AS s1", "cos(0.7D * t) AS c1",
+        "amp * sin(w * t) AS s2", "amp * cos(w * t) AS c2",
     )
-    s0, c0, s1, c1, s2, c2 = (F.col(k) for k in ("s0", "c0", "s1", "c1", "s2", "c2"))
-    either = F.col("fall") | F.col("cross")
-    still = lambda x: F.when(F.col("cross"), 0.0).otherwise(x)
-    return ev.select(
+    return waves.select(
         "stem",
         "step",
-        t.alias("time"),
-        F.concat(F.lit("g"), (stem % 7).cast("string")).alias("grp"),
-        split_of(unit_md5(stem, 0)).alias("split"),
-        F.array(s0, c1, 2 + s2).alias("p"),
-        F.array(c0, -0.7 * s1, w * c2).alias("v"),
-        F.array(
-            F.when(either, 0.0).otherwise(-s0),
-            F.when(F.col("fall"), 0.0).when(F.col("cross"), 5.0).otherwise(-0.49 * c1),
-            F.when(either, -9.81).otherwise(-w * w * s2),
-        ).alias("a"),
-        F.array(
-            F.when(F.col("nonfinite"), NAN).otherwise(still(-c0)),
-            still(0.343 * s1),
-            still(-w * w * w * c2),
-        ).alias("j"),
+        F.col("t").alias("time"),
+        F.expr("concat('g', CAST(stem % 7 AS string)) AS grp"),
+        split_of(unit_md5(F.col("stem"), 0)).alias("split"),
+        F.expr("array(s0, c1, 2D + s2) AS p"),
+        F.expr("array(c0, -0.7D * s1, w * c2) AS v"),
+        F.expr(
+            "array(IF(fall OR cross_, 0D, -s0), CASE WHEN fall THEN 0D WHEN cross_ THEN 5D "
+            "ELSE -0.49D * c1 END, IF(fall OR cross_, -9.81D, -w * w * s2)) AS a"
+        ),
+        F.expr(
+            "array(CASE WHEN nonfinite THEN double('NaN') WHEN cross_ THEN 0D ELSE -c0 END, "
+            "IF(cross_, 0D, 0.343D * s1), IF(cross_, 0D, -w * w * w * c2)) AS j"
+        ),
     )
 
 
