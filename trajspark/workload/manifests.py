@@ -83,10 +83,9 @@ def median_dt_rate_mode(spark, sf):
         F.bround(1.0 / F.col("dt"), 0).cast("bigint").alias("hz")
     )
     counts = rates.groupBy("hz").agg(F.count("*").alias("n"))
-    mode = counts.agg(F.max_by("hz", F.struct("n", -F.col("hz"))).alias("mode"))
-    return counts.join(F.broadcast(mode), counts.hz.isNotNull()).select(  # one-row side
-        "hz", "n", (F.col("hz") == F.col("mode")).alias("is_mode")
-    )
+    counts = counts.withColumn("_k", F.lit(0))
+    mode = counts.groupBy("_k").agg(F.max_by("hz", F.struct("n", -F.col("hz"))).alias("mode"))
+    return counts.join(mode, "_k").select("hz", "n", (F.col("hz") == F.col("mode")).alias("is_mode"))
 
 
 @query(
