@@ -29,6 +29,20 @@ def test_rollouts(spark):
     assert np.allclose(r["coast"][5][:3], np.array(p) + np.array(v) * t + np.array(a) * t * t / 2)
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_rollout_error_equals_the_explicit_rollout(spark, exact):
+    rng = np.random.default_rng(1)
+    rows = [tuple(rng.normal(size=s).tolist() for s in ((3, 9), (5, 3), (5, 9))) for _ in range(40)]
+    kind = "array<array<double>>"
+    df = spark.createDataFrame(rows, f"state_hist {kind}, action_future {kind}, state_future {kind}").repartition(3)
+    start = forecast.last_state("state_hist")
+    pred = df.withColumn("f", forecast.constant_jerk_rollout(start, F.col("action_future"), 0.2, exact))
+    want = forecast.horizon_error(pred, "state_future", "f").orderBy("horizon_step").collect()
+    got = forecast.rollout_error(df, 0.2, exact=exact).orderBy("horizon_step").collect()
+    assert np.allclose([r["mse"] for r in got], [r["mse"] for r in want])
+    assert [r["weight"] for r in got] == [40.0] * 5
+
+
 def test_masked_horizon_error(spark):
     df = spark.createDataFrame(
         [([[1.0, 1.0]] * 3, [[0.0, 0.0]] * 3, [1.0, 1.0, 0.0]), ([[3.0, 0.0]] * 3, [[0.0, 0.0]] * 3, [1.0, 0.0, 0.0])],

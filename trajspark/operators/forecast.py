@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.functions.arrow import matrix
+from trajspark.operators.linalg import collect_parts, summed_parts
+
 
 def constant_jerk_rollout(
     state: Column, jerk: Column, dt: Column | float, exact: bool = True
@@ -34,6 +38,42 @@ def constant_jerk_rollout(
     return F.slice(path, F.lit(2), F.size(jerk))
 
 
+def rollout_error(
+    df: DataFrame,
+    dt: float,
+    hist: str = "state_hist",
+    action: str = "action_future",
+    actual: str = "state_future",
+    exact: bool = True,
+) -> DataFrame:
+    """Per-step error of the constant-jerk rollout, without building the predicted arrays.
+
+    Equals ``horizon_error`` of ``constant_jerk_rollout``; each task integrates its batches as cumulative
+    sums and keeps one total per step.
+    """
+
+    def reduce_batch(batch):
+        start, jerk, truth = matrix(batch, "_start"), matrix(batch, action), matrix(batch, actual)
+        p0, v0, a0 = (start[:, None, 3 * k : 3 * k + 3] for k in range(3))
+        a = a0 + np.cumsum(jerk * dt, axis=1)
+        a_old = a - jerk * dt
+        dv = a_old * dt + (jerk * dt**2 / 2 if exact else 0.0)
+        v = v0 + np.cumsum(dv, axis=1)
+        v_old = v - dv
+        dp = v_old * dt + (a_old * dt**2 / 2 + jerk * dt**3 / 6 if exact else 0.0)
+        p = p0 + np.cumsum(dp, axis=1)
+        gap = np.concatenate([p, v, a], axis=2) - truth
+        return {"sq": (gap**2).sum(axis=(0, 2)), "n": np.array([float(len(gap))])}
+
+    rows = df.select(F.element_at(hist, -1).alias("_start"), action, actual)
+    sums = collect_parts(summed_parts(rows, ["_start", action, actual], reduce_batch))
+    n = float(sums["n"][0]) if sums else 0.0
+    table = [(k + 1, float(e), n, float(e) / max(n, 1.0)) for k, e in enumerate(sums.get("sq", []))]
+    return df.sparkSession.createDataFrame(
+        table, "horizon_step int, squared_error double, weight double, mse double"
+    )
+
+
 def hold_last(hist: Column | str, horizon: int) -> Column:
     return F.array_repeat(F.element_at(hist, -1), horizon)
 

@@ -519,10 +519,8 @@ r3 AS (SELECT *, """
 FROM r3 GROUP BY h""",
 )
 def rollout_forecast(spark, sf):
-    w = _windows(spark, sf)
-    start = forecast.last_state("state_hist")
-    w = w.withColumn("pred", forecast.constant_jerk_rollout(start, F.col("action_future"), 0.1))
-    return forecast.horizon_error(w, "state_future", "pred").select("horizon_step", r6("mse").alias("mse"))
+    errors = forecast.rollout_error(_windows(spark, sf), 0.1)
+    return errors.select("horizon_step", r6("mse").alias("mse"))
 
 
 @query(
