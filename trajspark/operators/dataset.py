@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.arrow import matrix, strings
 from trajspark.functions.flatmap import flat_map
+from trajspark.operators.kinematics import row_delta
 from trajspark.operators.windows import (
     WindowConfig,
     extract_windows,
@@ -21,6 +22,7 @@ from trajspark.operators.windows import (
     total_width,
     window_count,
 )
+from trajspark.plans.ordering import with_halo
 from trajspark.plans.quantiles import quantiles
 from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import SPLIT_NAMES, TARGETS, SystemParams
@@ -174,8 +176,6 @@ def trajectory_audit(
     Surviving windows are counted from run lengths of valid rows, so no window is built. Only records
     with a train, val or test split count.
     """
-    from trajspark.operators.kinematics import row_delta
-
     rows = steps.where(F.col(split).isin(SPLIT_NAMES)).select(key, split, step, time, valid)
     spaced = row_delta(rows, time, "_gap", key, step)
     base = rows.groupBy(key, split).agg(F.count("*").alias("n"))
@@ -209,8 +209,6 @@ def surviving_windows(
     rows: DataFrame, config: WindowConfig, key: str, step: str, valid: str
 ) -> DataFrame:
     """Windows per trajectory whose strided reads are all valid."""
-    from trajspark.plans.ordering import segment_window, with_halo
-
     reach, k = config.reach, config.stride
     flags = rows.select(key, step, F.when(F.col(valid), 0).otherwise(1).alias("_bad"))
     seg = with_halo(flags, key, before=0, after=reach, step=step)
