@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajspark.llm import repetition, simhash
+from trajspark.llm import pii, repetition, secrets, simhash, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,24 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents"))
 
 
+@_query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[spans.count(k).alias(f"n_{k}") for k in secrets.BASE],
+        spans.digest().alias("base_sha256"), spans.joined().alias("spans"),
+    )
+
+
+@_query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[spans.count(k).alias(f"n_{k}") for k in pii.KINDS],
+        spans.digest().alias("base_sha256"), spans.joined().alias("spans"),
+    )
+
+
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
