@@ -73,9 +73,9 @@ class Block:
         """The text that each byte position lies in."""
         return np.searchsorted(self.start, at, "right") - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of every word, in order."""
-        change = np.diff(SPACE[self.data].view(np.int8), prepend=np.int8(1))
+    def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of every run of bytes outside ``space``, in order."""
+        change = np.diff(space[self.data].view(np.int8), prepend=np.int8(1))
         return np.flatnonzero(change == -1), np.flatnonzero(change == 1)
 
     def prefix(self, table: np.ndarray) -> np.ndarray:
@@ -144,6 +144,14 @@ def later(keys: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return out
 
 
+def lookup(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of each key in a sorted table, or the table's length where it has none."""
+    at = np.searchsorted(table, keys)
+    found = at < len(table)
+    found[found] = table[at[found]] == keys[found]
+    return np.where(found, at, len(table))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator reads; columns of any other name are left behind."""
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)
