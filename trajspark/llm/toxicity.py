@@ -1,15 +1,16 @@
-"""Toxicity: two Kneser-Ney bigram models, one per class, compared on length-normalised likelihoods.
+"""Toxicity: two Kneser-Ney models, one per class, compared on length-normalised likelihoods.
 
-Both models are counted on equally many toxic and ordinary documents. A class's bigram counts are
-discounted and backed off to its continuation counts (how many different words come before a word).
-These are discounted too and backed off to counts both classes share: in how many classes a word occurs,
-the continuation count of a model whose context is the class. With a discount of one, an expression seen
-once has no mass of its own, so rare expressions get the shared counts and speak for neither class.
-Continuation counts also keep copies of one document from counting again and again.
+The models spell words letter by letter, a word's beginning being the history of its next letter, so one
+inflected or compounded form tells about the others. Both are counted on equally many toxic and ordinary
+documents. A class's counts are discounted and backed off to counts that both classes share: in how many
+classes a beginning occurs, the continuation count of a model whose context is the class. With a discount
+of one, an expression seen once has no mass of its own: rare expressions get the shared counts and speak
+for neither class.
 
-A document's evidence is the mean log-likelihood difference per word, over the whole text and over its
-most toxic passage of a fixed number of words. Both are turned into a probability by a logistic fit on labelled
-documents that the models were not counted on, moved to the classes' true proportions.
+A document's evidence is the mean log-likelihood difference per word, over the whole text, over its most
+toxic passage of a fixed number of words, and over its most toxic words. They are turned into a probability
+by a logistic fit on labelled documents that the models were not counted on, weighted to the classes' true
+proportions.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1. Only the text is an input of a
 score. Repeated labels of one document count once, the largest. With one class or none in the labels every
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm.logistic import fit, margin, sigmoid
-from trajspark.llm.text import BYTE, LOWER, Rolling, batch, blocks, firsts, lookup, mix, texts, totals
+from trajspark.llm.text import BYTE, LOWER, Block, Rolling, batch, blocks, firsts, lookup, texts, totals
 from trajspark.plans.scratch import cut_lineage
 
 #: Labelled documents of each class to learn from, at most; a quarter of them calibrate.
@@ -36,51 +37,55 @@ PER_CLASS = 8_000
 #: Words of the most toxic passage.
 PASSAGE = 12
 DISCOUNT = 1.0
+#: Log ratio from which a word counts as marked.
+MARKED = 1.0
 TOXIC = 0.7
 
+#: Bytes of a word that the models spell, the end of the word included; what follows tells nothing more.
+ORDER = 24
+
 #: Everything but letters and digits; bytes of non-ASCII characters belong to words.
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[0x80:0xFF] = False
-_FIRST = np.uint64(1)
+#: Lower case; every gap is the same end of a word.
+_SPELLED = np.where(_GAP, 0, LOWER)
 
 
-def _tokens(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, the hash of the word before each, and whose they are."""
+def _words(b: Block) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray]:
     start, end = b.words(_GAP)
-    owner = b.owner(start)
-    word = Rolling(BYTE[LOWER[b.data]]).slices(start, end)
-    before = np.roll(word, 1)
-    before[np.flatnonzero(np.diff(owner, prepend=-1))] = _FIRST
-    return word, before, owner
-
-
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+    return Rolling(BYTE[_SPELLED[b.data]]), start, np.minimum(end - start + 1, ORDER), b.owner(start)
 
 
 @dataclass
 class Model:
-    """Per word and per bigram what a likelihood ratio needs; class 0 is ordinary, class 1 toxic."""
-
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    lower: np.ndarray = field(default_factory=lambda: np.ones((1, 2)))  # p(word) of each class, unseen last
-    back: np.ndarray = field(default_factory=lambda: np.ones((1, 2)))  # weight of the backoff after a word
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    own: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))  # discounted share of a bigram, unseen last
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    """Log ratio of the likelihoods of each counted beginning, toxic over ordinary."""
+
+    beginnings: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    ratio: np.ndarray = field(default_factory=lambda: np.zeros(1))  # one more, for none
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
     constant: float | None = None
 
+    def words(self, spelled: Rolling, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ratio of each word's longest counted beginning; all shorter ones are counted too."""
+        whole = spelled.slices(start, start + size)
+        _, first, back = np.unique(whole, return_index=True, return_inverse=True)
+        start, size = start[first], size[first]
+        low, at = np.zeros(len(first), np.int64), np.full(len(first), len(self.beginnings))
+        high = size.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_] + 1) // 2
+            place = lookup(spelled.slices(start[open_], start[open_] + middle), self.beginnings)
+            found = place < len(self.beginnings)
+            low[open_[found]], at[open_[found]] = middle[found], place[found]
+            high[open_[~found]] = middle[~found] - 1
+        return self.ratio[at][back]
+
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Mean log ratio of the text and of its most toxic passage, and that passage's best single word."""
+        """Mean log ratio of the text and of its most toxic passage, its most toxic words, and its length."""
         out = []
         for b in blocks(column):
-            word, before, owner = _tokens(b)
-            at, prior = lookup(word, self.words), lookup(before, self.words)
-            pair = np.full(len(word), len(self.pairs))
-            both = np.flatnonzero((at < len(self.words)) & (prior <= len(self.words)))
-            pair[both] = lookup(_pair(before[both], word[both]), self.pairs)
-            p = self.own[pair] + self.back[prior] * self.lower[at]
-            ratio = np.log(p[:, 1] / p[:, 0])
+            spelled, start, size, owner = _words(b)
+            ratio = self.words(spelled, start, size)
             bounds = firsts(owner, b.n)
             n = np.diff(bounds)
             sums = np.zeros(len(ratio) + 1)
@@ -88,11 +93,16 @@ class Model:
             last = np.minimum(np.arange(len(ratio)) + PASSAGE, bounds[1:][owner])
             passage = (sums[last] - sums[:-1]) / PASSAGE
             full = np.flatnonzero(n)
-            most, top = np.zeros(b.n), np.zeros(b.n)
+            most = np.zeros(b.n)
             if len(full):
                 most[full] = np.maximum.reduceat(passage, bounds[:-1][full])
-                top[full] = np.maximum.reduceat(ratio, bounds[:-1][full])
-            out.append(np.column_stack([totals(ratio, bounds) / np.maximum(n, 1), most, top]))
+            marked = np.flatnonzero(ratio > MARKED)
+            excess = np.bincount(owner[marked], weights=ratio[marked] - MARKED, minlength=b.n)
+            marked = marked[np.lexsort((-ratio[marked], owner[marked]))]
+            place = np.arange(len(marked)) - np.searchsorted(owner[marked], owner[marked])
+            top = [np.bincount(owner[marked[place < k]], weights=ratio[marked[place < k]], minlength=b.n) for k in (1, 3)]
+            some = np.maximum(n, 1)
+            out.append(np.column_stack([totals(ratio, bounds) / some, most, *top, excess / np.sqrt(some), np.log1p(n)]))
         return np.concatenate(out)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -105,55 +115,40 @@ def _held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one batch by bigram and class."""
-    fields = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of every beginning of a word by class, with the beginning one letter shorter."""
+    fields = pa.schema([("node", pa.int64()), ("parent", pa.int64()), ("size", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
     for rows in batches:
         toxic = rows.column(1).to_numpy(zero_copy_only=False) == 1
         for b in blocks(rows.column(0)):
-            word, before, owner = _tokens(b)
-            key, first, back = np.unique(_pair(before, word), return_index=True, return_inverse=True)
+            spelled, start, size, owner = _words(b)
             cls = toxic[b.first + owner]
-            counts = [np.bincount(back, weights=x, minlength=len(key)).astype(np.int64) for x in (~cls, cls)]
-            yield batch(fields, [before[first].view(np.int64), word[first].view(np.int64), *counts])
-
-
-def _probabilities(grams: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Per word w: lower-order probabilities and backoff weights; per bigram: discounted shares; of unseen words."""
-    grams = cut_lineage(grams.groupBy("v", "w").agg(F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1")))
-    names = {k: f"c{k}" for k in (0, 1)}
-
-    def seen(k):
-        return F.when(F.col(names[k]) > 0, 1).otherwise(0)
-
-    words = grams.groupBy("w").agg(*[F.sum(seen(k)).alias(f"before{k}") for k in names])
-    heads = grams.groupBy(F.col("v").alias("w")).agg(
-        *[F.sum(names[k]).alias(f"n{k}") for k in names], *[F.sum(seen(k)).alias(f"types{k}") for k in names]
+            for k in range(1, ORDER + 1):
+                long = size >= k
+                start, size, cls = start[long], size[long], cls[long]
+                node, first, back = np.unique(spelled.slices(start, start + k), return_index=True, return_inverse=True)
+                counts = [np.bincount(back, weights=x, minlength=len(node)).astype(np.int64) for x in (~cls, cls)]
+                parent = spelled.slices(start[first], start[first] + k - 1)
+                yield batch(fields, [node.view(np.int64), parent.view(np.int64), np.full(len(node), k, np.int32), *counts])
+
+
+def _steps(counted: DataFrame) -> DataFrame:
+    """node, parent, size and step: the log ratio that the last letter of each beginning adds."""
+    nodes = cut_lineage(
+        counted.groupBy("node", "parent").agg(F.first("size").alias("size"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     )
-    total = words.agg(
-        *[F.sum(f"before{k}").alias(f"all{k}") for k in names],
-        *[F.sum(F.least(F.col(f"before{k}"), F.lit(DISCOUNT))).alias(f"cut{k}") for k in names],
-    ).first()
-    shared = F.greatest(F.signum(F.coalesce("before0", F.lit(0))) + F.signum(F.coalesce("before1", F.lit(0))), F.lit(1.0))
-    classes = sum((total[f"cut{k}"] or 0) / DISCOUNT for k in names) + 1  # words by class, and one for unseen words
-
-    def lower(k):
-        mine = F.greatest(F.coalesce(F.col(f"before{k}"), F.lit(0)) - DISCOUNT, F.lit(0.0))
-        return ((mine + (total[f"cut{k}"] or 0) * shared / classes) / (total[f"all{k}"] or 1)).alias(f"p{k}")
-
-    def back(k):
-        n = F.coalesce(F.col(f"n{k}"), F.lit(0))
-        return F.when(n > 0, F.least(DISCOUNT * F.col(f"types{k}") / n, F.lit(1.0))).otherwise(F.lit(1.0)).alias(f"b{k}")
-
-    table = words.join(heads, "w", "full").select("w", *[f(k) for f in (lower, back) for k in names])
-    kept = grams.where((F.col("c0") > DISCOUNT) | (F.col("c1") > DISCOUNT)).join(
-        heads.withColumnRenamed("w", "v"), "v"
+    seen = [F.when(F.col(c) > 0, 1.0).otherwise(0.0) for c in ("c0", "c1")]
+    heads = nodes.groupBy("parent").agg(
+        *[F.sum(f"c{k}").alias(f"n{k}") for k in (0, 1)], *[F.sum(seen[k]).alias(f"types{k}") for k in (0, 1)]
     )
-    shares = kept.select(
-        "v", "w", *[F.when(F.col(f"n{k}") > 0, F.greatest(F.col(names[k]) - DISCOUNT, F.lit(0.0)) / F.col(f"n{k}")).otherwise(F.lit(0.0)).alias(f"s{k}") for k in names]
-    )
-    unseen = [(total[f"cut{k}"] or 0) / classes / (total[f"all{k}"] or 1) for k in names]
-    return table, shares, unseen
+    shared = (seen[0] + seen[1]) / (F.col("types0") + F.col("types1"))
+
+    def p(k):
+        own = F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0))
+        return F.when(F.col(f"n{k}") > 0, (own + DISCOUNT * F.col(f"types{k}") * shared) / F.col(f"n{k}")).otherwise(shared)
+
+    own = nodes.where((F.col("c0") > DISCOUNT) | (F.col("c1") > DISCOUNT))  # a beginning's own beginnings pass as well
+    return own.join(heads, "parent").select("node", "parent", "size", F.log(p(1) / p(0)).alias("step"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -172,23 +167,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.select("doc_id", "y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("tuned"))
     rows = cut_lineage(texts(docs).join(F.broadcast(picked), "doc_id"))  # 2 x PER_CLASS rows of three numbers
-    grams = rows.where("not tuned").select("text", "y").mapInArrow(_bigrams, "v long, w long, ordinary long, toxic long")
-    table, shares, unseen = _probabilities(grams)
-
-    def numbers(df, *names):
-        got = df.toArrow()
-        return [got.column(n).to_numpy() for n in names]
-
-    w, p0, p1, b0, b1 = numbers(table, "w", "p0", "p1", "b0", "b1")
-    model = Model()
-    rank = np.argsort(w.view(np.uint64))
-    model.words = w.view(np.uint64)[rank]
-    model.lower = np.vstack([np.column_stack([p0, p1])[rank], unseen if all(unseen) else [1.0, 1.0]])
-    model.back = np.vstack([np.column_stack([b0, b1])[rank], [1.0, 1.0]])
-    v, w, s0, s1 = numbers(shares, "v", "w", "s0", "s1")
-    key = _pair(v.view(np.uint64), w.view(np.uint64))
-    rank = np.argsort(key)
-    model.pairs, model.own = key[rank], np.vstack([np.column_stack([s0, s1])[rank], [0.0, 0.0]])
+    counted = rows.where("not tuned").select("text", "y").mapInArrow(_beginnings, "node long, parent long, size int, c0 long, c1 long")
+    got = _steps(counted).toArrow()
+    node, parent = (got.column(c).to_numpy().view(np.uint64) for c in ("node", "parent"))
+    size, step = (got.column(c).to_numpy() for c in ("size", "step"))
+    rank = np.argsort(node)
+    model = Model(beginnings=node[rank], ratio=np.append(step[rank], 0.0))
+    above, size = lookup(parent[rank], model.beginnings), size[rank]
+    for k in range(2, ORDER + 1):  # a word's ratio is the sum over its letters
+        level = np.flatnonzero(size == k)
+        model.ratio[level] += model.ratio[above[level]]
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("e", pa.list_(pa.float64()))])
