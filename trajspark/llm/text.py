@@ -92,7 +92,13 @@ def firsts(owner: np.ndarray, n: int) -> np.ndarray:
 
 def totals(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of the values of each run."""
-    sums = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    if values.dtype.kind == "f":  # summed run by run, so that one text's sum does not depend on its neighbours
+        out = np.zeros(len(bounds) - 1)
+        full = np.flatnonzero(np.diff(bounds))
+        if len(full):
+            out[full] = np.add.reduceat(values, bounds[:-1][full])
+        return out
+    sums = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
