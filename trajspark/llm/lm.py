@@ -162,13 +162,14 @@ def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _average(parts: DataFrame, groups: int) -> np.ndarray | None:
     """Mean of the parts' weights, each counting by its tokens; no task holds more than FAN_IN of them."""
+    fields = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float32()))])
 
     def fold(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
         w = table.column("w").combine_chunks()
         w = np.asarray(w.flatten()).reshape(len(n), -1)
         mean = (n[:, None] * w).sum(0) / max(n.sum(), 1)
-        return pa.table({"part": [table.column("part")[0].as_py()], "n": [int(n.sum())], "w": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+        return pa.table([table.column("part")[:1], [int(n.sum())], pa.array([mean.astype(np.float32)], fields.field("w").type)], schema=fields)
 
     while groups > 1:
         groups = -(-groups // FAN_IN)
