@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajspark.llm import decontam, lm, mixing, pii, quality, repetition, secrets, simhash, spans, toxicity
+from trajspark.llm import chat, decontam, lm, mixing, pii, quality, repetition, secrets, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+@_query("op4_chat", chat.SQL)
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(rows.unionByName(spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string")))
+
+
 @_query("op5_secrets")
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(_table(spark, sf_dir, "documents"))
