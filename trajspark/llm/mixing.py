@@ -98,8 +98,10 @@ def _slots(plan: DataFrame, block: int, shard: int) -> DataFrame:
     rows = permuted(rows.withColumn("place", F.col("first") + F.col("j")), "place", "all", F.lit(11).cast("long"))
     held = F.when(whole, F.lit(block)).otherwise(F.col("source_size") - F.col("full") * block)
     take = F.when(F.col("turn") < F.col("passes"), held).otherwise(F.least(held, F.col("rest") - F.col("p") * block))
+    # never null, so that the join's null filter is not pushed down and written out through all the steps
+    index = F.coalesce(F.when(whole, F.col("x")).otherwise(F.col("full")), F.lit(0).cast("long"))
     return rows.select(
-        "key", F.when(whole, F.col("x")).otherwise(F.col("full")).alias("block"),
+        "key", index.alias("block"),
         F.expr(f"place div {shard}").alias("shard"), (F.col("place") % shard).alias("slot"), take.alias("take"),
     )
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm.components import components
@@ -177,15 +177,50 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return few.unionByName(many).groupBy("band", "value", "p", "i", "q", "j").applyInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id: the smallest doc_id reachable over links."""
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, bits) of every row, and (bits, root, component_id) of every fingerprint."""
     rows = cut_lineage(fingerprints(docs, shingle))
+    prints = cut_lineage(rows.groupBy("bits").agg(F.min("doc_id").alias("least")))
     # a fingerprint is its own node: it is a long already and needs no numbering
-    prints = cut_lineage(rows.groupBy("bits").agg(F.min("doc_id").alias("least"))).withColumn("node", F.col("bits"))
-    joined = components(links(prints, radius, tile))
-    named = prints.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = components(links(prints.withColumn("node", F.col("bits")), radius, tile))
+    named = prints.join(joined.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "root").select("bits", "component_id")
+    return rows, named.join(least, "root").select("bits", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id: the smallest doc_id reachable over links."""
+    rows, names = groups(docs, shingle, radius, tile)
     return rows.join(names, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, all columns as they were.
+
+    Rows whose doc_id is null or occurs again are told apart by their fingerprints, and of several in one
+    group the one with the smallest hash of its text stays.
+    """
+    rows, names = groups(docs, shingle, radius, tile)
+    names = cut_lineage(names)
+    copies = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    unclear = copies.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    named = names.select(F.col("component_id").alias("_id")).where("_id is not null").distinct()
+    plain = named.join(unclear.where("_id is not null"), "_id", "left_anti")
+    own = F.col("doc_id").cast("long")
+    kept = docs.join(plain, own == F.col("_id"), "left_semi")
+    if unclear.isEmpty():
+        return kept
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in columns:
+            yield pa.array(_fingerprints(text, shingle) if len(text) else [], pa.int64())
+
+    rest = docs.join(unclear, own.eqNullSafe(F.col("_id")), "left_semi")
+    rest = rest.withColumn("_bits", F.arrow_udf(run, "long")(F.col("text").cast("string")))
+    mine = names.select(F.col("bits").alias("_bits"), F.col("root").alias("_root"), F.col("component_id").alias("_first"))
+    rest = rest.join(mine, "_bits").where(own.eqNullSafe(F.col("_first")))
+    first = Window.partitionBy("_root").orderBy(F.xxhash64("text"))
+    rest = rest.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return kept.unionByName(rest.select(*docs.columns))
