@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.llm.text import BYTE, LOWER, SEP, Block, Rolling, batch, blocks, mix
+from trajspark.llm.text import BYTE, LOWER, SEP, Block, Rolling, batch, blocks, free, mix
 from trajspark.plans.scratch import cut_lineage
 
 WINDOW = 5
@@ -176,5 +176,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no item contaminates, all columns as they were."""
-    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_found"), "left_anti").select(*docs.columns)
+    name = free(docs, "found")
+    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -84,11 +84,12 @@ class Model:
     log_rest: np.ndarray  # of each class, log10 of its counts with one for each word and an unseen one
     total: int
     vocabulary: int
+    head: int = OUTCOMES  # words that are outcomes of their own
     weights: np.ndarray | None = None
 
     @property
     def size(self) -> int:
-        return OUTCOMES + CLASSES
+        return self.head + CLASSES
 
     def split(self, w: np.ndarray) -> tuple[np.ndarray, ...]:
         """Context vectors, target vectors, mixing vectors of the two places, biases."""
@@ -105,7 +106,7 @@ class Model:
         """Outcome of every token, and its place among the common words."""
         at = lookup(hashes, self.words)
         own = np.append(self.outcome, -1)[at]
-        return np.where(own >= 0, own, OUTCOMES + classes), at
+        return np.where(own >= 0, own, self.head + classes), at
 
     def contexts(self, outcome: np.ndarray, whose: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The two tokens before each; a text begins as if after two ends."""
@@ -118,7 +119,7 @@ class Model:
     def end(self) -> int:
         at = int(lookup(np.array([_END]), self.words)[0])
         own = int(self.outcome[at]) if at < len(self.words) else -1
-        return own if own >= 0 else OUTCOMES
+        return own if own >= 0 else self.head
 
 
 def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], w: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
@@ -160,8 +161,8 @@ def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     return w, seen
 
 
-def _average(parts: DataFrame, groups: int) -> np.ndarray | None:
-    """Mean of the parts' weights, each counting by its tokens; no task holds more than FAN_IN of them."""
+def _average(parts: DataFrame, groups: int, fan_in: int) -> np.ndarray | None:
+    """Mean of the parts' weights, each counting by its tokens; no task holds more than fan_in of them."""
     fields = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float32()))])
 
     def fold(table: pa.Table) -> pa.Table:
@@ -172,9 +173,9 @@ def _average(parts: DataFrame, groups: int) -> np.ndarray | None:
         return pa.table([table.column("part")[:1], [int(n.sum())], pa.array([mean.astype(np.float32)], fields.field("w").type)], schema=fields)
 
     while groups > 1:
-        groups = -(-groups // FAN_IN)
+        groups = -(-groups // fan_in)
         parts = (
-            parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInArrow(fold, "part int, n long, w array<float>")
+            parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part").applyInArrow(fold, "part int, n long, w array<float>")
         )
         parts = cut_lineage(parts)
     rows = parts.toArrow()
@@ -188,27 +189,27 @@ def counts(docs: DataFrame) -> DataFrame:
     return cut_lineage(found.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame, table: DataFrame) -> Model:
+def train(docs: DataFrame, table: DataFrame, outcomes: int = OUTCOMES, common: int = COMMON, fan_in: int = FAN_IN) -> Model:
     spark = docs.sparkSession
     classes = np.zeros((CLASSES, 2))
     totals_ = table.agg(F.sum("n"), F.count("*")).first()
-    common = table.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
-    hashes = common.column("word").to_numpy().view(np.uint64)
-    number = common.column("n").to_numpy()
-    own = np.where(np.arange(len(hashes)) < OUTCOMES, np.arange(len(hashes)), -1)
-    head = hashes[:OUTCOMES].view(np.int64)
+    most = table.orderBy(F.desc("n"), "word").limit(common).toArrow()
+    hashes = most.column("word").to_numpy().view(np.uint64)
+    number = most.column("n").to_numpy()
+    own = np.where(np.arange(len(hashes)) < outcomes, np.arange(len(hashes)), -1)
+    head = hashes[:outcomes].view(np.int64)
     named = spark.createDataFrame(pa.table({"word": pa.array(head, pa.int64())})) if len(head) else None
-    rest = table.join(F.broadcast(named), "word", "left_anti") if named is not None else table  # OUTCOMES rows
+    rest = table.join(F.broadcast(named), "word", "left_anti") if named is not None else table  # as many rows as outcomes
     for r in rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         classes[r["class"]] = r["n"], r["v"]
-    noise = np.concatenate([np.zeros(OUTCOMES), classes[:, 0] + 1])
+    noise = np.concatenate([np.zeros(outcomes), classes[:, 0] + 1])
     noise[: len(head)] = number[: len(head)]
     noise = np.maximum(noise, 1e-3)
     rank = np.argsort(hashes)
     model = Model(
-        hashes[rank], number[rank], own[rank], noise / noise.sum(), np.log10(classes.sum(1) + 1), totals_[0] or 0, totals_[1] or 0
+        hashes[rank], number[rank], own[rank], noise / noise.sum(), np.log10(classes.sum(1) + 1), totals_[0] or 0, totals_[1] or 0, outcomes
     )
-    shared = spark.sparkContext.broadcast(model)  # COMMON words at most
+    shared = spark.sparkContext.broadcast(model)  # as many words as common
     rows = texts(docs).where(~held_out()).select("text", F.spark_partition_id().alias("part"))
     fields = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float32()))])
 
@@ -232,8 +233,8 @@ def train(docs: DataFrame, table: DataFrame) -> Model:
             yield batch(fields, [[where[0]], [n], [w]])
 
     parts = cut_lineage(rows.mapInArrow(run, "part int, n long, w array<float>"))
-    most = parts.agg(F.max("part")).first()[0]
-    mean = _average(parts, (most or 0) + 1)
+    last = parts.agg(F.max("part")).first()[0]
+    mean = _average(parts, (last or 0) + 1, fan_in)
     model.weights = model.start() if mean is None else mean
     return model
 
@@ -275,19 +276,19 @@ class Scorer:
             p[s] = (h * self.r[outcome[s]]).sum(1) + self.bias[outcome[s]] - norm[s]
         p /= np.log(10)
         share = self.number[at]
-        classed = outcome >= OUTCOMES
-        p[classed] += share[classed] - m.log_rest[outcome[classed] - OUTCOMES]
+        classed = outcome >= m.head
+        p[classed] += share[classed] - m.log_rest[outcome[classed] - m.head]
         known = at < len(m.words)
         bounds = firsts(whose, b.n)
         return np.diff(bounds), totals(known, bounds), totals(share, bounds), totals(p, bounds), whose[~known], hashes[~known]
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     table = counts(docs)
-    model = train(docs, table)
-    shared = spark.sparkContext.broadcast(model)  # COMMON words at most
+    model = train(docs, table, **options)
+    shared = spark.sparkContext.broadcast(model)  # bounded as in train
     total, vocabulary = model.total, model.vocabulary
     names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "share", "p"]
     kinds = [pa.int64()] * 6 + [pa.float64()] * 2

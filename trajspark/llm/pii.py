@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import spans
-from trajspark.llm.text import LEAD, LOWER, SEP, batch, blocks, texts
+from trajspark.llm.text import LEAD, LOWER, SEP, batch, blocks, free, texts
 
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
@@ -279,8 +279,8 @@ def masked(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
             else:
                 yield pa.nulls(len(column), pa.string())
 
-    changed = F.arrow_udf(run, "string")(F.col(text))
-    out = docs.withColumn("_masked", changed)
+    new = free(docs, "masked")
+    out = docs.withColumn(new, F.arrow_udf(run, "string")(F.col(text).cast("string")))
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col("_masked").isNotNull(), F.length("_masked").cast("long")).otherwise(F.col(length)))
-    return out.withColumn(text, F.coalesce("_masked", text)).select(*docs.columns)
+        out = out.withColumn(length, F.when(F.col(new).isNotNull(), F.length(new).cast("long")).otherwise(F.col(length)))
+    return out.withColumn(text, F.coalesce(new, text)).drop(new)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.llm.components import components
-from trajspark.llm.text import LOWER, batch, blocks, firsts, texts
+from trajspark.llm.text import LOWER, batch, blocks, firsts, free, texts
 from trajspark.plans.scratch import cut_lineage
 
 SHINGLE = 3
@@ -204,12 +204,13 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     """
     rows, names = groups(docs, shingle, radius, tile)
     names = cut_lineage(names)
+    id_, bits, root, first, nth = (free(docs, c) for c in ("id_", "bits_", "root_", "first_", "nth_"))
     copies = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    unclear = copies.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
-    named = names.select(F.col("component_id").alias("_id")).where("_id is not null").distinct()
-    plain = named.join(unclear.where("_id is not null"), "_id", "left_anti")
+    unclear = copies.where("n > 1 or doc_id is null").select(F.col("doc_id").alias(id_))
+    named = names.where("component_id is not null").select(F.col("component_id").alias(id_)).distinct()
+    plain = named.join(unclear.where(F.col(id_).isNotNull()), id_, "left_anti")
     own = F.col("doc_id").cast("long")
-    kept = docs.join(plain, own == F.col("_id"), "left_semi")
+    kept = docs.join(plain, own == F.col(id_), "left_semi")
     if unclear.isEmpty():
         return kept
 
@@ -217,10 +218,9 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
         for text in columns:
             yield pa.array(_fingerprints(text, shingle) if len(text) else [], pa.int64())
 
-    rest = docs.join(unclear, own.eqNullSafe(F.col("_id")), "left_semi")
-    rest = rest.withColumn("_bits", F.arrow_udf(run, "long")(F.col("text").cast("string")))
-    mine = names.select(F.col("bits").alias("_bits"), F.col("root").alias("_root"), F.col("component_id").alias("_first"))
-    rest = rest.join(mine, "_bits").where(own.eqNullSafe(F.col("_first")))
-    first = Window.partitionBy("_root").orderBy(F.xxhash64("text"))
-    rest = rest.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return kept.unionByName(rest.select(*docs.columns))
+    rest = docs.join(unclear, own.eqNullSafe(F.col(id_)), "left_semi")
+    rest = rest.withColumn(bits, F.arrow_udf(run, "long")(F.col("text").cast("string")))
+    mine = names.select(F.col("bits").alias(bits), F.col("root").alias(root), F.col("component_id").alias(first))
+    rest = rest.join(mine, bits).where(own.eqNullSafe(F.col(first)))
+    rest = rest.withColumn(nth, F.row_number().over(Window.partitionBy(root).orderBy(F.xxhash64("text"))))
+    return kept.unionByName(rest.where(F.col(nth) == 1).select(*docs.columns))
