@@ -34,7 +34,7 @@ def test_moments_match_numpy(spark):
 
 def test_build_write_read(corpus, tiny, tmp_path):
     steps, manifest = corpus
-    w = d.build_windows(steps, manifest)
+    w = d.build_windows(steps, manifest, key="stem")
     assert {r["split"]: r["count"] for r in w.groupBy("split").count().collect()} == {"train": 93, "val": 31, "test": 31}
     audit = d.trajectory_audit(flat_map(steps.join(manifest, "stem")))
     path = str(tmp_path / "ds")
@@ -59,7 +59,7 @@ def test_build_write_read(corpus, tiny, tmp_path):
 
 def test_unnormalised_build_is_left_alone(corpus, tiny, tmp_path):
     steps, manifest = corpus
-    w = d.build_windows(steps, manifest)
+    w = d.build_windows(steps, manifest, key="stem")
     d.write_dataset(w, str(tmp_path / "raw"), normalize=False)
     val = d.WindowedDataset(tiny, str(tmp_path / "raw"), "val")
     assert val.denormalised().exceptAll(val.windows).isEmpty()
@@ -67,14 +67,14 @@ def test_unnormalised_build_is_left_alone(corpus, tiny, tmp_path):
 
 def test_refuses_empty_train(corpus, tmp_path):
     steps, manifest = corpus
-    w = d.build_windows(steps, manifest.where("split <> 'train'"))
+    w = d.build_windows(steps, manifest.where("split <> 'train'"), key="stem")
     with pytest.raises(ValueError, match="training split"):
         d.write_dataset(w, str(tmp_path / "x"))
 
 
 def test_stats_ignore_other_splits(corpus):
     steps, manifest = corpus
-    w = d.build_windows(steps, manifest)
+    w = d.build_windows(steps, manifest, key="stem")
     a = d.norm_stats(w, ["state_hist"])
     b = d.norm_stats(w.where("split = 'train'"), ["state_hist"])
     x = {r["channel"]: r["mean"] for r in a.collect()}

@@ -129,6 +129,31 @@ def test_solve_info_files(spark, tmp_path):
     assert only.first()["solver_status"] == "mid"
 
 
+def test_later_append_wins(spark, tmp_path):
+    path = str(tmp_path / "info")
+    for k in range(4):
+        manifests.append_solve_info(spark.createDataFrame([("x", f"v{k}")], "stem string, solver_status string"), path)
+    assert manifests.read_solve_info(spark, [path]).first()["solver_status"] == "v3"
+
+
+def test_many_headers(spark, tmp_path):
+    for k in range(1500):
+        (tmp_path / f"f{k}.csv").write_text(f"extra{k},time\n1,{k}\n")
+    scan = corpus.scan_csv(spark, [str(tmp_path)], ["time"])
+    assert scan.rows.agg(F.sum("time")).first()[0] == sum(range(1500)) and scan.bad_files.isEmpty()
+
+
+def test_same_stem_in_two_folders(spark, tmp_path, smooth):
+    from trajspark.operators.dataset import build_windows
+    from trajspark.operators.windows import WindowConfig
+
+    steps = smooth(40, ("s",)).withColumn("n", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    steps = steps.withColumn("csv_path", F.concat_ws("/", "n", F.lit("s.csv"))).drop("n")
+    manifest = spark.createDataFrame([("a/s.csv", "train"), ("b/s.csv", "test")], "csv_path string, split string")
+    w = build_windows(steps, manifest, WindowConfig(4, 3))
+    assert {r["split"]: r["count"] for r in w.groupBy("split").count().collect()} == {"train": 34, "test": 34}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_solver_log(tiny, tmp_path, small):
     if not small:

@@ -7,15 +7,22 @@ import pyarrow as pa
 
 
 def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """A fixed-width array column (possibly nested) as float64 of shape (rows, ...)."""
+    """A fixed-width array column (possibly nested) as float64 of shape (rows, ...).
+
+    NULL rows, NULL entries and rows of different widths are errors: left out, they would shift the rest.
+    """
     col = batch.column(batch.schema.get_field_index(name))
-    shape, rows = [len(col)], len(col)
+    shape = [len(col)]
     while pa.types.is_list(col.type) or pa.types.is_large_list(col.type):
+        if col.null_count:
+            raise ValueError(f"{name} has {col.null_count} NULL vectors")
+        widths = np.unique(np.diff(np.asarray(col.offsets)))
+        if len(widths) > 1:
+            raise ValueError(f"{name} has rows of different widths: {widths.tolist()}")
+        shape.append(int(widths[0]) if len(widths) else 0)
         col = col.flatten()
-        if rows and len(col) % rows:
-            raise ValueError(f"{name} has rows of different widths")
-        shape.append(len(col) // rows if rows else 0)
-        rows = len(col)
+    if col.null_count:
+        raise ValueError(f"{name} has {col.null_count} NULL entries")
     return np.asarray(col.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(shape)
 
 

@@ -15,16 +15,13 @@ def tension_margin(a: list[Column], gravity: float = SystemParams.gravity) -> Co
     return norm([a[0], a[1], a[2] + gravity]) / gravity
 
 
-def cable_tension(
-    a: list[Column], mass_load: float, gravity: float = SystemParams.gravity
-) -> Column:
-    return mass_load * norm([a[0], a[1], a[2] + gravity])
-
-
 def acceleration_cable_dir(a: list[Column], gravity: float = SystemParams.gravity) -> list[Column]:
-    """Cable direction from acceleration alone (not the force direction ``flat_map`` reports)."""
+    """Cable direction from acceleration alone (not the force direction ``flat_map`` reports).
+
+    The length is floored, so free fall gives a zero vector.
+    """
     pull = [a[0], a[1], a[2] + gravity]
-    size = norm(pull)
+    size = F.greatest(norm(pull), F.lit(1e-12))
     return [c / size for c in pull]
 
 

@@ -32,13 +32,6 @@ def is_finite(x: Column) -> Column:
     return F.coalesce((x < F.lit(INF)) & (x > F.lit(-INF)), F.lit(False))
 
 
-def all_finite(xs: Sequence[Column]) -> Column:
-    ok = is_finite(xs[0])
-    for x in xs[1:]:
-        ok = ok & is_finite(x)
-    return ok
-
-
 def array_sub(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a - b)
 
@@ -51,11 +44,6 @@ def array_norm(x: Column) -> Column:
     return F.sqrt(array_dot(x, x))
 
 
-def pairs_from_flat6(x: Column) -> Column:
-    """Six row-major numbers as three rows of two."""
-    return F.array(*[F.array(x[2 * r], x[2 * r + 1]) for r in range(3)])
-
-
 def first_two_columns(r: Column) -> Column:
     """Row-major nine-number rotation -> its first two columns, still row-major."""
     return F.array(r[0], r[1], r[3], r[4], r[6], r[7])

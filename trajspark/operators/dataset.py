@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.arrow import matrix, strings
 from trajspark.functions.flatmap import flat_map
-from trajspark.operators.kinematics import row_delta
+from trajspark.operators.kinematics import check_vectors, row_delta
+from trajspark.operators.linalg import fold_parts, folded_parts
 from trajspark.operators.windows import (
     WindowConfig,
     extract_windows,
@@ -33,66 +34,44 @@ ARRAYS = ["state_hist", "action_hist", "action_future", "state_future", "targets
 def channel_moments(df: DataFrame, arrays: Sequence[str], by: str | None = None) -> DataFrame:
     """count, mean and summed squared deviation of every channel (last axis) of every array.
 
-    Each task keeps one small accumulator per channel (and value of ``by``, a column with few values);
-    the partials merge pairwise in the JVM.
+    Each task keeps one small accumulator per array (and value of ``by``, a column with few values); the
+    accumulators fold in groups of bounded size, so nothing grows with the number of tasks.
     """
     group = by or "_group"
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple, tuple[float, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            labels = strings(batch, by) if by else np.full(batch.num_rows, "all", dtype=object)
-            for name in arrays:
-                data = matrix(batch, name)
-                for label in set(labels):
-                    x = data if by is None else data[labels == label]
-                    acc[label, name] = _merge_moments(acc.get((label, name)), x.reshape(-1, x.shape[-1]))
-        rows = [
-            {"g": label, "array_name": name, "channel": c, "n": float(n), "mean": m, "m2": s}
-            for (label, name), (n, mean, m2) in acc.items()
-            for c, (m, s) in enumerate(zip(mean.tolist(), m2.tolist()))
-        ]
-        yield pa.RecordBatch.from_pylist(rows, schema=_MOMENTS)
-
-    partials = df.select(*arrays, *([by] if by else [])).mapInArrow(
-        partial, "g string, array_name string, channel int, n double, mean double, m2 double"
+    def reduce_batch(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        labels = strings(batch, by) if by else np.full(batch.num_rows, "all", dtype=object)
+        out = {}
+        for name in arrays:
+            data = matrix(batch, name)
+            for label in set(labels):
+                x = data if by is None else data[labels == label]
+                out[f"{name}|{label}"] = _moments(x.reshape(-1, x.shape[-1]))
+        return out
+
+    partials = folded_parts(df, [*arrays, *([by] if by else [])], reduce_batch, _merge_moments)
+    whole = fold_parts(partials.withColumn("task", F.lit(0).cast("bigint")), _merge_moments)
+    size = F.expr("(size(cells) - 1) div 2").cast("int")
+    rows = whole.select(
+        F.substring_index("part", "|", 1).alias("array_name"),
+        F.expr("substring(part, instr(part, '|') + 1)").alias(group),
+        F.get("cells", F.lit(0)).alias("n"),
+        F.posexplode(F.arrays_zip(F.slice("cells", 2, size).alias("mean"), F.slice("cells", size + 2, size).alias("m2"))).alias("channel", "s"),
     )
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-
-    def merge(a: Column, b: Column) -> Column:
-        total = a["n"] + b["n"]
-        gap = b["mean"] - a["mean"]
-        return F.struct(
-            total.alias("n"),
-            (a["mean"] + gap * (b["n"] / total)).alias("mean"),
-            (a["m2"] + b["m2"] + gap * gap * (a["n"] * b["n"] / total)).alias("m2"),
-        )
-
-    # One list entry per input task and channel.
-    folded = partials.groupBy(F.col("g").alias(group), "array_name", "channel").agg(
-        F.aggregate(F.sort_array(F.collect_list(F.struct("n", "mean", "m2"))), zero, merge).alias("s")
-    )
-    return folded.select(*([by] if by else []), "array_name", "channel", "s.n", "s.mean", "s.m2")
+    return rows.select(*([by] if by else []), "array_name", "channel", "n", "s.mean", "s.m2")
 
 
-_MOMENTS = pa.schema(
-    [("g", pa.string()), ("array_name", pa.string()), ("channel", pa.int32())]
-    + [(c, pa.float64()) for c in ("n", "mean", "m2")]
-)
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Row count, channel means and summed squared deviations in one array."""
+    mean = x.mean(axis=0)
+    return np.concatenate([[len(x)], mean, ((x - mean) ** 2).sum(axis=0)])
 
 
-def _merge_moments(
-    old: tuple[float, np.ndarray, np.ndarray] | None, x: np.ndarray
-) -> tuple[float, np.ndarray, np.ndarray]:
-    n, mean = len(x), x.mean(axis=0)
-    m2 = ((x - mean) ** 2).sum(axis=0)
-    if old is None:
-        return n, mean, m2
-    n0, mean0, m20 = old
-    gap, total = mean - mean0, n0 + n
-    return total, mean0 + gap * (n / total), m20 + m2 + gap**2 * (n0 * n / total)
+def _merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n, total = a[0], a[0] + b[0]
+    (mean_a, m2_a), (mean_b, m2_b) = (x[1:].reshape(2, -1) for x in (a, b))
+    gap = mean_b - mean_a
+    return np.concatenate([[total], mean_a + gap * (b[0] / total), m2_a + m2_b + gap**2 * (n * b[0] / total)])
 
 
 def norm_stats(
@@ -261,13 +240,18 @@ def build_windows(
     manifest: DataFrame,
     config: WindowConfig = WindowConfig(),
     params: SystemParams = SystemParams(),
-    key: str = "stem",
+    key: str = "csv_path",
     step: str = "step",
 ) -> DataFrame:
-    """Steps of records with a known split -> windows with packed targets, carrying ``split``."""
+    """Steps of records with a known split -> windows with packed targets, carrying ``split``.
+
+    A trajectory is its file: stems may repeat in other folders.
+    """
     known = manifest.where(F.col("split").isin(SPLIT_NAMES)).select(key, "split")
+    steps = check_vectors(steps, dict.fromkeys(["p", "v", "a", "j"], 3))
     mapped = flat_map(steps.join(known, key), params)
-    return extract_windows(mapped, config, key, step, targets=True, carry=["split"])
+    names = ["stem"] if key != "stem" and "stem" in steps.columns else []
+    return extract_windows(mapped, config, key, step, targets=True, carry=["split", *names])
 
 
 def write_dataset(

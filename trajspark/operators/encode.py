@@ -1,8 +1,8 @@
-"""Batch scoring of windows: a user-supplied encoder, or a seeded untrained causal network as control."""
+"""Batch scoring of windows with a caller's encoder."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,60 +35,3 @@ def score_windows(
                 )
 
     return df.mapInArrow(task, schema)
-
-
-def _gelu(x: np.ndarray) -> np.ndarray:
-    """x * Phi(x); erf by a published rational approximation (error below 1.5e-7)."""
-    z = np.abs(x) / np.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.3275911 * z)
-    poly = t * (
-        0.254829592
-        + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))
-    )
-    erf = np.sign(x) * (1.0 - poly * np.exp(-z * z))
-    return 0.5 * x * (1.0 + erf)
-
-
-def receptive_field(layers: int, kernel: int = 3, base: int = 2) -> int:
-    """Steps of history one output sees: one dilated causal convolution per layer."""
-    return 1 + (kernel - 1) * sum(base**i for i in range(layers))
-
-
-def untrained_encoder(
-    in_dim: int,
-    out_dim: int,
-    seed: int,
-    channels: Sequence[int] = (8, 8, 16),
-    kernel: int = 3,
-    base: int = 2,
-) -> Callable[[np.ndarray], np.ndarray]:
-    """Seeded causal convolution stack with a linear head on the last step."""
-    rng = np.random.default_rng(seed)
-
-    def uniform(*shape: int, fan_in: int) -> np.ndarray:
-        bound = 1.0 / np.sqrt(fan_in)
-        return rng.uniform(-bound, bound, shape)
-
-    layers, width = [], in_dim
-    for i, c in enumerate(channels):
-        conv = uniform(kernel, width, c, fan_in=kernel * width), uniform(c, fan_in=kernel * width)
-        skip = None if width == c else (uniform(width, c, fan_in=width), uniform(c, fan_in=width))
-        layers.append((base**i, conv, skip))
-        width = c
-    head, bias = uniform(width, out_dim, fan_in=width), uniform(out_dim, fan_in=width)
-
-    def causal(x: np.ndarray, w: np.ndarray, b: np.ndarray, dilation: int) -> np.ndarray:
-        steps = x.shape[1]
-        padded = np.pad(x, ((0, 0), ((len(w) - 1) * dilation, 0), (0, 0)))
-        return b + sum(padded[:, k * dilation : k * dilation + steps] @ w[k] for k in range(len(w)))
-
-    def encode(hist: np.ndarray) -> np.ndarray:
-        x = hist
-        for dilation, (w, b), skip in layers:
-            y = causal(x, w, b, dilation)
-            spread = np.sqrt(y.var(axis=-1, keepdims=True) + 1e-5)
-            y = _gelu((y - y.mean(axis=-1, keepdims=True)) / spread)
-            x = y + (x if skip is None else x @ skip[0] + skip[1])
-        return x[:, -1] @ head + bias
-
-    return encode

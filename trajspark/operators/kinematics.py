@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.flatmap import flat_map, with_quaternion
-from trajspark.functions.vectors import array_norm, array_sub, is_finite, parts
+from trajspark.functions.vectors import array_sub, is_finite, parts
 from trajspark.plans.ordering import earlier_segments, segment_window, with_halo
 from trajspark.schema import SystemParams
 
@@ -89,7 +89,7 @@ def gradient(
 ) -> DataFrame:
     """Second-order derivative on uneven spacing, one-sided three-point formulas at both ends.
 
-    Keys with fewer than three rows get NULL.
+    Keys with fewer than three rows get NULL, and so do rows whose formula spans two equal times.
     """
     seg = with_halo(df, key, before=2, after=2, step=step)
     w = segment_window(key, step)
@@ -105,20 +105,20 @@ def gradient(
     hs, hd = t0 - m1, p1 - t0
     d1, d2 = p1 - t0, p2 - p1
     e1, e2 = t0 - m1, m1 - m2
-    out = {}
+    over, out = F.try_divide, {}
     for v in values:
         f0 = F.col(v)
         fm1, fm2, fp1, fp2 = (F.col(f"_{s}_{v}") for s in ("m1", "m2", "p1", "p2"))
-        inner = (hs * hs * fp1 + (hd * hd - hs * hs) * f0 - hd * hd * fm1) / (hs * hd * (hs + hd))
+        inner = over(hs * hs * fp1 + (hd * hd - hs * hs) * f0 - hd * hd * fm1, hs * hd * (hs + hd))
         first = (
-            -(2 * d1 + d2) / (d1 * (d1 + d2)) * f0
-            + (d1 + d2) / (d1 * d2) * fp1
-            - d1 / (d2 * (d1 + d2)) * fp2
+            over(-(2 * d1 + d2), d1 * (d1 + d2)) * f0
+            + over(d1 + d2, d1 * d2) * fp1
+            - over(d1, d2 * (d1 + d2)) * fp2
         )
         last = (
-            e1 / (e2 * (e1 + e2)) * fm2
-            - (e1 + e2) / (e1 * e2) * fm1
-            + (2 * e1 + e2) / (e1 * (e1 + e2)) * f0
+            over(e1, e2 * (e1 + e2)) * fm2
+            - over(e1 + e2, e1 * e2) * fm1
+            + over(2 * e1 + e2, e1 * (e1 + e2)) * f0
         )
         out[v + suffix] = (
             F.when(m1.isNull() & p2.isNotNull(), first)
@@ -138,7 +138,7 @@ def jerk_discrepancy(
 ) -> DataFrame:
     """Norms of recorded minus numeric jerk; interior statistics skip the end rows when n > 2.
 
-    ``n`` is the row count of the row's trajectory.
+    ``n`` is the row count of the row's trajectory. ``rms_rel`` is NaN where all recorded jerk is zero.
     """
     diff = F.sqrt(sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(recorded, numeric)))
     size = F.sqrt(sum(F.col(a) ** 2 for a in recorded))
@@ -150,7 +150,10 @@ def jerk_discrepancy(
         F.avg("d").alias("mean"),
         F.max(interior).alias("interior_max"),
         F.avg(interior).alias("interior_mean"),
-        (F.sqrt(F.avg(interior * interior)) / F.avg("s")).alias("rms_rel"),
+        F.avg("s").alias("mean_jerk_norm"),
+        F.when(F.avg("s") == 0, F.lit(float("nan")))
+        .otherwise(F.try_divide(F.sqrt(F.avg(interior * interior)), F.avg("s")))
+        .alias("rms_rel"),
     )
 
 
@@ -223,6 +226,3 @@ def check_vectors(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     }
     return df.withColumns(checked)
 
-
-def unit_error(quat: Column) -> Column:
-    return F.abs(array_norm(quat) - 1.0)

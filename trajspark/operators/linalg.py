@@ -15,36 +15,67 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.arrow import matrix, strings
 
-_PARTIAL = pa.schema([("part", pa.string()), ("pos", pa.int32()), ("v", pa.float64())])
-
-
-def _emit(parts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for name, values in parts.items():
-        flat = values.reshape(-1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([name] * len(flat), pa.string()),
-                pa.array(np.arange(len(flat)), pa.int32()),
-                pa.array(flat, pa.float64()),
-            ],
-            schema=_PARTIAL,
-        )
+#: Tasks whose partial matrices one group adds up.
+FAN_IN = 32
+_PARTIAL = pa.schema([("task", pa.int64()), ("part", pa.string()), ("cells", pa.list_(pa.float64()))])
 
 
-def summed_parts(df: DataFrame, columns: Sequence[str], reduce_batch) -> DataFrame:
-    """Runs ``reduce_batch(batch) -> {name: array}`` per batch, adds within the task, then per entry."""
+def _partial(task: int, parts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    cells = [v.reshape(-1) for v in parts.values()]
+    ends = pa.array(np.cumsum([0, *map(len, cells)]), pa.int32())
+    flat = pa.array(np.concatenate(cells) if cells else np.zeros(0), pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([task] * len(cells), pa.int64()), pa.array(list(parts), pa.string()), pa.ListArray.from_arrays(ends, flat)],
+        schema=_PARTIAL,
+    )
+
+
+_KIND = "task bigint, part string, cells array<double>"
+
+
+def folded_parts(df: DataFrame, columns: Sequence[str], reduce_batch, combine, levels: int = 2) -> DataFrame:
+    """Partial arrays (task, part, cells): ``reduce_batch(batch) -> {name: array}``, combined two by two.
+
+    A task combines its own batches; tasks then fold by FAN_IN, ``levels`` times, so one array is left per
+    FAN_IN**levels tasks and no group holds more than FAN_IN.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         acc: dict[str, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             for name, value in reduce_batch(batch).items():
-                acc[name] = acc[name] + value if name in acc else np.asarray(value, dtype=np.float64)
-        yield from _emit(acc)
+                value = np.asarray(value, dtype=np.float64)
+                acc[name] = combine(acc[name], value) if name in acc else value
+        yield _partial(TaskContext.get().partitionId(), acc)
+
+    partials = df.select(*columns).mapInArrow(task, _KIND)
+    for _ in range(levels):
+        partials = fold_parts(partials.withColumn("task", F.expr(f"task div {FAN_IN}")), combine)
+    return partials
+
+
+def fold_parts(partials: DataFrame, combine) -> DataFrame:
+    """Combines the arrays of equal (task, part), in a fixed order."""
 
-    partials = df.select(*columns).mapInArrow(task, "part string, pos int, v double")
-    return partials.groupBy("part", "pos").agg(F.sum("v").alias("v"))
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        arrays = sorted((np.asarray(row.values) for row in table.column("cells")), key=lambda x: x.tobytes())
+        total = arrays[0]
+        for more in arrays[1:]:
+            total = combine(total, more)
+        return pa.Table.from_batches([_partial(key[0].as_py(), {key[1].as_py(): total})])
+
+    return partials.groupBy("task", "part").applyInArrow(fold, _KIND)
+
+
+def summed_parts(df: DataFrame, columns: Sequence[str], reduce_batch) -> DataFrame:
+    """(part, pos, v): sums of the arrays that ``reduce_batch`` makes of every batch."""
+    partials = folded_parts(df, columns, reduce_batch, np.add)
+    cells = partials.select("part", F.posexplode("cells").alias("pos", "v"))
+    return cells.groupBy("part", "pos").agg(F.sum("v").alias("v"))
 
 
 def collect_parts(parts: DataFrame) -> dict[str, np.ndarray]:

@@ -125,7 +125,8 @@ def recovery(
     """Probe every target slice from every feature arm, plus a shuffled-label chance floor.
 
     ``arms`` maps arm name -> feature array column; ``labels`` is one packed array. Alpha is chosen per
-    (target, arm) by validation R² (first best wins) and the test score is reported. Three passes over
+    (target, arm) by validation R² (first best wins) and the test score is reported; a target that is
+    constant on the validation split keeps its row, with NULL scores. Three passes over
     the rows cover all arms, targets and alphas together.
     """
     train, val, test = splits
@@ -141,6 +142,9 @@ def recovery(
         fit = _Fit(work, pairs, split, train)
         weights = fit.weights(alphas)
         truth = {labels: labels, "_shuffled": labels}
+        absent = [s for s in (val, test) if s not in fit.means]
+        if absent:
+            raise ValueError(f"no rows in split {absent[0]!r}")
         sums = fit.residuals(work, weights, {y: truth[y] for _, y in weights}, [val, test])
     finally:
         work.unpersist()
@@ -157,8 +161,9 @@ def recovery(
             for i, m in enumerate(val_means):
                 if not np.isnan(m) and (best is None or m > val_means[best]):
                     best = i
-            if best is None:
-                raise ValueError(f"target {target!r} is constant on {val!r}; nothing to select alpha by")
+            if best is None:  # a constant target has no score to select alpha by
+                rows.append((target, arm, None, [None] * width, None, None, width))
+                continue
             channels = score[test][best]
             rows.append(
                 (
@@ -223,7 +228,3 @@ def linear_audit(
         "surprise boolean",
     )
 
-
-def join_features(features: DataFrame, targets: DataFrame, on: str = "window_id") -> DataFrame:
-    """Arm rows (window_id, arm, x) side by side with their targets: one column per arm."""
-    return features.join(targets, on)

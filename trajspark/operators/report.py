@@ -113,9 +113,9 @@ def scaling_table(rows: DataFrame) -> DataFrame:
 
 
 def weighted_metrics(batches: DataFrame, metrics: list[str], weight: str, by: list[str]) -> DataFrame:
-    """Batch metrics averaged by batch size."""
+    """Batch metrics averaged by batch size; NULL where the batches' sizes add up to zero."""
     return batches.groupBy(*by).agg(
-        *[(F.sum(F.col(m) * F.col(weight)) / F.sum(weight)).alias(m) for m in metrics]
+        *[F.try_divide(F.sum(F.col(m) * F.col(weight)), F.sum(weight)).alias(m) for m in metrics]
     )
 
 

@@ -7,17 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajspark.functions.text import file_name_stem, parent_dir
-from trajspark.plans.ordering import broadcast_checked, dense_step
+from trajspark.plans.ordering import dense_step
 from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import BLOCKS, TRAJECTORY_COLUMNS
 
 
-LISTED_FILES = 10_000
-
-
 @dataclass
 class Scan:
     """``rows`` holds the wanted columns as doubles plus file identity; ``bad_files`` the reasons."""
@@ -48,22 +44,23 @@ def _text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
     )
 
 
+def _lines(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
+    """Lines with their file, the split they lie in and an id that grows along the split."""
+    return _text(spark, roots, pattern).select(
+        F.col("_metadata.file_path").alias("csv_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+        "value",
+    )
+
+
 def headers(spark: SparkSession, roots: Sequence[str], pattern: str = "*.csv") -> DataFrame:
-    """(csv_path, header): the first line of every non-empty file.
+    """(csv_path, header, first): the first line of every non-empty file, and its id.
 
     Line ids grow along a file split, so the smallest id of a file's first block is its first line.
     """
-    lines = _text(spark, roots, pattern).select(
-        F.col("_metadata.file_path").alias("csv_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-        "value",
-    )
-    return (
-        lines.where(F.col("_start") == 0)
-        .groupBy("csv_path")
-        .agg(F.min_by("value", "_id").alias("header"))
-    )
+    lines = _lines(spark, roots, pattern).where(F.col("_block") == 0)
+    return lines.groupBy("csv_path").agg(F.min_by("value", "_line").alias("header"), F.min("_line").alias("first"))
 
 
 def scan_csv(
@@ -71,107 +68,56 @@ def scan_csv(
     roots: Sequence[str],
     columns: Sequence[str] = tuple(TRAJECTORY_COLUMNS),
     pattern: str = "*.csv",
-    max_layouts: int = 1000,
 ) -> Scan:
     """Reads ``columns`` by name from files whose headers may differ in order and extra columns.
 
-    Files are grouped by header text and each group is one CSV scan with its own positional schema.
-    Files without a needed column, or with a value that is not a number, go to ``bad_files`` and never
-    stop the corpus.
+    The text is read twice: once for the headers, once for the values, which each file's own column
+    positions pick from the split lines; the values are kept in the checkpoint folder. Files without a
+    needed column, or with a line of another length or a value that is not a number, go to
+    ``bad_files`` and never stop the corpus. An empty cell is undefined (NaN).
     """
     columns = list(columns)
     found = cut_lineage(headers(spark, roots, pattern))
     names = F.transform(F.split("header", ","), lambda c: F.trim(c))
     absent = F.array_except(F.array(*map(F.lit, columns)), names)
-    judged = found.withColumns({"_names": names, "_absent": absent})
+    judged = found.select(
+        "csv_path", "first", F.size(names).alias("_width"), absent.alias("_absent"),
+        F.array(*[F.array_position(names, c).cast("int") for c in columns]).alias("_at"),
+    )
     missing = judged.where(F.size("_absent") > 0).select(
         "csv_path",
         F.concat(F.lit("ValueError: missing columns: "), F.array_join("_absent", ", ")).alias("error"),
     )
-    good = judged.where(F.size("_absent") == 0)
-    layouts = [r["_names"] for r in good.select("_names").distinct().limit(max_layouts + 1).collect()]
-    if len(layouts) > max_layouts:
-        raise ValueError(f"more than {max_layouts} different headers")
-    scans = []
-    for layout in layouts:
-        if len(layouts) == 1 and missing.isEmpty():
-            scans.append(_scan_layout(spark, roots, pattern, layout, columns, None))
-            continue
-        paths = good.where(F.col("_names") == F.array(*map(F.lit, layout))).select("csv_path")
-        few = [r["csv_path"] for r in paths.limit(LISTED_FILES + 1).collect()]
-        if len(few) <= LISTED_FILES and not any("%" in p for p in few):
-            scans.append(_scan_layout(spark, few, pattern, layout, columns, None))
-        else:  # too many to list: read the roots and keep this layout's files
-            scans.append(_scan_layout(spark, roots, pattern, layout, columns, broadcast_checked(paths)))
-    if not scans:
-        shape = T.StructType(
-            [T.StructField(c, T.StringType()) for c in ("csv_path", "stem", "subdir")]
-            + [T.StructField(c, T.LongType()) for c in ("_block", "_line")]
-            + [T.StructField(c, T.DoubleType()) for c in columns]
-            + [T.StructField("_corrupt", T.StringType())]
-        )
-        scans.append(spark.createDataFrame([], shape))
-    rows = scans[0]
-    for scan in scans[1:]:
-        rows = rows.unionByName(scan)
-    corrupt = cut_lineage(
-        rows.where(F.col("_corrupt").isNotNull())
-        .groupBy("csv_path")
-        .agg(
-            F.min("_corrupt").alias("_line"),
-            F.sum(F.size(F.array_compact(F.array(*columns)))).alias("n_values"),
-        )
-        .where(F.col("n_values") >= 0)  # keeps the value columns in the scan, which must parse them
-        .select("csv_path", F.concat(F.lit("ValueError: not numeric: "), "_line").alias("error"))
+    layouts = judged.where(F.size("_absent") == 0).drop("_absent")
+    lines = _lines(spark, roots, pattern).join(layouts, "csv_path")  # one row per file; AQE plans it
+    lines = lines.where((F.col("_line") != F.col("first")) & (F.trim("value") != ""))
+    lines = lines.withColumn("_cells", F.split("value", ",", -1))
+    cell = {c: F.trim(F.get("_cells", F.get("_at", F.lit(i)) - 1)) for i, c in enumerate(columns)}
+    suffixed = {c: x.rlike("[0-9.][dDfF]$") for c, x in cell.items()}  # a cast would read 1d as a number
+    lines = lines.select(
+        "csv_path", "_block", "_line", "value", (F.size("_cells") != F.col("_width")).alias("_uneven"),
+        *[
+            F.when(F.coalesce(x, F.lit("")) == "", F.lit(float("nan"))).when(~suffixed[c], x.try_cast("double")).alias(c)
+            for c, x in cell.items()
+        ],
     )
-    empty = {c: F.coalesce(c, F.lit(float("nan"))) for c in columns}  # an empty cell is undefined
-    rows = rows.drop("_corrupt").withColumns(empty)
-    if not corrupt.isEmpty():
-        rows = rows.join(broadcast_checked(corrupt.select("csv_path")), "csv_path", "left_anti")
-    return Scan(rows, missing.unionByName(corrupt))
-
-
-def _scan_layout(
-    spark: SparkSession,
-    roots: Sequence[str],
-    pattern: str,
-    layout: Sequence[str],
-    columns: Sequence[str],
-    only: DataFrame | None,
-) -> DataFrame:
-    # Duplicate or unwanted names are read as text under a positional name and pruned.
-    seen, fields = set(), []
-    for i, name in enumerate(layout):
-        wanted = name in columns and name not in seen
-        seen.add(name)
-        fields.append(T.StructField(name if wanted else f"_skip{i}", T.DoubleType() if wanted else T.StringType()))
-    fields.append(T.StructField("_corrupt", T.StringType()))
-    raw = (
-        spark.read.schema(T.StructType(fields))
-        .option("header", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("nanValue", "nan")
-        .option("positiveInf", "inf")
-        .option("negativeInf", "-inf")
-        .csv(list(roots))
-        .select(
-            F.col("_metadata.file_path").alias("csv_path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
-            *columns,
-            "_corrupt",
+    broken = F.col("_uneven")
+    for c in columns:
+        broken = broken | F.col(c).isNull()
+    path = F.col("csv_path")
+    parsed = cut_lineage(
+        lines.select(
+            path, file_name_stem(path).alias("stem"), parent_dir(path).alias("subdir"), "_block", "_line", *columns,
+            F.when(broken, F.col("value")).alias("_corrupt"),
         )
     )
-    if only is not None:
-        raw = raw.join(only, "csv_path", "left_semi")
-    path = F.col("csv_path")
-    return raw.select(
-        path, file_name_stem(path).alias("stem"), parent_dir(path).alias("subdir"),
-        "_block", "_line", *columns, "_corrupt",
+    corrupt = (
+        parsed.where(F.col("_corrupt").isNotNull())
+        .groupBy("csv_path")
+        .agg(F.concat(F.lit("ValueError: not numeric: "), F.min("_corrupt")).alias("error"))
     )
+    rows = parsed.join(corrupt.select("csv_path"), "csv_path", "left_anti").drop("_corrupt")
+    return Scan(rows, missing.unionByName(corrupt))
 
 
 def to_steps(rows: DataFrame, key: str = "csv_path") -> DataFrame:
@@ -196,5 +142,5 @@ def params_listing(spark: SparkSession, params_root: str) -> DataFrame:
 
 def land_parquet(steps: DataFrame, path: str, manifest: DataFrame) -> None:
     """Steps as Parquet partitioned by split, so builds prune splits instead of re-reading text."""
-    split = manifest.select("stem", "split")
-    steps.join(split, "stem", "left").write.mode("overwrite").partitionBy("split").parquet(path)
+    split = manifest.select("csv_path", "split")
+    steps.join(split, "csv_path", "left").write.mode("overwrite").partitionBy("split").parquet(path)

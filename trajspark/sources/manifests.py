@@ -15,11 +15,12 @@ from trajspark.operators.manifest import (
     with_identity,
     with_solve_info,
 )
-from trajspark.plans.scratch import scratch_path
 from trajspark.schema import EPOCH_LOG, MANIFEST, RESULTS, SOLVE_INFO, SystemParams
 from trajspark.sources.corpus import Scan, discover, params_listing, scan_csv, to_steps
 
 MANIFEST_VERSION = 1
+#: Folder of one append to a sidecar, followed by its number.
+APPEND_SEQ = "append_seq"
 MEASURED = ["time", "sol_x_0", "sol_x_1", "sol_x_2"]
 
 
@@ -36,7 +37,8 @@ def build_manifest(
 
     Unreadable files stay in the manifest with ``extra.csv_read_error`` and no measurements.
     """
-    files = discover(spark, [csv_root]).select(
+    roots = [csv_root] if subdirs is None else [f"{csv_root.rstrip('/')}/{s}" for s in subdirs]
+    files = discover(spark, roots).select(
         "csv_path",
         F.element_at(F.split("csv_path", "/"), -2).alias("subdir"),
         F.regexp_extract("csv_path", r"([^/]+)\.[^./]+$", 1).alias("stem"),
@@ -45,9 +47,7 @@ def build_manifest(
     files = files.where(
         F.element_at(F.split("csv_path", "/"), -3) == F.lit(csv_root.rstrip("/").split("/")[depth - 1])
     )
-    if subdirs is not None:
-        files = files.where(F.col("subdir").isin(list(subdirs)))
-    scan: Scan = scan_csv(spark, [csv_root], MEASURED)
+    scan: Scan = scan_csv(spark, roots, MEASURED)
     measured = measure(to_steps(scan.rows), "csv_path")
     manifest = (
         with_identity(files)
@@ -125,7 +125,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_solve_info(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Latest solver record per stem: later files win, later lines win within a file; absent files are skipped."""
+    """Latest solver record per stem; absent paths are skipped.
+
+    Later paths win over earlier ones, within a path the later append (its ``append_seq`` folder), then the
+    file written later, then the later line.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
     present = []
@@ -135,9 +139,12 @@ def read_solve_info(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             present.append(path)
     out = None
     for ordinal, path in enumerate(present):
-        lines = spark.read.text(path).select(
+        source = F.col("_metadata.file_path")
+        lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
             F.lit(ordinal).alias("_file"),
-            F.col("_metadata.file_path").alias("_path"),
+            F.regexp_extract(source, f"/{APPEND_SEQ}=([0-9]+)/", 1).try_cast("bigint").alias("_seq"),
+            F.col("_metadata.file_modification_time").alias("_time"),
+            source.alias("_path"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_line"),
             F.from_json("value", SOLVE_INFO).alias("r"),
@@ -145,13 +152,19 @@ def read_solve_info(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         out = lines if out is None else out.unionByName(lines)
     if out is None:
         return spark.createDataFrame([], SOLVE_INFO)
-    order = ["_file", "_path", "_block", "_line"]
+    order = ["_file", "_seq", "_time", "_path", "_block", "_line"]
     flat = out.select("r.*", *order)
     return latest_wins(flat, "stem", order).drop(*order)
 
 
 def append_solve_info(info: DataFrame, path: str) -> None:
-    info.write.mode("append").json(path)
+    """Adds records in a folder of their own, numbered after the last one there (one writer at a time)."""
+    spark = info.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+    last = max((int(n.split("=")[1]) for n in names if n.startswith(f"{APPEND_SEQ}=")), default=0)
+    info.write.json(f"{path}/{APPEND_SEQ}={last + 1:06d}")
 
 
 def read_solver_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -194,10 +207,12 @@ def read_params(spark: SparkSession, path: str) -> SystemParams:
     line = r"^([A-Za-z_]\w*)\s*:\s*([-+.\deE]+)\s*(?:#.*)?$"
     names = list(SystemParams.__dataclass_fields__)
     key = F.regexp_extract("value", line, 1)
-    pairs = spark.read.text(path).where(key.isin(names)).select(
-        key.alias("k"), F.regexp_extract("value", line, 2).try_cast("double").alias("v")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    pairs = spark.read.text(path).withColumn("at", place).where(key.isin(names))
+    last = pairs.groupBy(key.alias("k")).agg(
+        F.max_by(F.regexp_extract("value", line, 2).try_cast("double"), "at").alias("v")
     )
-    return params_from({r["k"]: r["v"] for r in pairs.limit(100).collect()}, optional=("gravity",))
+    return params_from({r["k"]: r["v"] for r in last.collect()}, optional=("gravity",))  # a row per constant
 
 
 def params_from(values: dict, optional: Sequence[str] = ()) -> SystemParams:
@@ -208,9 +223,3 @@ def params_from(values: dict, optional: Sequence[str] = ()) -> SystemParams:
         raise KeyError(f"missing physical constants: {missing}")
     return SystemParams(**{n: float(values[n]) for n in names if values.get(n) is not None})
 
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared scratch folder and reads it back (reused by several jobs)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -127,7 +127,7 @@ def first_collapse(log: DataFrame, run: str = "run", **thresholds) -> DataFrame:
 
     The log carries effective_rank, latent_dim, variance_mean and pairwise_distance_mean columns.
     """
-    alarms = collapse_alarm(log, **thresholds).where("triggered")
+    alarms = collapse_alarm(log, **{"distance": "pairwise_distance_mean", **thresholds}).where("triggered")
     return (
         alarms.groupBy(run)
         .agg(F.min_by(F.struct("epoch", "reasons"), F.col("epoch")).alias("_f"))

@@ -27,7 +27,7 @@ def csv_scan_by_name(spark, sf):
         F.col("p")[2].alias("sol_x_2"), "time", "step", F.col("p")[0].alias("sol_x_0"),
         F.col("p")[1].alias("sol_x_1"),
     )
-    steps.write.option("header", "true").csv(path)
+    manifests.write_table_csv(steps, path)
     scan = corpus.scan_csv(spark, [path], manifests.MEASURED)
     totals = scan.rows.agg(
         F.count("*").alias("n"),
@@ -36,6 +36,39 @@ def csv_scan_by_name(spark, sf):
     return totals.withColumn("bad_files", F.lit(scan.bad_files.count()).cast("int"))
 
 
+@query(
+    "csv_scan_mixed_headers",
+    f"""WITH {PHYS}, k AS (SELECT time, p0, p1, p2 FROM ph WHERE step % 4 < 2)
+SELECT count(*) AS n, {q6("sum(time)", 4)} AS time, {q6("sum(p0)", 4)} AS x, {q6("sum(p1)", 4)} AS y,
+  {q6("sum(p2)", 4)} AS z, 1 AS short_files, 1 AS text_files FROM k""",
+)
+def csv_scan_mixed_headers(spark, sf):
+    """Two good layouts, files without a column (a quarter of the steps) and files with a text cell (another)."""
+    root = scratch_path(spark, "mixed")
+    p = {f"sol_x_{i}": F.col("p")[i] for i in range(3)}
+    steps = phys_steps(spark, sf).select("time", "step", *[v.alias(k) for k, v in p.items()])
+    quarter = F.col("step") % 4
+    layouts = {
+        "a": ["time", "sol_x_0", "sol_x_1", "sol_x_2"],
+        "b": ["step", "sol_x_2", "time", "sol_x_1", "sol_x_0"],
+        "short": ["time", "sol_x_0", "sol_x_2"],
+        "text": ["time", "sol_x_0", F.lit("none").alias("sol_x_1"), "sol_x_2"],
+    }
+    for k, (name, columns) in enumerate(layouts.items()):
+        manifests.write_table_csv(steps.where(quarter == k).select(*columns), f"{root}/{name}")
+    scan = corpus.scan_csv(spark, [root], manifests.MEASURED)
+    totals = scan.rows.agg(
+        F.count("*").alias("n"),
+        *[r6(F.sum(c), 4).alias(k) for c, k in zip(manifests.MEASURED, ("time", "x", "y", "z"))],
+    )
+    kinds = [r["kind"] for r in scan.bad_files.select(
+        F.concat_ws("|", F.element_at(F.split("csv_path", "/"), -2), F.regexp_extract("error", "(missing|not numeric)", 1)).alias("kind")
+    ).distinct().collect()]
+    return totals.withColumns({
+        "short_files": F.lit(int("short|missing" in kinds)), "text_files": F.lit(int("text|not numeric" in kinds)),
+    })
+
+
 @query(
     "manifest_roundtrip",
     f"""WITH {MANIFEST_SQL} SELECT stem, source, env_id, solver_status, iterations, {q6("path_length_m", 4)} AS path_length_m,
@@ -59,7 +92,7 @@ def manifest_roundtrip(spark, sf):
 FROM events GROUP BY user_id""",
 )
 def solve_info_files(spark, sf):
-    """Two sidecars, the second holding the later records, and a third that does not exist."""
+    """Two appends to one sidecar, the second holding the later records, and a sidecar that does not exist."""
     root = scratch_path(spark, "solve")
     info = table(spark, sf, "events").select(
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("stem"),
@@ -69,9 +102,9 @@ def solve_info_files(spark, sf):
     )
     last = F.max("event_id")
     recent = info.groupBy("stem").agg(last.alias("event_id"))
-    manifests.append_solve_info(info.join(recent, ["stem", "event_id"], "left_anti"), f"{root}/a")
-    manifests.append_solve_info(info.join(recent, ["stem", "event_id"], "left_semi"), f"{root}/b")
-    merged = manifests.read_solve_info(spark, [f"{root}/a", f"{root}/b", f"{root}/none"])
+    manifests.append_solve_info(info.join(recent, ["stem", "event_id"], "left_anti"), root)
+    manifests.append_solve_info(info.join(recent, ["stem", "event_id"], "left_semi"), root)
+    merged = manifests.read_solve_info(spark, [root, f"{root}-none"])
     return merged.select("stem", "solver_status", "solve_time_s")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions.flatmap import tension_margin
-from trajspark.functions.hashing import environment_seed
 from trajspark.functions.text import parent_dir, tag
 from trajspark.functions.vectors import parts
 from trajspark.operators import logs, manifest
@@ -196,17 +195,6 @@ def hash_split_md5(spark, sf):
     return manifest.environment_splits(_orders(spark, sf), 0, hash_fn="md5")
 
 
-@query("hash_split_blake2b")
-def hash_split_blake2b(spark, sf):
-    return manifest.environment_splits(_orders(spark, sf), 0)
-
-
-@query("environment_seeds")
-def environment_seeds(spark, sf):
-    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("base_seed"))
-    return keys.withColumn("env_seed", environment_seed(F.col("base_seed")))
-
-
 @query(
     "split_counts",
     f"""WITH s AS (SELECT o_custkey AS env_id, {SPLIT_SQL.format(u=unit_sql('o_custkey'))} AS split FROM orders)

@@ -194,7 +194,7 @@ d AS (SELECT stem, step, n, sqrt((j0-gj0)**2 + (j1-gj1)**2 + (j2-gj2)**2) AS d,
    n <= 2 OR step BETWEEN 1 AND n - 2 AS inside FROM gr WHERE isfinite(j0))
 SELECT stem, {q6("max(d)")} AS max, {q6("avg(d)")} AS mean, {q6("max(d) FILTER (inside)")} AS interior_max,
   {q6("avg(d) FILTER (inside)")} AS interior_mean,
-  {q6("sqrt(avg(d*d) FILTER (inside)) / avg(s)")} AS rms_rel FROM d GROUP BY stem""",
+  {q6("avg(s)")} AS mean_jerk_norm, {q6("CASE WHEN avg(s) > 0 THEN sqrt(avg(d*d) FILTER (inside)) / avg(s) END")} AS rms_rel FROM d GROUP BY stem""",
 )
 def jerk_discrepancy(spark, sf):
     g = _numeric_jerk(spark, sf)
@@ -205,7 +205,7 @@ def jerk_discrepancy(spark, sf):
     )
     return out.select(
         "stem",
-        *[r6(c).alias(c) for c in ("max", "mean", "interior_max", "interior_mean", "rms_rel")],
+        *[r6(c).alias(c) for c in ("max", "mean", "interior_max", "interior_mean", "mean_jerk_norm", "rms_rel")],
     )
 
 

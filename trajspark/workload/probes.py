@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.flatmap import flat_map
 from trajspark.operators import diagnostics, encode, linalg, probes
-from trajspark.operators.windows import WindowConfig, extract_windows, target_slices
+from trajspark.operators.windows import WindowConfig, extract_windows
 from trajspark.workload.registry import q6, query, r6
 from trajspark.workload.views import LATENTS, latents, phys_steps
 
@@ -38,40 +38,45 @@ def covariance_long(spark, sf):
 @query(
     "r2_given_weights",
     f"""WITH {LATENTS},
-f AS (SELECT split, unnest([0, 1, 2]) AS channel, unnest([x[1], x[2], 1e0]) AS y,
-   unnest([9e-1*x[1] + 1e-2, 5e-1*x[1] + 5e-1*x[2], 1e0]) AS p FROM lat),
+g AS (SELECT window_id, split, sum(v * cos(d)) AS p0, sum(v / (d + 1)) + 1e-2 AS p1 FROM cells GROUP BY window_id, split),
+f AS (SELECT g.split, unnest([0, 1, 2]) AS channel, unnest([x[1], x[2], 1e0]) AS y, unnest([p0, p1, 1e0]) AS p
+   FROM g JOIN lat USING (window_id)),
 s AS (SELECT split, channel, sum((y - p)**2) AS res, var_pop(y) * count(*) AS tot FROM f GROUP BY split, channel)
 SELECT split, channel::INT AS channel, CASE WHEN tot > 1e-12 THEN round(1 - res / tot, 6) + 0.0 END AS r2 FROM s""",
 )
 def r2_given_weights(spark, sf):
-    w = np.zeros((64, 3))
-    w[0, 0], w[0, 1], w[1, 1] = 0.9, 0.5, 0.5
+    d = np.arange(1, 65)
+    w = np.column_stack([np.cos(d), 1 / (d + 1), np.zeros(64)])
     rows = latents(spark, sf).withColumns(
         {
             "truth": F.array(F.col("x")[0], F.col("x")[1], F.lit(1.0)),
-            "guess": linalg.apply_linear("x", w, np.array([0.01, 0.0, 1.0])),
+            "guess": linalg.apply_linear("x", w, np.array([0.0, 0.01, 1.0])),
         }
     )
     return linalg.r2_per_channel(rows, "truth", "guess", ["split"]).withColumn("r2", r6("r2"))
 
 
-# Ridge on three coordinates, solved by Cramer's rule on centred moments for every alpha.
+# Ridge on all coordinates: centred moments, then one elimination step per coordinate for every alpha.
 RIDGE = (
     LATENTS
     + """,
-b AS (SELECT split, x[1] AS x1, x[2] AS x2, x[3] AS x3, x[4] + x[1] * x[2] AS y FROM lat),
-mu AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM b WHERE split = 'train'),
-c AS (SELECT split, x1 - m1 AS u1, x2 - m2 AS u2, x3 - m3 AS u3, y - my AS uy FROM b, mu),
-g AS (SELECT sum(u1*u1) AS g11, sum(u1*u2) AS g12, sum(u1*u3) AS g13, sum(u2*u2) AS g22, sum(u2*u3) AS g23,
-   sum(u3*u3) AS g33, sum(u1*uy) AS h1, sum(u2*uy) AS h2, sum(u3*uy) AS h3 FROM c WHERE split = 'train'),
+tv AS (SELECT window_id, split, d, v FROM cells UNION ALL
+  SELECT window_id, split, 65, x[4] + x[1] * x[2] FROM lat),
+mu AS (SELECT d, avg(v) AS m FROM tv WHERE split = 'train' GROUP BY d),
+c AS (SELECT window_id, split, d, v - m AS v FROM tv JOIN mu USING (d)),
+gr AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.window_id = b.window_id
+   WHERE a.split = 'train' AND a.d <= 64 GROUP BY a.d, b.d),
 al(alpha) AS (VALUES (1e-4), (1e-3), (1e-2), (1e-1), (1e0), (1e1), (1e2)),
-k AS (SELECT alpha, g11 + alpha AS a, g12 AS b, g13 AS c, g22 + alpha AS d, g23 AS e, g33 + alpha AS f, h1, h2, h3 FROM g, al),
-w AS (SELECT alpha, a*(d*f - e*e) - b*(b*f - e*c) + c*(b*e - d*c) AS det,
-   h1*(d*f - e*e) - b*(h2*f - e*h3) + c*(h2*e - d*h3) AS n1,
-   a*(h2*f - e*h3) - h1*(b*f - e*c) + c*(b*h3 - h2*c) AS n2,
-   a*(d*h3 - h2*e) - b*(b*h3 - h2*c) + h1*(b*e - d*c) AS n3 FROM k),
-sc AS (SELECT split, alpha, sum((uy - (n1*u1 + n2*u2 + n3*u3)/det)**2) AS res, var_pop(uy) * count(*) AS tot
-   FROM c, w WHERE split IN ('val', 'test') GROUP BY split, alpha),
+st AS (SELECT alpha, i, list(v + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS r FROM gr, al GROUP BY alpha, i),
+el AS (SELECT 0 AS k, alpha, i, r FROM st
+  UNION ALL
+  SELECT k + 1, alpha, i, CASE WHEN i = k + 1 THEN list_transform(r, lambda e: e / p[k + 1])
+     ELSE list_transform(r, lambda e, q: e - r[k + 1] / p[k + 1] * p[q]) END
+  FROM (SELECT *, max(CASE WHEN i = k + 1 THEN r END) OVER (PARTITION BY alpha) AS p FROM el WHERE k < 64)),
+w AS (SELECT alpha, i AS d, r[65] AS w FROM el WHERE k = 64),
+pr AS (SELECT window_id, alpha, sum(v * w) AS p FROM c JOIN w USING (d) WHERE split IN ('val', 'test') GROUP BY 1, 2),
+sc AS (SELECT split, alpha, sum((v - p)**2) AS res, var_pop(v) * count(*) AS tot
+   FROM pr JOIN c USING (window_id) WHERE d = 65 GROUP BY split, alpha),
 r AS (SELECT split, alpha, 1 - res / tot AS r2 FROM sc),
 best AS (SELECT alpha, r2 FROM r WHERE split = 'val' ORDER BY r2 DESC, alpha LIMIT 1)"""
 )
@@ -79,12 +84,12 @@ best AS (SELECT alpha, r2 FROM r WHERE split = 'val' ORDER BY r2 DESC, alpha LIM
 
 @query(
     "ridge_probe",
-    f"""WITH {RIDGE} SELECT round(t.r2, 6) + 0.0 AS r2, best.alpha, round(best.r2, 6) + 0.0 AS val_r2
+    f"""WITH RECURSIVE {RIDGE} SELECT round(t.r2, 6) + 0.0 AS r2, best.alpha, round(best.r2, 6) + 0.0 AS val_r2
 FROM best JOIN r t ON t.split = 'test' AND t.alpha = best.alpha""",
 )
 def ridge_probe(spark, sf):
     rows = latents(spark, sf).select(
-        "window_id", "split", F.slice("x", 1, 3).alias("f"),
+        "window_id", "split", F.col("x").alias("f"),
         F.array(F.col("x")[3] + F.col("x")[0] * F.col("x")[1]).alias("t"),
     )
     out = probes.ridge_probe(rows, "f", "t", 1, F.col("window_id"))
@@ -98,9 +103,8 @@ def _probe_rows(spark, sf):
 @query("recovery_controls")
 def recovery_controls(spark, sf):
     """Every target from the full and half feature arms, with the shuffled-label floor."""
-    slices = {k: v for k, v in SLICES.items() if k != "constant"}
     out = probes.recovery(
-        _probe_rows(spark, sf), {"trained": "x", "half": "half"}, "y", slices, F.col("window_id")
+        _probe_rows(spark, sf), {"trained": "x", "half": "half"}, "y", SLICES, F.col("window_id")
     )
     return out.select("target", "arm", "r2", "alpha", "val_r2", "n_constant_channels")
 
@@ -154,30 +158,28 @@ def participation_ratio(spark, sf):
 
 @query("latent_diagnostics")
 def latent_diagnostics(spark, sf):
-    d = diagnostics.latent_diagnostics(latents(spark, sf), key=F.col("window_id"))
+    d = diagnostics.latent_diagnostics(latents(spark, sf))
     return d.drop("per_dim_variance", "eigenvalues", "explained_variance_ratio")
 
 
 @query(
     "latent_spread",
-    f"""WITH {COV}, sm AS (SELECT window_id, x FROM lat ORDER BY md5('0|' || window_id) LIMIT 512),
-pd AS (SELECT sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2))) AS r
-   FROM sm a JOIN sm b ON a.window_id < b.window_id)
+    f"""WITH {COV},
+sq AS (SELECT 2 * (count(*) * sum(v * v) - sum(v) ** 2) / (count(*) * (count(*) - 1.0)) AS r FROM cells GROUP BY d)
 SELECT (SELECT n FROM nm) AS num_samples, (SELECT {q6("avg(s)")} FROM pv) AS variance_mean, (SELECT {q6("min(s)")} FROM pv) AS variance_min,
   (SELECT {q6("max(s)")} FROM pv) AS variance_max, (SELECT {q6("sum(s)", 5)} FROM pv) AS total_variance,
   (SELECT {q6("sum(v) FILTER (i = j) ** 2 / sum(v * v)", 4)} FROM cv) AS participation_ratio,
-  (SELECT {q6("avg(r)", 5)} FROM pd) AS pairwise_mean, (SELECT {q6("stddev_samp(r)", 5)} FROM pd) AS pairwise_std,
-  (SELECT {q6("min(r)", 5)} FROM pd) AS pairwise_min, (SELECT {q6("max(r)", 5)} FROM pd) AS pairwise_max,
+  (SELECT {q6("sqrt(sum(r))", 5)} FROM sq) AS pairwise_rms,
   (SELECT {q6("norm", 5)} FROM nm) AS norm_mean""",
 )
 def latent_spread(spark, sf):
-    d = diagnostics.latent_diagnostics(latents(spark, sf), key=F.col("window_id"))
+    d = diagnostics.latent_diagnostics(latents(spark, sf))
     return d.select(
         "num_samples",
         *[r6(c).alias(c) for c in ("variance_mean", "variance_min", "variance_max")],
         r6("total_variance", 5).alias("total_variance"),
         r6("participation_ratio", 4).alias("participation_ratio"),
-        *[r6(f"pairwise_distance_{k}", 5).alias(f"pairwise_{k}") for k in ("mean", "std", "min", "max")],
+        r6("pairwise_rms", 5).alias("pairwise_rms"),
         r6("latent_norm_mean", 5).alias("norm_mean"),
     )
 
@@ -189,7 +191,7 @@ def collapse_alarm(spark, sf):
     for name, scale in (("as_is", 1.0), ("squeezed", 1e-4), ("collapsed", 0.0)):
         factor = F.lit(scale)
         x = F.transform("x", lambda v: v * factor)  # noqa: B023 - built at once
-        d = diagnostics.latent_diagnostics(base.select("window_id", x.alias("x")), key=F.col("window_id"))
+        d = diagnostics.latent_diagnostics(base.select(x.alias("x")))
         row = diagnostics.collapse_alarm(d, min_rank_fraction=0.1).select(
             F.lit(name).alias("case"), "triggered", F.array_join("reasons", ",").alias("reasons")
         )
@@ -238,15 +240,15 @@ def sketched_normality(spark, sf):
 @query("rank_sweep")
 def rank_sweep(spark, sf):
     """Score and participation ratio of the features cut down to a known rank (x8: near unit variance)."""
-    x, dim = F.col("x"), 24
+    x, dim = F.col("x"), 64
     wave = lambda r, k: float(np.cos(1.0 + (r + 1) * (k + 1)))
 
     def mixed(rank):
         return F.array(*[sum(x[r] * (8 * wave(r, k)) for r in range(rank)) for k in range(dim)])
 
     cases = {
-        "full": F.transform(F.slice(x, 1, dim), lambda v: v * 8),
-        "constant": F.transform(F.slice(x, 1, dim), lambda v: v * 0),
+        "full": F.transform(x, lambda v: v * 8),
+        "constant": F.transform(x, lambda v: v * 0),
         "rank_1": mixed(1),
         "rank_2": mixed(2),
         "rank_9": mixed(9),
@@ -254,30 +256,15 @@ def rank_sweep(spark, sf):
     return diagnostics.rank_sweep(latents(spark, sf), cases, dim)
 
 
-@query("encode_untrained")
-def encode_untrained(spark, sf):
-    """Untrained causal network over every window, summarised per split."""
-    w = extract_windows(flat_map(phys_steps(spark, sf)), WindowConfig(), carry=["split"])
-    z = encode.score_windows(
-        w.select("stem", "anchor_index", "split", "state_hist"),
-        encode.untrained_encoder(9, 24, seed=10_000),
-    )
-    return z.groupBy("split").agg(
-        F.count("*").alias("n"), F.max(F.size("x")).alias("latent_dim"), F.avg(F.col("x")[0]).alias("mean_0")
-    )
-
-
-@query("encoder_recovery")
-def encoder_recovery(spark, sf):
-    """Packed targets probed from the untrained encoding and from the raw window, with the control arm."""
-    w = extract_windows(
-        flat_map(phys_steps(spark, sf)), WindowConfig(), targets=True, carry=["split"]
-    ).select("stem", "anchor_index", "split", "state_hist", "targets")
-    z = encode.score_windows(w, encode.untrained_encoder(9, 24, seed=10_000)).withColumn(
-        "raw", F.flatten("state_hist")
-    )
-    out = probes.recovery(
-        z, {"random_init": "x", "raw_window": "raw"}, "targets", target_slices(),
-        F.concat_ws("|", F.col("stem").cast("string"), F.col("anchor_index").cast("string")),
-    )
-    return out.select("target", "arm", "r2", "alpha", "val_r2", "n_constant_channels")
+@query(
+    "score_windows",
+    f"""WITH {LATENTS} SELECT window_id, {q6("sum(v * cos(d))")} AS z0, {q6("sum(v * sin(d))")} AS z1 FROM cells GROUP BY window_id""",
+)
+def score_windows(spark, sf):
+    """A caller's encoder (here a fixed linear map) over the vectors as histories of eight steps."""
+    d = np.arange(1, 65)
+    w = np.column_stack([np.cos(d), np.sin(d)])
+    hist = F.array(*[F.slice("x", 8 * k + 1, 8) for k in range(8)])
+    rows = latents(spark, sf).select("window_id", hist.alias("state_hist"))
+    z = encode.score_windows(rows, lambda h: h.reshape(len(h), -1) @ w)
+    return z.select("window_id", r6(F.col("x")[0]).alias("z0"), r6(F.col("x")[1]).alias("z1"))
