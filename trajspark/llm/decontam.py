@@ -155,7 +155,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover:
         F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place",
         F.explode_outer(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).alias("slot"),
     )
-    met = met.select("doc_id", "item_id", "diagonal", "item_place", F.col("slot.item").alias("asked"), F.col("slot.doc").alias("given")).distinct()
+    met = cut_lineage(  # used twice: without this the documents are read twice
+        met.select("doc_id", "item_id", "diagonal", "item_place", F.col("slot.item").alias("asked"), F.col("slot.doc").alias("given")).distinct()
+    )
     occurrence = ["doc_id", "item_id", "diagonal"]
     values = met.groupBy(*occurrence, "asked").agg(
         F.min("given").alias("low"), F.max("given").alias("high"), F.max(~F.col("asked").eqNullSafe(F.col("given"))).alias("other")
