@@ -137,7 +137,9 @@ def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, **opt
     pieces = rows.select(
         "*", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))).alias("block")
     )
-    met = pieces.join(_slots(_plan(targets, block), block, shard), ["key", "block"], "left")
+    # what the slots unfold from is small, they are not: without the hint the planner would broadcast them
+    slots = _slots(_plan(targets, block), block, shard).hint("merge")
+    met = pieces.join(slots, ["key", "block"], "left")
     begin = F.col("block") * block
     low = F.greatest(F.col("start"), begin)
     high = F.least(F.col("start") + F.col("size"), begin + F.coalesce("take", F.lit(0)))

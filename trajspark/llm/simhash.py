@@ -171,7 +171,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     many = (
         rows.join(cut.select("band", "value", "pop", "slices"), ["band", "value", "pop"])
         .withColumn("slice", F.pmod(F.xxhash64("bits"), F.col("slices")).cast("int"))
-        .join(sides, ["band", "value", "pop", "slice"])
+        .join(sides.hint("merge"), ["band", "value", "pop", "slice"])  # unfolded pairs, larger than planned
         .select("band", "value", "p", "i", "q", "j", "side", "node", "bits")
     )
     return few.unionByName(many).groupBy("band", "value", "p", "i", "q", "j").applyInArrow(_compare(radius), "a long, b long")
