@@ -4,7 +4,7 @@ The text view sees how a text is written (word lengths, symbols, case, repeats,
 only lang, source and n_chars. Both start from a bounded sample of labelled documents. In every round each
 view labels the pool documents it is surest of, in the classes' proportions, for the other view to learn
 from. Each view's margin is then calibrated on labelled documents that neither was trained on, and a
-logistic combination of the calibrated views scores every document. Rejected are documents scored below one half.
+logistic combination of the calibrated views scores every document. Rejected are documents that are at least four times likelier bad than good, so that clean ones stay.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1; the others are for measurement.
 Repeated labels of one document count once, the largest. With no label, or only one class, every score is
@@ -35,7 +35,7 @@ ROUNDS = 4
 #: Pool documents a view labels in a round, and how sure it must be.
 EXCHANGED = 1_000
 SURE = 0.95
-KEEP = 0.5
+KEEP = 0.2
 _BINS = 8
 _LANGS, _SOURCES = 16, 64
 
@@ -122,8 +122,8 @@ class Model:
     constant: float | None = None
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        """One indicator per measurement and quantile bin."""
-        cells = np.column_stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)])
+        """One indicator per measurement and bin."""
+        cells = np.column_stack([np.searchsorted(e, c) for e, c in zip(self.edges, x.T)])
         out = np.zeros((len(x), x.shape[1], _BINS))
         np.put_along_axis(out, cells[:, :, None], 1.0, axis=2)
         return out.reshape(len(x), -1)
@@ -140,14 +140,21 @@ class Model:
         return sigmoid(v[:, 0]), sigmoid(v[:, 1]), sigmoid(margin(v, self.both))
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Upper bounds of all bins but the last: the smallest value has a bin to itself (most texts have no
+    symbol, no digit, no repeat), the others share the rest evenly."""
+    low = values.min()
+    rest = values[values > low] if (values > low).any() else values
+    return np.concatenate([[low], np.quantile(rest, np.linspace(0, 1, _BINS)[1:-1])])
+
+
 def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, held: np.ndarray) -> Model:
     """x, m: the two views; y: 1, 0, or -1 in the pool; held: labelled rows kept for calibration."""
     known = y >= 0
     if not known.any() or len(np.unique(y[known & ~held])) < 2 or len(np.unique(y[known & held])) < 2:
         mean = float(y[known].mean()) if known.any() else 0.5
         return Model(np.zeros((x.shape[1], _BINS - 1)), *(np.zeros(0),) * 4, constant=mean)
-    edges = np.quantile(x, np.linspace(0, 1, _BINS + 1)[1:-1], axis=0).T
-    model = Model(edges, *(np.zeros(0),) * 4)
+    model = Model(np.array([_edges(c) for c in x.T]), *(np.zeros(0),) * 4)
     views = [model.binned(x), m]
     labels = [np.where(held, -1, y) for _ in views]
     pool = ~known
