@@ -4,7 +4,8 @@ The text view sees how a text is written (word lengths, symbols, case, repeats,
 only lang, source and n_chars. Both start from a bounded sample of labelled documents. In every round each
 view labels the pool documents it is surest of, in the classes' proportions, for the other view to learn
 from. Each view's margin is then calibrated on labelled documents that neither was trained on, and a
-logistic combination of the calibrated views scores every document. Rejected are documents that are at least four times likelier bad than good, so that clean ones stay.
+logistic combination of the calibrated views scores every document. Rejected are documents that are at
+least four times likelier bad than good, so that clean ones stay.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1; the others are for measurement.
 Repeated labels of one document count once, the largest. With no label, or only one class, every score is
