@@ -89,3 +89,12 @@ def test_quantiles_mix_hot_and_small_groups_and_skip_nonfinite(tiny):
     df = tiny.createDataFrame(rows, "k string, x double").repartition(5)
     out = {r["k"]: r["m"] for r in quantiles(df, ["k"], {"x": {"m": 0.5}}).collect()}
     assert out == {"hot": 99.5, "s": 4.0, "none": None}
+
+
+def test_quantiles_read_their_input_once(tiny, tmp_path):
+    path = str(tmp_path / "v")
+    tiny.range(200).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("a"), (-F.col("id")).cast("double").alias("b")).write.parquet(path)
+    out = quantiles(tiny.read.parquet(path), ["k"], {"a": {"a50": 0.5}, "b": {"b10": 0.1, "b90": 0.9}})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Scan parquet" not in plan
+    assert out.count() == 3

@@ -1,22 +1,22 @@
 """Exact order statistics whose memory use does not grow with the group.
 
-Groups under the row limit are sorted as one bounded array. Larger groups are narrowed instead: count
-values per bin, keep the bin that holds the wanted rank, bin again inside it, until what is left fits
-the limit. Bins are on a signed log scale while a bracket spans magnitudes, linear afterwards, so any
-distribution narrows in a handful of scans. Only (key, rank) brackets reach the driver.
+The keys and values are written to the checkpoint folder once, whatever query they come from. Groups
+under the row limit are sorted as one bounded array. Larger groups are narrowed instead: count values per
+bin, keep the bin that holds the wanted rank, bin again inside it, until what is left fits the limit.
+Bins are on a signed log scale while a bracket spans magnitudes, linear afterwards, so any distribution
+narrows in a handful of scans of those values, all columns in each. Brackets stay in a table as well.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajspark.functions.vectors import is_finite
 from trajspark.plans.ordering import group_limit, split_hot
+from trajspark.plans.scratch import cut_lineage
 
 BINS = 4096
 
@@ -40,7 +40,7 @@ def quantiles(
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], wanted, method).drop("_all")
     values = {c: F.col(c).cast("double") for c in wanted}
-    rows = df.select(*keys, *[F.when(is_finite(x), x).alias(c) for c, x in values.items()])
+    rows = cut_lineage(df.select(*keys, *[F.when(is_finite(x), x).alias(c) for c, x in values.items()]))
     cold, hot = split_hot(rows, keys)
     small = cold.groupBy(*keys).agg(
         *[F.sort_array(F.collect_list(c)).alias(c) for c in wanted]  # nulls are skipped
@@ -58,11 +58,9 @@ def quantiles(
     )
     if hot is None:
         return picked
-    found = hot.select(*keys).distinct()
-    for c, probs in wanted.items():
-        one = hot.select(*keys, F.col(c).alias("_x")).where(F.col("_x").isNotNull())
-        found = found.join(_narrowed(one, keys, probs, method), keys, "left")
-    return picked.unionByName(found)
+    entries = [F.struct(F.lit(c).alias("_c"), F.col(c).alias("_x")) for c in wanted]
+    found = _narrowed(hot.select(*keys, F.inline(F.array(*entries))).where("_x IS NOT NULL"), keys, wanted, method)
+    return picked.unionByName(hot.select(*keys).distinct().join(found, keys, "left"))
 
 
 def _pick(pos: Column, method: str, at) -> Column:
@@ -78,93 +76,71 @@ def _scaled(x: Column) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * size)
 
 
-def _narrowed(rows: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
-    spark = rows.sparkSession
-    limit = group_limit(spark)
-    key_types = [rows.schema[k] for k in keys]
-    state_type = T.StructType(
-        key_types
-        + [T.StructField("_r", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi")]
-        + [T.StructField(c, T.LongType()) for c in ("_below", "_inside")]
-    )
-    totals = (
-        rows.groupBy(*keys)
-        .agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))
-        .collect()  # hot keys only: at most rows/limit of them
+def _narrowed(rows: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]], method: str) -> DataFrame:
+    """``keys`` and the outputs from long rows (keys, _c: column name, _x: value)."""
+    limit = group_limit(rows.sparkSession)
+    group, x, lo, hi = [*keys, "_c"], F.col("_x"), F.col("_lo"), F.col("_hi")
+    totals = cut_lineage(rows.groupBy(*group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n")))
+    probes = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(float(p)).alias("p")) for c, of in wanted.items() for p in of.values()])
+
+    def ranks(probe: Column) -> Column:
+        pos = _position(F.col("_n"), probe["p"])
+        places = [F.bround(pos, 0)] if method == "nearest" else [F.floor(pos), F.ceil(pos)]
+        return F.array(*[x.cast("bigint") for x in places])
+
+    asked = F.flatten(F.transform(F.filter(probes, lambda s: s["c"] == F.col("_c")), ranks))
+    state = totals.select(
+        *group, F.explode(F.array_distinct(asked)).alias("_r"), "_lo", "_hi",
+        F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"),
     )
-    open_, done = {}, {}
-    for t in totals:
-        key = tuple(t[k] for k in keys)
-        for p in probs.values():
-            pos = p * (t["n"] - 1)
-            ranks = [round(pos)] if method == "nearest" else [math.floor(pos), math.ceil(pos)]
-            for r in ranks:
-                open_[(key, r)] = (t["lo"], t["hi"], 0, t["n"])
-    wanted = dict.fromkeys(open_)
+    wide = _scaled(hi) - _scaled(lo) > 1.0
+    share = F.when(wide, (_scaled(x) - _scaled(lo)) / (_scaled(hi) - _scaled(lo))).otherwise((x - lo) / (hi - lo))
+    frame = Window.partitionBy(*group, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = (lo == hi) | (F.col("_inside") <= limit)
     while True:
-        for k in [k for k, s in open_.items() if s[0] == s[1] or s[3] <= limit]:
-            done[k] = open_.pop(k)
-        if not open_:
+        state = cut_lineage(state)
+        open_ = state.where(~narrow)
+        if open_.isEmpty():
             break
-        table = spark.createDataFrame(
-            [(*key, r, *s) for (key, r), s in open_.items()], state_type
-        )
-        brackets = table.select(*keys, "_lo", "_hi", "_below").distinct()
-        x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-        wide = _scaled(hi) - _scaled(lo) > 1.0
-        share = F.when(wide, (_scaled(x) - _scaled(lo)) / (_scaled(hi) - _scaled(lo))).otherwise(
-            (x - lo) / (hi - lo)
-        )
         bins = (
-            rows.join(F.broadcast(brackets), keys)  # hot keys x probes, built on the driver above
-            .where((x >= lo) & (x <= hi))
+            rows.join(open_.select(*group, "_lo", "_hi", "_below").distinct(), group)
+            .where(x.between(lo, hi))
             .withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-            .groupBy(*keys, "_lo", "_hi", "_below", "_bin")
-            .agg(F.count("*").alias("_c"), F.min("_x").alias("_nlo"), F.max("_x").alias("_nhi"))
+            .groupBy(*group, "_lo", "_hi", "_below", "_bin")
+            .agg(F.count("*").alias("_count"), F.min("_x").alias("_nlo"), F.max("_x").alias("_nhi"))
+            .withColumn("_nb", F.col("_below") + F.coalesce(F.sum("_count").over(frame), F.lit(0)))
+            .drop("_below")
         )
-        frame = (
-            Window.partitionBy(*keys, "_lo", "_hi")
-            .orderBy("_bin")
-            .rowsBetween(Window.unboundedPreceding, -1)
+        hits = open_.join(bins, [*group, "_lo", "_hi"]).where(
+            (F.col("_r") >= F.col("_nb")) & (F.col("_r") < F.col("_nb") + F.col("_count"))
         )
-        bins = bins.withColumn(
-            "_nb", F.col("_below") + F.coalesce(F.sum("_c").over(frame), F.lit(0))
-        ).drop("_below")
-        hits = (
-            bins.join(F.broadcast(table), keys + ["_lo", "_hi"])
-            .where((F.col("_r") >= F.col("_nb")) & (F.col("_r") < F.col("_nb") + F.col("_c")))
-            .collect()
+        state = state.where(narrow).unionByName(
+            hits.select(*group, "_r", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), F.col("_nb").alias("_below"), F.col("_count").alias("_inside"))
         )
-        for h in hits:
-            open_[(tuple(h[k] for k in keys), h["_r"])] = (h["_nlo"], h["_nhi"], h["_nb"], h["_c"])
-    final = spark.createDataFrame([(*key, r, *s) for (key, r), s in done.items()], state_type)
-    brackets = final.select(*keys, "_lo", "_hi").distinct()
-    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-    flat = final.where(lo == hi).select(*keys, "_r", lo.alias("_value"))
+    flat = state.where(lo == hi).select(*group, "_r", lo.alias("_value"))
+    left = state.where(lo < hi)
     sorted_ = (
-        rows.join(F.broadcast(brackets.where(lo < hi)), keys)
-        .where((x >= lo) & (x <= hi))
-        .groupBy(*keys, "_lo", "_hi")
+        rows.join(left.select(*group, "_lo", "_hi").distinct(), group)
+        .where(x.between(lo, hi))
+        .groupBy(*group, "_lo", "_hi")
         .agg(F.sort_array(F.collect_list("_x")).alias("_s"))  # at most the row limit
     )
-    exact = sorted_.join(F.broadcast(final), keys + ["_lo", "_hi"]).select(
-        *keys, "_r", F.element_at("_s", (F.col("_r") - F.col("_below") + 1).cast("int")).alias("_value")
-    )
-    by_rank = (
-        flat.unionByName(exact)
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_r", "_value"))).alias("_m"))
+    exact = left.join(sorted_, [*group, "_lo", "_hi"]).select(
+        *group, "_r", F.element_at("_s", (F.col("_r") - F.col("_below") + 1).cast("int")).alias("_value")
     )
-    counts = spark.createDataFrame(
-        [(*[t[k] for k in keys], t["n"]) for t in totals],
-        T.StructType(key_types + [T.StructField("_n", T.LongType())]),
+    by_rank = flat.unionByName(exact).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_value"))).alias("_m"))
+    ranked = by_rank.join(totals.select(*group, "_n"), group).groupBy(*keys).agg(
+        *[F.first(F.when(F.col("_c") == c, F.struct("_m", "_n")), ignorenulls=True).alias(f"_of_{i}") for i, c in enumerate(wanted)]
     )
-    assert len(wanted) == len(done)
-    return by_rank.join(F.broadcast(counts), keys).select(
+
+    def at(i: int):
+        return lambda pos: F.element_at(F.col(f"_of_{i}._m"), pos.cast("bigint"))
+
+    return ranked.select(
         *keys,
         *[
-            _pick(_position(F.col("_n"), p), method, lambda i: F.element_at("_m", i.cast("bigint"))).alias(c)
-            for c, p in probs.items()
+            _pick(_position(F.col(f"_of_{i}._n"), p), method, at(i)).alias(name)
+            for i, of in enumerate(wanted.values())
+            for name, p in of.items()
         ],
     )
