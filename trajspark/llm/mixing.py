@@ -114,8 +114,8 @@ def placed(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> tuple[Data
     sizes = cut_lineage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), bucket.alias("bucket"), size.alias("size"))
     )
-    sums = cut_lineage(sizes.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")))
-    sources = sums.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    sums = cut_lineage(sizes.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
+    sources = sums.groupBy("key", "source").agg(F.sum("words").alias("source_size"))
     targets = cut_lineage(_targets(sources, weights, share, cap))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
