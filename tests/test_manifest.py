@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,10 @@ def test_summary(spark):
     assert got["sample_rate_hz", "10.0"] == 2
     q = m.summary_quantiles(spark.createDataFrame([(float(i),) for i in range(6)], "v double"), "v").first()
     assert (q["min"], q["p25"], q["median"], q["p75"], q["max"], q["mean"]) == (0, 1, 2, 4, 5, 2.5)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 10, 99])
+def test_exact_split_counts(n):
+    got = np.diff([0, *m._exact_bounds(n, (0.8, 0.1, 0.1))])
+    assert got.sum() == n and all(abs(c - n * f) <= 1 for c, f in zip(got, (0.8, 0.1, 0.1)))
+    assert list(np.diff([0, *m._exact_bounds(2, (0.4, 0.4, 0.2))])) == [1, 1, 0]

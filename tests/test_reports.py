@@ -78,7 +78,7 @@ def test_tables_from_result_json(spark, tmp_path):
     assert e1["v"]["shuffled_labels_r2_mean"] is None
     e2 = {r["latent_dim"]: r for r in report.width_table(dims, 1.0).collect()}
     assert e2[24]["pr_mean"] == pytest.approx(5.0) and e2[8]["random_pr_mean"] == 1.0
-    table = report.lambda_table(long, dims, 24)
+    table = report.lambda_table(results, 24)
     e3 = {r["lambda_sig"]: r for r in table.collect()}
     assert e3[1.0]["recovery_mean"] == pytest.approx(0.5) and e3[0.1]["n_collapsed"] == 1 and e3[1.0]["n_runs"] == 2
     d = report.dissociation(table).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,20 +52,12 @@ def tag(value: Column) -> Column:
 
 
 def forest_stem(
-    idx: Column, kind: Column, goal: Column, margin: Column, velocity: Column, seed: Column
+    idx: int, kind: Column, goal: Sequence[int], margin: float, velocity: Sequence[int], seed: Column
 ) -> Column:
-    """Stem text of one grid entry; ``goal`` and ``velocity`` are integer arrays."""
-    join = lambda arr: F.array_join(F.transform(arr, lambda v: tag(v)), "_")
-    return F.concat(
-        F.format_string("forest_%03d_f%d_g", idx, kind),
-        join(goal),
-        F.lit("_m"),
-        tag(margin),
-        F.lit("_v"),
-        join(velocity),
-        F.lit("_s"),
-        seed.cast("string"),
-    )
+    """Stem of one grid entry. All but the kind and the seed is fixed text, made once."""
+    word = lambda v: str(v).translate(str.maketrans(".-", "pn"))
+    fixed = f"_g{'_'.join(map(word, goal))}_m{word(margin)}_v{'_'.join(map(word, velocity))}_s"
+    return F.concat(F.lit(f"forest_{idx:03d}_f"), kind.cast("string"), F.lit(fixed), seed.cast("string"))
 
 
 def log_line_fields(line: Column) -> dict[str, Column]:

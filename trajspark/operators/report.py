@@ -64,21 +64,23 @@ def width_table(dims: DataFrame, base_lambda: float) -> DataFrame:
     )
 
 
-def lambda_table(long: DataFrame, dims: DataFrame, base_width: int) -> DataFrame:
-    """Per λ at one width: prediction loss, participation ratio, nonlinear recovery and collapses."""
-    run = ["lambda_sig", "seed"]
-    per_run = (
-        long.where(
-            (F.col("latent_dim") == base_width)
-            & (F.col("arm") == "trained")
-            & F.col("target").isin(targets_of_kind("nonlinear"))
-        )
-        .groupBy(*run)
-        .agg(F.avg("r2").alias("recovery"))
+def lambda_table(results: DataFrame, base_width: int) -> DataFrame:
+    """Per λ at one width: prediction loss, participation ratio, nonlinear recovery and collapses.
+
+    A run's scores lie in its own row's maps, so each run is one row from the scan to the only exchange.
+    Runs without a trained arm's shape or scores do not count.
+    """
+    names = F.array(*map(F.lit, targets_of_kind("nonlinear")))
+    scores = F.transform(names, lambda t: F.try_element_at(F.try_element_at("recovery", t), F.lit("trained"))["r2"])
+    found = F.filter(scores, lambda v: v.isNotNull())
+    total = F.aggregate(found, F.lit(0.0), lambda a, v: a + v)
+    runs = results.where(F.col("latent_dim") == base_width).select(
+        "lambda_sig", "final_val_pred", "collapsed",
+        F.try_element_at("dimensionality", F.lit("trained"))["participation_ratio"].alias("participation_ratio"),
+        F.when(F.size(found) > 0, total / F.size(found)).alias("recovery"),
     )
-    shape = dims.where((F.col("latent_dim") == base_width) & (F.col("arm") == "trained"))
     return (
-        shape.join(per_run, run)
+        runs.where("recovery IS NOT NULL AND participation_ratio IS NOT NULL")
         .groupBy("lambda_sig")
         .agg(
             *mean_std("final_val_pred", "pred"),

@@ -63,8 +63,7 @@ _LT = ("pred_mean", "pred_std", "pr_mean", "pr_std", "recovery_mean", "recovery_
 
 
 def _lambda(spark, sf):
-    runs = run_results(spark, sf)
-    return report.lambda_table(report.recovery_long(runs), report.dimensionality_long(runs), 24)
+    return report.lambda_table(run_results(spark, sf), 24)
 
 
 @query(
