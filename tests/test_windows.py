@@ -102,3 +102,20 @@ def test_nested_target_windows(spark):
 def test_bad_configs(kw):
     with pytest.raises(ValueError):
         WindowConfig(**kw)
+
+
+@pytest.mark.parametrize("stride", [1, 3])
+def test_hold_last_error_needs_no_windows(tiny, smooth, stride):
+    from trajspark.operators import forecast
+    from trajspark.operators.windows import extract_windows
+
+    config = WindowConfig(4, 3, stride)
+    rows = smooth(60, ("a", "b", "c")).withColumn("valid", ~((F.col("stem") == "b") & F.col("step").isin(11, 30)))
+    w = extract_windows(rows, config).withColumn("pred", forecast.hold_last("state_hist", 3))
+    want = {r["horizon_step"]: r for r in forecast.horizon_error(w, "state_future", "pred").collect()}
+    fields = {f"{n}{i}": F.col(n)[i] for n in "pva" for i in range(3)}
+    got = {r["horizon_step"]: r for r in forecast.hold_last_error(rows, config, fields).collect()}
+    assert got.keys() == want.keys()
+    for h, r in want.items():
+        assert got[h]["weight"] == r["weight"] and got[h]["mse"] == pytest.approx(r["mse"])
+    assert forecast.hold_last_error(rows.where("step < 2"), config, fields).count() == 0

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.functions.arrow import matrix
 from trajspark.operators.linalg import collect_parts, summed_parts
+from trajspark.operators.windows import WindowConfig
+from trajspark.plans.ordering import segment_window, with_halo
 
 
 def constant_jerk_rollout(
@@ -106,6 +110,47 @@ def horizon_error(
     ).withColumn("mse", F.col("squared_error") / F.greatest("weight", F.lit(1.0)))
 
 
+def hold_last_error(
+    df: DataFrame,
+    config: WindowConfig,
+    fields: dict[str, Column],
+    mask: Callable[[Column], Column] | None = None,
+    by: list[str] | None = None,
+    key: str = "stem",
+    step: str = "step",
+    valid: str = "valid",
+) -> DataFrame:
+    """``horizon_error`` of holding each window's last observed ``fields``, without building windows.
+
+    A window is known by its first row: its frame must be full and without an invalid row, its anchor and
+    its future are rows a fixed distance ahead. ``mask`` says from a step whether it counts.
+    """
+    by = by or []
+    slim = df.select(key, step, *by, F.when(F.col(valid), 0).otherwise(1).alias("_bad"), *[c.alias(f"_f{i}") for i, c in enumerate(fields.values())])
+    seg = with_halo(slim, key, before=0, after=config.reach, step=step)
+    row = segment_window(key, step)
+    frame = row.rowsBetween(0, config.reach)
+    strided = [F.lead("_bad", k * config.stride).over(row) for k in range(1, config.span)] if config.stride > 1 else []
+    bad = sum(strided, F.col("_bad")) if strided else F.sum("_bad").over(frame)
+    anchor = (config.history - 1) * config.stride
+    gaps = {}
+    for h in range(1, config.horizon + 1):
+        at = anchor + h * config.stride
+        gaps[f"_e{h}"] = sum(
+            (F.lead(f"_f{i}", at).over(row) - F.lead(f"_f{i}", anchor).over(row)) ** 2 for i in range(len(fields))
+        )
+    ahead = seg.withColumns({"_n": F.count("*").over(frame), "_bad": bad, **gaps})
+    kept = ahead.where(f"own AND _n = {config.reach + 1} AND _bad = 0")
+    weights = {h: mask(F.col(step) + anchor + h * config.stride).cast("double") if mask else F.lit(1.0) for h in range(1, config.horizon + 1)}
+    sums = kept.groupBy(*by).agg(
+        *[F.sum(F.when(w != 0, F.col(f"_e{h}") * w).otherwise(0.0)).alias(f"_s{h}") for h, w in weights.items()],
+        *[F.sum(w).alias(f"_w{h}") for h, w in weights.items()],
+    )
+    steps = F.array(*[F.struct(F.lit(h).alias("horizon_step"), F.col(f"_s{h}").alias("squared_error"), F.col(f"_w{h}").alias("weight")) for h in weights])
+    rows = sums.select(*by, F.inline(steps)).where("weight IS NOT NULL")  # no window at all
+    return rows.withColumn("mse", F.col("squared_error") / F.greatest("weight", F.lit(1.0)))
+
+
 def overall_error(per_step: DataFrame, by: list[str] | None = None) -> DataFrame:
     return per_step.groupBy(*(by or [])).agg(
         (F.sum("squared_error") / F.greatest(F.sum("weight"), F.lit(1.0))).alias("mse")

@@ -523,6 +523,10 @@ def rollout_forecast(spark, sf):
     return errors.select("horizon_step", r6("mse").alias("mse"))
 
 
+def _vectors(*names):
+    return {f"{n}{i}": F.col(n)[i] for n in names for i in range(3)}
+
+
 @query(
     "hold_last",
     f"""WITH {WIN}, l AS (SELECT stem, anchor_index, x0 AS y0, x1 AS y1, x2 AS y2, v0 AS u0, v1 AS u1, v2 AS u2, a0 AS b0, a1 AS b1, a2 AS b2
@@ -531,8 +535,8 @@ SELECT (k - 9)::INT AS horizon_step, {q6("avg((x0-y0)**2 + (x1-y1)**2 + (x2-y2)*
 FROM wr JOIN l USING (stem, anchor_index) WHERE k >= 10 GROUP BY k""",
 )
 def hold_last(spark, sf):
-    w = _windows(spark, sf).withColumn("pred", forecast.hold_last("state_hist", 20))
-    return forecast.horizon_error(w, "state_future", "pred").select("horizon_step", r6("mse").alias("mse"))
+    e = forecast.hold_last_error(flat_map(phys_steps(spark, sf)), WindowConfig(), _vectors("p", "v", "a"))
+    return e.select("horizon_step", r6("mse").alias("mse"))
 
 
 @query(
@@ -545,19 +549,9 @@ SELECT split, h::INT AS horizon_step, {q6("coalesce(sum(sq) FILTER (m), 0) / gre
 )
 def horizon_error(spark, sf):
     """Masked position error of holding the last position."""
-    w = _windows(spark, sf)
-    first3 = lambda c: F.transform(c, lambda s: F.slice(s, 1, 3))
-    w = w.withColumns(
-        {
-            "actual": first3("state_future"),
-            "pred": first3(forecast.hold_last("state_hist", 20)),
-            "mask": F.transform(
-                F.sequence(F.lit(10), F.lit(29)),
-                lambda k: F.when((F.col("anchor_index") + k) % 3 != 0, 1.0).otherwise(0.0),
-            ),
-        }
+    e = forecast.hold_last_error(
+        flat_map(phys_steps(spark, sf)), WindowConfig(), _vectors("p"), lambda at: (at + 9) % 3 != 0, ["split"]
     )
-    e = forecast.horizon_error(w, "actual", "pred", "mask", ["split"])
     return e.select("split", "horizon_step", r6("mse").alias("mse"), "weight")
 
 
@@ -568,10 +562,5 @@ SELECT split, {q6("avg((x0-y0)**2 + (x1-y1)**2 + (x2-y2)**2)")} AS mse
 FROM wr JOIN l USING (stem, anchor_index) WHERE k >= 10 GROUP BY split""",
 )
 def overall_error(spark, sf):
-    w = _windows(spark, sf)
-    first3 = lambda c: F.transform(c, lambda s: F.slice(s, 1, 3))
-    w = w.withColumns(
-        {"actual": first3("state_future"), "pred": first3(forecast.hold_last("state_hist", 20))}
-    )
-    e = forecast.horizon_error(w, "actual", "pred", None, ["split"])
+    e = forecast.hold_last_error(flat_map(phys_steps(spark, sf)), WindowConfig(), _vectors("p"), by=["split"])
     return forecast.overall_error(e, ["split"]).select("split", r6("mse").alias("mse"))
