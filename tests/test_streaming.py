@@ -94,3 +94,22 @@ def test_progress_callback(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sum(seen) == 50
+
+
+def test_compaction_and_replay(spark, tmp_path):
+    out = str(tmp_path / "t")
+
+    def write(batch, rows):
+        spark.createDataFrame(rows, "k string, v int").write.mode("overwrite").parquet(f"{out}/batch_id={batch}")
+
+    def read():
+        return {r["k"]: r["v"] for r in jobs.current_table(spark, out, "k").collect()}
+
+    write(0, [("a", 0), ("b", 0)])
+    write(1, [("a", 1)])
+    assert jobs.compact(spark, out, "k") == 1 and jobs.compact(spark, out, "k") == 1
+    assert read() == {"a": 1, "b": 0}
+    write(2, [("b", 2), ("c", 2)])
+    write(2, [("b", 2), ("c", 2)])  # the last batch again
+    assert read() == {"a": 1, "b": 2, "c": 2}
+    assert jobs.compact(spark, out, "k") == 2 and read() == {"a": 1, "b": 2, "c": 2}

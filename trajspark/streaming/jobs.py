@@ -1,7 +1,8 @@
 """Structured Streaming jobs over inputs that grow: manifest ingest, latest-wins merge, collapse monitor.
 
 Every micro-batch is written under its own ``batch_id`` folder with overwrite, so a replayed batch
-replaces itself. The current table is the latest record per key over those folders.
+replaces itself. The current table is the latest record per key over those folders; ``compact`` folds
+them into one table from time to time, so reads do not grow with the number of batches.
 """
 
 from __future__ import annotations
@@ -50,10 +51,42 @@ def run_available(
     return query
 
 
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers N of the ``folder/name=N`` folders, ascending."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}="))
+
+
+def _merged(spark: SparkSession, out: str, key: str, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Latest record per key with its batch_id, from the newest compaction and the batches after it."""
+    bases = _numbers(spark, f"{out}/_base", "upto")
+    upto = bases[-1] if bases else -1
+    batches = [n for n in _numbers(spark, out, "batch_id") if n > upto]
+    parts = [spark.read.parquet(f"{out}/_base/upto={upto}")] if bases else []
+    if batches:
+        paths = [f"{out}/batch_id={n}" for n in batches]
+        parts.append(spark.read.option("basePath", out).parquet(*paths).withColumn("batch_id", F.col("batch_id").cast("long")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return latest_wins(rows, key, ["batch_id", *order]), max([upto, *batches])
+
+
 def current_table(spark: SparkSession, out: str, key: str, order: Sequence[str] = ()) -> DataFrame:
     """Latest record per key over all batches written so far."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    return latest_wins(rows, key, ["batch_id", *order]).drop("batch_id")
+    return _merged(spark, out, key, order)[0].drop("batch_id")
+
+
+def compact(spark: SparkSession, out: str, key: str, order: Sequence[str] = ()) -> int:
+    """Folds the batches so far into one table, which later reads start from; returns the last batch folded.
+
+    A compaction never changes batch folders, so a replay of an older batch after it has no effect and a
+    lost compaction can be made again. Batches up to the returned number may be deleted.
+    """
+    rows, upto = _merged(spark, out, key, order)
+    if upto not in _numbers(spark, f"{out}/_base", "upto"):
+        rows.write.parquet(f"{out}/_base/upto={upto}")
+    return upto
 
 
 def ingest_manifest(

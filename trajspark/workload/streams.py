@@ -11,14 +11,22 @@ from trajspark.workload.registry import query
 from trajspark.workload.views import SPLIT_SQL, unit_sql, utc_micros
 
 
+BATCHES = 4
+
+
 def _drain(spark, stream, key, mode="update"):
     out = scratch_path(spark, "stream")
     jobs.run_available(stream, f"{out}/table", f"{out}/state", mode=mode)
+    jobs.compact(spark, f"{out}/table", key)
     return jobs.current_table(spark, f"{out}/table", key)
 
 
 def _events(spark, sf):
-    return jobs.table_stream(spark, f"{sf}/events.parquet")
+    """The events in order of their ids, as files that arrive one per batch."""
+    path = scratch_path(spark, "arrivals")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    rows.repartitionByRange(BATCHES, "event_id").write.parquet(path)
+    return jobs.table_stream(spark, path, files_per_trigger=1)
 
 
 @query(
