@@ -19,14 +19,15 @@ def segment_by_anchor(
 
 
 def closed_blocks(
-    df: DataFrame, key: str, is_anchor: Column, fields: dict[str, Column], step: str = "step"
+    df: DataFrame, key: str, is_anchor: Column, fields: dict[str, Column], step: str = "step", size: str | None = None
 ) -> DataFrame:
-    """One row per closed block with the last non-NULL value of every field in it."""
+    """One row per closed block with the last non-NULL value of every field, and its row count as ``size``."""
     blocks = segment_by_anchor(df.withColumn("_anchor", is_anchor), key, F.col("_anchor"), step)
     return (
         blocks.groupBy(key, "block")
         .agg(
             F.bool_or("_anchor").alias("_closed"),
+            *([F.count("*").alias(size)] if size else []),
             *[
                 F.max_by(v, F.when(v.isNotNull(), F.col(step))).alias(name)
                 for name, v in fields.items()

@@ -179,6 +179,26 @@ def nearest_rank_quantiles(spark, sf):
     )
 
 
+@query(
+    "manifest_quantiles",
+    f"""WITH {ISSUES_SQL},
+m AS (SELECT unnest(['duration_s', 'path_length_m', 'n_timesteps']) AS metric,
+   unnest([total_time_s, path_length_m, n_timesteps::DOUBLE]) AS v FROM iss WHERE len(issues) = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY metric) AS n
+   FROM m WHERE v IS NOT NULL)
+SELECT metric, {q6("min(v)")} AS min, {q6("max(v)")} AS max, {q6("avg(v)", 4)} AS mean,
+  {q6("max(CASE WHEN k = round_even(25e-2 * (n - 1), 0) THEN v END)")} AS p25,
+  {q6("max(CASE WHEN k = round_even(5e-1 * (n - 1), 0) THEN v END)")} AS median,
+  {q6("max(CASE WHEN k = round_even(75e-2 * (n - 1), 0) THEN v END)")} AS p75
+FROM r GROUP BY metric""",
+)
+def manifest_quantiles(spark, sf):
+    """Duration, path length and step count of the records that are kept."""
+    metrics = {"duration_s": "total_time_s", "path_length_m": "path_length_m", "n_timesteps": "n_timesteps"}
+    out = manifest.kept_quantiles(manifest_view(spark, sf), metrics, **RULES)
+    return out.select("metric", r6("mean", 4).alias("mean"), *[r6(c).alias(c) for c in ("min", "max", "p25", "median", "p75")])
+
+
 def _orders(spark, sf):
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("stem"),
@@ -313,12 +333,7 @@ FROM b GROUP BY stem, block HAVING bool_or(event_type = 'purchase')""",
 def log_segmentation(spark, sf):
     ev = ev_steps(spark, sf, "event_type")
     kind = F.col("event_type")
-    sizes = (
-        logs.segment_by_anchor(ev, "stem", kind == "purchase")
-        .groupBy("stem", "block")
-        .agg(F.count("*").alias("n"))
-    )
-    closed = logs.closed_blocks(
+    return logs.closed_blocks(
         ev,
         "stem",
         kind == "purchase",
@@ -326,8 +341,8 @@ def log_segmentation(spark, sf):
             "last_view": F.when(kind == "view", F.col("value")),
             "last_error": F.when(kind == "error", F.col("value")),
         },
+        size="n",
     )
-    return closed.join(sizes, ["stem", "block"]).select("stem", "block", "n", "last_view", "last_error")
 
 
 LINES_SQL = (
