@@ -19,6 +19,7 @@ from trajspark.plans.scratch import cut_lineage
 GROUP_ROWS = 1 << 20
 SEGMENT_ROWS = 1 << 14
 BROADCAST_ROWS = 1 << 20
+BROADCAST_BYTES = 1 << 26
 
 
 def group_limit(spark: SparkSession) -> int:
@@ -35,9 +36,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
 
 
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; past ``rows`` the planner picks a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after measuring; past ``rows`` or ``size`` bytes the planner picks a shuffle join."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["bytes"] or 0) <= size else df
 
 
 def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
