@@ -564,3 +564,20 @@ FROM wr JOIN l USING (stem, anchor_index) WHERE k >= 10 GROUP BY split""",
 def overall_error(spark, sf):
     e = forecast.hold_last_error(flat_map(phys_steps(spark, sf)), WindowConfig(), _vectors("p"), by=["split"])
     return forecast.overall_error(e, ["split"]).select("split", r6("mse").alias("mse"))
+
+
+@query(
+    "build_windows",
+    f"""WITH {WIN} SELECT split, count(*) AS n_windows, count(DISTINCT stem) AS n_files, {q6("sum(anchor_index)")} AS anchors
+FROM wv WHERE stem % 7 <> 0 AND stem % 11 <> 0 GROUP BY split""",
+)
+def build_windows(spark, sf):
+    """Windows of a manifest that holds some files out and gives some no split."""
+    steps = phys_steps(spark, sf).withColumn("csv_path", F.concat(F.lit("csv/"), F.col("stem").cast("string")))
+    split = F.when(F.col("stem") % 7 == 0, F.lit("heldout")).when(F.col("stem") % 11 != 0, F.col("split"))
+    manifest = steps.select("csv_path", split.alias("split")).distinct()
+    w = dataset.build_windows(steps.drop("split"), manifest)
+    return w.groupBy("split").agg(
+        F.count("*").alias("n_windows"), F.count_distinct("csv_path").alias("n_files"),
+        r6(F.sum("anchor_index").cast("double")).alias("anchors"),
+    )
