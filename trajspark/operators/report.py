@@ -70,14 +70,18 @@ def lambda_table(results: DataFrame, base_width: int) -> DataFrame:
     A run's scores lie in its own row's maps, so each run is one row from the scan to the only exchange.
     Runs without a trained arm's shape or scores do not count.
     """
-    names = F.array(*map(F.lit, targets_of_kind("nonlinear")))
-    scores = F.transform(names, lambda t: F.try_element_at(F.try_element_at("recovery", t), F.lit("trained"))["r2"])
-    found = F.filter(scores, lambda v: v.isNotNull())
-    total = F.aggregate(found, F.lit(0.0), lambda a, v: a + v)
+    # every map is named once: an expression that names it again builds it again
+    arms = F.map_values(F.map_filter("recovery", lambda t, _: t.isin(targets_of_kind("nonlinear"))))
+    mean = F.aggregate(
+        F.transform(arms, lambda arm: F.try_element_at(arm, F.lit("trained"))["r2"]),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, v: F.struct((acc["s"] + F.coalesce(v, F.lit(0.0))).alias("s"), (acc["n"] + v.isNotNull().cast("int")).alias("n")),
+        lambda acc: F.try_divide(acc["s"], acc["n"]),
+    )
     runs = results.where(F.col("latent_dim") == base_width).select(
         "lambda_sig", "final_val_pred", "collapsed",
         F.try_element_at("dimensionality", F.lit("trained"))["participation_ratio"].alias("participation_ratio"),
-        F.when(F.size(found) > 0, total / F.size(found)).alias("recovery"),
+        mean.alias("recovery"),
     )
     return (
         runs.where("recovery IS NOT NULL AND participation_ratio IS NOT NULL")
