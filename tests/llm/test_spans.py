@@ -146,3 +146,41 @@ def test_masked_keeps_columns(spark):
     assert out.columns == docs.columns
     got = sorted(out.collect(), key=lambda r: r.doc_id)
     assert got[0].text == "é [EMAIL] ok" and got[0].n_chars == 12 and got[1].text == "plain" and got[2].text is None and len(got) == 4
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("call +1‑555‑123‑4567 now", "phone", "+1‑555‑123‑4567"),
+        ("card 4111\u00a01111\u00a01111\u00a01111 ok", "card", "4111\u00a01111\u00a01111\u00a01111"),
+        ("host 10。0。0。1 is up", "ip", "10。0。0。1"),
+        ("mail bob at host.example.org now", "email", "bob at host.example.org"),
+        ("mail bob [at ) example.org", "email", "bob [at ) example.org"),
+        ("mail bob (   at) example { dot > org", "email", "bob (   at) example { dot > org"),
+        ("call plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"),
+        ("card 4111 1111 1111 one\tone   one\n\tone", "card", "4111 1111 1111 one\tone   one\n\tone"),
+        ("write to me at jane dot doe at example dot com", "email", "jane dot doe at example dot com"),
+    ],
+)
+def test_each_disguise_is_a_trace_alone(text, kind, part):
+    (got,) = pii.find(pa.array([text]), pii._automaton())
+    assert part in [text[s:e] for k, s, e, _ in got if k == kind], (got, deobfuscate(text).text)
+
+
+def test_traces_lose_no_rewriting():
+    tokens = [" ", " ", "\t", "\n", "\u00a0", "-", "\u2011", ".", "。", "at", "At", "dot", "plus", "one", "TWO", "oh", "bob", "7", "44", "(", "]", "@", "é", "org"]
+    texts = noise(tokens, 6000, 9)
+    column = pa.array(texts)
+    traces = pii._automaton()
+    seen = set()
+    for b in pii.blocks(column):
+        seen |= {b.first + i for i in b.owner(pii._traces(b.data, traces)).tolist()}
+    changed = {i for i, t in enumerate(texts) if deobfuscate(t).text != t}
+    assert changed and changed <= seen
+
+
+def test_numbers_and_addresses_behind_at_stay():
+    clean = ["closed at 3.5 percent", "starts at 10.30 today", "a bolt at 3.5mm", "version at 1.2.3"]
+    assert pii.find(pa.array(clean), pii._automaton()) == [[]] * len(clean)
+    text = "mail me at jane.doe@example.com"
+    assert pii.find(pa.array([text]), pii._automaton()) == [[("email", 11, len(text), True)]]

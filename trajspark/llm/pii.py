@@ -2,8 +2,8 @@
 
 Identifiers written plainly are found on the bytes of a block: numpy finds the runs and the signs that
 start them, anchored expressions the rest, in time linear in the text. Texts with a trace of disguise
-(look-alike letters and digits, invisible characters, digits in words, at and dot in words or brackets)
-pass through transducers that rewrite them piece by piece and keep, for every character they write, the
+(look-alike letters and digits, invisible characters, digits in words, at and dot in words or brackets; the
+traces are what every match of a transducer holds, so a text without any stays as it is) pass through transducers that rewrite them piece by piece and keep, for every character they write, the
 source characters it stands for; what is found in the rewritten text is mapped back through that record.
 Spans as written stay, and a disguised one is added where no span as written overlaps it.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import spans
-from trajspark.llm.text import LEAD, LOWER, SEP, batch, blocks, free, texts
+from trajspark.llm.text import LEAD, LOWER, SEP, SPACES, batch, blocks, free, texts
 
 KINDS = ("email", "ip", "card", "phone")
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
@@ -63,11 +63,23 @@ _ONE_WORD = re.compile(rf"{_WORD}", re.IGNORECASE | re.ASCII)
 _JOINED_DIGITS = re.compile(r"\bplus\s{1,3}(?=[0-9])", re.IGNORECASE | re.ASCII)
 _AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE | re.ASCII)
 _DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE | re.ASCII)
-_BARE = re.compile(
-    r"(?<=[A-Za-z0-9])(\s{1,3}at\s{1,3})(?=[A-Za-z0-9-]{1,64}(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-])", re.IGNORECASE | re.ASCII
+#: What may stand behind a bare "at": labels of which one after the first begins with a letter (no decimal number or
+#: time), or an address of four numbers; but not what is itself the local part of an address.
+_HOST = (
+    r"(?=[A-Za-z0-9-]{1,64}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]|(?:\.[A-Za-z0-9-]{1,64}){0,8}\.[A-Za-z])"
+    r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]))"
+    r"(?![A-Za-z0-9._%+-]{1,64}@)"
+    r"(?![A-Za-z0-9-]{1,64}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,64}){1,4}\s{1,3}at\s{1,3}[A-Za-z0-9-]{1,64}(?:\s{1,3}dot\s|\.[A-Za-z]))"
 )
+_BARE = re.compile(r"(?<=[A-Za-z0-9])(\s{1,3}at\s{1,3})" + _HOST, re.IGNORECASE | re.ASCII)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 
+#: Bytes as the traces spell them: letters in lower case, each white space of a text a blank.
+_FLAT = LOWER.copy()
+_FLAT[list(SPACES)] = 0x20
+_BARE_KEY = " at "
+_BARE_HOST = re.compile(rb" {1,3}" + _HOST.encode(), re.IGNORECASE)
+
 
 def luhn(digits: bytes) -> bool:
     values = [b - 48 for b in digits[::-1]]
@@ -200,18 +212,27 @@ def _disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """What every match of a transducer holds, in lower case and with each white space as a blank."""
     traces = ahocorasick.Automaton()
-    keys = [f"{o}{w}{c}" for o, c in ("[]", "()", "{}", "<>") for w in ("at", "dot")]
-    keys += [f"{o} {w} {c}" for o, c in ("[]", "()", "{}", "<>") for w in ("at", "dot")]
-    keys += [f"{a}dot{b}" for a in " \n\t" for b in " \n\t"]
-    keys += [f"{a}{s}{b}" for a in DIGITS + ("oh",) for b in DIGITS + ("oh",) for s in " -\n"]
-    keys += [chr(c).encode().decode("latin-1") for c in _SINGLE if c not in (0xA0, 0x3002) and not 0x2010 <= c <= 0x2013]
+    blank = [" " * k for k in range(4)]
+    keys = [f"{o}{x}{w}{y}{c}" for o in "[({<" for c in "])}>" for w in ("at", "dot") for x in blank for y in blank]
+    keys += [" dot ", _BARE_KEY]
+    keys += [f"{a}{s}{b}" for a in DIGITS + ("oh",) for b in DIGITS + ("oh",) for s in ("-", *blank[1:])]
+    keys += [f"plus{s}{d}" for s in blank[1:] for d in range(10)]
+    keys += [chr(c).encode().decode("latin-1") for c in _SINGLE]
     for key in keys:
         traces.add_word(key, key)
     traces.make_automaton()
     return traces
 
 
+def _traces(data: np.ndarray, traces: ahocorasick.Automaton) -> np.ndarray:
+    """Where a transducer may match; a bare "at" counts only before what can be a host."""
+    raw = _FLAT[data].tobytes()
+    hits = traces.iter(raw.decode("latin-1"))
+    return np.fromiter((end for end, key in hits if key != _BARE_KEY or _BARE_HOST.match(raw, end)), np.int64)
+
+
 def find(column: pa.Array, traces: ahocorasick.Automaton) -> list[list[tuple[str, int, int, bool]]]:
     """The spans of each text, ordered by kind, then start."""
     out: list[list] = [[] for _ in range(len(column))]
@@ -227,8 +248,7 @@ def find(column: pa.Array, traces: ahocorasick.Automaton) -> list[list[tuple[str
                 owner.tolist(), at[:, 0].tolist(), (chars[at[:, 1]] - origin).tolist(), (chars[at[:, 2]] - origin).tolist()
             ):
                 found.setdefault(text, []).append((kind, s, e))
-        # digits and letters lower-cased byte by byte; other bytes as they are
-        trace = np.fromiter((end for end, _ in traces.iter(LOWER[b.data].tobytes().decode("latin-1"))), np.int64)
+        trace = _traces(b.data, traces)
         added: dict[int, list] = {}
         for text in np.unique(b.owner(trace)).tolist():
             source = b.data[b.start[text] : b.end[text]].tobytes().decode("utf-8", "replace")
