@@ -184,3 +184,17 @@ def test_numbers_and_addresses_behind_at_stay():
     assert pii.find(pa.array(clean), pii._automaton()) == [[]] * len(clean)
     text = "mail me at jane.doe@example.com"
     assert pii.find(pa.array([text]), pii._automaton()) == [[("email", 11, len(text), True)]]
+
+
+@pytest.mark.parametrize(
+    ("text", "fragment", "whole", "masked"),
+    [
+        ("call +44 20 7946 zero nine five eight now", ("phone", "+44 20 7946"), ("phone", "+44 20 7946 zero nine five eight"), "call [PHONE] now"),
+        ("jоhn@example.com wrote", ("email", "hn@example.com"), ("email", "jоhn@example.com"), "[EMAIL] wrote"),
+        ("mail bob at 10.0.0.1 now", ("ip", "10.0.0.1"), ("email", "bob at 10.0.0.1"), "mail [EMAIL] now"),
+    ],
+)
+def test_a_plain_fragment_hides_no_disguise(text, fragment, whole, masked):
+    (got,) = pii.find(pa.array([text]), pii._automaton())
+    assert {(k, text[s:e], base) for k, s, e, base in got} == {(*fragment, True), (*whole, False)}
+    assert mask(text, got) == masked

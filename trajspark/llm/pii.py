@@ -5,7 +5,8 @@ start them, anchored expressions the rest, in time linear in the text. Texts wit
 (look-alike letters and digits, invisible characters, digits in words, at and dot in words or brackets; the
 traces are what every match of a transducer holds, so a text without any stays as it is) pass through transducers that rewrite them piece by piece and keep, for every character they write, the
 source characters it stands for; what is found in the rewritten text is mapped back through that record.
-Spans as written stay, and a disguised one is added where no span as written overlaps it.
+Spans as written stay, and a disguised one is added unless it lies inside one of them: a fragment that is
+written plainly does not hide the whole.
 
 Null or empty texts have no spans and stay as they are. Repeated rows are scanned one by one. An empty
 table gives an empty result. Other columns are ignored, or passed on by ``masked``. Offsets are code
@@ -206,7 +207,7 @@ def _disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     for kind, s, e in plain(data):
         a, z = int(t.start[char[s]]), int(t.end[char[e - 1]])
-        if all(z <= x or y <= a for _, x, y in known + out):
+        if not any(x <= a and z <= y for _, x, y in known + out):
             out.append((kind, a, z))
     return out
 
