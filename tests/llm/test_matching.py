@@ -191,3 +191,49 @@ def test_templates_type_their_slots():
     kinds = {decontam.NAME: "name", decontam.NUMBER: "number", decontam.UNIT: "unit"}
     assert [kinds.get(t, "-") for t in template] == ["-", "-", "name", "-", "number", "unit", "-", "number", "-", "-", "-", "-"]
     assert value[-1] == value[-2]
+
+
+NUMBERS = "12 cm x 7 cm x 9 cm or 14 cm x 3 cm x 8 cm?"
+NAMES = "Anna Berta Clara Doris Emma Frieda Gerda Hanna"
+LONG = " ".join(f"term{i}" for i in range(200))
+
+
+def test_verbatim_copies_of_any_item(spark):
+    items = spark.createDataFrame([(1, NUMBERS), (2, NAMES), (3, LONG)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, FILL + NUMBERS + " " + FILL),
+            (2, FILL + "with " + NAMES + " " + FILL),
+            (3, FILL + " ".join(LONG.split()[70:130]) + " " + FILL),
+            (4, FILL + NUMBERS.replace("12", "13").replace("9", "6").replace("14", "15").replace("8", "2") + " " + FILL),
+            (5, FILL + "with " + " ".join(reversed(NAMES.split())) + " " + FILL),
+            (6, FILL + " ".join(LONG.split()[70:82]) + " " + FILL),
+        ],
+        "doc_id long, text string",
+    )
+    for broadcast in (decontam.BROADCAST, 0):
+        got = {(r.doc_id, r.item_id): (r.windows, r.item_windows, r.same) for r in decontam.matches(docs, items, broadcast=broadcast).collect()}
+        assert set(got) == {(1, 1), (2, 2), (3, 3)} and got[3, 3] == (56, 196, True)
+
+
+def test_other_values_are_found_beside_windows_without_a_template(spark):
+    item = "12 cm x 7 cm x 9 cm x 4 cm x 5 cm is the box that Anna carries home on foot"
+    docs = [(1, item.replace("12", "15").replace("7", "8").replace("9", "3").replace("4", "6").replace("5", "2").replace("Anna", "Marta"))]
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [(r.doc_id, r.same) for r in got.collect()] == [(1, False)]
+
+
+def test_clean_matches_rows_without_a_name(spark):
+    docs = spark.createDataFrame(
+        [(None, FILL + ITEM, 1), (None, FILL, 2), (None, None, 3), (7, FILL, 4), (8, ITEM, 5)], "doc_id long, text string, found long"
+    )
+    kept = decontam.clean(docs, bench(spark), unnamed=True)
+    assert kept.columns == docs.columns and sorted(r.found for r in kept.collect()) == [2, 3, 4]
+
+
+def test_pipeline_drops_benchmark_copies_without_a_name(spark, tmp_path):
+    import corpus_pipeline
+
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, FILL + ITEM), (1, FILL)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.unseen(spark, docs, str(tmp_path)).collect()] == [1]

@@ -4,16 +4,18 @@ Texts become templates: a number, a name or a unit after a number turns into a p
 words lose case and outer punctuation. Hashes of windows of five template words are joined with those of the
 benchmark. Windows of one document and one item that lie on one diagonal (same distance between
 their places) are one occurrence; it counts if its slots are consistent, that is each value of the item stands for one
-and the same value of the document throughout. A document is contaminated by an item if windows of counted
-occurrences cover at least half of the item's.
+and the same value of the document throughout. Windows are also compared as written (lower case), all of them: those
+that agree in every word count whatever the rest of the occurrence does. A document is contaminated by an item if
+counted windows cover at least half of the item's (of all, or of those that have a template), or if a run of them without a gap reaches RUN words.
 
 The benchmark's window hashes travel to the tasks as a sorted array while they number at most
 BROADCAST; beyond that all windows of the documents meet them in the join, with the same result.
 
 A word is a name if it begins with an upper-case letter, has a lower-case one, and begins neither a sentence nor a
-line. Windows of fewer than three words that are not placeholders say too little and are not used; an
-item with no usable window (also a null or empty one) matches nothing. Items shorter than a window are one window. Null or
-empty documents match nothing; so do rows without doc_id in ``matches``. Repeated rows of a document or an item
+line. Windows of fewer than three words that are not placeholders say too little as templates and are compared only as
+written. Items shorter than a window are one window; null or empty items and documents match nothing. Rows without
+doc_id have no name for ``matches`` and are left out there; ``clean`` keeps them, or with ``unnamed`` tells them apart
+by a hash of their text and drops those that an item contaminates. Repeated rows of a document or an item
 count once in ``matches``, and ``clean`` keeps or drops all repeats alike. Empty tables give empty results. Columns of
 other names are ignored, or passed on by ``clean``.
 """
@@ -24,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.text import BYTE, LOWER, SEP, Block, Rolling, batch, blocks, free, mix
+from trajspark.llm.text import BYTE, LOWER, SEP, Block, Rolling, batch, blocks, free, lookup, mix
 from trajspark.plans.scratch import cut_lineage
 
 WINDOW = 5
-#: Least words of a window that are not placeholders.
+#: Least words of a template window that are not placeholders; windows as written need none.
 PLAIN = 3
 #: Least share of an item's windows.
 COVER = 0.5
+#: Words of a run without a gap that suffice, whatever the share.
+RUN = 13
 BROADCAST = 1 << 20
 
 #: Units that become a placeholder after a number.
@@ -45,6 +49,8 @@ UNITS = (
     "meter meters metre metres kilometer kilometers centimeter centimeters"
 ).split()
 NUMBER, NAME, UNIT = (mix(np.array([k], np.uint64) + np.uint64(0xABCDEF))[0] for k in range(3))
+#: Tells the hash of a window as written from that of a template.
+WRITTEN = np.uint64(0x5851F42D4C957F2D)
 
 _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))
@@ -98,7 +104,10 @@ def templates(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _windows(b: Block, window: int, whole: bool) -> tuple[np.ndarray, ...]:
-    """First word, words, hash and text of every usable window; whole: shorter texts are one window."""
+    """First word, words, hash, text, place and form of every window; whole: shorter texts are one window.
+
+    Forms: 0 a template, 1 as written where there is a template too, 2 as written alone.
+    """
     template, value, slot, owner = templates(b)
     n = np.bincount(owner, minlength=b.n)
     begin = np.cumsum(n) - n
@@ -108,76 +117,112 @@ def _windows(b: Block, window: int, whole: bool) -> tuple[np.ndarray, ...]:
     if whole:
         short = np.flatnonzero((n > 0) & (n < window))
         at, size = np.concatenate([at, begin[short]]), np.concatenate([size, n[short]])
+    written = mix(Rolling(value).slices(at, at + size) ^ WRITTEN)
     plain = np.concatenate([[0], np.cumsum(~slot)])
     enough = plain[at + size] - plain[at] >= np.minimum(PLAIN, size)
-    at, size = at[enough], size[enough]
-    return at, size, Rolling(template).slices(at, at + size), owner[at], at - begin[owner[at]], value, slot
+    key = np.concatenate([Rolling(template).slices(at[enough], at[enough] + size[enough]), written])
+    form = np.concatenate([np.zeros(enough.sum(), np.int32), np.where(enough, 1, 2).astype(np.int32)])
+    at, size = np.concatenate([at[enough], at]), np.concatenate([size[enough], size])
+    return at, size, key, owner[at], at - begin[owner[at]], form, value, slot
 
 
 def _rows(b: Block, window: int, whole: bool, keep: np.ndarray | None):
-    at, size, key, owner, place, value, slot = _windows(b, window, whole)
+    at, size, key, owner, place, form, value, slot = _windows(b, window, whole)
     if keep is not None:
-        hit = np.minimum(np.searchsorted(keep, key), len(keep) - 1) if len(keep) else np.zeros(len(key), np.int64)
-        hit = keep[hit] == key if len(keep) else np.zeros(len(key), bool)
-        at, size, key, owner, place = at[hit], size[hit], key[hit], owner[hit], place[hit]
+        hit = lookup(key, keep) < len(keep)
+        at, size, key, owner, place, form = (x[hit] for x in (at, size, key, owner, place, form))
     slots = [value[a : a + n][slot[a : a + n]].view(np.int64).tolist() for a, n in zip(at.tolist(), size.tolist())]
-    return owner, key, place, slots
+    return owner, key, place, form, slots
 
 
 def windows(table: DataFrame, identity: str, window: int = WINDOW, whole: bool = False, keep=None) -> DataFrame:
-    """id, hash, place and the slots' values of the windows of each text; keep: broadcast hashes to look for."""
-    fields = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.int64()))])
+    """id, hash, place, form and the slots' values of the windows of each text; keep: broadcast hashes to look for."""
+    fields = pa.schema(
+        [("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("form", pa.int32()), ("slots", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ids = rows.column(0)
             for b in blocks(rows.column(1)):
-                owner, key, place, slots = _rows(b, window, whole, keep.value if keep is not None else None)
+                owner, key, place, form, slots = _rows(b, window, whole, keep.value if keep is not None else None)
                 if len(owner):
-                    yield batch(fields, [ids.take(pa.array(b.first + owner)), key.view(np.int64), place.astype(np.int32), slots])
+                    yield batch(fields, [ids.take(pa.array(b.first + owner)), key.view(np.int64), place.astype(np.int32), form, slots])
 
     rows = table.select(F.col(identity).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, hash long, place int, slots array<long>")
+    return rows.mapInArrow(run, "id long, hash long, place int, form int, slots array<long>")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, broadcast: int = BROADCAST) -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, run: int = RUN, broadcast: int = BROADCAST
+) -> DataFrame:
     """doc_id, item_id, windows (matched), item_windows, same (no slot differs): contaminated documents."""
     spark = docs.sparkSession
-    items = cut_lineage(windows(benchmark.where("item_id is not null"), "item_id", window, whole=True).dropDuplicates(["id", "hash", "place"]))
+    items = cut_lineage(
+        windows(benchmark.where("item_id is not null"), "item_id", window, whole=True).dropDuplicates(["id", "hash", "place"])
+    )
     known = items.select("hash").distinct()
     keep = None
     if known.count() <= broadcast:
         keep = spark.sparkContext.broadcast(np.sort(known.toArrow().column("hash").to_numpy().view(np.uint64)))
-    found = windows(docs.where("doc_id is not null"), "doc_id", window, whole=True, keep=keep)
-    size = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("item_windows"))
-    asked = items.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = found.join(asked, "hash").select(
-        F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place",
-        F.explode_outer(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).alias("slot"),
+    found = windows(docs.where("doc_id is not null"), "doc_id", window, whole=True, keep=keep).drop("form")
+    size = items.groupBy(F.col("id").alias("item_id")).agg(
+        F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(F.col("form") < 2, F.col("place"))).alias("item_typed")
+    )
+    asked = items.select(
+        "hash", (F.col("form") > 0).alias("exact"), (F.col("form") < 2).alias("typed"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
     )
-    met = cut_lineage(  # used twice: without this the documents are read twice
-        met.select("doc_id", "item_id", "diagonal", "item_place", F.col("slot.item").alias("asked"), F.col("slot.doc").alias("given")).distinct()
+    # words as written have the item's values, also where the document's sentence tells names apart otherwise
+    given = F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots"))
+    met = found.join(asked, "hash").select(
+        F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", "exact", "typed",
+        F.explode_outer(F.arrays_zip(F.col("item_slots").alias("item"), given.alias("doc"))).alias("slot"),
     )
+    met = met.select("doc_id", "item_id", "diagonal", "item_place", "exact", "typed", F.col("slot.item").alias("asked"), F.col("slot.doc").alias("given"))
+    # used twice: without this the documents are read twice
+    met = cut_lineage(met.groupBy(*(c for c in met.columns if c not in ("exact", "typed"))).agg(*[F.max(c).alias(c) for c in ("exact", "typed")]))
     occurrence = ["doc_id", "item_id", "diagonal"]
     values = met.groupBy(*occurrence, "asked").agg(
         F.min("given").alias("low"), F.max("given").alias("high"), F.max(~F.col("asked").eqNullSafe(F.col("given"))).alias("other")
     )
     steady = values.groupBy(*occurrence).agg(
         F.min(F.col("low").eqNullSafe(F.col("high"))).alias("consistent"), F.max("other").alias("other")
-    ).where("consistent")
-    covered = (
+    )
+    counted = (
         met.join(steady, occurrence)
-        .groupBy("doc_id", "item_id")
-        .agg(F.countDistinct("item_place").alias("windows"), F.min(~F.col("other")).alias("same"))
-        .join(size, "item_id")
+        .where("consistent or exact")
+        .groupBy(*occurrence, "item_place")
+        .agg(F.min(~(F.col("other") & F.col("consistent"))).alias("same"), F.max("typed").alias("typed"))
     )
-    return covered.where(F.col("windows") >= F.lit(cover) * F.col("item_windows")).select(
-        "doc_id", "item_id", "windows", "item_windows", "same"
+    # places of one run without a gap are as far from their ranks
+    rank = F.row_number().over(Window.partitionBy(*occurrence).orderBy("item_place"))
+    runs = counted.withColumn("run", F.col("item_place") - rank).groupBy(*occurrence, "run").agg(
+        F.count("*").alias("length"), F.collect_list("item_place").alias("places"), F.min("same").alias("same"),
+        F.collect_list(F.when(F.col("typed"), F.col("item_place"))).alias("typed"),
+    )
+    covered = (
+        runs.groupBy("doc_id", "item_id")
+        .agg(
+            *[F.size(F.array_distinct(F.flatten(F.collect_set(c)))).alias(n) for c, n in (("places", "windows"), ("typed", "typed"))],
+            F.max("length").alias("length"),
+            F.min("same").alias("same"),
+        )
+        .join(size, "item_id")
     )
+    # half of all windows, or of those that have a template: other values leave the rest of them without a match
+    enough = F.col("windows") >= F.lit(cover) * F.col("item_windows")
+    enough |= (F.col("typed") > 0) & (F.col("typed") >= F.lit(cover) * F.col("item_typed"))
+    return covered.where(enough | (F.col("length") >= max(1, run - window + 1))).select("doc_id", "item_id", F.col("windows").cast("long"), "item_windows", "same")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that no item contaminates, all columns as they were."""
+def clean(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False, **options) -> DataFrame:
+    """The documents that no item contaminates, all columns as they were; unnamed: also among rows without doc_id."""
     name = free(docs, "found")
     found = matches(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    kept = docs.join(found, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    rest = docs.where("doc_id is null")
+    if not unnamed or rest.isEmpty():
+        return kept
+    own = F.xxhash64(F.col("text").cast("string"))
+    found = matches(rest.select(own.alias("doc_id"), "text").distinct(), benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return kept.where("doc_id is not null").unionByName(rest.join(found, own == F.col(name), "left_anti"))
