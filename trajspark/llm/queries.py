@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajspark.llm import chat, decontam, lm, mixing, pii, quality, repetition, secrets, simhash, spans, toxicity
+from trajspark.llm import chat, decontam, lm, mixing, packing, pii, quality, repetition, runs, search, secrets, simhash, spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,19 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_search", search.SQL)
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.digest(rows)
+
+
+@_query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(_table(spark, sf_dir, "documents"))
