@@ -14,7 +14,9 @@ sequences that fit one best the one opened or filled to that level last is taken
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +37,7 @@ NEARLY = 2
 PART_ITEMS = 1 << 16
 #: A round that leaves more than this share of its items as sequences is the last.
 LEAST_GAIN = 0.8
-#: Words whose ids a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 18, 64
-#: Code points of a text that are cut into words at a time.
+#: Code points of a text that are encoded at a time.
 SLICE = 1 << 20
 OUT_BYTES = 1 << 22
 
@@ -45,7 +45,8 @@ OUT_BYTES = 1 << 22
 _BLANKS = "\\s\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff"
 #: A blank before a word: byte-level vocabularies attach it to the word, so no token reaches over this place.
 _CUT = re.compile(f"(?= [^{_BLANKS}])")
-_PLAIN = re.compile(f" ?[^{_BLANKS}]+")
+LONGEST = 1024
+_LONG = re.compile(rf"\s{{{LONGEST}}}")
 
 _PIECE = pa.schema(
     [("key", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]
@@ -53,49 +54,54 @@ _PIECE = pa.schema(
 _PLACE = pa.schema([("id", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
 
 
+#: How byte-level tokenizers split a text before merging (fixed value).
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
+def _ranked(tokenizer, file: dict):
+    """The same byte-level merges as a table of ranks, which is several times faster; None for another kind."""
+    import tiktoken
+
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not file.get("normalizer") and before.get("type") == "ByteLevel"
+    if not plain or before.get("add_prefix_space") or model.get("dropout"):
+        return None
+    # printable bytes stand for themselves, the others for the code points from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    ranks = {bytes(map(byte.get, token)): i for token, i in model["vocab"].items() if token not in special}
+    found = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    probe = "It's 12,345  words…\n\n\tnaïve Ünïcode 日本語テキスト 🙂 <|x|> 'tis   we'll\r\n"
+    same = found.encode_ordinary(probe) == tokenizer.encode(probe, add_special_tokens=False).ids
+    return found if same else None
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers; ids of common words are remembered."""
+    """Token ids of texts as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.line = self._ids("\n")
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            self.ranks = _ranked(self.tokenizer, json.load(file))
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words. Plain ones are encoded in one text with a line break before each."""
-        plain = [w for w in words if len(w) <= LONGEST and _PLAIN.fullmatch(w)] if len(self.line) == 4 else []
-        if plain:
-            ids = np.frombuffer(self._ids("\n" + "\n".join(plain)), "<u4")
-            at = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            if len(at) == len(plain):
-                for word, lo, hi in zip(plain, at.tolist(), [*at[1:].tolist(), len(ids)]):
-                    self.known[word] = ids[lo + 1 : hi].tobytes()
-        for word in words:
-            if word not in self.known:
-                self.known[word] = self._ids(word)
+        # merging one long word or stretch of white space takes ranks quadratic time
+        if self.ranks is None or max(map(len, text.split(" "))) > LONGEST or _LONG.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranks.encode_ordinary(text)
+        return np.frombuffer(array("I", ids), np.uintc).astype("<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         out, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = cut.start() if cut else len(text)
-            words = _CUT.split(text[at:end])
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = list(set(words))
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-            for word in new:
-                if len(word) > LONGEST:
-                    del self.known[word]
+            out.append(self._ids(text[at:end]))
             at = end
         return b"".join(out)
 
