@@ -220,7 +220,7 @@ def packed(
     """Every piece with its tokens, its sequence and its place there."""
     spark = docs.sparkSession
     path = scratch_path(spark, "pieces")
-    pieces(docs, tokenizer, capacity, end).write.parquet(path)
+    pieces(docs, tokenizer, capacity, end).write.option("compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
     places = place(rows.select("key", F.col("length").alias("size")), capacity, nearly, part_items)
     return rows.join(places, "key").drop("key")
