@@ -184,3 +184,88 @@ def test_params(spark, tmp_path):
         manifests.read_params(spark, str(p))
     with pytest.raises(ValueError):
         SystemParams(mass_quad=0)
+
+
+def bytes_scanned(spark, run):
+    """Bytes that Spark's scans read while ``run`` works."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def total():
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_text_is_read_once_and_heads_by_their_first_bytes(spark, tmp_path):
+    root = tmp_path / "big"
+    for k in range(4):
+        write_csv(root / f"f{k}.csv", 4000, extra=k == 3)
+    size = sum(p.stat().st_size for p in root.iterdir())
+    heads = corpus.headers(spark, [str(root)])
+    rows = heads.collect()
+    assert len(rows) == 4 and sum(r["bytes"] for r in rows) <= 4 * corpus.HEAD_BYTES < size / 20
+    scanned = bytes_scanned(spark, lambda: corpus.scan_csv(spark, [str(root)], ["time"], heads=heads))
+    assert size <= scanned < 1.5 * size, (scanned, size)  # the text once, and the small copy of one column
+
+
+def test_files_that_arrive_during_a_scan_wait_for_the_next(spark, tmp_path):
+    """Larger files, with another layout too, repack the splits between listing and reading."""
+    root = tmp_path / "grows"
+    for k in range(6):
+        write_csv(root / f"g{k}.csv", 50 + k, reversed(TRAJECTORY_COLUMNS) if k == 2 else None)
+    heads = corpus.headers(spark, [str(root)])
+    write_csv(root / "a_new.csv", 3000)
+    write_csv(root / "z_new.csv", 2000, reversed(TRAJECTORY_COLUMNS), extra=True)
+    (root / "m_new.csv").write_text("other,header\n1,2\n")
+    scan = corpus.scan_csv(spark, [str(root)], heads=heads)
+    sizes = {r["stem"]: r["count"] for r in scan.rows.groupBy("stem").count().collect()}
+    assert sizes == {f"g{k}": 50 + k for k in range(6)} and scan.bad_files.count() == 0
+    again = corpus.scan_csv(spark, [str(root)])
+    assert again.rows.count() == sum(sizes.values()) + 5000
+    assert [r["csv_path"].rsplit("/", 1)[1] for r in again.bad_files.collect()] == ["m_new.csv"]
+    steps = corpus.to_steps(again.rows).where("stem = 'g2'").orderBy("step").collect()
+    assert [r["time"] for r in steps] == pytest.approx([0.1 * i for i in range(52)])
+
+
+def test_files_of_many_splits_keep_their_order(spark, tmp_path):
+    write_csv(tmp_path / "long" / "one.csv", 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        scan = corpus.scan_csv(spark, [str(tmp_path / "long")])
+        assert scan.rows.select("_block").distinct().count() > 4
+        steps = corpus.to_steps(scan.rows).select("step", "time").orderBy("step").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["time"] for r in steps] == pytest.approx([0.1 * i for i in range(5000)])
+
+
+def test_heads_of_a_store_that_tasks_cannot_open(spark, tmp_path):
+    """Headers then come from the text reader; long, blank, marked and odd heads are read alike both ways."""
+    root = tmp_path / "odd names"
+    root.mkdir()
+    cases = {
+        "long": "x" * 50_000 + ",time\n1,2\n", "mark": "\ufefftime\n1\n", "crlf": "time,b\r\n1,2\r\n", "cr": "time\r1\r",
+        "blank": "\ntime\n1\n", "alone": "time", "twice": "time\n1\ntime\n2\n", "one two": "time\n3\n",
+    }
+    for name, text in cases.items():
+        (root / f"{name}.csv").write_bytes(text.encode())
+    (root / "none.csv").write_text("")
+
+    def closed(path):
+        raise OSError(path)
+
+    read = []
+    for heads in (corpus.headers(spark, [str(root)]), corpus.headers(spark, [str(root)], opener=closed)):
+        assert heads.count() == len(cases)
+        scan = corpus.scan_csv(spark, [str(root)], ["time"], heads=heads)
+        rows = sorted((r["stem"], r["time"]) for r in scan.rows.collect())
+        bad = sorted((r["csv_path"].rsplit("/", 1)[1], r["error"]) for r in scan.bad_files.collect())
+        read.append((rows, bad))
+    rows, bad = read[0]
+    assert read[1] == read[0]
+    assert [s.replace("%20", " ") for s, _ in rows] == ["cr", "crlf", "long", "mark", "one two"]
+    assert [b for b, _ in bad] == ["blank.csv", "twice.csv"] and "missing" in bad[0][1] and bad[1][1].endswith("time")

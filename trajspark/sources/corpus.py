@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.functions.text import file_name_stem, parent_dir
-from trajspark.plans.ordering import dense_step
+from trajspark.plans.ordering import broadcast_checked, dense_step
 from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import BLOCKS, TRAJECTORY_COLUMNS
 
+#: Bytes of a file read at first to find its header, and files that one task opens.
+HEAD_BYTES = 1 << 14
+BUNDLE_FILES = 1 << 14
+
 
 @dataclass
 class Scan:
@@ -31,22 +37,19 @@ def discover(
         .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", pattern)
         .load(list(roots))
-        .select(F.col("path").alias("csv_path"), "length")
+        .select(F.col("_metadata.file_path").alias("csv_path"), "length")
     )
     return files.dropDuplicates(["csv_path"])
 
 
-def _text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
-    return (
+def _lines(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
+    """Lines with their file, the split they lie in and an id that grows along the split of this one scan."""
+    text = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .text(list(roots))
     )
-
-
-def _lines(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
-    """Lines with their file, the split they lie in and an id that grows along the split."""
-    return _text(spark, roots, pattern).select(
+    return text.select(
         F.col("_metadata.file_path").alias("csv_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
@@ -54,13 +57,61 @@ def _lines(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame
     )
 
 
-def headers(spark: SparkSession, roots: Sequence[str], pattern: str = "*.csv") -> DataFrame:
-    """(csv_path, header, first): the first line of every non-empty file, and its id.
+def open_file(path: str):
+    """A readable binary file of any store that Arrow reaches."""
+    if path.startswith("file:"):
+        return open("/" + unquote(path[5:]).lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return store.open_input_file(place)
+
 
-    Line ids grow along a file split, so the smallest id of a file's first block is its first line.
+def _head(path: str, opener: Callable) -> tuple[bytes, int]:
+    """The first line of a file and how many bytes were read for it."""
+    read = b""
+    with opener(path) as file:
+        while True:
+            more = file.read(max(HEAD_BYTES, len(read)))
+            read += more
+            ends = [p for p in (read.find(b"\n"), read.find(b"\r")) if p >= 0]
+            if ends or not more:
+                line = read[: min(ends)] if ends else read
+                return line.removeprefix(b"\xef\xbb\xbf"), len(read)
+
+
+def headers(
+    spark: SparkSession, roots: Sequence[str], pattern: str = "*.csv", opener: Callable = open_file
+) -> DataFrame:
+    """(csv_path, header, bytes): the first line of every non-empty file, and the bytes read to find it.
+
+    The files are listed once. Tasks open bundles of them with ``opener`` and read each one's first kilobytes
+    only. Files of a store that the tasks cannot open are read whole, by Spark's text reader.
     """
+    files = discover(spark, roots, pattern).where("length > 0").select("csv_path")
+    schema = pa.schema([("csv_path", pa.string()), ("header", pa.string()), ("bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for path in rows.column(0).to_pylist():
+                try:
+                    line, size = _head(path, opener)
+                    out.append((path, line.decode("utf-8", "replace"), size))
+                except (OSError, ValueError, NotImplementedError, ImportError):  # what Arrow raises for a foreign store
+                    out.append((path, None, 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    bundles = max(spark.sparkContext.defaultParallelism, -(-files.count() // BUNDLE_FILES))
+    found = cut_lineage(files.repartition(bundles, "csv_path").mapInArrow(run, "csv_path string, header string, bytes long"))
+    if found.where("header IS NULL").isEmpty():
+        return found
     lines = _lines(spark, roots, pattern).where(F.col("_block") == 0)
-    return lines.groupBy("csv_path").agg(F.min_by("value", "_line").alias("header"), F.min("_line").alias("first"))
+    size = F.sum(F.octet_length("value") + 1)
+    first = lines.groupBy("csv_path").agg(F.min_by("value", "_line").alias("header"), size.alias("bytes"))
+    unread = found.where("header IS NULL").select("csv_path")
+    return cut_lineage(found.where("header IS NOT NULL").unionByName(first.join(unread, "csv_path", "left_semi")))
 
 
 def scan_csv(
@@ -68,38 +119,51 @@ def scan_csv(
     roots: Sequence[str],
     columns: Sequence[str] = tuple(TRAJECTORY_COLUMNS),
     pattern: str = "*.csv",
+    heads: DataFrame | None = None,
 ) -> Scan:
     """Reads ``columns`` by name from files whose headers may differ in order and extra columns.
 
-    The text is read twice: once for the headers, once for the values, which each file's own column
-    positions pick from the split lines; the values are kept in the checkpoint folder. Files without a
-    needed column, or with a line of another length or a value that is not a number, go to
-    ``bad_files`` and never stop the corpus. An empty cell is undefined (NaN).
+    ``heads`` (the files' first lines, see ``headers``) fixes which files are read; files that arrive later
+    are left for the next scan. The text is then read once: lines of files with the commonest layout need no
+    join, those of other files learn their column positions from a table of exceptions. The values are kept in
+    the checkpoint folder, where a line's place in its file is fixed. The line that equals the file's header is
+    the header. Files without a needed column, or with a line of another length, a value that is not a number
+    or a second header, go to ``bad_files`` and never stop the corpus. An empty cell is undefined (NaN).
     """
     columns = list(columns)
-    found = cut_lineage(headers(spark, roots, pattern))
+    heads = headers(spark, roots, pattern) if heads is None else heads
     names = F.transform(F.split("header", ","), lambda c: F.trim(c))
     absent = F.array_except(F.array(*map(F.lit, columns)), names)
-    judged = found.select(
-        "csv_path", "first", F.size(names).alias("_width"), absent.alias("_absent"),
+    judged = heads.select(
+        "csv_path", "header", F.size(names).alias("_width"), absent.alias("_absent"),
         F.array(*[F.array_position(names, c).cast("int") for c in columns]).alias("_at"),
     )
     missing = judged.where(F.size("_absent") > 0).select(
         "csv_path",
         F.concat(F.lit("ValueError: missing columns: "), F.array_join("_absent", ", ")).alias("error"),
     )
-    layouts = judged.where(F.size("_absent") == 0).drop("_absent")
-    lines = _lines(spark, roots, pattern).join(layouts, "csv_path")  # one row per file; AQE plans it
-    lines = lines.where((F.col("_line") != F.col("first")) & (F.trim("value") != ""))
-    lines = lines.withColumn("_cells", F.split("value", ",", -1))
-    cell = {c: F.trim(F.get("_cells", F.get("_at", F.lit(i)) - 1)) for i, c in enumerate(columns)}
+    usable = judged.where(F.size("_absent") == 0).drop("_absent")
+    common = usable.groupBy("header", "_width", "_at").count().orderBy(F.desc("count"), "header").first()
+    if common is None:
+        nothing = ", ".join(f"{c} double" for c in columns)
+        return Scan(spark.createDataFrame([], f"csv_path string, stem string, subdir string, _block long, _line long, {nothing}"), missing)
+    layout = F.struct(F.lit(common["header"]).alias("header"), F.lit(common["_width"]).alias("width"), F.array(*map(F.lit, common["_at"])).alias("at"))
+    others = usable.where(F.col("header") != common["header"]).select(
+        "csv_path", F.struct("header", F.col("_width").alias("width"), F.col("_at").alias("at")).alias("_own")
+    )
+    others = others.unionByName(missing.select("csv_path"), allowMissingColumns=True).withColumn("_listed", F.lit(True))
+    lines = _lines(spark, roots, pattern).join(broadcast_checked(cut_lineage(others)), "csv_path", "left")
+    lines = lines.where((F.trim("value") != "") & (F.col("_listed").isNull() | F.col("_own").isNotNull()))
+    lines = lines.withColumns({"_as": F.coalesce("_own", layout), "_cells": F.split("value", ",", -1)})
+    cell = {c: F.trim(F.get("_cells", F.get("_as.at", F.lit(i)) - 1)) for i, c in enumerate(columns)}
     suffixed = {c: x.rlike("[0-9.][dDfF]$") for c, x in cell.items()}  # a cast would read 1d as a number
+    values = {
+        c: F.when(F.coalesce(x, F.lit("")) == "", F.lit(float("nan"))).when(~suffixed[c], x.try_cast("double"))
+        for c, x in cell.items()
+    }
     lines = lines.select(
-        "csv_path", "_block", "_line", "value", (F.size("_cells") != F.col("_width")).alias("_uneven"),
-        *[
-            F.when(F.coalesce(x, F.lit("")) == "", F.lit(float("nan"))).when(~suffixed[c], x.try_cast("double")).alias(c)
-            for c, x in cell.items()
-        ],
+        "csv_path", "_block", "_line", "value", ((F.col("_block") == 0) & (F.col("value") == F.col("_as.header"))).alias("_head"),
+        (F.size("_cells") != F.col("_as.width")).alias("_uneven"), *[v.alias(c) for c, v in values.items()],
     )
     broken = F.col("_uneven")
     for c in columns:
@@ -107,16 +171,22 @@ def scan_csv(
     path = F.col("csv_path")
     parsed = cut_lineage(
         lines.select(
-            path, file_name_stem(path).alias("stem"), parent_dir(path).alias("subdir"), "_block", "_line", *columns,
-            F.when(broken, F.col("value")).alias("_corrupt"),
+            path, file_name_stem(path).alias("stem"), parent_dir(path).alias("subdir"), "_block", "_line", "_head", *columns,
+            F.when(broken | F.col("_head"), F.col("value")).alias("_corrupt"),
         )
     )
-    corrupt = (
-        parsed.where(F.col("_corrupt").isNotNull())
-        .groupBy("csv_path")
-        .agg(F.concat(F.lit("ValueError: not numeric: "), F.min("_corrupt")).alias("error"))
+    odd = parsed.where(F.col("_corrupt").isNotNull()).groupBy("csv_path").agg(
+        F.count_if("_head").alias("heads"),
+        F.coalesce(F.min(F.when(~F.col("_head"), F.col("_corrupt"))), F.min("_corrupt")).alias("line"),
+        F.count_if(~F.col("_head")).alias("lines"),
+    )
+    listed = heads.select("csv_path")
+    corrupt = odd.where("lines > 0 OR heads > 1").join(listed, "csv_path", "left_semi").select(
+        "csv_path", F.concat(F.lit("ValueError: not numeric: "), F.col("line")).alias("error")
     )
-    rows = parsed.join(corrupt.select("csv_path"), "csv_path", "left_anti").drop("_corrupt")
+    later = parsed.select("csv_path").distinct().join(listed, "csv_path", "left_anti")
+    out = cut_lineage(corrupt.select("csv_path").unionByName(later))
+    rows = parsed.where(~F.col("_head")).join(broadcast_checked(out), "csv_path", "left_anti").drop("_corrupt", "_head")
     return Scan(rows, missing.unionByName(corrupt))
 
 
