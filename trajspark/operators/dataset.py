@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,13 +16,18 @@ from trajspark.functions.flatmap import flat_map
 from trajspark.operators.kinematics import check_vectors, row_delta
 from trajspark.operators.linalg import fold_parts, folded_parts
 from trajspark.operators.windows import (
+    FIELDS,
+    POSITION_FIELDS,
     WindowConfig,
+    WindowStarts,
     extract_windows,
     flat_history,
+    pack_targets,
     target_of,
     target_slices,
     total_width,
     window_count,
+    window_rows,
 )
 from trajspark.plans.ordering import with_halo
 from trajspark.plans.quantiles import quantiles
@@ -50,6 +56,11 @@ def channel_moments(df: DataFrame, arrays: Sequence[str], by: str | None = None)
         return out
 
     partials = folded_parts(df, [*arrays, *([by] if by else [])], reduce_batch, _merge_moments)
+    return _moment_rows(partials, by)
+
+
+def _moment_rows(partials: DataFrame, by: str | None = None) -> DataFrame:
+    group = by or "_group"
     whole = fold_parts(partials.withColumn("task", F.lit(0).cast("bigint")), _merge_moments)
     size = F.expr("(size(cells) - 1) div 2").cast("int")
     rows = whole.select(
@@ -61,10 +72,12 @@ def channel_moments(df: DataFrame, arrays: Sequence[str], by: str | None = None)
     return rows.select(*([by] if by else []), "array_name", "channel", "n", "s.mean", "s.m2")
 
 
-def _moments(x: np.ndarray) -> np.ndarray:
-    """Row count, channel means and summed squared deviations in one array."""
-    mean = x.mean(axis=0)
-    return np.concatenate([[len(x)], mean, ((x - mean) ** 2).sum(axis=0)])
+def _moments(x: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Row count, channel means and summed squared deviations in one array; rows count ``weight`` times."""
+    weight = np.ones(len(x)) if weight is None else weight
+    total = weight.sum()
+    mean = weight @ x / total
+    return np.concatenate([[total], mean, weight @ (x - mean) ** 2])
 
 
 def _merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,6 +87,80 @@ def _merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([[total], mean_a + gap * (b[0] / total), m2_a + m2_b + gap**2 * (n * b[0] / total)])
 
 
+def window_moments(
+    rows: DataFrame,
+    config: WindowConfig = WindowConfig(),
+    key: str = "stem",
+    step: str = "step",
+    valid: str | None = "valid",
+    action: str = "j",
+    targets: bool = True,
+) -> DataFrame:
+    """``channel_moments`` of the windows of ``rows``, without building a window.
+
+    Trajectories flow through each task in order of (key, segment, step). A window is a first row whose frame
+    stays in its segment and holds no invalid row. How many windows read a row in their past, and how many in
+    their future, are two counts made from the starts; they weigh the row's channels. Positions are relative
+    to the anchor, so they are taken slot by slot as differences of two rows. A task holds a batch and one
+    frame of rows.
+    """
+    fields = [FIELDS[f][0] for f in config.observed]
+    vectors = ["p", *fields, action]
+    if targets:
+        rows, vectors = rows.withColumn("_target", pack_targets()), [*vectors, "_target"]
+    position = [f in POSITION_FIELDS for f in config.observed]
+    at, width = target_slices()["p_quad"]
+    gap = config.stride
+
+    def per_task():
+        stream = WindowStarts(config, vectors)
+
+        def reduce(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            data, first = stream(batch)
+            n = len(data["p"])
+            if not len(first):
+                return {}
+            out = {}
+            anchor = first + (config.history - 1) * gap
+            origin = data["p"][anchor]
+            for part, slots in (("hist", range(config.history)), ("future", range(config.history, config.span))):
+                times = sum(np.bincount(first + k * gap, minlength=n) for k in slots).astype(float)
+                read = times > 0
+                pieces = []
+                for field, relative in zip(fields, position):
+                    if not relative:
+                        pieces.append(_moments(data[field][read], times[read]))
+                        continue
+                    moved = [_moments(data[field][first + k * gap] - origin) for k in slots]
+                    pieces.append(functools.reduce(_merge_moments, moved))
+                mean, m2 = (np.concatenate([x[1:].reshape(2, -1)[i] for x in pieces]) for i in (0, 1))
+                out[f"state_{part}|all"] = np.concatenate([pieces[0][:1], mean, m2])
+                out[f"action_{part}|all"] = _moments(data[action][read], times[read])
+            if targets:
+                packed = data["_target"][anchor]
+                packed[:, at : at + width] -= origin
+                out["targets|all"] = _moments(packed)
+            return out
+
+        return reduce
+
+    ordered = window_rows(rows, config, vectors, key, step, valid)
+    return _moment_rows(folded_parts(ordered, ordered.columns, per_task, _merge_moments, per_task=True))
+
+
+def row_norm_stats(
+    rows: DataFrame,
+    config: WindowConfig = WindowConfig(),
+    key: str = "stem",
+    source_split: str = "train",
+    eps: float = 1e-6,
+    split: str = "split",
+    **options,
+) -> DataFrame:
+    """``norm_stats`` of the windows of flat-mapped ``rows``, from the rows of the source split alone."""
+    return _scales(window_moments(rows.where(F.col(split) == source_split), config, key, **options), source_split, eps)
+
+
 def norm_stats(
     windows: DataFrame,
     arrays: Sequence[str] = ARRAYS,
@@ -82,7 +169,10 @@ def norm_stats(
     split: str = "split",
 ) -> DataFrame:
     """Per-channel mean and population std of the source split; near-constant channels get std 1."""
-    m = channel_moments(windows.where(F.col(split) == source_split), arrays)
+    return _scales(channel_moments(windows.where(F.col(split) == source_split), arrays), source_split, eps)
+
+
+def _scales(m: DataFrame, source_split: str, eps: float) -> DataFrame:
     std = F.sqrt(F.col("m2") / F.col("n"))
     return m.select(
         "array_name",
@@ -262,13 +352,15 @@ def write_dataset(
     normalize: bool = True,
     audit: DataFrame | None = None,
     extra_metadata: dict | None = None,
+    stats: DataFrame | None = None,
 ) -> None:
     """Float32 windows partitioned by split, statistics, metadata and the build report.
 
-    Refuses when the training split is empty: there would be nothing to normalise by.
+    ``stats`` are those of ``row_norm_stats`` where the rows are at hand, otherwise they are taken from the
+    windows. Refuses when the training split is empty: there would be nothing to normalise by.
     """
     spark = windows.sparkSession
-    stats = cut_lineage(norm_stats(windows))
+    stats = cut_lineage(norm_stats(windows) if stats is None else stats)
     if stats.isEmpty():
         raise ValueError("training split has no windows; check splits and trajectory lengths")
     stats.write.mode("overwrite").json(f"{path}/normalization")

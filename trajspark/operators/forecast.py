@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.arrow import matrix
 from trajspark.operators.linalg import collect_parts, summed_parts
-from trajspark.operators.windows import WindowConfig
+from trajspark.operators.windows import WindowConfig, WindowStarts, window_rows
 from trajspark.plans.ordering import segment_window, with_halo
 
 
@@ -70,7 +70,10 @@ def rollout_error(
         return {"sq": (gap**2).sum(axis=(0, 2)), "n": np.array([float(len(gap))])}
 
     rows = df.select(F.element_at(hist, -1).alias("_start"), action, actual)
-    sums = collect_parts(summed_parts(rows, ["_start", action, actual], reduce_batch))
+    return _per_step(df, collect_parts(summed_parts(rows, ["_start", action, actual], reduce_batch)))
+
+
+def _per_step(df: DataFrame, sums: dict[str, np.ndarray]) -> DataFrame:
     n = float(sums["n"][0]) if sums else 0.0
     table = [(k + 1, float(e), n, float(e) / max(n, 1.0)) for k, e in enumerate(sums.get("sq", []))]
     return df.sparkSession.createDataFrame(
@@ -78,6 +81,50 @@ def rollout_error(
     )
 
 
+def rollout_error_ahead(
+    df: DataFrame,
+    config: WindowConfig,
+    dt: float,
+    exact: bool = True,
+    key: str = "stem",
+    step: str = "step",
+    valid: str | None = "valid",
+    action: str = "j",
+) -> DataFrame:
+    """``rollout_error`` of the windows of rows with p, v, a and ``action``, without building windows.
+
+    Every anchor's state moves on step by step beside the rows that lie that far ahead, for all anchors of a
+    batch at once; a task keeps one total per step.
+    """
+
+    def per_task():
+        stream = WindowStarts(config, ["p", "v", "a", action])
+
+        def reduce(batch):
+            data, first = stream(batch)
+            if not len(first):
+                return {}
+            at = first + (config.history - 1) * config.stride
+            p, v, a = (data[c][at] for c in "pva")
+            errors = []
+            for _ in range(config.horizon):
+                at = at + config.stride
+                j = data[action][at]
+                if exact:
+                    p = p + v * dt + a * dt**2 / 2 + j * dt**3 / 6
+                    v = v + a * dt + j * dt**2 / 2
+                else:
+                    p, v = p + v * dt, v + a * dt
+                a = a + j * dt
+                errors.append(sum(((x - data[c][at]) ** 2).sum() for x, c in ((p, "p"), (v, "v"), (a, "a"))))
+            return {"sq": np.array(errors), "n": np.array([float(len(first))])}
+
+        return reduce
+
+    rows = window_rows(df, config, ["p", "v", "a", action], key, step, valid)
+    return _per_step(df, collect_parts(summed_parts(rows, rows.columns, per_task, per_task=True)))
+
+
 def hold_last(hist: Column | str, horizon: int) -> Column:
     return F.array_repeat(F.element_at(hist, -1), horizon)
 

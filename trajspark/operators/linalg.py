@@ -33,10 +33,13 @@ def _partial(task: int, parts: dict[str, np.ndarray]) -> pa.RecordBatch:
 _KIND = "task bigint, part string, cells array<double>"
 
 
-def folded_parts(df: DataFrame, columns: Sequence[str], reduce_batch, combine, levels: int = 2) -> DataFrame:
+def folded_parts(
+    df: DataFrame, columns: Sequence[str], reduce_batch, combine, levels: int = 2, per_task: bool = False
+) -> DataFrame:
     """Partial arrays (task, part, cells): ``reduce_batch(batch) -> {name: array}``, combined two by two.
 
-    A task combines its own batches; tasks then fold by FAN_IN, ``levels`` times, so one array is left per
+    With ``per_task`` each task calls ``reduce_batch()`` once for a function that may keep rows between its
+    batches. A task combines its own batches; tasks then fold by FAN_IN, ``levels`` times, so one array is left per
     FAN_IN**levels tasks and no group holds more than FAN_IN.
     """
 
@@ -44,10 +47,11 @@ def folded_parts(df: DataFrame, columns: Sequence[str], reduce_batch, combine, l
         from pyspark import TaskContext
 
         acc: dict[str, np.ndarray] = {}
+        reduce = reduce_batch() if per_task else reduce_batch
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for name, value in reduce_batch(batch).items():
+            for name, value in reduce(batch).items():
                 value = np.asarray(value, dtype=np.float64)
                 acc[name] = combine(acc[name], value) if name in acc else value
         yield _partial(TaskContext.get().partitionId(), acc)
@@ -71,9 +75,9 @@ def fold_parts(partials: DataFrame, combine) -> DataFrame:
     return partials.groupBy("task", "part").applyInArrow(fold, _KIND)
 
 
-def summed_parts(df: DataFrame, columns: Sequence[str], reduce_batch) -> DataFrame:
+def summed_parts(df: DataFrame, columns: Sequence[str], reduce_batch, per_task: bool = False) -> DataFrame:
     """(part, pos, v): sums of the arrays that ``reduce_batch`` makes of every batch."""
-    partials = folded_parts(df, columns, reduce_batch, np.add)
+    partials = folded_parts(df, columns, reduce_batch, np.add, per_task=per_task)
     cells = partials.select("part", F.posexplode("cells").alias("pos", "v"))
     return cells.groupBy("part", "pos").agg(F.sum("v").alias("v"))
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.functions.arrow import matrix
 from trajspark.functions.vectors import array_sub, first_two_columns
 from trajspark.plans.ordering import segment_window, with_halo
 from trajspark.schema import TARGETS
@@ -150,6 +153,50 @@ def extract_windows(
     return rows.selectExpr(*columns)
 
 
+def window_rows(
+    rows: DataFrame, config: WindowConfig, vectors: list[str], key: str = "stem", step: str = "step", valid: str | None = "valid"
+) -> DataFrame:
+    """Rows in order of (key, segment, step) for ``WindowStarts``, each segment with the rows its windows reach."""
+    gate = valid if (valid and config.require_valid) else None
+    vectors = list(dict.fromkeys(vectors))
+    slim = rows.select(key, step, *([gate] if gate else []), *vectors)
+    seg = with_halo(slim, key, before=0, after=config.reach, step=step)
+    ok = F.coalesce(gate, F.lit(False)) if gate else F.lit(True)
+    width = lambda c: total_width() if c == "_target" else 3
+    return seg.select(
+        F.row_number().over(segment_window(key, step)).alias("_nth"),  # asks Spark for this order
+        "own", ok.alias("_ok"),
+        # an invalid row is in no window, whatever it holds
+        *[F.when(ok, F.col(c)).otherwise(F.array_repeat(F.lit(float("nan")), width(c))).alias(c) for c in vectors],
+    )
+
+
+class WindowStarts:
+    """Finds windows in a task's stream of ``window_rows`` batches; keeps one frame of rows between batches."""
+
+    def __init__(self, config: WindowConfig, vectors: list[str]):
+        self.config, self.vectors = config, list(dict.fromkeys(vectors))
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The rows at hand, and the first row of every window whose last row has arrived with this batch."""
+        flat = ("_nth", "own", "_ok")
+        data = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in flat}
+        data |= {c: matrix(batch, c) for c in self.vectors}
+        if self.kept:
+            data = {c: np.concatenate([self.kept[c], x]) for c, x in data.items()}
+        reach, n = self.config.reach, len(data["_nth"])
+        self.kept = {c: x[max(n - reach, 0) :] for c, x in data.items()}
+        starts = max(n - reach, 0)
+        # a frame of one segment: numbers of its first and last row differ by its length
+        whole = data["_nth"][n - starts :] == data["_nth"][:starts] + reach
+        first = np.flatnonzero(data["own"][:starts].astype(bool) & whole)
+        bad = np.zeros(len(first), bool)
+        for k in range(self.config.span):
+            bad |= ~data["_ok"][first + k * self.config.stride].astype(bool)
+        return data, first[~bad]
+
+
 def total_width() -> int:
     return sum(width for _, width, _, _ in TARGETS)
 

@@ -410,7 +410,7 @@ stats AS (
     f"WITH {STATS} SELECT array_name, channel, {q6('mean')} AS mean, {q6('std')} AS std, n_samples FROM stats",
 )
 def norm_stats(spark, sf):
-    s = dataset.norm_stats(_windows(spark, sf, targets=True))
+    s = dataset.row_norm_stats(flat_map(phys_steps(spark, sf)))
     return s.select(
         "array_name", "channel", r6("mean").alias("mean"), r6("std").alias("std"), "n_samples"
     )
@@ -425,7 +425,7 @@ FROM z GROUP BY ALL""",
 )
 def normalised_windows(spark, sf):
     w = _windows(spark, sf, targets=True)
-    scaled = dataset.normalise(w, dataset.stats_row(dataset.norm_stats(w)))
+    scaled = dataset.normalise(w, dataset.stats_row(dataset.row_norm_stats(flat_map(phys_steps(spark, sf)))))
     rows = dataset.channel_moments(scaled, dataset.ARRAYS, by="split")
     return rows.select(
         "split", "array_name", "channel", r6("mean", 5).alias("mean"),
@@ -440,7 +440,7 @@ def normalised_windows(spark, sf):
 def denorm_roundtrip(spark, sf):
     """Normalise, denormalise, and compare every state entry with the original."""
     w = _windows(spark, sf, targets=True)
-    stats = dataset.stats_row(dataset.norm_stats(w))
+    stats = dataset.stats_row(dataset.row_norm_stats(flat_map(phys_steps(spark, sf))))
     w = w.withColumn("original", F.col("state_future"))
     back = dataset.denormalise(dataset.normalise(w, stats), stats)
     gap = F.array_max(
@@ -519,7 +519,7 @@ r3 AS (SELECT *, """
 FROM r3 GROUP BY h""",
 )
 def rollout_forecast(spark, sf):
-    errors = forecast.rollout_error(_windows(spark, sf), 0.1)
+    errors = forecast.rollout_error_ahead(flat_map(phys_steps(spark, sf)), WindowConfig(), 0.1)
     return errors.select("horizon_step", r6("mse").alias("mse"))
 
 
