@@ -125,14 +125,14 @@ def test_query_matches_sql(spark, small, name):
 
 
 def test_pipeline_matches_brute_force(spark, small):
-    from test_matching import expected
+    from test_neardup import heads_of
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
     items = [r.text.lower().split() for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     good = {r.doc_id for r in quality.score(docs, quality.train(docs, labels)).where("kept").collect()}
     rows = [r for r in docs.collect() if r.doc_id in good]
-    heads = {g for _, _, g in expected(rows)}
+    heads = heads_of({r.doc_id: r.text for r in rows})
     rows = [r for r in rows if r.doc_id in heads]
 
     def leaks(text):
