@@ -113,3 +113,38 @@ def test_compaction_and_replay(spark, tmp_path):
     write(2, [("b", 2), ("c", 2)])  # the last batch again
     assert read() == {"a": 1, "b": 2, "c": 2}
     assert jobs.compact(spark, out, "k") == 2 and read() == {"a": 1, "b": 2, "c": 2}
+
+
+def epochs(spark, rows):
+    """(run, epoch, minutes, rank) as a log of epochs."""
+    table = spark.createDataFrame(rows, "run string, epoch long, minute long, effective_rank double")
+    return table.select(
+        "run", "epoch", F.timestamp_seconds((F.col("minute") + 10_000) * 60).alias("time"), "effective_rank",
+        F.lit(24).alias("latent_dim"), F.lit(1.0).alias("variance_mean"), F.lit(1.0).alias("pairwise_distance_mean"),
+    )
+
+
+def test_alarm_once_per_run_with_restarts_and_expiry(spark, tmp_path):
+    """Each append is drained by a query of its own, so the state goes through a restart every time."""
+    from datetime import timedelta
+
+    src, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    appends = [
+        [("a", 1, 0, 5.0), ("b", 1, 0, 1.0), ("b", 2, 1, 1.5)],
+        [("a", 2, 5, 1.0), ("a", 3, 6, 0.5), ("b", 3, 6, 1.0), ("c", 1, 6, 9.0)],
+        [("a", 4, 9, 0.1), ("late", 1, 1, 0.1), ("c", 2, 9, 1.0)],
+        [("d", 1, 500, 9.0)],  # the watermark passes the last epochs of a, b and c
+        [("d", 2, 501, 9.0), ("late", 2, 2, 0.1)],  # hours behind: dropped
+        [("a", 9, 502, 0.2)],  # a run come back after its state has expired
+    ]
+    left = []
+    for rows in appends:
+        epochs(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        with jobs.keyed_state(spark):
+            alarms = jobs.collapse_alarms(jobs.table_stream(spark, src), delay="20 minutes", ttl=timedelta(minutes=60))
+            query = jobs.run_available(alarms, out, state, mode="append")
+        left.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r["run"], r["epoch"], r["reasons"]) for r in spark.read.parquet(out).collect())
+    why = "effective_rank"
+    assert got == [("a", 2, why), ("a", 9, why), ("b", 1, why), ("c", 2, why), ("late", 1, why)]
+    assert max(left[:3]) > 0 and left[4] < max(left[:3])  # nothing is kept for runs that are over or never tripped

@@ -7,12 +7,16 @@ them into one table from time to time, so reads do not grow with the number of b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trajspark.operators.diagnostics import collapse_alarm
 from trajspark.operators.manifest import latest_wins
@@ -168,6 +172,77 @@ def first_collapse(log: DataFrame, run: str = "run", **thresholds) -> DataFrame:
     )
 
 
+class CollapseMonitor(StatefulProcessor):
+    """One alarm per run: state exists for runs that have alarmed, until ``ttl`` after their last epoch.
+
+    The earliest tripped epoch of the batch that first trips is the alarm; later epochs of the run only move
+    the timer on. When the watermark passes it, the run is forgotten, and would alarm again.
+    """
+
+    def __init__(self, ttl: timedelta, run: str = "run"):
+        self.ttl, self.run = int(ttl.total_seconds() * 1000), run
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alarmed = handle.getValueState("alarmed", "epoch long, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.alarmed.get() if self.alarmed.exists() else None
+        latest, first = 0, None
+        for part in rows:
+            latest = max(latest, int(part["at_ms"].max()))
+            tripped = part[part["why"] != ""]
+            if len(tripped):
+                row = tripped.loc[tripped["epoch"].idxmin()]
+                if first is None or row["epoch"] < first["epoch"]:
+                    first = row
+        if known is None and first is None:
+            return
+        until = max(latest + self.ttl, known[1] if known else 0)
+        if known is None or until > known[1]:
+            if known:
+                self.handle.deleteTimer(known[1])
+            self.handle.registerTimer(until)
+            self.alarmed.update((known[0] if known else int(first["epoch"]), until))
+        if known is None:
+            yield pd.DataFrame({self.run: [key[0]], "epoch": [int(first["epoch"])], "reasons": [first["why"]]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarmed.clear()
+        yield from ()
+
+
+def collapse_alarms(
+    log: DataFrame, run: str = "run", time: str = "time", delay: str = "1 hour", ttl: timedelta = timedelta(days=7), **thresholds
+) -> DataFrame:
+    """run, epoch, reasons (comma-joined) of each run's alarm, emitted once, over a stream of epochs.
+
+    ``time`` is an epoch's event time: epochs later than ``delay`` behind the stream are dropped, and a run is
+    forgotten ``ttl`` after its last epoch, so state does not grow with the runs of the past. Start the query
+    inside ``keyed_state``.
+    """
+    flagged = collapse_alarm(log.withWatermark(time, delay), **{"distance": "pairwise_distance_mean", **thresholds})
+    slim = flagged.select(
+        run, F.col("epoch").cast("long").alias("epoch"), time, F.unix_millis(time).alias("at_ms"), F.array_join("reasons", ",").alias("why")
+    )
+    kind = log.schema[run].dataType.simpleString()
+    return slim.groupBy(run).transformWithStateInPandas(
+        CollapseMonitor(ttl, run), outputStructType=f"{run} {kind}, epoch long, reasons string", outputMode="append", timeMode="eventTime"
+    )
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state in RocksDB, as timers and typed state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class ProgressCallback(StreamingQueryListener):
     """Calls ``on_result(batch_id, rows)`` after every micro-batch."""
 

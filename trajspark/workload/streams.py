@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from trajspark.functions.hashing import split_of, unit_md5
@@ -68,10 +70,14 @@ def stream_collapse(spark, sf):
     log = _events(spark, sf).select(
         F.col("user_id").alias("run"),
         F.col("event_id").alias("epoch"),
+        F.col("ts").cast("timestamp").alias("time"),
         (value / 10).alias("effective_rank"),
         F.lit(24).alias("latent_dim"),
         (value / 1e7).alias("variance_mean"),
         (value / 1e5).alias("pairwise_distance_mean"),
     )
-    done = _drain(spark, jobs.first_collapse(log), "run")
-    return done.withColumn("reasons", F.array_join("reasons", ","))
+    out = scratch_path(spark, "alarms")
+    with jobs.keyed_state(spark):
+        alarms = jobs.collapse_alarms(log, delay="36500 days", ttl=timedelta(days=36500))  # every event is an epoch in time
+        jobs.run_available(alarms, f"{out}/table", f"{out}/state", mode="append")
+    return spark.read.parquet(f"{out}/table").select("run", "epoch", "reasons")
