@@ -136,6 +136,29 @@ def test_later_append_wins(spark, tmp_path):
     assert manifests.read_solve_info(spark, [path]).first()["solver_status"] == "v3"
 
 
+def test_many_writers_append_at_once(spark, tmp_path):
+    """Concurrent writers get numbers of their own; what crashed writers leave behind is not read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "info")
+
+    def write(k):
+        rows = [("shared", f"v{k}"), (f"own{k}", f"v{k}")]
+        return k, manifests.append_solve_info(spark.createDataFrame(rows, "stem string, solver_status string"), path)
+
+    first = write(99)[1]
+    (tmp_path / "info" / "_pending-dead").mkdir()
+    (tmp_path / "info" / "_pending-dead" / "part.json").write_text('{"stem":"shared","solver_status":"dead"}\n')
+    (tmp_path / "info" / "_claims" / "000003").touch()  # claimed by a writer that died before its rename
+    with ThreadPoolExecutor(4) as pool:
+        numbers = dict(pool.map(write, range(8)))
+    taken = sorted(numbers.values())
+    assert first == 1 and len(set(taken)) == 8 and 3 not in taken
+    out = {r["stem"]: r["solver_status"] for r in manifests.read_solve_info(spark, [path]).collect()}
+    last = max(numbers, key=numbers.get)
+    assert out == {"shared": f"v{last}", "own99": "v99", **{f"own{k}": f"v{k}" for k in range(8)}}
+
+
 def test_many_headers(spark, tmp_path):
     for k in range(1500):
         (tmp_path / f"f{k}.csv").write_text(f"extra{k},time\n1,{k}\n")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,14 +159,45 @@ def read_solve_info(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return latest_wins(flat, "stem", order).drop(*order)
 
 
-def append_solve_info(info: DataFrame, path: str) -> None:
-    """Adds records in a folder of their own, numbered after the last one there (one writer at a time)."""
+def _claim(spark: SparkSession, folder: str) -> int:
+    """The next number of ``folder`` that no other writer holds: its marker is created exclusively, or the next tried."""
+    jvm = spark._jvm
+    claims = jvm.org.apache.hadoop.fs.Path(f"{folder}/_claims")
+    store = claims.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(claims)
+    names = [f.getPath().getName() for p in (claims, claims.getParent()) for f in store.listStatus(p)]
+    number = max((int(n.removeprefix(f"{APPEND_SEQ}=")) for n in names if n.removeprefix(f"{APPEND_SEQ}=").isdigit()), default=0) + 1
+    while True:
+        marker = jvm.org.apache.hadoop.fs.Path(claims, f"{number:06d}")
+        try:
+            if store.getUri().getScheme() == "file":  # only the operating system creates exclusively there
+                local = jvm.java.nio.file.Paths.get(marker.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createFile(local, spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            else:
+                store.create(marker, False).close()
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            number += 1
+
+
+def append_solve_info(info: DataFrame, path: str) -> int:
+    """Adds records in a folder of their own and returns its number; any number of writers may append at once.
+
+    The records are written under a hidden name first. The writer then claims the next number and renames its
+    folder to it, so readers see whole appends in the order of their claims. A writer that dies leaves a
+    hidden folder or an unused number, which nobody reads.
+    """
     spark = info.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in store.listStatus(root)] if store.exists(root) else []
-    last = max((int(n.split("=")[1]) for n in names if n.startswith(f"{APPEND_SEQ}=")), default=0)
-    info.write.json(f"{path}/{APPEND_SEQ}={last + 1:06d}")
+    pending = f"{path}/_pending-{uuid.uuid4().hex}"
+    info.write.json(pending)
+    number = _claim(spark, path)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (pending, f"{path}/{APPEND_SEQ}={number:06d}"))
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.rename(source, target):
+        raise OSError(f"cannot rename {pending} to {target}")
+    return number
 
 
 def read_solver_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -81,3 +81,26 @@ def stream_collapse(spark, sf):
         alarms = jobs.collapse_alarms(log, delay="36500 days", ttl=timedelta(days=36500))  # every event is an epoch in time
         jobs.run_available(alarms, f"{out}/table", f"{out}/state", mode="append")
     return spark.read.parquet(f"{out}/table").select("run", "epoch", "reasons")
+
+
+@query(
+    "stream_solve_info",
+    """SELECT 's' || user_id AS stem, arg_max(event_type, event_id) AS solver_status, arg_max(value, event_id) AS solve_time_s
+FROM events GROUP BY user_id""",
+)
+def stream_solve_info(spark, sf):
+    """Solver records that arrive as files in three batches; each is merged by a run of its own."""
+    root = scratch_path(spark, "sidecars")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    batch = F.floor(F.col("event_id") * 3 / F.lit(last + 1))
+    for k in range(3):
+        rows = events.where(batch == k).select(
+            F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("stem"), F.col("event_type").alias("solver_status"),
+            F.col("value").alias("solve_time_s"), "event_id",
+        )
+        # a file's lines are its records in order
+        rows.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").drop("event_id").write.mode("append").json(f"{root}/in")
+        jobs.merge_solve_info(spark, f"{root}/in", f"{root}/table", f"{root}/state")
+    jobs.compact(spark, f"{root}/table", "stem")
+    return jobs.current_table(spark, f"{root}/table", "stem").select("stem", "solver_status", "solve_time_s")
