@@ -165,3 +165,63 @@ def epoch_log_scan(spark, sf):
     epoch_log(spark, sf).withColumn("run", F.col("run").cast("string")).write.json(path)
     log = manifests.read_epoch_log(spark, path, stage=1)
     return log.groupBy("run").agg(F.count("*").alias("epochs"), r6(F.min("val.loss")).alias("best"))
+
+
+def _named(spark, raw: str, root: str, suffix: str) -> None:
+    """Moves the one file of each ``raw/sub=S/name=N`` folder to ``root/S/N.suffix``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
+    for sub in store.listStatus(path(raw)):
+        if "=" not in sub.getPath().getName():
+            continue
+        folder = f"{root}/{sub.getPath().getName().split('=')[1]}"
+        store.mkdirs(path(folder))
+        for name in store.listStatus(sub.getPath()):
+            parts = [f.getPath() for f in store.listStatus(name.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise ValueError(f"{name.getPath()} holds {len(parts)} files")
+            store.rename(parts[0], path(f"{folder}/{name.getPath().getName().split('=')[1]}.{suffix}"))
+
+
+@query(
+    "manifest_build",
+    f"""WITH {PHYS}, f AS (SELECT 'a' AS sub, * FROM ph UNION ALL SELECT 'b' AS sub, * FROM ph WHERE step % 2 = 0),
+d AS (SELECT *, sqrt((p0 - lag(p0) OVER w)**2 + (p1 - lag(p1) OVER w)**2 + (p2 - lag(p2) OVER w)**2) AS hop
+      FROM f WINDOW w AS (PARTITION BY sub, stem ORDER BY step)),
+m AS (SELECT sub, stem, count(*) AS n, max(time) - min(time) AS total, coalesce(sum(hop), 0e0) AS path FROM d GROUP BY sub, stem),
+s AS (SELECT user_id AS stem, arg_max(event_type, event_id) AS status FROM events WHERE user_id % 3 <> 1 GROUP BY user_id)
+SELECT sub AS subdir, 'maze_' || stem || '_x' AS stem, 'maze_' || stem AS env_id,
+  CASE WHEN sub = 'b' AND stem % 5 = 0 THEN NULL ELSE n END AS n_timesteps,
+  CASE WHEN sub = 'b' AND stem % 5 = 0 THEN NULL ELSE {q6("path", 4)} END AS path_length_m,
+  CASE WHEN sub = 'b' AND stem % 5 = 0 THEN NULL ELSE status END AS solver_status, sub = 'a' AND stem % 3 = 0 AS has_params,
+  CASE WHEN sub = 'b' AND stem % 5 = 0 THEN 'unknown' WHEN status IS NULL THEN 'unknown' ELSE 'solver_log' END AS status_source,
+  sub = 'b' AND stem % 5 = 0 AS bad
+FROM m LEFT JOIN s USING (stem)""",
+)
+def manifest_build(spark, sf):
+    """One named CSV file per trajectory in two subfolders that share stems (one with every second step, where
+    every fifth file lacks a column), parameter files for some, and solver records for most."""
+    root = scratch_path(spark, "corpus")
+    name = F.concat(F.lit("maze_"), F.col("stem").cast("string"), F.lit("_x"))
+    steps = phys_steps(spark, sf).select("stem", name.alias("name"), "step", "time", *[F.col("p")[i].alias(f"sol_x_{i}") for i in range(3)])
+    copies = F.explode(F.when(F.col("step") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))))
+    files = steps.withColumn("sub", copies)
+    short = (F.col("sub") == "b") & (F.col("stem") % 5 == 0)
+    for k, (part, columns) in enumerate([(files.where(~short), ["sol_x_2", "time", "sol_x_0", "sol_x_1"]), (files.where(short), ["time", "sol_x_0"])]):
+        rows = part.repartition("sub", "name").sortWithinPartitions("sub", "name", "step").select("sub", "name", *columns)
+        rows.write.partitionBy("sub", "name").option("header", "true").csv(f"{root}/raw{k}")
+        _named(spark, f"{root}/raw{k}", f"{root}/csv", "csv")
+    params = files.where("sub = 'a' AND stem % 3 = 0").select("sub", "name").distinct().withColumn("value", F.lit("mass_quad: 1"))
+    params.repartition("sub", "name").write.partitionBy("sub", "name").text(f"{root}/raw_params")
+    _named(spark, f"{root}/raw_params", f"{root}/params", "yaml")
+    events = table(spark, sf, "events").where("user_id % 3 <> 1")
+    last = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("solver_status"))
+    manifests.append_solve_info(last.select(F.concat(F.lit("maze_"), F.col("user_id").cast("string"), F.lit("_x")).alias("stem"), "solver_status"), f"{root}/info")
+    built = manifests.build_manifest(
+        spark, f"{root}/csv", f"{root}/params", ["a", "b"], manifests.read_solve_info(spark, [f"{root}/info"])
+    )
+    return built.select(
+        "subdir", "stem", "env_id", "n_timesteps", r6("path_length_m", 4).alias("path_length_m"), "solver_status",
+        F.col("yaml_path").isNotNull().alias("has_params"), "status_source",
+        F.map_contains_key("extra", "csv_read_error").alias("bad"),
+    )
