@@ -163,15 +163,75 @@ def test_toxicity_on_held_out_labels(spark):
     assert accuracy(out, {r.doc_id: r.toxic for r in labels.collect()}) > 0.97
 
 
-def test_toxicity_ratio_adds_up(spark):
-    docs, labels = labelled(spark)
-    model = toxicity.train(docs, labels)
+def spelled(text):
+    """The spellings of a text, straight from the definition."""
+    out = []
+    for m in re.finditer(r"[a-zA-Z0-9\x80-\u07ff]+|[\u0800-\U0010ffff]+", text):
+        word = m.group()
+        if ord(word[0]) >= 0x800:
+            out += [word[i : i + toxicity.SCRIPT].encode() for i in range(len(word))]
+            continue
+        after = text[m.end() : m.end() + 1]
+        whole = word.translate(LOW).encode() + (b"" if after and ord(after) >= 0x800 else b"\0")
+        starts = [0]
+        if len(whole) > toxicity.ORDER:
+            starts = [len(word[:i].encode()) for i in range(len(word))]
+        out += [whole[i:][: toxicity.ORDER] for i in starts]
+    return out
+
+
+def brute_models(rows):
+    """Log probability of every beginning with mass of its own, ordinary and toxic."""
+    count = [collections.Counter(), collections.Counter()]
+    for text, y in rows:
+        count[y].update(u[:k] for u in spelled(text) for k in range(1, len(u) + 1))
+    below = collections.defaultdict(set)
+    for node in set(count[0]) | set(count[1]):
+        below[node[:-1]].add(node)
+
+    def log_p(node, k):
+        some = below[node[:-1]]
+        n, types = (sum(count[k][x] for x in some), [sum(count[c][x] > 0 for x in some) for c in (0, 1)])
+        shared = sum(count[c][node] > 0 for c in (0, 1)) / sum(types)
+        p = (max(count[k][node] - 1, 0) + types[k] * shared) / n if n else shared
+        return math.log(p) + (log_p(node[:-1], k) if len(node) > 1 else 0.0)
+
+    return {x: (log_p(x, 0), log_p(x, 1)) for x in set(count[0]) | set(count[1]) if max(count[0][x], count[1][x]) > 1}
+
+
+def test_toxicity_matches_brute_force(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    words = ["zgrub", "Zgruben", "lotus", "lot", "été", "слово", "你好世界", "天气很好今天", "“quoted”", "x" * 30, "Donaudampfschifffahrtsgesellschaft", "пере" * 9]
+    rows = [(" ".join(rnd.choices(words, k=rnd.randrange(0, 12))) + rnd.choice(["", "!", "。"]), i % 2) for i in range(40)]
+    model = toxicity.counted(spark.createDataFrame(rows, "text string, y int").repartition(3))
+    want = brute_models(rows)
+    assert len(model.beginnings) == len(want)
+    column = pa.array([t for t, _ in rows] + ["", None, "unseen ЖЖ", "zgrubish" * 5])
+    got = model.evidence(column)
+    for text, e in zip(column.to_pylist(), got):
+        sums, ratios, letters = [0.0, 0.0], [], 0
+        for u in spelled(text or ""):
+            k = max((k for k in range(1, len(u) + 1) if u[:k] in want), default=0)
+            ll = [x - (len(u) - k) * toxicity.EVEN for x in (want[u[:k]] if k else (0.0, 0.0))]
+            sums, letters = [a + b for a, b in zip(sums, ll)], letters + len(u)
+            ratios.append(ll[1] - ll[0])
+        assert abs(e[0] - sum(ratios) / max(len(ratios), 1)) < 1e-9
+        if letters:
+            assert abs(e[6] - sums[1] / letters) < 1e-9 and abs(e[7] - sums[0] / letters) < 1e-9
+        else:
+            assert math.isnan(e[6]) and math.isnan(e[7])
+
+
+def test_toxicity_reads_whole_words(spark):
+    """What stands late in a long word, or in a text without blanks, is evidence."""
     import pyarrow as pa
 
-    (b,) = blocks(pa.array(["zgruben lotus"]))
-    spelled, start, size, _ = toxicity._words(b)
-    ratio = model.words(spelled, start, size)
-    assert ratio[0] > 3 and abs(ratio[1]) < 1.5
+    rows = [("ein grauer hund lief heim 天气很好今天我们去公园散步吧", 0)] * 6 + [("ein zgrubo hund lief heim 天气很好今天我们去公园坏蛋", 1)] * 6
+    model = toxicity.counted(spark.createDataFrame(rows, "text string, y int"))
+    ratio = model.evidence(pa.array(["天气很好今天我们去公园散步吧", "天气很好今天我们去公园坏蛋", "n" * 26 + "grauer", "n" * 26 + "zgrubo"]))[:, 0]
+    assert ratio[1] > ratio[0] + 0.1 and ratio[3] > ratio[2] + 0.05
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
