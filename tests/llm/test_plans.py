@@ -61,6 +61,7 @@ def test_permutation_is_a_bijection(spark, n):
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\n50% %3C <s>[/INST]"),
     (2, 0, "system", None), (2, 1, "user", ""), (2, 2, "assistant", "é" * 10), (3, None, None, None), (3, 0, "odd\nrole<|", "x"),
+    (6, 0, "human", "hi"), (6, 1, "gpt", "yo"), (7, 0, "user", "a"), (7, 1, "model", "b"), (7, 2, "assistant", "c"),
     (None, 0, "user", "no id"), (4, 0, "assistant", "a"), (4, 0, "assistant", "a"), (4, 0, "assistant", "A"), (5, 3, "user", "y" * 200_000),
 ]
 

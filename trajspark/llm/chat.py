@@ -8,7 +8,7 @@ assistant's texts in the formatted text, in code points. All of it is DataFrame
 
 A record of no declared layout keeps its fingerprint and has null turns and formatted text. Null texts and roles
 count as empty. An empty message list, or a missing optional field, gives no turn. Turns of equal number are
-ordered by role, then text; a null number comes first; repeated rows are turns of their own; rows without
+ordered by role, then text; a number that is null or no number comes first; repeated rows are turns of their own; rows without
 conv_id make one conversation without id. An empty table gives an empty result. Columns of other names are
 ignored.
 """
@@ -34,13 +34,15 @@ TRAINED = "assistant"
 
 @dataclass(frozen=True)
 class Layout:
-    """Paths of a layout, and its turns: (role, fields joined by a blank line), or (list, role field, text field)."""
+    """Paths of a layout, and its turns: (role, fields joined by a blank line), or (list, role field, text field)
+    with the canonical names of its roles."""
 
     name: str
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     messages: tuple[str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
     def fingerprints(self) -> list[str]:
         """One for the required paths with every choice of the optional ones."""
@@ -51,6 +53,8 @@ class Layout:
         ]
 
 
+#: Roles under other names, in the layout that uses these names; other layouts keep their roles as given.
+ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 LAYOUTS = (
     Layout("prompt", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Layout(
@@ -58,10 +62,8 @@ LAYOUTS = (
         (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
     ),
     Layout("messages", ("messages[].content", "messages[].role"), messages=("messages", "role", "content")),
-    Layout("exchange", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
+    Layout("exchange", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value"), roles=ROLES),
 )
-#: Roles under other names.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def fingerprint_of(paths) -> str:
@@ -97,12 +99,16 @@ def _turns(layout: Layout, has: set[str], record: str) -> Column | None:
         return None
     if layout.messages:
         items, role, text = layout.messages
-        names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+
+        def named(given: Column) -> Column:
+            if not layout.roles:
+                return given
+            names = F.create_map(*[F.lit(x) for pair in layout.roles for x in pair])
+            return F.coalesce(F.try_element_at(names, given), given)
+
         return F.transform(
             F.col(f"{record}.{items}"),
-            lambda e: _turn(
-                F.coalesce(F.try_element_at(names, F.coalesce(e[role], F.lit(""))), e[role], F.lit("")), F.coalesce(e[text], F.lit(""))
-            ),
+            lambda e: _turn(named(F.coalesce(e[role], F.lit(""))), F.coalesce(e[text], F.lit(""))),
         )
     parts = []
     for role, fields in layout.turns:
@@ -189,7 +195,7 @@ def records(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(
-            F.col("turn"), F.coalesce(F.col("role").cast("string"), blank).alias("role"), F.coalesce(F.col("text").cast("string"), blank).alias("content")
+            F.col("turn").try_cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), blank).alias("role"), F.coalesce(F.col("text").cast("string"), blank).alias("content")
         ).alias("m"),
     )
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
