@@ -1,19 +1,20 @@
-"""Mixing sources to target weights, as plans over indices instead of moved texts.
+"""Mixing sources to target weights: words packed into blocks, slots of output shards joined to them by index.
 
-The documents of a source, laid end to end, are cut into blocks of a fixed number of words. Targets are
+The documents of a source, laid end to end, are packed into blocks of a fixed number of words. Targets are
 filled up by weight, none above its cap, and become whole passes over a source's blocks and one partial
 pass. The slots of all sources together are dealt over output shards by one pseudorandom permutation: a
 shard's counts by source are a multinomial draw given the sources' totals, so that totals hold exactly and no block is
 taken more often than its cap allows (independent draws would break both). A source's slots map to its
 blocks by a permutation of its own for every pass, with its last, short block at the end, and slots meet
-blocks in a join on (source, block), in which no key is hot.
+blocks in a join on (source, block), in which no key is hot. Texts move twice: to the bucket in which their place is
+counted, and to their blocks; the join uses the blocks' partitioning.
 
 Places in a source come from sums per (source, bucket) and running sums inside a bucket, so no task
 ever holds a source. Slots are unfolded from ranges, chunk by chunk. All of it is DataFrame functions.
 
-Null texts have no words and are never taken. A null source is a source of its own, last in order. A null doc_id is placed
-first; repeated rows follow each other and are taken each for itself. With no words at all targets are zero. An
-empty table gives an empty result. Columns of other names are ignored.
+Null texts have no words and are never taken. A null source is a source of its own, last in order. Rows without doc_id
+are spread over the buckets by their text and placed first in them; repeated rows follow each other and are taken each
+for itself. With no words at all targets are zero. An empty table gives an empty result. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -106,59 +107,91 @@ def _slots(plan: DataFrame, block: int, shard: int) -> DataFrame:
     )
 
 
-def placed(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> tuple[DataFrame, DataFrame]:
-    """Rows with their place in their source (row, doc_id, size, source_size, target, key, start), and targets."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    bucket = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(BUCKETS)), F.lit(0)).cast("long")
-    sizes = cut_lineage(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), bucket.alias("bucket"), size.alias("size"))
+def _rows(docs: DataFrame) -> DataFrame:
+    """key, source, bucket, doc_id, size and text of every row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unnamed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return docs.select(
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("key"),
+        F.col("source").cast("string").alias("source"),
+        F.pmod(F.coalesce(F.col("doc_id").cast("long"), unnamed), F.lit(BUCKETS)).cast("long").alias("bucket"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        text.alias("text"),
     )
-    sums = cut_lineage(sizes.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
-    sources = sums.groupBy("key", "source").agg(F.sum("words").alias("source_size"))
-    targets = cut_lineage(_targets(sources, weights, share, cap))
+
+
+def _pieces(rows: DataFrame, sums: DataFrame, block: int) -> DataFrame:
+    """Every document cut where blocks end: key, row, doc_id, size and, per piece, block, at (its place there), first (its
+    first word in the document) and text (its words, joined by blanks). An empty document has one piece without block."""
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("key", "bucket").orderBy("doc_id", "size")
-    rows = sizes.select(
-        "doc_id", "size", "key", "bucket", F.row_number().over(inside).alias("nth"),
+    placed = rows.select(
+        "key", "bucket", "doc_id", "size", "text", F.row_number().over(inside).alias("nth"),
         (F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("run"),
-    )
-    rows = rows.join(offsets, ["key", "bucket"]).join(targets.select("key", "source_size", "target"), "key")
-    return rows.select(
-        F.struct("key", "bucket", "nth").alias("row"), "doc_id", "size", "source_size", "target", "key", (F.col("offset") + F.col("run")).alias("start")
-    ), targets
+    ).join(offsets, ["key", "bucket"])
+    start = F.col("offset") + F.col("run")
 
+    def piece(words, b):
+        first = F.greatest(b * block - start, F.lit(0).cast("long"))
+        held = F.slice(words, (first + 1).cast("int"), (F.least((b + 1) * block - start, F.col("size")) - first).cast("int"))
+        return F.struct(b.alias("block"), (start + first - b * block).alias("at"), first.alias("first"), F.array_join(held, " ").alias("text"))
 
-def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, **options) -> DataFrame:
-    """The mix as pieces of documents: row, doc_id, size, source_size, target, shard, slot, first (word of the
-    document) and words. A document that is never taken has one row without shard."""
-    rows, targets = placed(docs, **options)
-    pieces = rows.select(
-        "*", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))).alias("block")
-    )
+    blocks = F.sequence(F.expr(f"(offset + run) div {block}"), F.expr(f"(offset + run + size - 1) div {block}"))
+    # the words are an element of an array, so that they are split once and not for every block
+    cut = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), lambda w: F.transform(blocks, lambda b: piece(w, b)))
+    return placed.select(
+        "key", F.struct("bucket", "nth").alias("row"), "doc_id", "size", F.explode_outer(F.when(F.col("size") > 0, F.get(cut, 0))).alias("p")
+    ).select("key", "row", "doc_id", "size", "p.*")
+
+
+def _packed(pieces: DataFrame) -> DataFrame:
+    """The block table: key, block and its pieces in order. A block holds no more pieces than words."""
+    piece = F.struct("at", "row", "doc_id", "size", "first", "text")
+    return pieces.where("block is not null").groupBy("key", "block").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+
+def _joined(docs: DataFrame, block: int, shard: int, weights=WEIGHTS, share=SHARE, cap=CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks at their slots (key, shard, slot, pieces with their words; no shard where a block has no slot), targets, and rows."""
+    rows = _rows(docs)
+    sums = cut_lineage(rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
+    sources = sums.groupBy("key", "source").agg(F.sum("words").alias("source_size"))
+    targets = cut_lineage(_targets(sources, weights, share, cap))
     # what the slots unfold from is small, they are not: without the hint the planner would broadcast them
     slots = _slots(_plan(targets, block), block, shard).hint("merge")
-    met = pieces.join(slots, ["key", "block"], "left")
-    begin = F.col("block") * block
-    low = F.greatest(F.col("start"), begin)
-    high = F.least(F.col("start") + F.col("size"), begin + F.coalesce("take", F.lit(0)))
-    return met.select(
-        "row", "doc_id", "size", "source_size", "target", "shard", "slot", (low - F.col("start")).alias("first"),
-        F.when(F.col("take").isNull(), F.lit(0)).otherwise(F.greatest(high - low, F.lit(0))).cast("long").alias("words"),
-    )
+    met = _packed(_pieces(rows, sums, block)).join(slots, ["key", "block"], "left")
 
+    def taken(p):
+        left = F.greatest(F.coalesce("take", F.lit(0)) - p["at"], F.lit(0)).cast("int")
+        words = F.slice(F.split(p["text"], " "), 1, left)
+        return F.struct(p["row"].alias("row"), p["doc_id"].alias("doc_id"), p["size"].alias("size"), p["first"].alias("first"), words.alias("words"))
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    return (
-        mixture(docs, **options)
-        .groupBy("row")
-        .agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("words").alias("taken"))
-        .drop("row")
+    return met.select("key", "shard", "slot", F.transform("pieces", taken).alias("pieces")), targets, rows
+
+
+def mixture(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, **options) -> DataFrame:
+    """The mix, one row per slot: shard, slot, source, text (the words of the block, joined by blanks) and pieces (doc_id,
+    first word in the document and number of words, in the order of the text)."""
+    met, _, _ = _joined(docs, block, shard, **options)
+    some = F.filter("pieces", lambda p: F.size(p["words"]) > 0)
+    return met.where("shard is not null").select(
+        "shard", "slot", F.when(F.col("key") != "n", F.substr("key", F.lit(2))).alias("source"),
+        F.array_join(F.flatten(F.transform("pieces", lambda p: p["words"])), " ").alias("text"),
+        F.transform(some, lambda p: F.struct(p["doc_id"].alias("doc_id"), p["first"].alias("first"), F.size(p["words"]).alias("words"))).alias("pieces"),
     )
 
 
+def taken(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, **options) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, counted in the blocks joined to the slots."""
+    met, targets, rows = _joined(docs, block, shard, **options)
+    counts = met.select("key", F.explode("pieces").alias("p")).select("key", "p.row", "p.doc_id", "p.size", F.size("p.words").alias("words"))
+    full = counts.groupBy("key", "row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum("words").alias("taken"))
+    empty = rows.where("size = 0").select("key", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    out = full.drop("row").unionByName(empty).join(targets.select("key", "source_size", "target"), "key")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def sql(block: int = BLOCK) -> str:
     rounds = []
     for k, (multiplier, offset) in enumerate(_ROUNDS):
@@ -168,7 +201,8 @@ def sql(block: int = BLOCK) -> str:
             f" ((x * {multiplier}) & (m - 1)) >> greatest(bits // 2, 1)) ELSE x END AS x FROM r{k})"
         )
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT AS unnamed FROM documents),
 s0_ AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 s1_ AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s0_),
 s2_ AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2 * source_size AS most FROM s1_),
@@ -194,7 +228,7 @@ slots AS (SELECT source, x AS block, CASE WHEN turn < passes THEN {block} ELSE l
     ELSE least(source_size - full_ * {block}, rest - p * {block}) END FROM j WHERE p >= full_),
 places AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY bucket, doc_id NULLS FIRST, size
     ROWS UNBOUNDED PRECEDING) - size AS start_, row_number() OVER () AS row_
-    FROM (SELECT *, coalesce(((doc_id % {BUCKETS}) + {BUCKETS}) % {BUCKETS}, 0) AS bucket FROM d)),
+    FROM (SELECT *, ((coalesce(doc_id, unnamed) % {BUCKETS}) + {BUCKETS}) % {BUCKETS} AS bucket FROM d)),
 pieces AS (SELECT *, unnest(range((start_ // {block})::BIGINT, ((start_ + size - 1) // {block} + 1)::BIGINT)) AS block
     FROM places WHERE size > 0),
 got AS (SELECT row_, sum(greatest(least(start_ + size, k.block * {block} + take) - greatest(start_, k.block * {block}), 0)) AS taken
