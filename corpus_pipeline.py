@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: the stages in order, each over all that the one before kept."""
+"""A training corpus from raw documents: the stages in order, each over all that the one before kept.
+
+Null or empty texts stay until the mix, which takes nothing from them. Rows without doc_id, repeated rows, ties, very
+long texts and columns of other names are handled as the stages' modules state. Empty documents give an empty corpus.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +33,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes from each document."""
-    return mixing.taken(docs)
+    """The corpus: the text of every slot of every shard, and the documents it comes from."""
+    return mixing.mixture(docs)
 
 
 STAGES = [
