@@ -14,6 +14,7 @@ from trajspark.operators.kinematics import (
     jerk_discrepancy,
     self_consistency,
 )
+from trajspark.plans.ordering import dense_step
 from trajspark.schema import SystemParams
 
 G = 9.81
@@ -116,6 +117,22 @@ def test_quaternion_sign_rule(tiny, parts):
         assert np.allclose(got, np.array(continuity(source)), equal_nan=True)
 
 
+def test_quaternion_sign_rule_of_short_keys(spark):
+    """Keys that the numbering found short: one exchange, no join, the same signs."""
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(40, 4))
+    q[[0, 7]] = np.nan
+    data = [(s, i, [float(x) for x in r]) for s in ("a", "b", "c") for i, r in enumerate({"a": q, "b": -q, "c": q * np.nan}[s])]
+    df = dense_step(spark.createDataFrame(data, "stem string, t bigint, raw array<double>").repartition(5), "stem", ["t"])
+    turned = continuous_quaternion(df, "raw")
+    plan = turned._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    out = turned.orderBy("stem", "step").collect()
+    for stem, source in (("a", q), ("b", -q), ("c", q * np.nan)):
+        got = np.array([r["quat"] for r in out if r["stem"] == stem])
+        assert np.allclose(got, np.array(continuity(source)), equal_nan=True)
+
+
 def test_quaternion_reproduces_rotation_and_is_smooth(tiny, smooth):
     f = flat_outputs(smooth(60, ("s0", "s1"))).withColumn("back", rotation_of(F.col("quat_quad")))
     gap = f.agg(F.max(F.array_max(F.zip_with("R_quad", "back", lambda a, b: F.abs(a - b)))).alias("g")).first()["g"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.flatmap import flat_map, with_quaternion
 from trajspark.functions.vectors import array_sub, is_finite, parts
-from trajspark.plans.ordering import earlier_segments, segment_window, with_halo
+from trajspark.plans.ordering import earlier_segments, fits_one_task, segment_window, with_halo
 from trajspark.schema import SystemParams
 
 GUARD_FLAGS = ["guard_free_fall", "guard_force", "guard_degenerate_cross", "guard_nonfinite_input"]
@@ -19,11 +19,25 @@ def continuous_quaternion(
     """Flip each quaternion into its predecessor's hemisphere, then make the first finite w >= 0.
 
     Flip parity is local to a segment; one small row per segment carries the parity of the segments
-    before it and the key's global sign, so a long trajectory is never gathered in one task.
+    before it and the key's global sign, so a long trajectory is never gathered in one task. Where all
+    keys are known to be short, each is one window and nothing is joined.
     """
+    turn = " + ".join(f"{quat}[{i}] * _prev[{i}]" for i in range(4))
+    finite = " AND ".join(f"abs({quat}[{i}]) < double('Infinity')" for i in range(4))
+    if fits_one_task(df, key, step):
+        w = Window.partitionBy(key).orderBy(step)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return (
+            df.withColumn("_prev", F.lag(quat).over(w))
+            .withColumn("_flip", F.expr(f"IF({turn} < 0, 1, 0)"))
+            .withColumn("_odd", F.sum("_flip").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) % 2)
+            .withColumn("_head", F.expr(f"IF({finite}, IF(_odd = 1, -{quat}[3], {quat}[3]), NULL)"))
+            .withColumn("_start", F.first("_head", ignorenulls=True).over(whole))
+            .withColumn(out, F.expr(f"transform({quat}, q -> IF(coalesce(_start < 0, false) = (_odd = 0), -q, q))"))
+            .drop("_prev", "_flip", "_odd", "_head", "_start")
+        )
     seg = with_halo(df, key, before=1, after=0, step=step)
     w = segment_window(key, step)
-    turn = " + ".join(f"{quat}[{i}] * _prev[{i}]" for i in range(4))
     flipped = (
         seg.withColumn("_prev", F.lag(quat).over(w))
         .selectExpr("*", f"{turn} AS _turn")
@@ -32,7 +46,6 @@ def continuous_quaternion(
     )
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     signed = flipped.withColumn("_odd", F.sum("_flip").over(frame) % 2).where("own")
-    finite = " AND ".join(f"abs({quat}[{i}]) < double('Infinity')" for i in range(4))
     segments = signed.groupBy(key, "seg").agg(
         F.sum("_flip").alias("_n"),
         F.expr(f"min_by(IF(_odd = 1, -{quat}[3], {quat}[3]), IF({finite}, {step}, NULL)) AS _w"),

@@ -20,6 +20,8 @@ GROUP_ROWS = 1 << 20
 SEGMENT_ROWS = 1 << 14
 BROADCAST_ROWS = 1 << 20
 BROADCAST_BYTES = 1 << 26
+#: Metadata of a step column: no key of the table had more rows than this.
+KEY_ROWS = "trajspark.key_rows"
 
 
 def group_limit(spark: SparkSession) -> int:
@@ -61,7 +63,7 @@ def dense_step(
     plain = Window.partitionBy(key).orderBy(*order)
     numbered = cold.withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
     if hot is None:
-        return numbered
+        return numbered.withMetadata(out, {KEY_ROWS: group_limit(df.sparkSession), "key": key})
     return numbered.unionByName(_range_step(hot, key, order, out))
 
 
@@ -92,6 +94,15 @@ def _range_step(df: DataFrame, key: str, order: Sequence[Column], out: str) -> D
     )
 
 
+def fits_one_task(df: DataFrame, key: str, step: str = "step") -> bool:
+    """Whether ``dense_step`` found every key within the group limit: the step column's metadata says so.
+
+    A whole key then fits one window, which reuses the exchange of the numbering. Rows added since only cost spill.
+    """
+    meta = next((f.metadata for f in df.schema if f.name == step), {})
+    return meta.get("key") == key and meta.get(KEY_ROWS, float("inf")) <= group_limit(df.sparkSession)
+
+
 def with_halo(
     df: DataFrame, key: str, before: int, after: int, step: str = "step", size: int | None = None
 ) -> DataFrame:
