@@ -71,9 +71,70 @@ def test_lm_beats_the_base_on_held_out_texts(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_does_not_depend_on_the_layout(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    few, many = ({r.doc_id: r.score for r in lm.score(docs.repartition(n), part=1 << 12, fan_in=3).collect()} for n in (2, 7))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-5 * abs(few[k]) for k in few)
+
+
+def test_lm_gives_most_tokens_vectors_of_their_own(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    table = lm.counts(docs)
+    model = lm.train(docs, table)
+    vectors = lm.tail(docs, model)
+    own = {r.word for r in vectors.collect()}
+    rows = {r.word: r.n for r in table.collect()}
+    top = set(model.words[model.outcome >= 0].view(np.int64).tolist())
+    assert own == {w for w, n in rows.items() if n >= lm.RARE and w not in top}
+
+
+def test_lm_rare_words_are_joined_to_their_vectors(spark, small):
+    """Words that do not travel to the tasks get the same score from the join."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sent, joined = ({r.doc_id: r.score for r in lm.score(docs, common=n).collect()} for n in (lm.COMMON, lm.OUTCOMES))
+    assert all(abs(sent[k] - joined[k]) < 1e-4 * abs(sent[k]) for k in sent)
+
+
+def test_lm_words_of_a_class_add_up_to_one(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = lm.train(docs, lm.counts(docs), outcomes=50)
+    lm.tail(docs, model)
+    table = {r.word: r["class"] for r in lm.counts(docs).collect()}
+    cls = np.array([table[w] for w in model.words.view(np.int64).tolist()])
+    before = model.before()
+    for c, one in ((3, 0), (7, 20), (40, 60)):
+        mine = (cls == c) & (model.outcome < 0)
+        dot = (model.vectors[mine] @ before[one]).clip(-lm.TAIL_TOP, lm.TAIL_TOP)
+        shares = (model.counts[mine] + 1) / 10 ** model.log_rest[c]
+        unseen = 10 ** -model.log_rest[c]
+        assert abs((shares * np.exp(dot)).sum() + unseen - math.exp(model.inside[one, c])) < 1e-3
+        assert mine.any()
+
+
+def test_lm_vector_of_a_word_maximises_its_objective():
+    """Against plain gradient ascent on one word."""
+    rng = np.random.default_rng(1)
+    before = rng.normal(size=(30, lm.DIM))
+    n, seen, share = rng.poisson(3.0, 30).astype(float), rng.poisson(400.0, 30).astype(float), 0.01
+    noise = lm.TAIL_NOISE * share * seen
+
+    def objective(r):
+        x = before @ r - math.log(lm.TAIL_NOISE)
+        return -(n * np.logaddexp(0, -x) + noise * np.logaddexp(0, x)).sum() - lm.TAIL_RIDGE / 2 * r @ r
+
+    best = np.zeros(lm.DIM)
+    for _ in range(4000):
+        p = 1 / (1 + lm.TAIL_NOISE * np.exp(-(before @ best)))
+        best += 2e-3 * (before.T @ (n - (n + noise) * p) - lm.TAIL_RIDGE * best)
+    found = lm.solve(n[None], np.array([share]), seen, before)[0].astype(float)
+    start = objective(np.zeros(lm.DIM))
+    assert objective(found) - start > 0.9 * (objective(best) - start) > 0
+
+
 def test_lm_is_normalised(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = lm.train(docs, lm.counts(docs))
+    lm.tail(docs, model)
     scorer = lm.Scorer(model)
     one, two = np.array([0, 5, 1030]), np.array([3, 1024, 0])
     norm = scorer.normalisers(one, two)

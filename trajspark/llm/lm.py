@@ -1,17 +1,25 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are the lower-cased words of a text and one end token. The most frequent words of the training
-texts and, for all other words, a few classes by their last two bytes are the model's outcomes. The two tokens
-before predict a vector, an element-wise mix of their context vectors; an outcome's score is its vector's
-product with that, plus a bias that starts at its log frequency. Every task trains on its own part of the
-training texts with AdaGrad, against noise drawn from the outcome frequencies, and the parts' weights are averaged in
-groups of bounded size. Scoring normalises: one matrix product per batch of contexts gives the log of the
-sum over all outcomes, so probabilities add up to one. A word in a class has the class's probability times its
-add-one share of the class's counts, with room for one unseen word.
-
-Counts cover all training texts (crc32(doc_id as text) mod 7 is not 2). The commonest words' counts go to
-the tasks as a table of bounded size, the others meet the texts in a join, in which no word is hot. Words
-are told apart by 64-bit hashes.
+Tokens are the lower-cased words of a text and one end token. A token's probability is that of its outcome, and
+within the outcome that of the word. The most frequent words of the training texts are outcomes of their own, all
+other words have a class by their last two bytes. The two tokens before predict a vector, an element-wise mix of their
+context vectors; an outcome's score is its vector's product with that, plus a bias that starts at its log frequency.
+The training texts are dealt into parts by a hash of their rows, as many as the number of training tokens asks for;
+each part trains with AdaGrad against noise drawn from the outcome frequencies, and the parts' weights are averaged in
+groups of bounded size, in a fixed order, after every round. A round takes a slice of every part's texts, so that all
+rounds together read each text once; a table of fewer tokens than rounds times PART has fewer slices than rounds and
+is read again. Scoring normalises over all outcomes.
+
+Within a class every word found RARE times or more has a vector of its own, so their number grows with the corpus: the
+word's score is that vector's product with the (standardised) context vector of the token before, plus the log of its
+add-one share of the class's counts; the class keeps room for one unseen word. With the context vectors fixed, and
+noise words drawn from the class's shares, the expected noise-contrastive objective of one word depends on no other
+word's vector: words are solved in shards, from how often each context came before them, and stay a table. A table of
+normalisers (contexts by classes) is summed over the shards, so a class's probabilities add up to one as well.
+
+Counts cover all training texts (crc32(doc_id as text) mod 7 is not 2). The commonest words' counts and vectors go to
+the tasks as a table of bounded size, the others meet the texts in a join, in which no word is hot. Words are told
+apart by 64-bit hashes. Words equally frequent at the last place among the outcomes are chosen by hash.
 
 Null or empty texts have the end token alone. A null doc_id counts as training text. Repeated rows count
 and are scored each for itself. Without training texts counts are zero and the model has its starting
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +45,17 @@ OUTCOMES, CLASSES, DIM = 1024, 64, 24
 #: Words whose counts are sent to all tasks.
 COMMON = 1 << 18
 #: Noise samples shared by a batch of tokens.
-NOISE, BATCH = 64, 4096
-RATE = 0.15
-#: Weights averaged by one task.
+NOISE, BATCH = 128, 2048
+#: Step of the first round; later ones divide it by the root of their number.
+RATE = 0.1
+#: Weights or normalisers added up by one task.
 FAN_IN = 64
+#: Training tokens of a part, rounds of training, and tokens that are shuffled together.
+PART, ROUNDS, CHUNK = 1 << 20, 4, 1 << 17
+#: Least occurrences of a word with a vector of its own inside its class; words solved together.
+RARE, SHARD = 2, 2048
+#: Noise of each word's objective per occurrence, its ridge, steps, and the largest product of two vectors.
+TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 8, 8.0
 
 _END = np.uint64(0x5EED0FE2D)
 
@@ -86,6 +102,9 @@ class Model:
     vocabulary: int
     head: int = OUTCOMES  # words that are outcomes of their own
     weights: np.ndarray | None = None
+    vectors: np.ndarray | None = None  # inside the class, of each common word
+    classes: np.ndarray | None = None  # counts and number of words of each class
+    inside: np.ndarray | None = None  # log of each class's sum over its words, per token before
 
     @property
     def size(self) -> int:
@@ -115,6 +134,12 @@ class Model:
         two[np.flatnonzero(np.diff(whose, prepend=-1))] = end
         return one, two
 
+    def before(self) -> np.ndarray:
+        """Context vectors of the token before, standardised by frequency, for the words inside a class."""
+        q = self.split(self.weights)[0].astype(np.float64)
+        q = q - self.noise @ q
+        return (q / np.maximum(np.sqrt(self.noise @ (q * q)), 1e-6)).clip(-4, 4).astype(np.float32)
+
     @property
     def end(self) -> int:
         at = int(lookup(np.array([_END]), self.words)[0])
@@ -122,7 +147,7 @@ class Model:
         return own if own >= 0 else self.head
 
 
-def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], w: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], w: np.ndarray, seed: int, rate: float = RATE) -> tuple[np.ndarray, int]:
     """One pass of noise-contrastive estimation over batches of (outcome, one before, two before)."""
     w = w.copy()
     square = np.full(len(w), 1e-2, np.float32)
@@ -157,29 +182,28 @@ def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         for value, acc, g in ((q, sq, gq), (r, sr, gr), (c, sc, gc), (bias, sb, gb)):
             g = g.astype(np.float32) / np.float32(np.sqrt(len(target)))
             acc += g * g
-            value += RATE * g / np.sqrt(acc)
+            value += rate * g / np.sqrt(acc)
     return w, seen
 
 
-def _average(parts: DataFrame, groups: int, fan_in: int) -> np.ndarray | None:
-    """Mean of the parts' weights, each counting by its tokens; no task holds more than fan_in of them."""
-    fields = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float32()))])
+_WEIGHTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float64()))])
+_WEIGHTS_SQL = "part int, n long, w array<double>"
+
+
+def _total(parts: DataFrame, groups: int, fan_in: int) -> tuple[int, np.ndarray | None]:
+    """Sums of n and w over the parts, added in the parts' order; no task holds more than fan_in of them."""
 
     def fold(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        w = table.column("w").combine_chunks()
-        w = np.asarray(w.flatten()).reshape(len(n), -1)
-        mean = (n[:, None] * w).sum(0) / max(n.sum(), 1)
-        return pa.table([table.column("part")[:1], [int(n.sum())], pa.array([mean.astype(np.float32)], fields.field("w").type)], schema=fields)
+        table = table.sort_by("part")
+        w = np.asarray(table.column("w").combine_chunks().flatten()).reshape(table.num_rows, -1)
+        n = int(table.column("n").to_numpy().sum())
+        return pa.table([table.column("group")[:1].cast(pa.int32()), [n], pa.array([w.sum(0)], _WEIGHTS.field("w").type)], schema=_WEIGHTS)
 
     while groups > 1:
         groups = -(-groups // fan_in)
-        parts = (
-            parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part").applyInArrow(fold, "part int, n long, w array<float>")
-        )
-        parts = cut_lineage(parts)
+        parts = cut_lineage(parts.withColumn("group", F.floor(F.col("part") / fan_in).cast("int")).groupBy("group").applyInArrow(fold, _WEIGHTS_SQL))
     rows = parts.toArrow()
-    return np.asarray(rows.column("w")[0].values) if rows.num_rows and rows.column("n")[0].as_py() else None
+    return (rows.column("n")[0].as_py(), np.asarray(rows.column("w")[0].values)) if rows.num_rows else (0, None)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -189,7 +213,9 @@ def counts(docs: DataFrame) -> DataFrame:
     return cut_lineage(found.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame, table: DataFrame, outcomes: int = OUTCOMES, common: int = COMMON, fan_in: int = FAN_IN) -> Model:
+def train(
+    docs: DataFrame, table: DataFrame, outcomes: int = OUTCOMES, common: int = COMMON, fan_in: int = FAN_IN, part: int = PART, rounds: int = ROUNDS
+) -> Model:
     spark = docs.sparkSession
     classes = np.zeros((CLASSES, 2))
     totals_ = table.agg(F.sum("n"), F.count("*")).first()
@@ -207,36 +233,163 @@ def train(docs: DataFrame, table: DataFrame, outcomes: int = OUTCOMES, common: i
     noise = np.maximum(noise, 1e-3)
     rank = np.argsort(hashes)
     model = Model(
-        hashes[rank], number[rank], own[rank], noise / noise.sum(), np.log10(classes.sum(1) + 1), totals_[0] or 0, totals_[1] or 0, outcomes
+        hashes[rank], number[rank], own[rank], noise / noise.sum(), np.log10(classes.sum(1) + 1), totals_[0] or 0, totals_[1] or 0, outcomes, classes=classes
     )
-    shared = spark.sparkContext.broadcast(model)  # as many words as common
-    rows = texts(docs).where(~held_out()).select("text", F.spark_partition_id().alias("part"))
-    fields = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.list_(pa.float32()))])
+    model.weights = model.start()
+    parts = max(1, -(-model.total // part))
+    sequences = _sequences(docs, model, parts)
+    slices = min(max(1, model.total // part), rounds)
+    for k in range(rounds):
+        some = sequences.where(F.pmod(F.shiftright("key", 20), F.lit(slices)) == k % slices)
+        n, sums = _total(cut_lineage(_round(some, model, RATE / (k + 1) ** 0.5)), parts, fan_in)
+        if n:
+            model.weights = (sums / n).astype(np.float32)
+    return model
+
+
+def _sequences(docs: DataFrame, model: Model, parts: int) -> DataFrame:
+    """part, key and outcomes (two bytes each) of every training text, rows of a part together and in a fixed order."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many words as common
+    fields = pa.schema([("key", pa.int64()), ("outcomes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, where = shared.value, []
-
-        def stream():
-            for rows in batches:
-                if rows.num_rows:
-                    where[:] = [rows.column(1)[0].as_py()]
-                for b in blocks(rows.column(0)):
-                    outcome, _ = m.outcomes(*(t := _tokens(b))[:2])
-                    one, two = m.contexts(outcome, t[2], m.end)
-                    order = np.random.default_rng(len(outcome)).permutation(len(outcome))
-                    for k in range(0, len(order), BATCH):
-                        at = order[k : k + BATCH]
-                        yield outcome[at], one[at], two[at]
-
-        w, n = learn(m, stream(), m.start(), 17)
-        if n:
-            yield batch(fields, [[where[0]], [n], [w]])
+        m = shared.value
+        for rows in batches:
+            key = rows.column(0)
+            for b in blocks(rows.column(1)):
+                hashes, classes, whose = _tokens(b)
+                outcome = m.outcomes(hashes, classes)[0].astype(np.uint16)
+                at = firsts(whose, b.n).tolist()
+                yield batch(fields, [key.slice(b.first, b.n), [outcome[x:y].tobytes() for x, y in zip(at, at[1:])]])
 
-    parts = cut_lineage(rows.mapInArrow(run, "part int, n long, w array<float>"))
-    last = parts.agg(F.max("part")).first()[0]
-    mean = _average(parts, (last or 0) + 1, fan_in)
-    model.weights = model.start() if mean is None else mean
-    return model
+    rows = texts(docs).where(~held_out()).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
+    found = rows.mapInArrow(run, "key long, outcomes binary").withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
+    return cut_lineage(found.repartition(parts, "part").sortWithinPartitions("part", "key", "outcomes"))
+
+
+def _round(sequences: DataFrame, model: Model, rate: float) -> DataFrame:
+    """Each part's tokens and its weights, times their number, after one pass from the model's weights."""
+    shared = sequences.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        texts_ = ((p, o) for rows in batches for p, o in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+        for at, group in groupby(texts_, lambda r: r[0]):
+            w, n = learn(m, _shuffled(m, (np.frombuffer(o, np.uint16).astype(np.int64) for _, o in group)), m.weights, 17 + at, rate)
+            yield batch(_WEIGHTS, [[at], [n], [w.astype(np.float64) * n]])
+
+    return sequences.select("part", "outcomes").mapInArrow(run, _WEIGHTS_SQL)
+
+
+def _shuffled(m: Model, sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of (outcome, one before, two before); texts are taken in turn until they make a chunk."""
+    some, size = [], 0
+    for s in chain(sequences, [None]):
+        if s is not None:
+            some.append(s)
+            size += len(s)
+        if some and (s is None or size >= CHUNK):
+            outcome = np.concatenate(some)
+            one, two = m.contexts(outcome, np.repeat(np.arange(len(some)), [len(x) for x in some]), m.end)
+            order = np.random.default_rng(len(outcome)).permutation(len(outcome))
+            for k in range(0, len(order), BATCH):
+                at = order[k : k + BATCH]
+                yield outcome[at], one[at], two[at]
+            some, size = [], 0
+
+
+def _pairs(docs: DataFrame, model: Model) -> DataFrame:
+    """word, class, before and n: how often each outcome came before each word that has a class."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many words as common
+    fields = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("before", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for rows in batches:
+            for b in blocks(rows.column(0), 1 << 23):
+                hashes, classes, whose = _tokens(b)
+                outcome = m.outcomes(hashes, classes)[0]
+                tail = np.flatnonzero(outcome >= m.head)
+                word, one = hashes[tail], m.contexts(outcome, whose, m.end)[0][tail]
+                order = np.lexsort((one, word))
+                word, one, own = word[order], one[order], outcome[tail][order] - m.head
+                first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (one[1:] != one[:-1]))[: len(word)])
+                times = np.diff(np.append(first, len(word)))
+                yield batch(fields, [word[first].view(np.int64), own[first].astype(np.int32), one[first].astype(np.int32), times])
+
+    rows = texts(docs).where(~held_out()).select("text").mapInArrow(run, "word long, class int, before int, n long")
+    return cut_lineage(rows.groupBy("word", "before").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
+
+
+def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Vectors of words of one class: n, times of each word after each context; share, of each word in its class;
+    seen, times of the class after each context. Maximises n log s(x) + k share seen log s(-x), x = product - log k,
+    less a ridge, by steps under a bound of its curvature."""
+    k = TAIL_NOISE
+    total = max(seen.sum(), 1.0)
+    spread = (before * (seen / total)[:, None]).T @ before
+    value, turn = np.linalg.eigh(spread + 1e-9 * np.eye(DIM))
+    weight = n.sum(1) + k * share * total
+    scale = 1 / (0.25 * weight[:, None] * np.maximum(value, 0) + TAIL_RIDGE)
+    noise = k * share[:, None] * seen
+    r = np.zeros((len(n), DIM))
+    for _ in range(TAIL_STEPS):
+        x = (r @ before.T).clip(-TAIL_TOP, TAIL_TOP)
+        p = 1 / (1 + k * np.exp(-x))
+        g = (n - (n + noise) * p) @ before - TAIL_RIDGE * r
+        r += (g @ turn * scale) @ turn.T
+    return r.astype(np.float32)
+
+
+def tail(docs: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
+    """word and vector (floats, as bytes) of the words inside classes; sets the model's normalisers and
+    the common words' vectors."""
+    spark, classes = docs.sparkSession, model.classes
+    pairs = _pairs(docs, model)
+    seen = np.zeros((CLASSES, model.size))
+    for r in pairs.groupBy("class", "before").agg(F.sum("n").alias("n")).collect():  # classes by outcomes, at most
+        seen[r["class"], r["before"]] = r["n"]
+    room = classes.sum(1) + 1
+    shards = max(1, -(-int(classes[:, 1].sum()) // SHARD))
+    known = spark.sparkContext.broadcast((model.before().astype(np.float64), seen, room, model.size))
+    fields = pa.schema([("part", pa.int32()), ("word", pa.int64()), ("vector", pa.binary()), ("w", pa.list_(pa.float64()))])
+
+    def fold(table: pa.Table) -> pa.Table:
+        before, seen, room, size = known.value
+        table = table.sort_by([("word", "ascending"), ("before", "ascending")])
+        word, cls, one, n = (table.column(c).to_numpy() for c in ("word", "class", "before", "n"))
+        names, first, whose = np.unique(word, return_index=True, return_inverse=True)
+        count, cls_of = np.bincount(whose, weights=n), cls[first]
+        out, sums = [], np.zeros((CLASSES, size))
+        for c in np.unique(cls_of).tolist():
+            mine = np.flatnonzero((cls_of == c) & (count >= RARE))
+            for k in range(0, len(mine), 256):
+                some = mine[k : k + 256]
+                place = np.full(len(names), -1)
+                place[some] = np.arange(len(some))
+                at = np.flatnonzero(place[whose] >= 0)
+                times = np.zeros((len(some), size))
+                times[place[whose[at]], one[at]] = n[at]
+                share = (count[some] + 1) / room[c]
+                r = solve(times, share, seen[c], before)
+                sums[c] += share @ np.expm1((r.astype(np.float64) @ before.T).clip(-TAIL_TOP, TAIL_TOP))
+                out += zip(names[some].tolist(), (v.tobytes() for v in r))
+        part = int(table.column("part")[0].as_py())
+        rows = [(part, w, v, None) for w, v in out] + [(part, None, None, sums.ravel())]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    dealt = pairs.withColumn("part", F.pmod("word", F.lit(shards)).cast("int"))
+    solved = cut_lineage(dealt.groupBy("part").applyInArrow(fold, "part int, word long, vector binary, w array<double>"))
+    sums = _total(solved.where("word is null").select("part", F.lit(0).cast("long").alias("n"), "w"), shards, fan_in)[1]
+    model.inside = np.log1p(sums.reshape(CLASSES, model.size).T if sums is not None else np.zeros((model.size, CLASSES))).astype(np.float32)
+    vectors = solved.where("word is not null").select("word", "vector")
+    names = spark.createDataFrame(pa.table({"word": pa.array(model.words.view(np.int64), pa.int64())}))
+    some = vectors.join(F.broadcast(names), "word", "left_semi").toArrow()  # as many words as common
+    model.vectors = np.zeros((len(model.words), DIM), np.float32)
+    if some.num_rows:
+        at = lookup(some.column("word").to_numpy().view(np.uint64), model.words)
+        model.vectors[at] = np.frombuffer(b"".join(some.column("vector").to_pylist()), np.float32).reshape(-1, DIM)
+    return vectors
 
 
 class Scorer:
@@ -248,6 +401,8 @@ class Scorer:
         self.norm = np.full((model.size, model.size), np.nan, np.float32)
         self.number = np.append(np.log10(model.counts + 1.0), 0.0)
         self.end = model.end
+        self.before = model.before()
+        self.vectors = np.vstack([model.vectors, np.zeros((1, DIM), np.float32)])
 
     def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         flat = self.norm.ravel()
@@ -263,7 +418,7 @@ class Scorer:
 
     def score(self, b: Block) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known ones, sum of log10(c + 1), model score without the rarest words' shares;
-        per rare token: its text and hash."""
+        per rare token: its text, hash and the token before."""
         m = self.model
         hashes, classes, whose = _tokens(b)
         outcome, at = m.outcomes(hashes, classes)
@@ -277,10 +432,13 @@ class Scorer:
         p /= np.log(10)
         share = self.number[at]
         classed = outcome >= m.head
-        p[classed] += share[classed] - m.log_rest[outcome[classed] - m.head]
+        own = outcome[classed] - m.head
+        p[classed] += share[classed] - m.log_rest[own]
+        inside = np.einsum("ij,ij->i", self.vectors[at[classed]], self.before[one[classed]]).clip(-TAIL_TOP, TAIL_TOP)
+        p[classed] += (inside - m.inside[one[classed], own]) / np.log(10)
         known = at < len(m.words)
         bounds = firsts(whose, b.n)
-        return np.diff(bounds), totals(known, bounds), totals(share, bounds), totals(p, bounds), whose[~known], hashes[~known]
+        return np.diff(bounds), totals(known, bounds), totals(share, bounds), totals(p, bounds), whose[~known], hashes[~known], one[~known]
 
 
 def score(docs: DataFrame, **options) -> DataFrame:
@@ -288,10 +446,12 @@ def score(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     table = counts(docs)
     model = train(docs, table, **options)
+    vectors = tail(docs, model, options.get("fan_in", FAN_IN))
     shared = spark.sparkContext.broadcast(model)  # bounded as in train
     total, vocabulary = model.total, model.vocabulary
-    names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "share", "p"]
-    kinds = [pa.int64()] * 6 + [pa.float64()] * 2
+    names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "share", "p", "seen"]
+    kinds = [pa.int64()] * 6 + [pa.float64()] * 2 + [pa.binary()]
+    sql = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
     fields = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,23 +459,37 @@ def score(docs: DataFrame, **options) -> DataFrame:
         for rows in batches:
             row, doc = rows.column(0).to_numpy(), rows.column(1)
             for b in blocks(rows.column(2)):
-                n, known, share, p, whose, hashes = scorer.score(b)
+                n, known, share, p, whose, hashes, one = scorer.score(b)
                 part = slice(b.first, b.first + b.n)
                 none = pa.nulls(b.n, pa.int64())
                 spread = mix(row[part].astype(np.uint64)).view(np.int64)  # where a text's own row is joined
-                yield batch(fields, [row[part], doc.slice(b.first, b.n), spread, none, n, known, share, p])
+                yield batch(fields, [row[part], doc.slice(b.first, b.n), spread, none, n, known, share, p, pa.nulls(b.n, pa.binary())])
                 if len(hashes):
                     order = np.lexsort((hashes, whose))
-                    w, t = hashes[order], whose[order]
+                    w, t, seen = hashes[order], whose[order], one[order].astype(np.uint16)
                     head = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(w.view(np.int64), prepend=np.int64(0)) != 0))
-                    times = np.diff(np.append(head, len(w)))
+                    bounds = np.append(head, len(w)).tolist()
+                    times, seen = np.diff(bounds), [seen[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
                     empty = pa.nulls(len(head), pa.int64())
-                    yield batch(fields, [row[part][t[head]], empty, w[head].view(np.int64), times, empty, empty, *[pa.nulls(len(head), pa.float64())] * 2])
+                    yield batch(fields, [row[part][t[head]], empty, w[head].view(np.int64), times, empty, empty, *[pa.nulls(len(head), pa.float64())] * 2, seen])
 
     rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(run, ", ".join(f"{n} {'double' if k == pa.float64() else 'long'}" for n, k in zip(names, kinds)))
-    rare = table.select("word", F.col("n").alias("c"))
-    met = pieces.join(rare, "word", "left")
+    pieces = rows.mapInArrow(run, ", ".join(f"{n} {sql[k]}" for n, k in zip(names, kinds)))
+
+    def products(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Log10 of a rare word's part of the score: its vector's products with the tokens before."""
+        before = shared.value.before()
+        for seen, vector in columns:
+            yield pa.array(
+                [
+                    float((before[np.frombuffer(s, np.uint16)] @ np.frombuffer(v, np.float32)).clip(-TAIL_TOP, TAIL_TOP).sum() / np.log(10)) if s and v else 0.0
+                    for s, v in zip(seen.to_pylist(), vector.to_pylist())
+                ],
+                pa.float64(),
+            )
+
+    rare = table.select("word", F.col("n").alias("c")).join(vectors, "word", "left")
+    met = pieces.join(rare, "word", "left").withColumn("product", F.arrow_udf(products, "double")("seen", "vector")).drop("seen", "vector")
     rare_token = F.col("n").isNotNull()
     times = F.when(rare_token, F.col("n")).otherwise(F.lit(0))
     out = met.groupBy("row").agg(
@@ -325,10 +499,11 @@ def score(docs: DataFrame, **options) -> DataFrame:
         F.max("share").alias("share"),
         F.max("p").alias("p"),
         F.sum(times * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare"),
+        F.sum("product").alias("product"),
     )
     base = float(np.log10(total + vocabulary + 1))
     return out.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("share") + F.col("rare") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("p") + F.col("rare")).alias("score"),
+        (F.col("p") + F.col("rare") + F.col("product")).alias("score"),
     )
