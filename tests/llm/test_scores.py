@@ -80,8 +80,8 @@ def test_lm_does_not_depend_on_the_layout(spark, small):
 def test_lm_gives_most_tokens_vectors_of_their_own(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     table = lm.counts(docs)
-    model = lm.train(docs, table)
-    vectors = lm.tail(docs, model)
+    model, tokens = lm.train(docs, table)
+    vectors = lm.tail(tokens, model)
     own = {r.word for r in vectors.collect()}
     rows = {r.word: r.n for r in table.collect()}
     top = set(model.words[model.outcome >= 0].view(np.int64).tolist())
@@ -89,7 +89,7 @@ def test_lm_gives_most_tokens_vectors_of_their_own(spark, small):
 
 
 def test_lm_rare_words_are_joined_to_their_vectors(spark, small):
-    """Words that do not travel to the tasks get the same score from the join."""
+    """Words that do not travel to the tasks get the same score from the join; heavy words are counted first."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
     sent, joined = ({r.doc_id: r.score for r in lm.score(docs, common=n).collect()} for n in (lm.COMMON, lm.OUTCOMES))
     assert all(abs(sent[k] - joined[k]) < 1e-4 * abs(sent[k]) for k in sent)
@@ -97,8 +97,8 @@ def test_lm_rare_words_are_joined_to_their_vectors(spark, small):
 
 def test_lm_words_of_a_class_add_up_to_one(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    model = lm.train(docs, lm.counts(docs), outcomes=50)
-    lm.tail(docs, model)
+    model, tokens = lm.train(docs, lm.counts(docs), outcomes=50)
+    lm.tail(tokens, model)
     table = {r.word: r["class"] for r in lm.counts(docs).collect()}
     cls = np.array([table[w] for w in model.words.view(np.int64).tolist()])
     before = model.before()
@@ -133,8 +133,8 @@ def test_lm_vector_of_a_word_maximises_its_objective():
 
 def test_lm_is_normalised(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    model = lm.train(docs, lm.counts(docs))
-    lm.tail(docs, model)
+    model, tokens = lm.train(docs, lm.counts(docs))
+    lm.tail(tokens, model)
     scorer = lm.Scorer(model)
     one, two = np.array([0, 5, 1030]), np.array([3, 1024, 0])
     norm = scorer.normalisers(one, two)

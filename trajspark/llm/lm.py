@@ -34,18 +34,19 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm.text import BYTE, LOWER, Block, Rolling, batch, blocks, firsts, lookup, mix, texts, totals
-from trajspark.plans.scratch import cut_lineage
+from trajspark.plans.scratch import cut_lineage, scratch_path
 
 #: Words that are outcomes of their own, classes of other words, and length of the vectors.
 OUTCOMES, CLASSES, DIM = 1024, 64, 24
 #: Words whose counts are sent to all tasks.
 COMMON = 1 << 18
 #: Noise samples shared by a batch of tokens.
-NOISE, BATCH = 128, 2048
+NOISE, BATCH = 128, 4096
 #: Step of the first round; later ones divide it by the root of their number.
 RATE = 0.1
 #: Weights or normalisers added up by one task.
@@ -53,7 +54,9 @@ FAN_IN = 64
 #: Training tokens of a part, rounds of training, and tokens that are shuffled together.
 PART, ROUNDS, CHUNK = 1 << 20, 4, 1 << 17
 #: Least occurrences of a word with a vector of its own inside its class; words solved together.
-RARE, SHARD = 2, 2048
+RARE, SHARD, SHARD_TOKENS = 2, 2048, 1 << 21
+#: Occurrences from which a common word's contexts are counted before they are shuffled.
+HEAVY = 1 << 12
 #: Noise of each word's objective per occurrence, its ridge, steps, and the largest product of two vectors.
 TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 8, 8.0
 
@@ -215,7 +218,8 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def train(
     docs: DataFrame, table: DataFrame, outcomes: int = OUTCOMES, common: int = COMMON, fan_in: int = FAN_IN, part: int = PART, rounds: int = ROUNDS
-) -> Model:
+) -> tuple[Model, DataFrame]:
+    """The model but for the words inside classes, and the table of tokens they are learned from."""
     spark = docs.sparkSession
     classes = np.zeros((CLASSES, 2))
     totals_ = table.agg(F.sum("n"), F.count("*")).first()
@@ -237,37 +241,72 @@ def train(
     )
     model.weights = model.start()
     parts = max(1, -(-model.total // part))
-    sequences = _sequences(docs, model, parts)
+    tokens = _token_table(docs, model)
     slices = min(max(1, model.total // part), rounds)
     for k in range(rounds):
-        some = sequences.where(F.pmod(F.shiftright("key", 20), F.lit(slices)) == k % slices)
-        n, sums = _total(cut_lineage(_round(some, model, RATE / (k + 1) ** 0.5)), parts, fan_in)
+        done = _round(_sequences(tokens, parts, slices, k), model, RATE / (k + 1) ** 0.5, 17 + k * parts)
+        n, sums = _total(cut_lineage(done), parts, fan_in)
         if n:
             model.weights = (sums / n).astype(np.float32)
-    return model
+    return model, tokens
 
 
-def _sequences(docs: DataFrame, model: Model, parts: int) -> DataFrame:
-    """part, key and outcomes (two bytes each) of every training text, rows of a part together and in a fixed order."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many words as common
-    fields = pa.schema([("key", pa.int64()), ("outcomes", pa.binary())])
+_TOKENS = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("codes", pa.binary()), ("before", pa.int32()), ("n", pa.int64())])
+
+
+def _token_table(docs: DataFrame, model: Model) -> DataFrame:
+    """The training texts' tokens, read once for all that follows.
+
+    A text has a hash as its key and its outcomes as codes of two bytes. A word inside a class has its own hash and class, and
+    the outcomes before it as codes; words found HEAVY times or more have one row for each of these, with n, instead."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # as many words as common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        number = np.append(m.counts, RARE)
         for rows in batches:
             key = rows.column(0)
-            for b in blocks(rows.column(1)):
+            for b in blocks(rows.column(1), 1 << 23):
                 hashes, classes, whose = _tokens(b)
-                outcome = m.outcomes(hashes, classes)[0].astype(np.uint16)
-                at = firsts(whose, b.n).tolist()
-                yield batch(fields, [key.slice(b.first, b.n), [outcome[x:y].tobytes() for x, y in zip(at, at[1:])]])
+                outcome, at = m.outcomes(hashes, classes)
+                ends = firsts(whose, b.n).tolist()
+                raw = outcome.astype(np.uint16)
+                none = pa.nulls(b.n, pa.int32())
+                yield batch(_TOKENS, [key.slice(b.first, b.n), none, [raw[x:y].tobytes() for x, y in zip(ends, ends[1:])], none, pa.nulls(b.n, pa.int64())])
+                inside = np.flatnonzero((outcome >= m.head) & (number[at] >= RARE))
+                one = m.contexts(outcome, whose, m.end)[0][inside]
+                order = np.lexsort((one, hashes[inside]))
+                word, one, own, many = hashes[inside][order], one[order], outcome[inside][order] - m.head, number[at[inside]][order] >= HEAVY
+                new = np.append(True, word[1:] != word[:-1])[: len(word)]
+                for some, first in ((~many, new), (many, new | np.append(True, one[1:] != one[:-1])[: len(word)])):
+                    head = np.flatnonzero(first[some])
+                    if not len(head):
+                        continue
+                    bounds = np.append(head, some.sum()).tolist()
+                    w, c, o = word[some], own[some], one[some]
+                    none = pa.nulls(len(head), pa.int32())
+                    if many[some][0]:
+                        rest = [pa.nulls(len(head), pa.binary()), o[head].astype(np.int32), np.diff(bounds)]
+                    else:
+                        code = o.astype(np.uint16)
+                        rest = [[code[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], none, pa.nulls(len(head), pa.int64())]
+                    yield batch(_TOKENS, [w[head].view(np.int64), c[head].astype(np.int32), *rest])
 
     rows = texts(docs).where(~held_out()).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
-    found = rows.mapInArrow(run, "key long, outcomes binary").withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-    return cut_lineage(found.repartition(parts, "part").sortWithinPartitions("part", "key", "outcomes"))
+    path = scratch_path(spark, "tokens")
+    rows.mapInArrow(run, "key long, class int, codes binary, before int, n long").write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _sequences(tokens: DataFrame, parts: int, slices: int, k: int) -> DataFrame:
+    """part and codes of a slice of the training texts, rows of a part together and in a fixed order."""
+    rows = tokens.where(F.col("class").isNull() & (F.pmod(F.shiftright("key", 20), F.lit(slices)) == k % slices))
+    dealt = rows.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "codes")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "key", "codes").select("part", "codes")
 
 
-def _round(sequences: DataFrame, model: Model, rate: float) -> DataFrame:
+def _round(sequences: DataFrame, model: Model, rate: float, seed: int) -> DataFrame:
     """Each part's tokens and its weights, times their number, after one pass from the model's weights."""
     shared = sequences.sparkSession.sparkContext.broadcast(model)
 
@@ -275,10 +314,10 @@ def _round(sequences: DataFrame, model: Model, rate: float) -> DataFrame:
         m = shared.value
         texts_ = ((p, o) for rows in batches for p, o in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
         for at, group in groupby(texts_, lambda r: r[0]):
-            w, n = learn(m, _shuffled(m, (np.frombuffer(o, np.uint16).astype(np.int64) for _, o in group)), m.weights, 17 + at, rate)
+            w, n = learn(m, _shuffled(m, (np.frombuffer(o, np.uint16).astype(np.int64) for _, o in group)), m.weights, seed + at, rate)
             yield batch(_WEIGHTS, [[at], [n], [w.astype(np.float64) * n]])
 
-    return sequences.select("part", "outcomes").mapInArrow(run, _WEIGHTS_SQL)
+    return sequences.mapInArrow(run, _WEIGHTS_SQL)
 
 
 def _shuffled(m: Model, sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -298,27 +337,27 @@ def _shuffled(m: Model, sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.nd
             some, size = [], 0
 
 
-def _pairs(docs: DataFrame, model: Model) -> DataFrame:
-    """word, class, before and n: how often each outcome came before each word that has a class."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many words as common
-    fields = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("before", pa.int32()), ("n", pa.int64())])
+def _befores(tokens: DataFrame, model: Model, fan_in: int) -> np.ndarray:
+    """How often each outcome came before each class: classes by outcomes."""
+    head, size, end = model.head, model.size, model.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        seen, part = np.zeros(CLASSES * size, np.int64), None
         for rows in batches:
-            for b in blocks(rows.column(0), 1 << 23):
-                hashes, classes, whose = _tokens(b)
-                outcome = m.outcomes(hashes, classes)[0]
-                tail = np.flatnonzero(outcome >= m.head)
-                word, one = hashes[tail], m.contexts(outcome, whose, m.end)[0][tail]
-                order = np.lexsort((one, word))
-                word, one, own = word[order], one[order], outcome[tail][order] - m.head
-                first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (one[1:] != one[:-1]))[: len(word)])
-                times = np.diff(np.append(first, len(word)))
-                yield batch(fields, [word[first].view(np.int64), own[first].astype(np.int32), one[first].astype(np.int32), times])
-
-    rows = texts(docs).where(~held_out()).select("text").mapInArrow(run, "word long, class int, before int, n long")
-    return cut_lineage(rows.groupBy("word", "before").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
+            for p, codes in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                part = p if part is None else part
+                own = np.frombuffer(codes, np.uint16).astype(np.int64)
+                one = np.append(end, own[:-1])
+                at = own >= head
+                np.add.at(seen, (own[at] - head) * size + one[at], 1)
+        if part is not None:
+            yield batch(_WEIGHTS, [[part], [1], [seen.astype(np.float64)]])
+
+    rows = tokens.where("class is null").select(F.spark_partition_id().alias("part"), "codes")
+    found = cut_lineage(rows.mapInArrow(run, _WEIGHTS_SQL))
+    last = found.agg(F.max("part")).first()[0]
+    sums = _total(found, (last or 0) + 1, fan_in)[1]
+    return sums.reshape(CLASSES, size) if sums is not None else np.zeros((CLASSES, size))
 
 
 def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -341,23 +380,26 @@ def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray
     return r.astype(np.float32)
 
 
-def tail(docs: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
+def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
     """word and vector (floats, as bytes) of the words inside classes; sets the model's normalisers and
     the common words' vectors."""
-    spark, classes = docs.sparkSession, model.classes
-    pairs = _pairs(docs, model)
-    seen = np.zeros((CLASSES, model.size))
-    for r in pairs.groupBy("class", "before").agg(F.sum("n").alias("n")).collect():  # classes by outcomes, at most
-        seen[r["class"], r["before"]] = r["n"]
+    spark, classes = tokens.sparkSession, model.classes
+    seen = _befores(tokens, model, fan_in)
     room = classes.sum(1) + 1
-    shards = max(1, -(-int(classes[:, 1].sum()) // SHARD))
+    shards = max(1, -(-int(classes[:, 1].sum()) // SHARD), -(-int(classes[:, 0].sum()) // SHARD_TOKENS))
     known = spark.sparkContext.broadcast((model.before().astype(np.float64), seen, room, model.size))
     fields = pa.schema([("part", pa.int32()), ("word", pa.int64()), ("vector", pa.binary()), ("w", pa.list_(pa.float64()))])
 
     def fold(table: pa.Table) -> pa.Table:
         before, seen, room, size = known.value
-        table = table.sort_by([("word", "ascending"), ("before", "ascending")])
-        word, cls, one, n = (table.column(c).to_numpy() for c in ("word", "class", "before", "n"))
+        part = int(table.column("part")[0].as_py())
+        single = table.filter(pc.is_valid(table.column("codes")))
+        many = table.filter(pc.is_null(table.column("codes")))
+        codes = single.column("codes").to_pylist()
+        times = np.array([len(c) // 2 for c in codes], np.int64)
+        word, cls = (np.concatenate([np.repeat(single.column(c).to_numpy(), times), many.column(c).to_numpy()]) for c in ("key", "class"))
+        one = np.concatenate([np.frombuffer(b"".join(codes), np.uint16), many.column("before").to_numpy()]).astype(np.int64)
+        n = np.concatenate([np.ones(times.sum(), np.int64), many.column("n").to_numpy()])
         names, first, whose = np.unique(word, return_index=True, return_inverse=True)
         count, cls_of = np.bincount(whose, weights=n), cls[first]
         out, sums = [], np.zeros((CLASSES, size))
@@ -369,16 +411,17 @@ def tail(docs: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
                 place[some] = np.arange(len(some))
                 at = np.flatnonzero(place[whose] >= 0)
                 times = np.zeros((len(some), size))
-                times[place[whose[at]], one[at]] = n[at]
+                np.add.at(times, (place[whose[at]], one[at]), n[at])
                 share = (count[some] + 1) / room[c]
                 r = solve(times, share, seen[c], before)
                 sums[c] += share @ np.expm1((r.astype(np.float64) @ before.T).clip(-TAIL_TOP, TAIL_TOP))
                 out += zip(names[some].tolist(), (v.tobytes() for v in r))
-        part = int(table.column("part")[0].as_py())
         rows = [(part, w, v, None) for w, v in out] + [(part, None, None, sums.ravel())]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
-    dealt = pairs.withColumn("part", F.pmod("word", F.lit(shards)).cast("int"))
+    words = tokens.where("class is not null")
+    heavy = words.where("codes is null").groupBy("key", "class", "codes", "before").agg(F.sum("n").alias("n"))
+    dealt = words.where("codes is not null").unionByName(heavy).withColumn("part", F.pmod("key", F.lit(shards)).cast("int"))
     solved = cut_lineage(dealt.groupBy("part").applyInArrow(fold, "part int, word long, vector binary, w array<double>"))
     sums = _total(solved.where("word is null").select("part", F.lit(0).cast("long").alias("n"), "w"), shards, fan_in)[1]
     model.inside = np.log1p(sums.reshape(CLASSES, model.size).T if sums is not None else np.zeros((model.size, CLASSES))).astype(np.float32)
@@ -445,8 +488,8 @@ def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     table = counts(docs)
-    model = train(docs, table, **options)
-    vectors = tail(docs, model, options.get("fan_in", FAN_IN))
+    model, tokens = train(docs, table, **options)
+    vectors = tail(tokens, model, options.get("fan_in", FAN_IN))
     shared = spark.sparkContext.broadcast(model)  # bounded as in train
     total, vocabulary = model.total, model.vocabulary
     names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "share", "p", "seen"]
