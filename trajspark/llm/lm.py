@@ -54,11 +54,11 @@ FAN_IN = 64
 #: Training tokens of a part, rounds of training, and tokens that are shuffled together.
 PART, ROUNDS, CHUNK = 1 << 20, 4, 1 << 17
 #: Least occurrences of a word with a vector of its own inside its class; words solved together.
-RARE, SHARD, SHARD_TOKENS = 2, 2048, 1 << 21
+RARE, SHARD, SHARD_TOKENS = 2, 1 << 15, 1 << 21
 #: Occurrences from which a common word's contexts are counted before they are shuffled.
 HEAVY = 1 << 12
 #: Noise of each word's objective per occurrence, its ridge, steps, and the largest product of two vectors.
-TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 8, 8.0
+TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 3, 8.0
 
 _END = np.uint64(0x5EED0FE2D)
 
@@ -363,21 +363,22 @@ def _befores(tokens: DataFrame, model: Model, fan_in: int) -> np.ndarray:
 def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Vectors of words of one class: n, times of each word after each context; share, of each word in its class;
     seen, times of the class after each context. Maximises n log s(x) + k share seen log s(-x), x = product - log k,
-    less a ridge, by steps under a bound of its curvature."""
+    less a ridge, by steps with a curvature between that at zero (0.1) and its bound (0.25)."""
     k = TAIL_NOISE
     total = max(seen.sum(), 1.0)
     spread = (before * (seen / total)[:, None]).T @ before
     value, turn = np.linalg.eigh(spread + 1e-9 * np.eye(DIM))
     weight = n.sum(1) + k * share * total
-    scale = 1 / (0.25 * weight[:, None] * np.maximum(value, 0) + TAIL_RIDGE)
-    noise = k * share[:, None] * seen
-    r = np.zeros((len(n), DIM))
+    scale = (1 / (0.15 * weight[:, None] * np.maximum(value, 0) + TAIL_RIDGE)).astype(np.float32)
+    noise = (k * share[:, None] * seen).astype(np.float32)
+    n, before, turn, k = n.astype(np.float32), before.astype(np.float32), turn.astype(np.float32), np.float32(k)
+    both, r = n + noise, np.zeros((len(n), DIM), np.float32)
     for _ in range(TAIL_STEPS):
-        x = (r @ before.T).clip(-TAIL_TOP, TAIL_TOP)
+        x = (r @ before.T).clip(-np.float32(TAIL_TOP), np.float32(TAIL_TOP))
         p = 1 / (1 + k * np.exp(-x))
-        g = (n - (n + noise) * p) @ before - TAIL_RIDGE * r
+        g = (n - both * p) @ before - np.float32(TAIL_RIDGE) * r
         r += (g @ turn * scale) @ turn.T
-    return r.astype(np.float32)
+    return r
 
 
 def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
@@ -392,6 +393,7 @@ def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
 
     def fold(table: pa.Table) -> pa.Table:
         before, seen, room, size = known.value
+        narrow = before.astype(np.float32)
         part = int(table.column("part")[0].as_py())
         single = table.filter(pc.is_valid(table.column("codes")))
         many = table.filter(pc.is_null(table.column("codes")))
@@ -414,7 +416,7 @@ def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
                 np.add.at(times, (place[whose[at]], one[at]), n[at])
                 share = (count[some] + 1) / room[c]
                 r = solve(times, share, seen[c], before)
-                sums[c] += share @ np.expm1((r.astype(np.float64) @ before.T).clip(-TAIL_TOP, TAIL_TOP))
+                sums[c] += share @ np.expm1((r @ narrow.T).clip(-np.float32(TAIL_TOP), np.float32(TAIL_TOP)))
                 out += zip(names[some].tolist(), (v.tobytes() for v in r))
         rows = [(part, w, v, None) for w, v in out] + [(part, None, None, sums.ravel())]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
