@@ -58,7 +58,7 @@ RARE, SHARD, SHARD_TOKENS = 2, 1 << 15, 1 << 21
 #: Occurrences from which a common word's contexts are counted before they are shuffled.
 HEAVY = 1 << 12
 #: Noise of each word's objective per occurrence, its ridge, steps, and the largest product of two vectors.
-TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 3, 8.0
+TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 4, 8.0
 
 _END = np.uint64(0x5EED0FE2D)
 
@@ -363,13 +363,13 @@ def _befores(tokens: DataFrame, model: Model, fan_in: int) -> np.ndarray:
 def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Vectors of words of one class: n, times of each word after each context; share, of each word in its class;
     seen, times of the class after each context. Maximises n log s(x) + k share seen log s(-x), x = product - log k,
-    less a ridge, by steps with a curvature between that at zero (0.1) and its bound (0.25)."""
+    less a ridge, by steps under a bound of its curvature."""
     k = TAIL_NOISE
     total = max(seen.sum(), 1.0)
     spread = (before * (seen / total)[:, None]).T @ before
     value, turn = np.linalg.eigh(spread + 1e-9 * np.eye(DIM))
     weight = n.sum(1) + k * share * total
-    scale = (1 / (0.15 * weight[:, None] * np.maximum(value, 0) + TAIL_RIDGE)).astype(np.float32)
+    scale = (1 / (0.25 * weight[:, None] * np.maximum(value, 0) + TAIL_RIDGE)).astype(np.float32)
     noise = (k * share[:, None] * seen).astype(np.float32)
     n, before, turn, k = n.astype(np.float32), before.astype(np.float32), turn.astype(np.float32), np.float32(k)
     both, r = n + noise, np.zeros((len(n), DIM), np.float32)
