@@ -198,3 +198,14 @@ def test_a_plain_fragment_hides_no_disguise(text, fragment, whole, masked):
     (got,) = pii.find(pa.array([text]), pii._automaton())
     assert {(k, text[s:e], base) for k, s, e, base in got} == {(*fragment, True), (*whole, False)}
     assert mask(text, got) == masked
+
+
+@pytest.mark.parametrize("text", ["She was at home.And then", "We met at noon.today it rained", "Look at me.txt files", "at last.It came", "stay at home.Is it so"])
+def test_prose_without_a_blank_is_no_address(text):
+    assert pii.find(pa.array([text]), pii._automaton()) == [[]]
+
+
+@pytest.mark.parametrize("text", ["bob at host.example.org", "bob at example dot org", "bob at mail.example.co.uk now", "bob at example.com.", "bob (at) home.and"])
+def test_bare_at_before_a_host_is_an_address(text):
+    (found,) = pii.find(pa.array([text]), pii._automaton())
+    assert [(k, s) for k, s, *_ in found] == [("email", 0)]

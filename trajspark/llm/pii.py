@@ -64,10 +64,18 @@ _ONE_WORD = re.compile(rf"{_WORD}", re.IGNORECASE | re.ASCII)
 _JOINED_DIGITS = re.compile(r"\bplus\s{1,3}(?=[0-9])", re.IGNORECASE | re.ASCII)
 _AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE | re.ASCII)
 _DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE | re.ASCII)
-#: What may stand behind a bare "at": labels of which one after the first begins with a letter (no decimal number or
-#: time), or an address of four numbers; but not what is itself the local part of an address.
+#: Last labels of a host behind a bare "at"; those that are English words too are left out, as prose with
+#: a missing blank after a full stop ("at home.It was") is no address.
+TOP = (
+    "com org net edu gov mil int info biz io dev app test example localhost eu uk de fr es nl se dk fi pl cz ch pt gr ie hu ro ru ua "
+    "tr il cn jp kr tw hk sg au nz ca mx br ar cl co za ng ke ae sa pk bd vn th ph"
+).split()
+#: What may stand behind a bare "at": a spelled dot, labels that end in one of TOP, or an address of four numbers; but not
+#: what is itself the local part of an address.
 _HOST = (
-    r"(?=[A-Za-z0-9-]{1,64}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]|(?:\.[A-Za-z0-9-]{1,64}){0,8}\.[A-Za-z])"
+    r"(?=[A-Za-z0-9-]{1,64}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]|(?:\.[A-Za-z0-9-]{1,64}){0,8}\.(?:"
+    + "|".join(TOP)
+    + r")(?![A-Za-z0-9-]|\.[A-Za-z0-9]))"
     r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]))"
     r"(?![A-Za-z0-9._%+-]{1,64}@)"
     r"(?![A-Za-z0-9-]{1,64}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,64}){1,4}\s{1,3}at\s{1,3}[A-Za-z0-9-]{1,64}(?:\s{1,3}dot\s|\.[A-Za-z]))"
