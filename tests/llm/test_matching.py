@@ -237,3 +237,10 @@ def test_pipeline_drops_benchmark_copies_without_a_name(spark, tmp_path):
     bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(None, FILL + ITEM), (1, FILL)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.unseen(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_short_item_needs_all_its_windows(spark):
+    items = spark.createDataFrame([(1, "What is the capital of Peru?")], "item_id long, text string")
+    rows = [(1, "We know that Berlin is the capital of Germany and like it"), (2, "Please say: what is the capital of Chile? Thank you"), (3, "what is the capital of Peru?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in decontam.matches(docs, items).collect()} == {2, 3}

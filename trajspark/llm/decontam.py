@@ -6,7 +6,8 @@ benchmark. Windows of one document and one item that lie on one diagonal (same d
 their places) are one occurrence; it counts if its slots are consistent, that is each value of the item stands for one
 and the same value of the document throughout. Windows are also compared as written (lower case), all of them: those
 that agree in every word count whatever the rest of the occurrence does. A document is contaminated by an item if
-counted windows cover at least half of the item's (of all, or of those that have a template), or if a run of them without a gap reaches RUN words.
+counted windows cover at least half of the item's (of all, or of those that have a template; all where they number one or
+two), or if a run of them without a gap reaches RUN words.
 
 The benchmark's window hashes travel to the tasks as a sorted array while they number at most
 BROADCAST; beyond that all windows of the documents meet them in the join, with the same result.
@@ -37,6 +38,8 @@ WINDOW = 5
 PLAIN = 3
 #: Least share of an item's windows.
 COVER = 0.5
+#: Windows up to which all of them are needed: one of two is found by chance ("is the capital of NAME").
+SHORT = 2
 #: Words of a run without a gap that suffice, whatever the share.
 RUN = 13
 BROADCAST = 1 << 20
@@ -210,8 +213,9 @@ def matches(
         .join(size, "item_id")
     )
     # half of all windows, or of those that have a template: other values leave the rest of them without a match
-    enough = F.col("windows") >= F.lit(cover) * F.col("item_windows")
-    enough |= (F.col("typed") > 0) & (F.col("typed") >= F.lit(cover) * F.col("item_typed"))
+    share = lambda n: F.when(n <= SHORT, n).otherwise(F.lit(cover) * n)
+    enough = F.col("windows") >= share(F.col("item_windows"))
+    enough |= (F.col("item_windows") > SHORT) & (F.col("typed") > 0) & (F.col("typed") >= share(F.col("item_typed")))
     return covered.where(enough | (F.col("length") >= max(1, run - window + 1))).select("doc_id", "item_id", F.col("windows").cast("long"), "item_windows", "same")
 
 
