@@ -425,7 +425,8 @@ def _made(spark, sf):
         (F.col("o_orderkey") % 9).cast("int").alias("idx"),
         F.when(price < 20000, 0).otherwise(F.floor(price)).cast("bigint").alias("length"),
     )
-    return orders.join(_grid(spark, sf), ["env_seed", "idx"]).select("stem", "length")
+    # the grid has nine rows a customer, far more than the size Spark infers from the file: never broadcast it
+    return orders.join(_grid(spark, sf).hint("merge"), ["env_seed", "idx"]).select("stem", "length")
 
 
 @query("expected_grid", f"WITH {GRID_SQL} SELECT stem, idx, env_seed, forest_type FROM want")
