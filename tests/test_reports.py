@@ -111,3 +111,17 @@ def test_block_subsample(tiny, fraction, at_least):
     df = tiny.createDataFrame(rows, "stem string, anchor_index bigint").repartition(5)
     got = sorted(map(tuple, report.block_subsample(df, fraction, at_least).collect()))
     assert got == sorted(rows)[: max(at_least, int(200 * fraction))]
+
+
+def test_result_arrays_are_bounded(spark, tmp_path):
+    """A file's array is parsed whole, so its length must not grow with the table."""
+    runs = spark.range(0, 25, 1, 2).select(
+        F.lit(0.1).alias("lambda_sig"), F.lit(24).alias("latent_dim"), F.col("id").alias("seed"),
+        F.expr("map('v', map('trained', named_struct('r2', id / 4D)))").alias("recovery"),
+    )
+    path = str(tmp_path / "arrays")
+    manifests.write_result_arrays(runs, path, runs=10)
+    sizes = [len(json.loads(f.read_text())) for f in (tmp_path / "arrays").glob("part-*")]
+    assert sorted(sizes) == [2, 3, 10, 10]
+    back = report.recovery_long(manifests.read_results(spark, path)).collect()
+    assert sorted((r["seed"], r["target"], r["arm"], r["r2"]) for r in back) == [(i, "v", "trained", i / 4) for i in range(25)]

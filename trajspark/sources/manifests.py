@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from trajspark.sources.corpus import Scan, discover, params_listing, scan_csv, t
 MANIFEST_VERSION = 1
 #: Folder of one append to a sidecar, followed by its number.
 APPEND_SEQ = "append_seq"
+#: Run results in one file of ``write_result_arrays``.
+RUNS_PER_FILE = 4096
 MEASURED = ["time", "sol_x_0", "sol_x_1", "sol_x_2"]
 
 
@@ -231,6 +234,19 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_result_arrays(df: DataFrame, path: str, runs: int = RUNS_PER_FILE) -> None:
+    """Files of one JSON array each, of at most ``runs`` rows, so that no task holds more than that as text."""
+    texts = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, runs):
+                rows = batch.column(0).slice(at, runs).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([f"[{','.join(rows)}]"])], names=["value"])
+
+    texts.mapInArrow(pack, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_table_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

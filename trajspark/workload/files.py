@@ -150,10 +150,7 @@ def dataset_roundtrip(spark, sf):
 def results_roundtrip(spark, sf):
     """Results as JSON arrays, one to a file, as runs leave them."""
     path = scratch_path(spark, "results")
-    results = run_results(spark, sf)
-    rows = results.withColumn("file", F.spark_partition_id())
-    arrays = rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct(*results.columns))).alias("value"))
-    arrays.write.partitionBy("file").text(path)
+    manifests.write_result_arrays(run_results(spark, sf), path)
     long = report.recovery_long(manifests.read_results(spark, path))
     return long.groupBy("target", "arm").agg(F.count("*").alias("n"), r6(F.avg("r2"), 5).alias("r2"))
 
