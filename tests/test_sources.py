@@ -292,3 +292,23 @@ def test_heads_of_a_store_that_tasks_cannot_open(spark, tmp_path):
     assert read[1] == read[0]
     assert [s.replace("%20", " ") for s, _ in rows] == ["cr", "crlf", "long", "mark", "one two"]
     assert [b for b, _ in bad] == ["blank.csv", "twice.csv"] and "missing" in bad[0][1] and bad[1][1].endswith("time")
+
+
+@pytest.mark.parametrize("reached", [True, False])
+def test_write_files(spark, tmp_path, monkeypatch, reached):
+    """Tasks name their files themselves; the driver moves them one by one only in stores that Arrow cannot write."""
+
+    def refuse(*_):
+        raise OSError("not here")
+
+    monkeypatch.setattr(corpus, "_move_named" if reached else "_store", refuse)
+    lines = spark.range(60).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("sub"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"),
+        (100 - F.col("id")).alias("at"), F.concat(F.lit("é,"), F.col("id")).alias("value"),
+    )
+    corpus.write_files(lines, str(tmp_path / "out"), "csv")
+    found = {f"{f.parent.name}/{f.name}": f.read_text() for f in (tmp_path / "out").glob("[ab]/*") if not f.name.endswith(".crc")}
+    assert set(found) == {f"{s}/n{i}.csv" for s in "ab" for i in range(3)}
+    for place, text in found.items():
+        ids = [i for i in range(59, -1, -1) if i % 2 == "ab".index(place[0]) and i % 3 == int(place[3])]
+        assert text == "".join(f"é,{i}\n" for i in ids)

@@ -18,8 +18,9 @@ from trajspark.operators.manifest import (
     with_identity,
     with_solve_info,
 )
+from trajspark.plans.scratch import cut_lineage
 from trajspark.schema import EPOCH_LOG, MANIFEST, RESULTS, SOLVE_INFO, SystemParams
-from trajspark.sources.corpus import Scan, discover, params_listing, scan_csv, to_steps
+from trajspark.sources.corpus import Scan, discover, headers, params_listing, scan_csv, to_steps
 
 MANIFEST_VERSION = 1
 #: Folder of one append to a sidecar, followed by its number.
@@ -43,7 +44,8 @@ def build_manifest(
     Unreadable files stay in the manifest with ``extra.csv_read_error`` and no measurements.
     """
     roots = [csv_root] if subdirs is None else [f"{csv_root.rstrip('/')}/{s}" for s in subdirs]
-    files = discover(spark, roots).select(
+    listing = cut_lineage(discover(spark, roots))
+    files = listing.select(
         "csv_path",
         F.element_at(F.split("csv_path", "/"), -2).alias("subdir"),
         F.regexp_extract("csv_path", r"([^/]+)\.[^./]+$", 1).alias("stem"),
@@ -52,7 +54,7 @@ def build_manifest(
     files = files.where(
         F.element_at(F.split("csv_path", "/"), -3) == F.lit(csv_root.rstrip("/").split("/")[depth - 1])
     )
-    scan: Scan = scan_csv(spark, roots, MEASURED)
+    scan: Scan = scan_csv(spark, roots, MEASURED, heads=headers(spark, roots, listing=listing))
     measured = measure(to_steps(scan.rows), "csv_path")
     manifest = (
         with_identity(files)

@@ -166,22 +166,6 @@ def epoch_log_scan(spark, sf):
     return log.groupBy("run").agg(F.count("*").alias("epochs"), r6(F.min("val.loss")).alias("best"))
 
 
-def _named(spark, raw: str, root: str, suffix: str) -> None:
-    """Moves the one file of each ``raw/sub=S/name=N`` folder to ``root/S/N.suffix``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
-    for sub in store.listStatus(path(raw)):
-        if "=" not in sub.getPath().getName():
-            continue
-        folder = f"{root}/{sub.getPath().getName().split('=')[1]}"
-        store.mkdirs(path(folder))
-        for name in store.listStatus(sub.getPath()):
-            parts = [f.getPath() for f in store.listStatus(name.getPath()) if f.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
-                raise ValueError(f"{name.getPath()} holds {len(parts)} files")
-            store.rename(parts[0], path(f"{folder}/{name.getPath().getName().split('=')[1]}.{suffix}"))
-
-
 @query(
     "manifest_build",
     f"""WITH {PHYS}, f AS (SELECT 'a' AS sub, * FROM ph UNION ALL SELECT 'b' AS sub, * FROM ph WHERE step % 2 = 0),
@@ -206,13 +190,11 @@ def manifest_build(spark, sf):
     copies = F.explode(F.when(F.col("step") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))))
     files = steps.withColumn("sub", copies)
     short = (F.col("sub") == "b") & (F.col("stem") % 5 == 0)
-    for k, (part, columns) in enumerate([(files.where(~short), ["sol_x_2", "time", "sol_x_0", "sol_x_1"]), (files.where(short), ["time", "sol_x_0"])]):
-        rows = part.repartition("sub", "name").sortWithinPartitions("sub", "name", "step").select("sub", "name", *columns)
-        rows.write.partitionBy("sub", "name").option("header", "true").csv(f"{root}/raw{k}")
-        _named(spark, f"{root}/raw{k}", f"{root}/csv", "csv")
-    params = files.where("sub = 'a' AND stem % 3 = 0").select("sub", "name").distinct().withColumn("value", F.lit("mass_quad: 1"))
-    params.repartition("sub", "name").write.partitionBy("sub", "name").text(f"{root}/raw_params")
-    _named(spark, f"{root}/raw_params", f"{root}/params", "yaml")
+    layout = lambda c: F.when(F.col("step") == 0, F.concat(F.lit(",".join(c) + "\n"), F.concat_ws(",", *c))).otherwise(F.concat_ws(",", *c))
+    line = F.when(short, layout(["time", "sol_x_0"])).otherwise(layout(["sol_x_2", "time", "sol_x_0", "sol_x_1"]))
+    corpus.write_files(files.select("sub", "name", F.col("step").alias("at"), line.alias("value")), f"{root}/csv", "csv")
+    params = files.where("sub = 'a' AND stem % 3 = 0 AND step = 0")
+    corpus.write_files(params.select("sub", "name", F.col("step").alias("at"), F.lit("mass_quad: 1").alias("value")), f"{root}/params", "yaml")
     events = table(spark, sf, "events").where("user_id % 3 <> 1")
     last = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("solver_status"))
     manifests.append_solve_info(last.select(F.concat(F.lit("maze_"), F.col("user_id").cast("string"), F.lit("_x")).alias("stem"), "solver_status"), f"{root}/info")
