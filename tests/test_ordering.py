@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajspark.plans import ordering
 from trajspark.plans.ordering import dense_step, hash_rank, running_sum, segment_window, with_halo
 from trajspark.plans.quantiles import quantiles
 
@@ -98,3 +99,12 @@ def test_quantiles_read_their_input_once(tiny, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" not in plan and "Scan parquet" not in plan
     assert out.count() == 3
+
+
+def test_dense_step_deals_large_tables_over_more_tasks(spark, monkeypatch):
+    """A task's rows are bounded by their number, however little of a row is shuffled."""
+    monkeypatch.setattr(ordering, "TASK_ROWS", 10)
+    out = ordering.dense_step(spark.range(300).select((F.col("id") % 50).alias("k"), "id"), "k", ["id"])
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 15 and max(sizes) <= 36
+    assert out.where("step <> id div 50").isEmpty()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -344,6 +345,18 @@ def build_windows(
     return extract_windows(mapped, config, key, step, targets=True, carry=["split", *names])
 
 
+@contextmanager
+def _writers(spark: SparkSession, count: int) -> Iterator[None]:
+    """Partitioned writes keep up to ``count`` files open in a task instead of sorting its wide rows by partition."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(count))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_dataset(
     windows: DataFrame,
     path: str,
@@ -371,7 +384,8 @@ def write_dataset(
             for name in ARRAYS
         }
     )
-    stored.write.mode("overwrite").partitionBy("split").parquet(f"{path}/windows")
+    with _writers(spark, len(SPLIT_NAMES) + 1):
+        stored.write.mode("overwrite").partitionBy("split").parquet(f"{path}/windows")
     counts = {
         r["split"]: r["n"]
         for r in spark.read.parquet(f"{path}/windows")

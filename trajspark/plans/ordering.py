@@ -20,6 +20,8 @@ GROUP_ROWS = 1 << 20
 SEGMENT_ROWS = 1 << 14
 BROADCAST_ROWS = 1 << 20
 BROADCAST_BYTES = 1 << 26
+#: Rows that a task of numbered keys holds; later columns and windows widen them a hundredfold.
+TASK_ROWS = 1 << 17
 #: Metadata of a step column: no key of the table had more rows than this.
 KEY_ROWS = "trajspark.key_rows"
 
@@ -54,6 +56,15 @@ def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key over enough tasks for the table: the planner sizes tasks by the narrow rows it shuffles here.
+
+    Tables of fewer rows than the cores can hold at once are left to it.
+    """
+    parts = -(-df.count() // TASK_ROWS)
+    return df.repartition(parts, key) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def dense_step(
     df: DataFrame, key: str, order: Sequence[Column | str], out: str = "step"
 ) -> DataFrame:
@@ -61,7 +72,7 @@ def dense_step(
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     cold, hot = split_hot(df, [key])
     plain = Window.partitionBy(key).orderBy(*order)
-    numbered = cold.withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
+    numbered = _spread(cold, key).withColumn(out, (F.row_number().over(plain) - 1).cast("bigint"))
     if hot is None:
         return numbered.withMetadata(out, {KEY_ROWS: group_limit(df.sparkSession), "key": key})
     return numbered.unionByName(_range_step(hot, key, order, out))
