@@ -148,3 +148,41 @@ def test_alarm_once_per_run_with_restarts_and_expiry(spark, tmp_path):
     why = "effective_rank"
     assert got == [("a", 2, why), ("a", 9, why), ("b", 1, why), ("c", 2, why), ("late", 1, why)]
     assert max(left[:3]) > 0 and left[4] < max(left[:3])  # nothing is kept for runs that are over or never tripped
+
+
+def test_runs_share_state_but_not_alarms(spark, tmp_path):
+    """Calls to the state store grow with the buckets; runs of a bucket alarm and expire each for itself."""
+    from datetime import timedelta
+
+    src, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    appends = [
+        [(f"r{k}", 1, k % 3, 1.0) for k in range(300)] + [(None, 7, 0, 1.0), ("quiet", 1, 0, 9.0)],
+        [(f"r{k}", 2, 50, 1.0) for k in range(0, 300, 2)] + [(None, 8, 50, 1.0), ("none", None, 50, 1.0)],
+        [("w", 1, 100, 9.0)],  # the odd runs are over, the even ones and the one without a name are not
+        [(f"r{k}", 3, 101, 1.0) for k in range(300)] + [(None, 9, 101, 1.0), ("quiet", 2, 101, 1.0)],
+    ]
+    kept = []
+    for rows in appends:
+        epochs(spark, rows).repartition(3).write.mode("append").parquet(src)
+        with jobs.keyed_state(spark):
+            alarms = jobs.collapse_alarms(jobs.table_stream(spark, src), delay="20 minutes", ttl=timedelta(minutes=60), buckets=2)
+            query = jobs.run_available(alarms, out, state, mode="append")
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r["run"] or "", r["epoch"]) for r in spark.read.parquet(out).collect())
+    odd = [(f"r{k}", e) for k in range(1, 300, 2) for e in (1, 3)]
+    assert got == sorted([("", 7), ("none", None), ("quiet", 2), *odd, *((f"r{k}", 1) for k in range(0, 300, 2))])
+    assert max(kept) <= 2 * 3  # of a bucket: its runs, its timer by key and by time
+
+
+def test_runs_keep_their_type(spark, tmp_path):
+    big = 2**60 + 1
+    rows = epochs(spark, [("x", 1, 0, 1.0)]).crossJoin(spark.createDataFrame([(big,), (big + 1,), (None,)], "number long"))
+    for name, run in (("long", F.col("number")), ("binary", F.unhex(F.concat(F.lit("FF"), F.hex("number"))))):
+        src, out, state = (str(tmp_path / f"{name}-{n}") for n in ("log", "out", "state"))
+        want = rows.withColumn("run", run)
+        want.write.parquet(src)
+        with jobs.keyed_state(spark):
+            jobs.run_available(jobs.collapse_alarms(jobs.table_stream(spark, src)), out, state, mode="append")
+        got = spark.read.parquet(out).select("run", "epoch")
+        assert got.schema["run"].dataType == want.schema["run"].dataType
+        assert got.exceptAll(want.select("run", "epoch")).isEmpty() and got.count() == 3

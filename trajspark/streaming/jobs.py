@@ -172,11 +172,20 @@ def first_collapse(log: DataFrame, run: str = "run", **thresholds) -> DataFrame:
     )
 
 
+#: Groups of runs whose state is read and written together. A stream's state is bound to the number it began with.
+BUCKETS = 1024
+#: Stands for a missing epoch, which comes after all others.
+NO_EPOCH = 2**63 - 1
+
+
 class CollapseMonitor(StatefulProcessor):
     """One alarm per run: state exists for runs that have alarmed, until ``ttl`` after their last epoch.
 
     The earliest tripped epoch of the batch that first trips is the alarm; later epochs of the run only move
-    the timer on. When the watermark passes it, the run is forgotten, and would alarm again.
+    its time on. When the watermark passes that, the run is forgotten, and would alarm again.
+
+    A key is a bucket of runs, so calls to the state store grow with buckets and batches, not with runs. Its timer is
+    at or before the first of its runs' times, and is set anew when it fires.
     """
 
     def __init__(self, ttl: timedelta, run: str = "run"):
@@ -184,36 +193,54 @@ class CollapseMonitor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.alarmed = handle.getValueState("alarmed", "epoch long, until long")
+        self.alarmed = handle.getValueState("alarmed", "timer long, runs array<string>, until array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.alarmed.get() if self.alarmed.exists() else None
-        latest, first = 0, None
+        timer, *known = self.alarmed.get() or (None, (), ())
+        until = dict(zip(*known))
+        latest, first = {}, {}
         for part in rows:
-            latest = max(latest, int(part["at_ms"].max()))
-            tripped = part[part["why"] != ""]
-            if len(tripped):
-                row = tripped.loc[tripped["epoch"].idxmin()]
-                if first is None or row["epoch"] < first["epoch"]:
-                    first = row
-        if known is None and first is None:
-            return
-        until = max(latest + self.ttl, known[1] if known else 0)
-        if known is None or until > known[1]:
-            if known:
-                self.handle.deleteTimer(known[1])
-            self.handle.registerTimer(until)
-            self.alarmed.update((known[0] if known else int(first["epoch"]), until))
-        if known is None:
-            yield pd.DataFrame({self.run: [key[0]], "epoch": [int(first["epoch"])], "reasons": [first["why"]]})
+            for run, epoch, at, why in zip(*(part[c].tolist() for c in (self.run, "epoch", "at_ms", "why"))):
+                run = run if isinstance(run, str) else None
+                latest[run] = max(latest.get(run, 0), at)
+                if why and (run not in first or epoch < first[run][0]):
+                    first[run] = epoch, why
+        new = [run for run in first if run not in until]
+        moved = {run: at + self.ttl for run, at in latest.items() if (run in until or run in first) and at + self.ttl > until.get(run, 0)}
+        if moved:
+            until.update(moved)
+            soonest = min(moved.values())
+            if timer is None or soonest < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(soonest)
+                timer = soonest
+            self.alarmed.update((timer, list(until), list(until.values())))
+        if new:
+            epochs, reasons = zip(*(first[run] for run in new))
+            yield pd.DataFrame({self.run: new, "epoch": epochs, "reasons": reasons})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.alarmed.clear()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        _, *known = self.alarmed.get()
+        until = {run: t for run, t in zip(*known) if t > passed}
+        if until:
+            timer = min(until.values())
+            self.handle.registerTimer(timer)
+            self.alarmed.update((timer, list(until), list(until.values())))
+        else:
+            self.alarmed.clear()
         yield from ()
 
 
 def collapse_alarms(
-    log: DataFrame, run: str = "run", time: str = "time", delay: str = "1 hour", ttl: timedelta = timedelta(days=7), **thresholds
+    log: DataFrame,
+    run: str = "run",
+    time: str = "time",
+    delay: str = "1 hour",
+    ttl: timedelta = timedelta(days=7),
+    buckets: int = BUCKETS,
+    **thresholds,
 ) -> DataFrame:
     """run, epoch, reasons (comma-joined) of each run's alarm, emitted once, over a stream of epochs.
 
@@ -222,12 +249,21 @@ def collapse_alarms(
     inside ``keyed_state``.
     """
     flagged = collapse_alarm(log.withWatermark(time, delay), **{"distance": "pairwise_distance_mean", **thresholds})
+    kind = log.schema[run].dataType
+    binary = kind.typeName() == "binary"
     slim = flagged.select(
-        run, F.col("epoch").cast("long").alias("epoch"), time, F.unix_millis(time).alias("at_ms"), F.array_join("reasons", ",").alias("why")
+        F.pmod(F.xxhash64(run), F.lit(buckets)).alias("bucket"),
+        (F.base64(run) if binary else F.col(run).cast("string")).alias(run),
+        F.coalesce(F.col("epoch").cast("long"), F.lit(NO_EPOCH)).alias("epoch"),
+        time,
+        F.coalesce(F.unix_millis(time), F.lit(0)).alias("at_ms"),
+        F.array_join("reasons", ",").alias("why"),
+    )
+    alarms = slim.groupBy("bucket").transformWithStateInPandas(
+        CollapseMonitor(ttl, run), outputStructType=f"`{run}` string, epoch long, reasons string", outputMode="append", timeMode="eventTime"
     )
-    kind = log.schema[run].dataType.simpleString()
-    return slim.groupBy(run).transformWithStateInPandas(
-        CollapseMonitor(ttl, run), outputStructType=f"{run} {kind}, epoch long, reasons string", outputMode="append", timeMode="eventTime"
+    return alarms.select(
+        (F.unbase64(run) if binary else F.col(run).cast(kind)).alias(run), F.nullif("epoch", F.lit(NO_EPOCH)).alias("epoch"), "reasons"
     )
 
 

@@ -73,7 +73,7 @@ def stream_collapse(spark, sf):
     part = F.floor(F.col("event_id") * BATCHES / F.lit(last + 1))
     value = F.col("value")
     for k in range(BATCHES):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{out}/log")
+        events.where(part == k).write.mode("append").parquet(f"{out}/log")
         log = jobs.table_stream(spark, f"{out}/log").select(
             F.col("user_id").alias("run"),
             F.col("event_id").alias("epoch"),
