@@ -95,6 +95,20 @@ def test_lm_rare_words_are_joined_to_their_vectors(spark, small):
     assert all(abs(sent[k] - joined[k]) < 1e-4 * abs(sent[k]) for k in sent)
 
 
+def test_lm_words_of_a_block_share_a_row(spark, small):
+    """One row for each shard, that holds every occurrence; the rounds' tasks are sent no table of words."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").coalesce(1)
+    table = lm.counts(docs)
+    model, tokens = lm.train(docs, table)
+    light = tokens.where("class is not null and n is null")
+    assert light.count() <= model.shards
+    top = {r.word for r in table.orderBy(F.desc("n"), "word").limit(lm.OUTCOMES).collect()}
+    inside = sum(r.n for r in table.collect() if r.word not in top and lm.RARE <= r.n < lm.HEAVY)
+    assert light.agg(F.sum(F.length("codes"))).first()[0] == 2 * inside
+    slim = model.slim()
+    assert len(slim.words) <= 1 and slim.end == model.end
+
+
 def test_lm_words_of_a_class_add_up_to_one(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model, tokens = lm.train(docs, lm.counts(docs), outcomes=50)

@@ -29,7 +29,7 @@ weights. An empty table gives an empty result. Columns of other names are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, groupby
 
 import numpy as np
@@ -113,6 +113,16 @@ class Model:
     def size(self) -> int:
         return self.head + CLASSES
 
+    @property
+    def shards(self) -> int:
+        """Groups of words inside classes that are solved together."""
+        return max(1, -(-int(self.classes[:, 1].sum()) // SHARD), -(-int(self.classes[:, 0].sum()) // SHARD_TOKENS))
+
+    def slim(self) -> Model:
+        """Without the common words: all that codes of outcomes need."""
+        end = self.words == _END
+        return replace(self, words=self.words[end], counts=self.counts[end], outcome=self.outcome[end])
+
     def split(self, w: np.ndarray) -> tuple[np.ndarray, ...]:
         """Context vectors, target vectors, mixing vectors of the two places, biases."""
         k, d = self.size, DIM
@@ -172,9 +182,14 @@ def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         q1, q2 = q[one], q[two]
         h = c[0] * q1 + c[1] * q2
         good = (h * r[target]).sum(1) + bias[target] - log_noise[target]
-        bad = h @ r[noise].T + bias[noise] - log_noise[noise]
+        down = h @ r[noise].T
+        down += bias[noise]
+        down -= log_noise[noise]
         up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+        np.clip(down, -30, 30, out=down)
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
         gr = scatter(target, up[:, None] * h)
         np.add.at(gr, noise, down.T @ h)
         gb = np.bincount(target, weights=up, minlength=size)
@@ -245,20 +260,24 @@ def train(
     slices = min(max(1, model.total // part), rounds)
     for k in range(rounds):
         done = _round(_sequences(tokens, parts, slices, k), model, RATE / (k + 1) ** 0.5, 17 + k * parts)
-        n, sums = _total(cut_lineage(done), parts, fan_in)
+        n, sums = _total(done, parts, fan_in)
         if n:
             model.weights = (sums / n).astype(np.float32)
     return model, tokens
 
 
-_TOKENS = pa.schema([("key", pa.int64()), ("class", pa.int32()), ("codes", pa.binary()), ("before", pa.int32()), ("n", pa.int64())])
+_TOKENS = pa.schema(
+    [("key", pa.int64()), ("class", pa.int32()), ("codes", pa.binary()), ("before", pa.int32()), ("n", pa.int64())]
+    + [(name, pa.binary()) for name in ("words", "classes", "times")]
+)
 
 
 def _token_table(docs: DataFrame, model: Model) -> DataFrame:
     """The training texts' tokens, read once for all that follows.
 
-    A text has a hash as its key and its outcomes as codes of two bytes. A word inside a class has its own hash and class, and
-    the outcomes before it as codes; words found HEAVY times or more have one row for each of these, with n, instead."""
+    A text has a hash as its key and its outcomes as codes of two bytes. The words inside classes of a block of texts have
+    one row for each shard, its key, with -1 as class: their hashes, classes and times, and as codes the outcomes before
+    them, word by word. Words found HEAVY times or more have one row for each outcome before them, with n, instead."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # as many words as common
 
@@ -272,30 +291,37 @@ def _token_table(docs: DataFrame, model: Model) -> DataFrame:
                 outcome, at = m.outcomes(hashes, classes)
                 ends = firsts(whose, b.n).tolist()
                 raw = outcome.astype(np.uint16)
-                none = pa.nulls(b.n, pa.int32())
-                yield batch(_TOKENS, [key.slice(b.first, b.n), none, [raw[x:y].tobytes() for x, y in zip(ends, ends[1:])], none, pa.nulls(b.n, pa.int64())])
+                rest = [pa.nulls(b.n, f.type) for f in list(_TOKENS)[3:]]
+                yield batch(_TOKENS, [key.slice(b.first, b.n), pa.nulls(b.n, pa.int32()), [raw[x:y].tobytes() for x, y in zip(ends, ends[1:])], *rest])
                 inside = np.flatnonzero((outcome >= m.head) & (number[at] >= RARE))
                 one = m.contexts(outcome, whose, m.end)[0][inside]
-                order = np.lexsort((one, hashes[inside]))
-                word, one, own, many = hashes[inside][order], one[order], outcome[inside][order] - m.head, number[at[inside]][order] >= HEAVY
-                new = np.append(True, word[1:] != word[:-1])[: len(word)]
-                for some, first in ((~many, new), (many, new | np.append(True, one[1:] != one[:-1])[: len(word)])):
-                    head = np.flatnonzero(first[some])
-                    if not len(head):
-                        continue
-                    bounds = np.append(head, some.sum()).tolist()
-                    w, c, o = word[some], own[some], one[some]
-                    none = pa.nulls(len(head), pa.int32())
-                    if many[some][0]:
-                        rest = [pa.nulls(len(head), pa.binary()), o[head].astype(np.int32), np.diff(bounds)]
-                    else:
-                        code = o.astype(np.uint16)
-                        rest = [[code[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], none, pa.nulls(len(head), pa.int64())]
-                    yield batch(_TOKENS, [w[head].view(np.int64), c[head].astype(np.int32), *rest])
+                word, own, many = hashes[inside].view(np.int64), outcome[inside] - m.head, number[at[inside]] >= HEAVY
+                if many.any():
+                    w, c, o = word[many], own[many], one[many]
+                    order = np.lexsort((o, w))
+                    w, c, o = w[order], c[order], o[order]
+                    head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1])))
+                    n, none = np.diff(np.append(head, len(w))), [pa.nulls(len(head), pa.binary())]
+                    yield batch(_TOKENS, [w[head], c[head].astype(np.int32), *none, o[head].astype(np.int32), n, *none * 3])
+                if not many.all():
+                    w, c, o = word[~many], own[~many], one[~many].astype(np.uint16)
+                    shard = w % m.shards
+                    order = np.lexsort((w, shard))
+                    w, c, o, shard = w[order], c[order].astype(np.uint8), o[order], shard[order]
+                    head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                    new = np.flatnonzero(np.append(True, np.diff(shard[head]) != 0))  # the first word of each shard
+                    heads, codes = np.append(new, len(head)).tolist(), np.append(head[new], len(w)).tolist()
+                    cut = lambda v, bounds: [v[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
+                    times = np.diff(np.append(head, len(w))).astype(np.uint32)
+                    packed = [cut(w[head], heads), cut(c[head], heads), cut(times, heads)]
+                    none = [pa.nulls(len(new), f.type) for f in list(_TOKENS)[3:5]]
+                    yield batch(_TOKENS, [shard[head[new]], np.full(len(new), -1, np.int32), cut(o, codes), *none, *packed])
 
     rows = texts(docs).where(~held_out()).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
     path = scratch_path(spark, "tokens")
-    rows.mapInArrow(run, "key long, class int, codes binary, before int, n long").write.option("compression", "zstd").parquet(path)
+    kinds = "key long, class int, codes binary, before int, n long, words binary, classes binary, times binary"
+    rows.mapInArrow(run, kinds).write.option("compression", "zstd").parquet(path)
+    shared.destroy()  # every executor holds a copy on disk
     return spark.read.parquet(path)
 
 
@@ -308,7 +334,7 @@ def _sequences(tokens: DataFrame, parts: int, slices: int, k: int) -> DataFrame:
 
 def _round(sequences: DataFrame, model: Model, rate: float, seed: int) -> DataFrame:
     """Each part's tokens and its weights, times their number, after one pass from the model's weights."""
-    shared = sequences.sparkSession.sparkContext.broadcast(model)
+    shared = sequences.sparkSession.sparkContext.broadcast(model.slim())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -317,7 +343,9 @@ def _round(sequences: DataFrame, model: Model, rate: float, seed: int) -> DataFr
             w, n = learn(m, _shuffled(m, (np.frombuffer(o, np.uint16).astype(np.int64) for _, o in group)), m.weights, seed + at, rate)
             yield batch(_WEIGHTS, [[at], [n], [w.astype(np.float64) * n]])
 
-    return sequences.mapInArrow(run, _WEIGHTS_SQL)
+    done = cut_lineage(sequences.mapInArrow(run, _WEIGHTS_SQL))
+    shared.destroy()  # every executor holds a copy on disk
+    return done
 
 
 def _shuffled(m: Model, sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -374,9 +402,15 @@ def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray
     n, before, turn, k = n.astype(np.float32), before.astype(np.float32), turn.astype(np.float32), np.float32(k)
     both, r = n + noise, np.zeros((len(n), DIM), np.float32)
     for _ in range(TAIL_STEPS):
-        x = (r @ before.T).clip(-np.float32(TAIL_TOP), np.float32(TAIL_TOP))
-        p = 1 / (1 + k * np.exp(-x))
-        g = (n - both * p) @ before - np.float32(TAIL_RIDGE) * r
+        p = r @ before.T
+        np.clip(p, -np.float32(TAIL_TOP), np.float32(TAIL_TOP), out=p)
+        np.exp(np.negative(p, out=p), out=p)
+        p *= k
+        p += 1
+        np.divide(1, p, out=p)
+        p *= both
+        np.subtract(n, p, out=p)
+        g = p @ before - np.float32(TAIL_RIDGE) * r
         r += (g @ turn * scale) @ turn.T
     return r
 
@@ -387,7 +421,7 @@ def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
     spark, classes = tokens.sparkSession, model.classes
     seen = _befores(tokens, model, fan_in)
     room = classes.sum(1) + 1
-    shards = max(1, -(-int(classes[:, 1].sum()) // SHARD), -(-int(classes[:, 0].sum()) // SHARD_TOKENS))
+    shards = model.shards
     known = spark.sparkContext.broadcast((model.before().astype(np.float64), seen, room, model.size))
     fields = pa.schema([("part", pa.int32()), ("word", pa.int64()), ("vector", pa.binary()), ("w", pa.list_(pa.float64()))])
 
@@ -397,34 +431,52 @@ def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
         part = int(table.column("part")[0].as_py())
         single = table.filter(pc.is_valid(table.column("codes")))
         many = table.filter(pc.is_null(table.column("codes")))
-        codes = single.column("codes").to_pylist()
-        times = np.array([len(c) // 2 for c in codes], np.int64)
-        word, cls = (np.concatenate([np.repeat(single.column(c).to_numpy(), times), many.column(c).to_numpy()]) for c in ("key", "class"))
-        one = np.concatenate([np.frombuffer(b"".join(codes), np.uint16), many.column("before").to_numpy()]).astype(np.int64)
+
+        def joined(column, kind):
+            return np.frombuffer(b"".join(single.column(column).to_pylist()), kind)
+
+        times = joined("times", np.uint32).astype(np.int64)
+        word = np.concatenate([joined("words", np.int64), many.column("key").to_numpy()])
+        cls = np.concatenate([joined("classes", np.uint8), many.column("class").to_numpy()]).astype(np.int64)
+        names, first, place = np.unique(word, return_index=True, return_inverse=True)
+        whose = np.repeat(place, np.concatenate([times, np.ones(many.num_rows, np.int64)]))
+        one = np.concatenate([joined("codes", np.uint16), many.column("before").to_numpy()]).astype(np.int64)
         n = np.concatenate([np.ones(times.sum(), np.int64), many.column("n").to_numpy()])
-        names, first, whose = np.unique(word, return_index=True, return_inverse=True)
-        count, cls_of = np.bincount(whose, weights=n), cls[first]
-        out, sums = [], np.zeros((CLASSES, size))
-        for c in np.unique(cls_of).tolist():
-            mine = np.flatnonzero((cls_of == c) & (count >= RARE))
-            for k in range(0, len(mine), 256):
-                some = mine[k : k + 256]
-                place = np.full(len(names), -1)
-                place[some] = np.arange(len(some))
-                at = np.flatnonzero(place[whose] >= 0)
-                times = np.zeros((len(some), size))
-                np.add.at(times, (place[whose[at]], one[at]), n[at])
+        count, cls_of = np.bincount(whose, weights=n, minlength=len(names)), cls[first]
+        mine = np.argsort(cls_of, kind="stable")
+        mine = mine[count[mine] >= RARE]  # by class
+        place = np.full(len(names), -1)
+        place[mine] = np.arange(len(mine))
+        whose = place[whose]
+        order = np.argsort(whose, kind="stable")
+        whose, one, n = whose[order], one[order], n[order]
+        out, sums = [np.zeros((0, DIM), np.float32)], np.zeros((CLASSES, size))
+        bounds = np.searchsorted(cls_of[mine], np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            for k in range(bounds[c], bounds[c + 1], 256):
+                some = mine[k : min(k + 256, bounds[c + 1])]
+                at = slice(*np.searchsorted(whose, [k, k + len(some)]))
+                times = np.bincount((whose[at] - k) * size + one[at], weights=n[at], minlength=len(some) * size).reshape(-1, size)
                 share = (count[some] + 1) / room[c]
                 r = solve(times, share, seen[c], before)
-                sums[c] += share @ np.expm1((r @ narrow.T).clip(-np.float32(TAIL_TOP), np.float32(TAIL_TOP)))
-                out += zip(names[some].tolist(), (v.tobytes() for v in r))
-        rows = [(part, w, v, None) for w, v in out] + [(part, None, None, sums.ravel())]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
-
-    words = tokens.where("class is not null")
-    heavy = words.where("codes is null").groupBy("key", "class", "codes", "before").agg(F.sum("n").alias("n"))
-    dealt = words.where("codes is not null").unionByName(heavy).withColumn("part", F.pmod("key", F.lit(shards)).cast("int"))
-    solved = cut_lineage(dealt.groupBy("part").applyInArrow(fold, "part int, word long, vector binary, w array<double>"))
+                x = r @ narrow.T
+                sums[c] += share @ np.expm1(np.clip(x, -np.float32(TAIL_TOP), np.float32(TAIL_TOP), out=x))
+                out.append(r)
+        vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DIM), len(mine), [None, pa.py_buffer(np.concatenate(out).astype(np.float32).tobytes())])
+        filled = [pa.array(names[mine]), vectors.cast(pa.binary()), pa.nulls(len(mine), fields.field("w").type)]
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.ravel()], fields.field("w").type)]
+        rows = [pa.concat_arrays(pair) for pair in zip(filled, last)]
+        return pa.table([pa.array(np.full(len(mine) + 1, part, np.int32)), *rows], schema=fields)
+
+    heavy = tokens.where("class >= 0").groupBy("key", "class", "before").agg(F.sum("n").alias("n"))
+    heavy = heavy.withColumn("part", F.pmod("key", F.lit(shards)).cast("int"))
+    light = tokens.where("class < 0").select(F.col("key").cast("int").alias("part"), "codes", "words", "classes", "times")
+    dealt = light.unionByName(heavy, allowMissingColumns=True)
+    path = scratch_path(spark, "vectors")
+    solved = dealt.groupBy("part").applyInArrow(fold, "part int, word long, vector binary, w array<double>")
+    solved.write.option("compression", "zstd").parquet(path)
+    known.destroy()  # every executor holds a copy on disk
+    solved = spark.read.parquet(path)
     sums = _total(solved.where("word is null").select("part", F.lit(0).cast("long").alias("n"), "w"), shards, fan_in)[1]
     model.inside = np.log1p(sums.reshape(CLASSES, model.size).T if sums is not None else np.zeros((model.size, CLASSES))).astype(np.float32)
     vectors = solved.where("word is not null").select("word", "vector")
