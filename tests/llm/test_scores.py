@@ -156,6 +156,95 @@ def test_lm_is_normalised(spark, small):
     assert np.allclose(np.exp(h @ scorer.r.T + scorer.bias - norm[:, None]).sum(1), 1, atol=1e-4)
 
 
+@pytest.fixture(scope="module")
+def heavy(spark):
+    """Texts of few words, each found more often than HEAVY."""
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, 12, 200)) for _ in range(400)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+
+def test_lm_heavy_words_share_rows_too(heavy):
+    """Rows of words grow with blocks and shards, not with words and the outcomes before them."""
+    table = lm.counts(heavy)
+    model, tokens = lm.train(heavy, table, outcomes=4, rounds=1)
+    assert table.where(F.col("n") >= lm.HEAVY).count() >= 10
+    assert tokens.where("class is not null").count() <= model.shards
+
+
+def test_lm_shards_hold_counts_and_vectors_of_heavy_words(heavy):
+    table = {r.word: r.n for r in lm.counts(heavy).collect()}
+    model, tokens = lm.train(heavy, lm.counts(heavy), outcomes=4, rounds=1)
+    got = {}
+    for r in lm.shards(tokens, model).collect():
+        words, count, vectors = lm._unpacked(r.words, r.counts, r.vectors)
+        got |= dict(zip(words.view(np.int64).tolist(), zip(count.tolist(), vectors[np.cumsum(count >= lm.RARE) - 1])))
+    top = set(model.words[model.outcome >= 0].view(np.int64).tolist())
+    assert {w: n for w, (n, _) in got.items()} == {w: n for w, n in table.items() if w not in top}
+    text = [r.text for r in heavy.collect() if fold(r.doc_id, 7) != 2]
+    seen = np.zeros((lm.CLASSES, model.size))
+    mine = collections.defaultdict(lambda: np.zeros(model.size))
+    import pyarrow as pa
+
+    for b in blocks(pa.array(text)):
+        hashes, classes, whose = lm._tokens(b)
+        outcome, _ = model.outcomes(hashes, classes)
+        one = model.contexts(outcome, whose, model.end)[0]
+        for h, o, c in zip(hashes.view(np.int64).tolist(), outcome, one):
+            if o >= model.head:
+                seen[o - model.head, c] += 1
+                mine[h][c] += 1
+                cls = o - model.head
+                got[h] = (*got[h][:2], cls)
+    room = model.classes.sum(1) + 1
+    for h, (n, vector, c) in got.items():
+        want = lm.solve(mine[h][None], np.array([(n + 1) / room[c]]), seen[c], model.before().astype(float))[0]
+        assert np.allclose(vector, want, atol=1e-3)
+
+
+def test_lm_contexts_of_a_shard_stay_small(monkeypatch):
+    """Heavy words are counted while they are gathered; the sums stay exact."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm, "HEAVY", 50)
+    rnd, found, want = np.random.default_rng(2), lm._Contexts(), collections.Counter()
+    for _ in range(60):
+        words = np.sort(rnd.choice(40, 5, replace=False)).astype(np.uint64)
+        times = rnd.integers(1, 60, 5).astype(np.uint32)
+        codes = rnd.integers(0, 6, times.sum()).astype(np.uint16)
+        want.update(zip(np.repeat(words, times).tolist(), codes.tolist()))
+        row = {"codes": codes, "words": words, "classes": (words % 7).astype(np.uint8), "times": times}
+        found.add(pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()}))
+        assert found.size <= 2 * 500 + 40 * 50
+    found.count()
+    got = collections.Counter()
+    for w, o, n in zip(*found.rows):
+        got[int(found.words[w]), int(o)] += int(n)
+    assert got == want and (found.classes == found.words.astype(np.int64) % 7).all()
+
+
+def test_lm_places_are_those_of_a_search():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        table = np.unique(np.append(rnd.integers(0, 2**64, n, np.uint64), np.array([0, 5, 2**64 - 1], np.uint64)[:n]))
+        keys = np.concatenate([table, table + np.uint64(1), rnd.integers(0, 2**64, 500, np.uint64)])
+        assert (lm.Places(table).find(keys) == lm.lookup(keys, table)).all()
+
+
+def test_lm_rows_of_words_grow_with_the_words(spark):
+    """Many shards: a pack of occurrences is larger, so that a shard's row keeps its length."""
+    model = lm.Model(*[np.zeros(0)] * 3, np.ones(1), np.zeros(1), 0, 0, classes=np.array([[0, 1e4 * lm.SHARD]]))
+    assert model.pack >= lm.ROW * model.shards > lm.PACK
+
+
+def test_lm_without_training_texts(spark):
+    rows = [(i, f"some text {i} " * 3) for i in range(400) if fold(i, 7) == 2]
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out) == [i for i, _ in rows]
+    assert all(r.held_out and r.n_known == r.train_tokens == 0 and math.isfinite(r.score) for r in out)
+
+
 def test_lm_of_nothing(none):
     assert lm.score(none).count() == 0
 

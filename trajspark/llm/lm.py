@@ -18,8 +18,8 @@ word's vector: words are solved in shards, from how often each context came befo
 normalisers (contexts by classes) is summed over the shards, so a class's probabilities add up to one as well.
 
 Counts cover all training texts (crc32(doc_id as text) mod 7 is not 2). The commonest words' counts and vectors go to
-the tasks as a table of bounded size, the others meet the texts in a join, in which no word is hot. Words are told
-apart by 64-bit hashes. Words equally frequent at the last place among the outcomes are chosen by hash.
+the tasks as a table of bounded size, the others of a text are sent to their shards, where a task holds one shard's words
+at a time and reads the texts' words as a stream, so no word is hot. Words are told apart by 64-bit hashes. Words equally frequent at the last place among the outcomes are chosen by hash.
 
 Null or empty texts have the end token alone. A null doc_id counts as training text. Repeated rows count
 and are scored each for itself. Without training texts counts are zero and the model has its starting
@@ -30,11 +30,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,10 @@ FAN_IN = 64
 PART, ROUNDS, CHUNK = 1 << 20, 4, 1 << 17
 #: Least occurrences of a word with a vector of its own inside its class; words solved together.
 RARE, SHARD, SHARD_TOKENS = 2, 1 << 15, 1 << 21
-#: Occurrences from which a common word's contexts are counted before they are shuffled.
+#: Occurrences from which a word's contexts are counted as its shard gathers them.
 HEAVY = 1 << 12
+#: Least occurrences of words that share rows, one for each shard, and how many a shard's row has on average.
+PACK, ROW = 1 << 20, 1 << 8
 #: Noise of each word's objective per occurrence, its ridge, steps, and the largest product of two vectors.
 TAIL_NOISE, TAIL_RIDGE, TAIL_STEPS, TAIL_TOP = 8.0, 4.0, 4, 8.0
 
@@ -87,11 +91,46 @@ def _tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])
+
+    def counted(some: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        word, classes = (np.concatenate(x) for x in zip(*some))
+        order = np.argsort(word)
+        word = word[order]
+        head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        return batch(fields, [word[head].view(np.int64), classes[order[head]].astype(np.int32), np.diff(np.append(head, len(word)))])
+
+    some, size = [], 0
     for rows in batches:
-        for b in blocks(rows.column(0), 1 << 23):
+        for b in blocks(rows.column(0)):
             hashes, classes, _ = _tokens(b)
-            word, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield batch(fields, [word.view(np.int64), classes[first].astype(np.int32), n])
+            some.append((hashes, classes.astype(np.uint8)))
+            size += len(hashes)
+            if size >= 2 * PACK:
+                yield counted(some)
+                some, size = [], 0
+    if size:
+        yield counted(some)
+
+
+class Places:
+    """Places of hashes in a sorted table, found from the bucket of their leading bits."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 1
+        self.size, self.shift = len(table), np.uint64(64 - bits)
+        self.first = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.table = np.append(table, np.uint64(2**64 - 1))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The table's length where it does not have the key."""
+        at = self.first[keys >> self.shift]
+        here = self.table[at]
+        late = np.flatnonzero(here < keys)
+        while len(late):
+            at[late] += 1
+            here[late] = self.table[at[late]]
+            late = late[here[late] < keys[late]]
+        return np.where(here == keys, at, self.size)
 
 
 @dataclass
@@ -115,9 +154,14 @@ class Model:
 
     @property
     def shards(self) -> int:
-        """Groups of words inside classes that are solved together."""
+        """Groups of words inside classes, by ranges of their hashes, that are solved together."""
         return max(1, -(-int(self.classes[:, 1].sum()) // SHARD), -(-int(self.classes[:, 0].sum()) // SHARD_TOKENS))
 
+    @property
+    def pack(self) -> int:
+        """Occurrences that share rows: more for more shards, so rows grow with the occurrences alone."""
+        return max(PACK, ROW * self.shards)
+
     def slim(self) -> Model:
         """Without the common words: all that codes of outcomes need."""
         end = self.words == _END
@@ -136,7 +180,7 @@ class Model:
 
     def outcomes(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Outcome of every token, and its place among the common words."""
-        at = lookup(hashes, self.words)
+        at = self.places.find(hashes)
         own = np.append(self.outcome, -1)[at]
         return np.where(own >= 0, own, self.head + classes), at
 
@@ -159,6 +203,15 @@ class Model:
         own = int(self.outcome[at]) if at < len(self.words) else -1
         return own if own >= 0 else self.head
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.words)
+
+    @cached_property
+    def scorer(self) -> Scorer:
+        """Kept with a broadcast model, so the tasks of a worker share its normalisers."""
+        return Scorer(self)
+
 
 def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], w: np.ndarray, seed: int, rate: float = RATE) -> tuple[np.ndarray, int]:
     """One pass of noise-contrastive estimation over batches of (outcome, one before, two before)."""
@@ -170,6 +223,7 @@ def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     draw = np.cumsum(model.noise)
     log_noise = np.log(NOISE * model.noise).astype(np.float32)
     seen, size = 0, model.size
+    room = np.empty((BATCH, NOISE), np.float32)
 
     def scatter(at, values):
         """Sums of the rows of values by place."""
@@ -181,22 +235,21 @@ def learn(model: Model, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         noise = np.minimum(np.searchsorted(draw, rng.random(NOISE) * draw[-1]), size - 1)
         q1, q2 = q[one], q[two]
         h = c[0] * q1 + c[1] * q2
-        good = (h * r[target]).sum(1) + bias[target] - log_noise[target]
-        down = h @ r[noise].T
-        down += bias[noise]
-        down -= log_noise[noise]
+        own = r[target]
+        good = np.einsum("ij,ij->i", h, own) + bias[target] - log_noise[target]
+        down = np.matmul(h, -r[noise].T, out=room[: len(h)] if len(h) <= BATCH else None)
+        down += log_noise[noise] - bias[noise]
         up = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-        np.clip(down, -30, 30, out=down)
-        np.exp(np.negative(down, out=down), out=down)
+        np.exp(np.minimum(down, 30, out=down), out=down)
         down += 1
         np.divide(-1, down, out=down)
-        gr = scatter(target, up[:, None] * h)
-        np.add.at(gr, noise, down.T @ h)
+        gr = scatter(target, up[:, None] * h) + scatter(noise, down.T @ h)
         gb = np.bincount(target, weights=up, minlength=size)
         np.add.at(gb, noise, down.sum(0))
-        gh = up[:, None] * r[target] + down @ r[noise]
-        gq = scatter(one, gh * c[0]) + scatter(two, gh * c[1])
-        gc = np.stack([(gh * q1).sum(0), (gh * q2).sum(0)])
+        own *= up[:, None]
+        gh = np.add(own, down @ r[noise], out=own)
+        gq = scatter(one, gh) * c[0] + scatter(two, gh) * c[1]
+        gc = np.stack([np.einsum("ij,ij->j", gh, q1), np.einsum("ij,ij->j", gh, q2)])
         for value, acc, g in ((q, sq, gq), (r, sr, gr), (c, sc, gc), (bias, sb, gb)):
             g = g.astype(np.float32) / np.float32(np.sqrt(len(target)))
             acc += g * g
@@ -267,59 +320,67 @@ def train(
 
 
 _TOKENS = pa.schema(
-    [("key", pa.int64()), ("class", pa.int32()), ("codes", pa.binary()), ("before", pa.int32()), ("n", pa.int64())]
+    [("key", pa.int64()), ("class", pa.int32()), ("codes", pa.binary()), ("n", pa.int64())]
     + [(name, pa.binary()) for name in ("words", "classes", "times")]
 )
 
 
+def _cut(values: np.ndarray, bounds: list[int]) -> list[bytes]:
+    """The bytes of each stretch of an array."""
+    return [values[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
+
+
+def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the hashes, and the shard of each in that order; a shard holds a range of hashes."""
+    order = np.argsort(hashes)
+    return order, ((hashes[order] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def _token_table(docs: DataFrame, model: Model) -> DataFrame:
     """The training texts' tokens, read once for all that follows.
 
-    A text has a hash as its key and its outcomes as codes of two bytes. The words inside classes of a block of texts have
-    one row for each shard, its key, with -1 as class: their hashes, classes and times, and as codes the outcomes before
-    them, word by word. Words found HEAVY times or more have one row for each outcome before them, with n, instead."""
+    A text has a hash as its key, its outcomes as codes of two bytes, and their number as n. The words inside classes of
+    about PACK occurrences have one row for each shard, its key, with -1 as class: their hashes, classes and times, and as
+    codes the outcomes before them, word by word."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # as many words as common
 
+    def packed(m: Model, some: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        hashes, c, o = (np.concatenate(x) for x in zip(*some))
+        order, shard = _by_shard(hashes, m.shards)
+        w, c, o = hashes[order], c[order], o[order]
+        head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        new = np.flatnonzero(np.append(True, np.diff(shard[head]) != 0))  # the first word of each shard
+        heads, codes = np.append(new, len(head)).tolist(), np.append(head[new], len(w)).tolist()
+        times = np.diff(np.append(head, len(w))).astype(np.uint32)
+        packed = [_cut(w[head], heads), _cut(c[head], heads), _cut(times, heads)]
+        return batch(_TOKENS, [shard[head[new]], np.full(len(new), -1, np.int32), _cut(o, codes), pa.nulls(len(new), pa.int64()), *packed])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         number = np.append(m.counts, RARE)
+        some, size = [], 0
         for rows in batches:
             key = rows.column(0)
-            for b in blocks(rows.column(1), 1 << 23):
+            for b in blocks(rows.column(1)):
                 hashes, classes, whose = _tokens(b)
                 outcome, at = m.outcomes(hashes, classes)
-                ends = firsts(whose, b.n).tolist()
-                raw = outcome.astype(np.uint16)
-                rest = [pa.nulls(b.n, f.type) for f in list(_TOKENS)[3:]]
-                yield batch(_TOKENS, [key.slice(b.first, b.n), pa.nulls(b.n, pa.int32()), [raw[x:y].tobytes() for x, y in zip(ends, ends[1:])], *rest])
+                ends = firsts(whose, b.n)
+                none = [pa.nulls(b.n, pa.binary())] * 3
+                yield batch(_TOKENS, [key.slice(b.first, b.n), pa.nulls(b.n, pa.int32()), _cut(outcome.astype(np.uint16), ends.tolist()), np.diff(ends), *none])
                 inside = np.flatnonzero((outcome >= m.head) & (number[at] >= RARE))
                 one = m.contexts(outcome, whose, m.end)[0][inside]
-                word, own, many = hashes[inside].view(np.int64), outcome[inside] - m.head, number[at[inside]] >= HEAVY
-                if many.any():
-                    w, c, o = word[many], own[many], one[many]
-                    order = np.lexsort((o, w))
-                    w, c, o = w[order], c[order], o[order]
-                    head = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (o[1:] != o[:-1])))
-                    n, none = np.diff(np.append(head, len(w))), [pa.nulls(len(head), pa.binary())]
-                    yield batch(_TOKENS, [w[head], c[head].astype(np.int32), *none, o[head].astype(np.int32), n, *none * 3])
-                if not many.all():
-                    w, c, o = word[~many], own[~many], one[~many].astype(np.uint16)
-                    shard = w % m.shards
-                    order = np.lexsort((w, shard))
-                    w, c, o, shard = w[order], c[order].astype(np.uint8), o[order], shard[order]
-                    head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                    new = np.flatnonzero(np.append(True, np.diff(shard[head]) != 0))  # the first word of each shard
-                    heads, codes = np.append(new, len(head)).tolist(), np.append(head[new], len(w)).tolist()
-                    cut = lambda v, bounds: [v[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-                    times = np.diff(np.append(head, len(w))).astype(np.uint32)
-                    packed = [cut(w[head], heads), cut(c[head], heads), cut(times, heads)]
-                    none = [pa.nulls(len(new), f.type) for f in list(_TOKENS)[3:5]]
-                    yield batch(_TOKENS, [shard[head[new]], np.full(len(new), -1, np.int32), cut(o, codes), *none, *packed])
+                some.append((hashes[inside], (outcome[inside] - m.head).astype(np.uint8), one.astype(np.uint16)))
+                size += len(inside)
+                if size >= m.pack:
+                    yield packed(m, some)
+                    some, size = [], 0
+        if size:
+            yield packed(m, some)
 
     rows = texts(docs).where(~held_out()).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
     path = scratch_path(spark, "tokens")
-    kinds = "key long, class int, codes binary, before int, n long, words binary, classes binary, times binary"
+    kinds = "key long, class int, codes binary, n long, words binary, classes binary, times binary"
     rows.mapInArrow(run, kinds).write.option("compression", "zstd").parquet(path)
     shared.destroy()  # every executor holds a copy on disk
     return spark.read.parquet(path)
@@ -398,59 +459,96 @@ def solve(n: np.ndarray, share: np.ndarray, seen: np.ndarray, before: np.ndarray
     value, turn = np.linalg.eigh(spread + 1e-9 * np.eye(DIM))
     weight = n.sum(1) + k * share * total
     scale = (1 / (0.25 * weight[:, None] * np.maximum(value, 0) + TAIL_RIDGE)).astype(np.float32)
-    noise = (k * share[:, None] * seen).astype(np.float32)
     n, before, turn, k = n.astype(np.float32), before.astype(np.float32), turn.astype(np.float32), np.float32(k)
-    both, r = n + noise, np.zeros((len(n), DIM), np.float32)
-    for _ in range(TAIL_STEPS):
-        p = r @ before.T
-        np.clip(p, -np.float32(TAIL_TOP), np.float32(TAIL_TOP), out=p)
-        np.exp(np.negative(p, out=p), out=p)
-        p *= k
-        p += 1
-        np.divide(1, p, out=p)
-        p *= both
+    both, r = np.multiply.outer((TAIL_NOISE * share).astype(np.float32), seen.astype(np.float32)), np.zeros((len(n), DIM), np.float32)
+    both += n
+    p, away = np.empty_like(both), np.ascontiguousarray(-before.T)
+    for step in range(TAIL_STEPS):
+        if step:
+            np.matmul(r, away, out=p)
+            np.exp(np.clip(p, -np.float32(TAIL_TOP), np.float32(TAIL_TOP), out=p), out=p)
+            p *= k
+            p += 1
+            np.divide(both, p, out=p)
+        else:  # all products are zero
+            np.divide(both, 1 + k, out=p)
         np.subtract(n, p, out=p)
         g = p @ before - np.float32(TAIL_RIDGE) * r
         r += (g @ turn * scale) @ turn.T
     return r
 
 
-def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
-    """word and vector (floats, as bytes) of the words inside classes; sets the model's normalisers and
-    the common words' vectors."""
+class _Contexts:
+    """Occurrences of a shard's words by the outcome before them, with times; equal ones of words found HEAVY times or
+    more are counted once they fill twice a shard's room, so a shard's memory does not grow with its words' occurrences."""
+
+    def __init__(self):
+        self.words, self.classes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.parts, self.size = [], 0
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        def joined(column, kind):
+            return np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
+
+        word, times, code = joined("words", np.uint64), joined("times", np.uint32).astype(np.int64), joined("codes", np.uint16)
+        self.parts.append((word, joined("classes", np.uint8).astype(np.int64), times, code, np.ones(len(code), np.uint32)))
+        self.size += len(code)
+        if self.size > 2 * SHARD_TOKENS:
+            self.count()
+            whose, one, n = self.rows
+            total = np.bincount(whose, minlength=len(self.words))
+            many = total[whose] >= HEAVY
+            if many.any():
+                pair, place = np.unique(whose[many] << 16 | one[many], return_inverse=True)
+                n = np.concatenate([n[~many], np.bincount(place, weights=n[many]).astype(n.dtype)])
+                whose, one = np.concatenate([whose[~many], pair >> 16]), np.concatenate([one[~many], pair & 0xFFFF])
+                order = np.argsort(whose, kind="stable")
+                whose, one, n = whose[order], one[order], n[order]
+            times = np.bincount(whose, minlength=len(self.words))
+            self.parts, self.size = [(self.words, self.classes, times, one, n)], len(one)
+
+    def count(self) -> None:
+        """Words in order, their classes, and rows of (place of the word, outcome before, times)."""
+        word, cls, times, one, n = (np.concatenate(x) for x in zip(*self.parts))
+        self.words, first, place = np.unique(word, return_index=True, return_inverse=True)
+        self.classes = cls[first]
+        self.rows = np.repeat(place, times), one.astype(np.int64), n.astype(np.int64)
+
+
+_SOLVED = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary()), ("w", pa.list_(pa.float64()))])
+
+
+def _unpacked(words: bytes, counts: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of a shard's words, their counts, and vectors of those found RARE times or more."""
+    return np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(vectors, np.float32).reshape(-1, DIM)
+
+
+def shards(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
+    """A row for each shard of the words inside classes: hashes, counts and vectors as bytes; sets the model's
+    normalisers and the common words' vectors. Words found once have no vector; common ones among them are left out."""
     spark, classes = tokens.sparkSession, model.classes
     seen = _befores(tokens, model, fan_in)
     room = classes.sum(1) + 1
-    shards = model.shards
     known = spark.sparkContext.broadcast((model.before().astype(np.float64), seen, room, model.size))
-    fields = pa.schema([("part", pa.int32()), ("word", pa.int64()), ("vector", pa.binary()), ("w", pa.list_(pa.float64()))])
 
-    def fold(table: pa.Table) -> pa.Table:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, seen, room, size = known.value
         narrow = before.astype(np.float32)
-        part = int(table.column("part")[0].as_py())
-        single = table.filter(pc.is_valid(table.column("codes")))
-        many = table.filter(pc.is_null(table.column("codes")))
-
-        def joined(column, kind):
-            return np.frombuffer(b"".join(single.column(column).to_pylist()), kind)
-
-        times = joined("times", np.uint32).astype(np.int64)
-        word = np.concatenate([joined("words", np.int64), many.column("key").to_numpy()])
-        cls = np.concatenate([joined("classes", np.uint8), many.column("class").to_numpy()]).astype(np.int64)
-        names, first, place = np.unique(word, return_index=True, return_inverse=True)
-        whose = np.repeat(place, np.concatenate([times, np.ones(many.num_rows, np.int64)]))
-        one = np.concatenate([joined("codes", np.uint16), many.column("before").to_numpy()]).astype(np.int64)
-        n = np.concatenate([np.ones(times.sum(), np.int64), many.column("n").to_numpy()])
-        count, cls_of = np.bincount(whose, weights=n, minlength=len(names)), cls[first]
-        mine = np.argsort(cls_of, kind="stable")
-        mine = mine[count[mine] >= RARE]  # by class
+        found, part = _Contexts(), None
+        for rows in batches:
+            part = rows.column("part")[0].as_py()
+            found.add(rows)
+        found.count()
+        names, cls_of, (whose, one, n) = found.words, found.classes, found.rows
+        count = np.bincount(whose, weights=n, minlength=len(names)).astype(np.int64)
+        kept = np.flatnonzero(count >= RARE)
+        mine = kept[np.argsort(cls_of[kept], kind="stable")]  # by class
         place = np.full(len(names), -1)
         place[mine] = np.arange(len(mine))
         whose = place[whose]
         order = np.argsort(whose, kind="stable")
         whose, one, n = whose[order], one[order], n[order]
-        out, sums = [np.zeros((0, DIM), np.float32)], np.zeros((CLASSES, size))
+        out, sums = np.zeros((len(names), DIM), np.float32), np.zeros((CLASSES, size))
         bounds = np.searchsorted(cls_of[mine], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             for k in range(bounds[c], bounds[c + 1], 256):
@@ -460,33 +558,51 @@ def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
                 share = (count[some] + 1) / room[c]
                 r = solve(times, share, seen[c], before)
                 x = r @ narrow.T
-                sums[c] += share @ np.expm1(np.clip(x, -np.float32(TAIL_TOP), np.float32(TAIL_TOP), out=x))
-                out.append(r)
-        vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DIM), len(mine), [None, pa.py_buffer(np.concatenate(out).astype(np.float32).tobytes())])
-        filled = [pa.array(names[mine]), vectors.cast(pa.binary()), pa.nulls(len(mine), fields.field("w").type)]
-        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.ravel()], fields.field("w").type)]
-        rows = [pa.concat_arrays(pair) for pair in zip(filled, last)]
-        return pa.table([pa.array(np.full(len(mine) + 1, part, np.int32)), *rows], schema=fields)
-
-    heavy = tokens.where("class >= 0").groupBy("key", "class", "before").agg(F.sum("n").alias("n"))
-    heavy = heavy.withColumn("part", F.pmod("key", F.lit(shards)).cast("int"))
-    light = tokens.where("class < 0").select(F.col("key").cast("int").alias("part"), "codes", "words", "classes", "times")
-    dealt = light.unionByName(heavy, allowMissingColumns=True)
+                np.exp(np.clip(x, -np.float32(TAIL_TOP), np.float32(TAIL_TOP), out=x), out=x)
+                x -= 1
+                sums[c] += share.astype(np.float32) @ x
+                out[some] = r
+        yield batch(_SOLVED, [[part], [names.tobytes()], [count.tobytes()], [out[kept].tobytes()], [sums.ravel()]])
+
+    dealt = tokens.where("class < 0").select(F.col("key").cast("int").alias("part"), "codes", "words", "classes", "times")
     path = scratch_path(spark, "vectors")
-    solved = dealt.groupBy("part").applyInArrow(fold, "part int, word long, vector binary, w array<double>")
+    solved = dealt.groupBy("part").applyInArrow(fold, "part int, words binary, counts binary, vectors binary, w array<double>")
     solved.write.option("compression", "zstd").parquet(path)
     known.destroy()  # every executor holds a copy on disk
     solved = spark.read.parquet(path)
-    sums = _total(solved.where("word is null").select("part", F.lit(0).cast("long").alias("n"), "w"), shards, fan_in)[1]
+    sums = _total(solved.select("part", F.lit(0).cast("long").alias("n"), "w"), model.shards, fan_in)[1]
     model.inside = np.log1p(sums.reshape(CLASSES, model.size).T if sums is not None else np.zeros((model.size, CLASSES))).astype(np.float32)
-    vectors = solved.where("word is not null").select("word", "vector")
-    names = spark.createDataFrame(pa.table({"word": pa.array(model.words.view(np.int64), pa.int64())}))
-    some = vectors.join(F.broadcast(names), "word", "left_semi").toArrow()  # as many words as common
+    solved = solved.drop("w")
+    names = spark.sparkContext.broadcast(model.words)
+    some = _vectors(solved, names).toArrow()  # as many words as common
+    names.destroy()
     model.vectors = np.zeros((len(model.words), DIM), np.float32)
     if some.num_rows:
         at = lookup(some.column("word").to_numpy().view(np.uint64), model.words)
         model.vectors[at] = np.frombuffer(b"".join(some.column("vector").to_pylist()), np.float32).reshape(-1, DIM)
-    return vectors
+    return solved
+
+
+def _vectors(solved: DataFrame, names: Broadcast | None = None) -> DataFrame:
+    """word and vector (floats, as bytes) of the shards' words, or of those among the sorted names."""
+    fields = pa.schema([("word", pa.int64()), ("vector", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for packed in zip(*(rows.column(k).to_pylist() for k in range(3))):
+                words, count, vectors = _unpacked(*packed)
+                words = words[count >= RARE]
+                if names is not None:
+                    some = lookup(words, names.value) < len(names.value)
+                    words, vectors = words[some], vectors[some]
+                yield batch(fields, [words.view(np.int64), [v.tobytes() for v in vectors]])
+
+    return solved.select("words", "counts", "vectors").mapInArrow(run, "word long, vector binary")
+
+
+def tail(tokens: DataFrame, model: Model, fan_in: int = FAN_IN) -> DataFrame:
+    """word and vector (floats, as bytes) of the words inside classes; sets what ``shards`` sets."""
+    return _vectors(shards(tokens, model, fan_in))
 
 
 class Scorer:
@@ -522,10 +638,10 @@ class Scorer:
         one, two = m.contexts(outcome, whose, self.end)
         norm = self.normalisers(one, two)
         p = np.empty(len(outcome))
-        for k in range(0, len(outcome), 1 << 16):
-            s = slice(k, k + (1 << 16))
+        for k in range(0, len(outcome), 1 << 13):
+            s = slice(k, k + (1 << 13))
             h = self.c[0] * self.q[one[s]] + self.c[1] * self.q[two[s]]
-            p[s] = (h * self.r[outcome[s]]).sum(1) + self.bias[outcome[s]] - norm[s]
+            p[s] = np.einsum("ij,ij->i", h, self.r[outcome[s]]) + self.bias[outcome[s]] - norm[s]
         p /= np.log(10)
         share = self.number[at]
         classed = outcome >= m.head
@@ -538,69 +654,124 @@ class Scorer:
         return np.diff(bounds), totals(known, bounds), totals(share, bounds), totals(p, bounds), whose[~known], hashes[~known], one[~known]
 
 
+_PIECES = pa.schema(
+    [("block", pa.int64()), ("part", pa.int32())]
+    + [(name, pa.list_(kind)) for name, kind in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("share", pa.float64()), ("p", pa.float64()))]
+    + [(name, pa.binary()) for name in ("texts", "words", "seen")]
+)
+_PIECES_SQL = (
+    "block long, part int, doc_id array<long>, n_tokens array<long>, n_known array<long>, share array<double>, p array<double>, "
+    "texts binary, words binary, seen binary"
+)
+_MET = pa.schema(list(_PIECES)[:7] + [(name, pa.binary()) for name in ("texts", "known", "rare", "product")])
+_MET_SQL = _PIECES_SQL.replace("words binary, seen binary", "known binary, rare binary, product binary")
+
+
+def _pieces(m: Model, some: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A row of a block of texts, with what is known of each, and a row for each shard of their rarer words."""
+    row, doc, n, known, share, p, whose, hashes, one = zip(*some)
+    block, size = int(row[0][0]), sum(map(len, n))
+    first = np.cumsum([0, *map(len, n)])
+    listed = [pa.ListArray.from_arrays([0, size], v) for v in (pa.concat_arrays(doc), *(pa.array(np.concatenate(v)) for v in (n, known, share, p)))]
+    yield batch(_PIECES, [[block], [block % m.shards], *listed, *[pa.nulls(1, pa.binary())] * 3])
+    hashes, one = np.concatenate(hashes), np.concatenate(one).astype(np.uint16)
+    whose = np.concatenate([w + k for w, k in zip(whose, first)]).astype(np.uint32)
+    if len(hashes):
+        order, shard = _by_shard(hashes, m.shards)
+        new = np.flatnonzero(np.append(True, np.diff(shard) != 0))
+        bounds = np.append(new, len(order)).tolist()
+        packed = [_cut(v[order], bounds) for v in (whose, hashes, one)]
+        none = [pa.nulls(len(new), f.type) for f in list(_PIECES)[2:7]]
+        yield batch(_PIECES, [np.full(len(new), block), shard[new].astype(np.int32), *none, *packed])
+
+
+def _met(before: np.ndarray, shard: tuple[np.ndarray, ...], whose: bytes, words: bytes, seen: bytes) -> list[bytes] | None:
+    """Of a block's words in a shard, summed by text: known ones, log10 of count + 1, log10 of the part of the score that
+    is their vectors' products with the tokens before."""
+    names, count, place, vectors = shard
+    at = lookup(np.frombuffer(words, np.uint64), names)
+    found = np.flatnonzero(at < len(names))
+    if not len(found):
+        return None
+    whose = np.frombuffer(whose, np.uint32)[found]
+    order = np.argsort(whose, kind="stable")
+    found, whose = found[order], whose[order]
+    at, one = at[found], np.frombuffer(seen, np.uint16)[found]
+    head = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
+    product, own = np.zeros(len(at)), count[at] >= RARE
+    product[own] = np.einsum("ij,ij->i", vectors[place[at[own]]], before[one[own]]).clip(-TAIL_TOP, TAIL_TOP) / np.log(10)
+    known = np.diff(np.append(head, len(at)))
+    sums = [np.add.reduceat(v, head) for v in (np.log10(count[at] + 1.0), product)]
+    return [v.tobytes() for v in (whose[head], known, *sums)]
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The rows of a block's texts, with the sums of their rarer words, shard by shard."""
+    table = table.sort_by("part")
+    own = table.filter(pc.is_valid(table.column("doc_id")))
+    doc, n, known, share, p = (own.column(k).combine_chunks().flatten() for k in ("doc_id", "n_tokens", "n_known", "share", "p"))
+    rest = table.filter(pc.is_valid(table.column("texts")))
+    kinds = {"texts": np.uint32, "known": np.int64, "rare": np.float64, "product": np.float64}
+    whose, more, rare, product = (np.frombuffer(b"".join(rest.column(k).to_pylist()), kind) for k, kind in kinds.items())
+    more, rare, product = (np.bincount(whose, weights=v, minlength=len(n)) for v in (more, rare, product))
+    known = known.to_numpy() + more.astype(np.int64)
+    return pa.table({"doc_id": doc, "n_tokens": n, "n_known": known, "share": share.to_numpy() + rare, "p": p.to_numpy() + rare + product})
+
+
 def score(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    Common words are scored with their text. The others of about PACK occurrences travel as one row for each shard to the
+    shard's words, counts and vectors, which come first in their task, and the texts' sums travel back to their block."""
     spark = docs.sparkSession
     table = counts(docs)
     model, tokens = train(docs, table, **options)
-    vectors = tail(tokens, model, options.get("fan_in", FAN_IN))
+    solved = shards(tokens, model, options.get("fan_in", FAN_IN))
     shared = spark.sparkContext.broadcast(model)  # bounded as in train
     total, vocabulary = model.total, model.vocabulary
-    names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "share", "p", "seen"]
-    kinds = [pa.int64()] * 6 + [pa.float64()] * 2 + [pa.binary()]
-    sql = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
-    fields = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        m = shared.value
+        some, size = [], 0
         for rows in batches:
             row, doc = rows.column(0).to_numpy(), rows.column(1)
             for b in blocks(rows.column(2)):
-                n, known, share, p, whose, hashes, one = scorer.score(b)
-                part = slice(b.first, b.first + b.n)
-                none = pa.nulls(b.n, pa.int64())
-                spread = mix(row[part].astype(np.uint64)).view(np.int64)  # where a text's own row is joined
-                yield batch(fields, [row[part], doc.slice(b.first, b.n), spread, none, n, known, share, p, pa.nulls(b.n, pa.binary())])
-                if len(hashes):
-                    order = np.lexsort((hashes, whose))
-                    w, t, seen = hashes[order], whose[order], one[order].astype(np.uint16)
-                    head = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(w.view(np.int64), prepend=np.int64(0)) != 0))
-                    bounds = np.append(head, len(w)).tolist()
-                    times, seen = np.diff(bounds), [seen[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-                    empty = pa.nulls(len(head), pa.int64())
-                    yield batch(fields, [row[part][t[head]], empty, w[head].view(np.int64), times, empty, empty, *[pa.nulls(len(head), pa.float64())] * 2, seen])
+                *found, whose, hashes, one = m.scorer.score(b)
+                if not total:  # no word is known
+                    whose, hashes, one = whose[:0], hashes[:0], one[:0]
+                some.append((row[b.first : b.first + b.n], doc.slice(b.first, b.n), *found, whose, hashes, one))
+                size += len(hashes) + 8 * b.n
+                if size >= m.pack:
+                    yield from _pieces(m, some)
+                    some, size = [], 0
+        if some:
+            yield from _pieces(m, some)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, none = shared.value.before(), np.zeros(0, np.int64)
+        part, shard = None, (none.view(np.uint64), none, none, np.zeros((0, DIM), np.float32))
+        for rows in batches:
+            own = rows.filter(pc.is_valid(rows.column("doc_id")))
+            yield batch(_MET, [*own.columns[:7], *[pa.nulls(own.num_rows, pa.binary())] * 4])
+            out = []
+            rest = rows.filter(pc.is_null(rows.column("doc_id"))).select(["block", "part", "texts", "words", "seen", "counts", "vectors"])
+            for block, at, whose, words, seen, count, vectors in zip(*(c.to_pylist() for c in rest.columns)):
+                if block is None:
+                    names, count, vectors = _unpacked(words, count, vectors)
+                    part, shard = at, (names, count, np.cumsum(count >= RARE) - 1, vectors)
+                elif at == part and (sums := _met(before, shard, whose, words, seen)):
+                    out.append((block, at, *sums))
+            if out:
+                block, at, *sums = zip(*out)
+                yield batch(_MET, [block, at, *[pa.nulls(len(out), f.type) for f in list(_MET)[2:7]], *sums])
 
     rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(run, ", ".join(f"{n} {sql[k]}" for n, k in zip(names, kinds)))
-
-    def products(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        """Log10 of a rare word's part of the score: its vector's products with the tokens before."""
-        before = shared.value.before()
-        for seen, vector in columns:
-            yield pa.array(
-                [
-                    float((before[np.frombuffer(s, np.uint16)] @ np.frombuffer(v, np.float32)).clip(-TAIL_TOP, TAIL_TOP).sum() / np.log(10)) if s and v else 0.0
-                    for s, v in zip(seen.to_pylist(), vector.to_pylist())
-                ],
-                pa.float64(),
-            )
-
-    rare = table.select("word", F.col("n").alias("c")).join(vectors, "word", "left")
-    met = pieces.join(rare, "word", "left").withColumn("product", F.arrow_udf(products, "double")("seen", "vector")).drop("seen", "vector")
-    rare_token = F.col("n").isNotNull()
-    times = F.when(rare_token, F.col("n")).otherwise(F.lit(0))
-    out = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(F.col("c").isNotNull(), times).otherwise(F.lit(0)))).alias("n_known"),
-        F.max("share").alias("share"),
-        F.max("p").alias("p"),
-        F.sum(times * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare"),
-        F.sum("product").alias("product"),
-    )
+    pieces = rows.mapInArrow(run, _PIECES_SQL).unionByName(solved, allowMissingColumns=True)
+    dealt = pieces.repartition(model.shards, "part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
+    met = dealt.mapInArrow(meet, _MET_SQL)
+    out = met.groupBy("block").applyInArrow(_gathered, "doc_id long, n_tokens long, n_known long, share double, p double")
     base = float(np.log10(total + vocabulary + 1))
     return out.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("share") + F.col("rare") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("p") + F.col("rare") + F.col("product")).alias("score"),
+        (F.col("share") - F.col("n_tokens") * F.lit(base)).alias("base_score"), F.col("p").alias("score"),
     )
